@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import byte_bpe, exact_dedup, near_dedup, substring_dedup, suffix_dedup
+from tallyspark.llm import byte_bpe, exact_dedup, mixing, near_dedup, sharding, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op2_source_mix": mixing.op2_source_mix,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_sharding": sharding.op6_sharding,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_source_mix": mixing.OP2_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
