@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import byte_bpe, exact_dedup, mixing, near_dedup, sharding, substring_dedup, suffix_dedup
+from tallyspark.llm import byte_bpe, exact_dedup, licenses, mixing, near_dedup, sharding, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op2_source_mix": mixing.op2_source_mix,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_sharding": sharding.op6_sharding,
