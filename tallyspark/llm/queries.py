@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import byte_bpe, exact_dedup, licenses, mixing, near_dedup, sharding, substring_dedup, suffix_dedup
+from tallyspark.llm import byte_bpe, exact_dedup, licenses, mixing, near_dedup, neighbours, quality, sharding, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_source_mix": mixing.op2_source_mix,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_sharding": sharding.op6_sharding,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_nearest": neighbours.op8_nearest,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
