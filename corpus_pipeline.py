@@ -1,10 +1,55 @@
-"""Corpus pipeline: quality, exact copies, near copies, source mix, tokens."""
+"""Corpus pipeline over ``documents``: quality, exact copies, near copies, source mix, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read back as
+the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyspark.llm import byte_bpe, common, exact_dedup, mixing, near_dedup, quality
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised scorer keeps."""
+    return quality.keep_good(docs)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text: the one with the largest doc_id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest doc_id."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.emit(docs)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document of the mix, with digests of ids and of the decoded bytes."""
+    return byte_bpe.encode_decode(docs, *byte_bpe.public_ranks())
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("minhash_near_dedup", near_stage),
+    ("source_mix", mix_stage),
+    ("byte_bpe", tokens_stage),
+]
+
+#: Training, MinHash groups and tokenisation are not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = common.stage(stage(spark, docs, sf_dir), name)
+    return docs

@@ -70,8 +70,12 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 def emit(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, columns as they are."""
-    mixed = mix(docs, seed).filter("copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    own = [c for c in ("doc_id", "source", "text") if c in docs.columns]
+    rest = [c for c in docs.columns if c not in own]
+    packed = docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest") if rest else F.lit(None).alias("__rest"))
+    mixed = mix(packed, seed).filter("copies > 0")
+    mixed = mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return mixed.select(*[F.col(c) if c in own else F.col(f"__rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
