@@ -1,3 +1,371 @@
+"""Queries of text, links, search, sources, sinks and streams."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyspark.functions.rules import units_text
+from tallyspark.functions.scratch import scratch
+from tallyspark.operators import catalog as C
+from tallyspark.operators import resolve as R
+from tallyspark.operators import text as T
+from tallyspark.plans import publish as P
+from tallyspark.plans import views as V
 from tallyspark.plans.register import registry
+from tallyspark.plans.resolver_queries import SQL as RESOLVER_SQL
+from tallyspark.plans.learner_queries import SQL as LEARNER_SQL
+from tallyspark.plans.views import table
+from tallyspark.sources import readers
+from tallyspark.streaming import jobs
 
 QUERIES, SQL, query = registry()
+
+_ANCHOR = '<a href="([^"]+)">([^<]*)</a>'
+_MD = f"md AS (SELECT page_id, regexp_replace(html, '{_ANCHOR}', '[\\2](\\1)', 'g') AS md FROM pages)"
+
+
+def _markdown(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", _ANCHOR, "[$2]($1)").alias("md"))
+
+
+@query("link_extract", f"WITH {_MD} SELECT page_id, unnest(regexp_extract_all(md, '\\]\\(([^)]+)\\)', 1)) AS target FROM md")
+def link_extract(spark, sf_dir):
+    return _markdown(spark, sf_dir).select("page_id", F.explode(T.links(F.col("md"))).alias("target"))
+
+
+@query("link_classify_resolve", f"WITH {_MD}, l AS (SELECT page_id, unnest(regexp_extract_all(md, '\\]\\(([^)]+)\\)', 1)) AS target FROM md), k AS (SELECT DISTINCT split_part(text, ' ', 1) AS id FROM documents) SELECT page_id, target, CASE WHEN starts_with(target, 'https://') THEN 'external' WHEN NOT regexp_matches(target, '^/[^/?#]+$') THEN 'unsafe' WHEN substr(target, 2) IN (SELECT id FROM k) THEN 'internal' ELSE 'broken' END AS label FROM l")
+def link_classify_resolve(spark, sf_dir):
+    known = table(spark, sf_dir, "documents").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("id"))
+    return T.classify_links(link_extract(spark, sf_dir), known)
+
+
+@query("unsafe_markup_rule", "SELECT page_id, regexp_matches(html, '(?i)<script|<iframe|javascript:|onerror\\s*=') AS unsafe FROM pages")
+def unsafe_markup_rule(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.col("html").rlike(T.UNSAFE).alias("unsafe"))
+
+
+@query("https_url_rule", "SELECT page_id, regexp_matches(url, '^https://[^/@?#]+([/?#]|$)') AS allowed FROM pages")
+def https_url_rule(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", C.https_url(F.col("url")).alias("allowed"))
+
+
+@query("safe_path_rule", "WITH p AS (SELECT page_id, substr(url, 9) AS path FROM pages) SELECT page_id, path, NOT contains(path, '\\') AND NOT list_bool_or(list_transform(string_split(path, '/'), lambda s: s = '' OR ends_with(s, '.') OR regexp_matches(s, '(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\\..*)?$'))) AS safe FROM p")
+def safe_path_rule(spark, sf_dir):
+    path = F.substring("url", 9, 1 << 20)
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), C.safe_path(path).alias("safe"))
+
+
+@query("strip_code_spans", "SELECT page_id, length(regexp_replace(replace(html, '<p>', '`'), '`[^`\\n]*`', '', 'g')) AS chars FROM pages")
+def strip_code_spans(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.length(T.without_code(F.replace("html", F.lit("<p>"), F.lit("`")))).cast("long").alias("chars"))
+
+
+_TOKENS = "tk AS (SELECT doc_id, 'a [[' || lang || '|' || source || ']] b [[x|' || lang || ']]' AS md FROM documents)"
+
+
+def _tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a [["), "lang", F.lit("|"), "source", F.lit("]] b [[x|"), "lang", F.lit("]]")).alias("md"))
+
+
+@query("inline_concepts", f"WITH {_TOKENS} SELECT doc_id, concept, concept IN (SELECT DISTINCT lang FROM documents WHERE lang <> 'de') AS known FROM (SELECT doc_id, unnest(regexp_extract_all(md, '\\[\\[([^|\\]]+)\\|([^\\]]+)\\]\\]', 1)) AS concept FROM tk)")
+def inline_concepts(spark, sf_dir):
+    known = table(spark, sf_dir, "documents").filter("lang <> 'de'").select(F.col("lang").alias("concept")).distinct().withColumn("known", F.lit(True))
+    found = _tokens(spark, sf_dir).select("doc_id", F.explode(T.concept_ids(F.col("md"))).alias("concept"))
+    return found.join(known, "concept", "left").select("doc_id", "concept", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query("plain_concepts", "SELECT doc_id, 'a ' || source || ' b ' || lang AS text FROM documents")
+def plain_concepts(spark, sf_dir):
+    return _tokens(spark, sf_dir).select("doc_id", T.plain_concepts(F.col("md")).alias("text"))
+
+
+@query("fence_extract", "SELECT doc_id, sha256(substr(text, 1, 200)) AS digest FROM documents WHERE NOT contains(text, '`')")
+def fence_extract(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").filter(~F.col("text").contains("`"))
+    md = F.concat(F.lit("intro\n```python\n"), F.substring("text", 1, 200), F.lit("\n```\nmore\n```\nother\n```"))
+    return rows.select("doc_id", F.sha2(T.first_fence(md), 256).alias("digest"))
+
+
+@query("content_match", "SELECT doc_id, doc_id % 10 <> 0 AS matches FROM documents")
+def content_match(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    manifest = docs.select("doc_id", F.sha2(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("recorded"))
+    return docs.join(manifest, "doc_id").select("doc_id", (F.sha2("text", 256) == F.col("recorded")).alias("matches"))
+
+
+@query("checksum_audit", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'different' WHEN doc_id % 3 = 1 AND contains(text, chr(10)) THEN 'equal_after_newlines' ELSE 'equal' END AS status FROM documents WHERE NOT contains(text, chr(13))")
+def checksum_audit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter(~F.col("text").contains("\r"))
+    content = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("."))).when(F.col("doc_id") % 3 == 1, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
+    return docs.select("doc_id", T.checksum_status(content, F.sha2("text", 256)).alias("status"))
+
+
+@query("manifest_of_inputs")
+def manifest_of_inputs(spark, sf_dir):
+    return readers.files_binary(spark, sf_dir, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
+
+
+_INDEX = """ix AS (SELECT 'document' AS type, doc_id AS id, substr(text, 1, 30) AS title, text, '#/lesson/' || doc_id || '/' || source AS href FROM documents
+UNION ALL SELECT 'page', page_id, url, url, '#/course/' || page_id FROM pages
+UNION ALL SELECT 'turn', conv_id * 1000 + turn, role, text, '#/practice/' || conv_id FROM conversations
+UNION ALL SELECT 'part', p_partkey, p_name, concat_ws(' ', p_name, p_type, p_brand), '#/module/' || p_partkey FROM part)"""
+
+
+def index(spark, sf_dir) -> DataFrame:
+    t = lambda name: table(spark, sf_dir, name)
+    entry = lambda df, kind, id_, title, text, *href: df.select(F.lit(kind).alias("type"), id_.cast("long").alias("id"), title.alias("title"), text.alias("text"), F.concat(*href).alias("href"))
+    c, lit = F.col, F.lit
+    parts = [
+        entry(t("documents"), "document", c("doc_id"), F.substring("text", 1, 30), c("text"), lit("#/lesson/"), "doc_id", lit("/"), "source"),
+        entry(t("pages"), "page", c("page_id"), c("url"), c("url"), lit("#/course/"), "page_id"),
+        entry(t("conversations"), "turn", c("conv_id") * 1000 + c("turn"), c("role"), c("text"), lit("#/practice/"), "conv_id"),
+        entry(t("part"), "part", c("p_partkey"), c("p_name"), F.concat_ws(" ", "p_name", "p_type", "p_brand"), lit("#/module/"), "p_partkey"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("search_index", f"WITH {_INDEX} SELECT type, id, title, length(text) AS chars, href FROM ix")
+def search_index(spark, sf_dir):
+    return index(spark, sf_dir).select("type", "id", "title", F.length("text").cast("long").alias("chars"), "href")
+
+
+@query("href_columns", "SELECT doc_id, '#/' || CASE WHEN doc_id % 2 = 0 THEN 'lesson/' || doc_id || '/' || source ELSE 'module/' || lang END || CASE WHEN doc_id % 3 = 0 THEN '?path=p%20' || lang ELSE '' END AS href FROM documents")
+def href_columns(spark, sf_dir):
+    place = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("lesson/"), "doc_id", F.lit("/"), "source")).otherwise(F.concat(F.lit("module/"), "lang"))
+    path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("?path="), F.replace(F.url_encode(F.concat(F.lit("p "), "lang")), F.lit("+"), F.lit("%20")))).otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("#/"), place, path).alias("href"))
+
+
+_HITS = "h AS (SELECT doc_id AS position, text FROM documents WHERE contains(lower(text), 'the mit') ORDER BY doc_id LIMIT 80)"
+
+
+def _hits(spark, sf_dir):
+    return T.search(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), "text"), "the mit")
+
+
+@query("search_query", f"WITH {_HITS} SELECT position FROM h")
+def search_query(spark, sf_dir):
+    return _hits(spark, sf_dir).select("position")
+
+
+@query("search_snippet", f"WITH {_HITS} SELECT position, substr(regexp_replace(text, '[#*`]', '', 'g'), greatest(0, strpos(lower(text), 'the mit') - 1 - 55) + 1, 200) AS snippet FROM h")
+def search_snippet(spark, sf_dir):
+    return _hits(spark, sf_dir).select("position", T.snippet(F.col("text"), "the mit").alias("snippet"))
+
+
+@query("notebook_filter", "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND contains(lower(text), 'the')")
+def notebook_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").filter((F.col("role") == "user") & F.lower("text").contains("the"))
+    return rows.orderBy(F.desc("conv_id"), F.desc("turn")).select("conv_id", "turn")
+
+
+@query("topic_filter", "SELECT p_partkey FROM part WHERE contains(lower(concat_ws(' ', p_name, p_type, p_brand)), 'ring')")
+def topic_filter(spark, sf_dir):
+    return table(spark, sf_dir, "part").filter(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")).contains("ring")).select("p_partkey")
+
+
+@query("scan_json_typed", "SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events")
+def scan_json_typed(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int").alias("p")).select("event_id", "p.k")
+
+
+@query("scan_json_strict", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'BIGINT' WHEN 1 THEN 'STRING' WHEN 2 THEN 'BOOLEAN' END AS k_type FROM events")
+def scan_json_strict(spark, sf_dir):
+    form = F.col("event_id") % 4
+    k = F.get_json_object("props", "$.k")
+    text = F.when(form == 0, F.col("props")).when(form == 1, F.concat(F.lit('{"k": "'), k, F.lit('"}'))).when(form == 2, F.lit('{"k": true}')).otherwise(F.lit("{}"))
+    return readers.json_strict(table(spark, sf_dir, "events").select("event_id", text.alias("text")), "text", ["k"]).drop("text")
+
+
+@query("scan_json_batches", "SELECT event_type AS batch_id, count(*) AS rows, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def scan_json_batches(spark, sf_dir):
+    """Batches of ids as JSON objects, one for each user, read back and exploded."""
+    lists = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.collect_list("event_id").alias("ids"))
+    docs = lists.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("event_type", "ids")))).alias("doc"))
+    named = docs.select(F.explode(F.from_json("doc", "map<string, array<bigint>>")).alias("batch_id", "ids"))
+    return named.select("batch_id", F.explode("ids").alias("id")).groupBy("batch_id").agg(F.count("*").alias("rows"), F.sum("id").alias("ids"))
+
+
+@query("scan_csv_header", "SELECT s_suppkey::VARCHAR AS record_id, s_name AS name, s_nationkey::VARCHAR AS units FROM supplier")
+def scan_csv_header(spark, sf_dir):
+    path = scratch(spark, "suppliers-csv")
+    table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("units")).write.option("header", True).csv(path)
+    return readers.csv_header(spark, path, ["record_id", "name", "units"])
+
+
+_UNITS = "un AS (SELECT c_custkey AS record_id, CASE c_custkey % 6 WHEN 0 THEN c_nationkey::VARCHAR WHEN 1 THEN '' WHEN 2 THEN 'seven' WHEN 3 THEN '-' || (c_nationkey + 1) WHEN 4 THEN NULL ELSE ' ' || c_nationkey || ' ' END AS units FROM customer)"
+
+
+def _units(spark, sf_dir):
+    form, n = F.col("c_custkey") % 6, F.col("c_nationkey").cast("string")
+    text = F.when(form == 0, n).when(form == 1, "").when(form == 2, "seven").when(form == 3, F.concat(F.lit("-"), (F.col("c_nationkey") + 1).cast("string"))).when(form == 5, F.concat(F.lit(" "), n, F.lit(" ")))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record_id"), text.alias("units"))
+
+
+_PARSE = "SELECT record_id, CASE WHEN record_id % 6 IN (0, 5) THEN trim(units)::INT END AS value, CASE record_id % 6 WHEN 1 THEN '{m}' WHEN 4 THEN '{m}' WHEN 2 THEN '{f}' WHEN 3 THEN '{n}' END AS reason FROM un"
+
+
+@query("csv_units_parse", f"WITH {_UNITS} " + _PARSE.format(m="missing units", f="malformed integer", n="negative units"))
+def csv_units_parse(spark, sf_dir):
+    value, reason = units_text(F.col("units"), "missing units", "malformed integer", "negative units")
+    return _units(spark, sf_dir).select("record_id", value.alias("value"), reason.alias("reason"))
+
+
+@query("units_parse_json", f"WITH {_UNITS} " + _PARSE.format(m="inspected_units is missing", f="quantity must be an integer", n="quantity must be an integer"))
+def units_parse_json(spark, sf_dir):
+    """Units out of JSON records: an integer or a text of digits only."""
+    doc = F.when(F.col("units").isNull(), F.lit("{}")).when(F.col("record_id") % 6 == 0, F.concat(F.lit('{"u": '), "units", F.lit("}"))).otherwise(F.to_json(F.struct(F.col("units").alias("u"))))
+    text = F.trim(F.get_json_object(doc, "$.u"))
+    reason = F.when(text.isNull() | (text == ""), "inspected_units is missing").when(~text.rlike("^[0-9]+$"), "quantity must be an integer")
+    return _units(spark, sf_dir).select("record_id", F.when(reason.isNull(), text.try_cast("int")).alias("value"), reason.alias("reason"))
+
+
+@query("units_parse_exercise", f"WITH {_UNITS}, r AS ({_PARSE.format(m='missing units', f='malformed integer', n='negative units')}) SELECT reason, count(*) AS records FROM r GROUP BY 1")
+def units_parse_exercise(spark, sf_dir):
+    return csv_units_parse(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("records"))
+
+
+@query("temp_view", "SELECT count(*) AS rows FROM lineitem WHERE l_returnflag = 'R'")
+def temp_view(spark, sf_dir):
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("tallyspark_lines")
+    return spark.sql("SELECT count(*) AS rows FROM tallyspark_lines WHERE l_returnflag = 'R'")
+
+
+@query("scan_inline", "SELECT n_name, CASE WHEN n_regionkey IN (0, 1) THEN 'west' ELSE 'east' END AS side FROM nation")
+def scan_inline(spark, sf_dir):
+    sides = spark.createDataFrame([(0, "west"), (1, "west"), (2, "east"), (3, "east"), (4, "east")], "n_regionkey int, side string")
+    return table(spark, sf_dir, "nation").join(sides, "n_regionkey").select("n_name", "side")
+
+
+@query("scan_markdown_sections", "SELECT conv_id, turn + 1 AS ord, 's' || turn AS section, trim(text, ' ') AS body FROM conversations WHERE NOT contains(text, '<!--')")
+def scan_markdown_sections(spark, sf_dir):
+    marked = F.concat(F.lit("<!-- section:s"), "turn", F.lit(" -->"), "text")
+    turns = table(spark, sf_dir, "conversations").filter(~F.col("text").contains("<!--")).select("conv_id", "turn", marked.alias("md"))
+    found = T.sections(turns.withColumn("key", F.struct("conv_id", "turn")), "key", "md").filter("ord > 0")
+    return found.select("key.conv_id", (F.col("key.turn") + 1).alias("ord"), "section", "body")
+
+
+@query("scan_state_doc", "SELECT event_id::VARCHAR AS map_key, event_id AS id, event_type AS rating FROM events")
+def scan_state_doc(spark, sf_dir):
+    """Exported documents, one for each user, with a family of records; read back as rows."""
+    from pyspark.sql import types as TY
+
+    entry = F.struct(F.col("event_id").cast("string"), F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("rating")))
+    docs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.to_json(F.struct(F.struct(F.map_from_entries(F.collect_list(entry)).alias("reviews")).alias("state"))).alias("doc"))
+    return readers.family(docs, "doc", "reviews", TY.StructType.fromDDL("id bigint, rating string"))
+
+
+@query("scan_files_binary", "SELECT 'region.parquet' AS file UNION ALL SELECT 'nation.parquet'")
+def scan_files_binary(spark, sf_dir):
+    return readers.files_binary(spark, sf_dir, "*ion.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"))
+
+
+@query("scan_catalog_tree", "SELECT r_regionkey AS course, count(n_nationkey) AS modules FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+def scan_catalog_tree(spark, sf_dir):
+    """Nested course documents written as JSON files and discovered again in the folder tree."""
+    from pyspark.sql import types as TY
+
+    modules = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("course")).agg(F.collect_list(F.struct(F.col("n_nationkey").alias("id"))).alias("modules"))
+    path = scratch(spark, "courses")
+    table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("course")).join(modules, "course", "left").write.partitionBy("course").json(path)
+    tree = readers.json_tree(spark, path, TY.StructType.fromDDL("modules array<struct<id: int>>"))
+    course = F.regexp_extract("path", "course=([0-9]+)", 1).cast("int")
+    return tree.select(course.alias("course"), F.greatest(F.size("modules"), F.lit(0)).cast("long").alias("modules"))
+
+
+@query("sink_search_index", f"WITH {_INDEX} SELECT type, count(*) AS entries FROM ix GROUP BY 1")
+def sink_search_index(spark, sf_dir):
+    path = scratch(spark, "search-index")
+    index(spark, sf_dir).write.partitionBy("type").parquet(path)
+    return spark.read.parquet(path).groupBy("type").agg(F.count("*").alias("entries"))
+
+
+@query("sink_report_json", "SELECT l_returnflag AS flag, count(*) AS lines FROM lineitem GROUP BY 1")
+def sink_report_json(spark, sf_dir):
+    path = scratch(spark, "report")
+    table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("lines")).write.json(path)
+    return spark.read.schema("flag string, lines bigint").json(path)
+
+
+@query("snapshot_identity")
+def snapshot_identity(spark, sf_dir):
+    """Content ids of the accepted state, of the state after a replay (the same) and of the clean history."""
+    once = P.content_id(R.resolve(V.deliveries(spark, sf_dir)).accepted()).withColumn("history", F.lit("once"))
+    again = P.content_id(R.resolve(V.replayed(spark, sf_dir)).accepted()).withColumn("history", F.lit("replayed"))
+    clean = P.content_id(R.resolve(V.clean(spark, sf_dir)).accepted()).withColumn("history", F.lit("clean"))
+    return once.unionByName(again).unionByName(clean)
+
+
+def _published(spark, sf_dir, fail=None):
+    root = scratch(spark, "pipeline")
+    pipeline = P.Pipeline(spark, root)
+    rows = V.clean(spark, sf_dir)
+    pipeline.ingest(rows.filter("version <= 3"), "0")
+    try:
+        pipeline.ingest(rows.filter("version > 3"), "1", fail)
+    except RuntimeError:
+        pipeline.recover()
+    return pipeline
+
+
+@query("publish_pipeline", "SELECT l_orderkey::VARCHAR AS inspection_id, count(*)::INT AS version FROM lineitem GROUP BY 1")
+def publish_pipeline(spark, sf_dir):
+    return _published(spark, sf_dir).published().select("inspection_id", "version")
+
+
+@query("recover_idempotent", "SELECT l_orderkey::VARCHAR AS inspection_id, count(*)::INT AS version FROM lineitem GROUP BY 1")
+def recover_idempotent(spark, sf_dir):
+    """Published state after a failure behind the snapshot and two recoveries."""
+    pipeline = _published(spark, sf_dir, "resolved_state")
+    pipeline.recover()
+    return pipeline.published().select("inspection_id", "version")
+
+
+@query("sink_snapshot")
+def sink_snapshot(spark, sf_dir):
+    return _published(spark, sf_dir).publications().select("seq", "status")
+
+
+@query("sink_outbox")
+def sink_outbox(spark, sf_dir):
+    pipeline = _published(spark, sf_dir, "published_snapshot")
+    return pipeline.outbox().groupBy("snapshot_id").agg(F.count("*").alias("effects"))
+
+
+def _stream(spark, sf_dir, name):
+    """The Parquet file of a table as a stream: read from its folder by name, with the schema given."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+@query("stream_event_conflicts", RESOLVER_SQL["event_conflicts"].replace("SELECT event_id, deliveries FROM ec", "SELECT event_id FROM ec"))
+def stream_event_conflicts(spark, sf_dir):
+    root = scratch(spark, "stream-conflicts")
+    lines = _stream(spark, sf_dir, "lineitem")
+    rows = lines.select(F.concat_ws("-", "l_orderkey", "l_partkey").alias("event_id"), F.col("l_orderkey").cast("string").alias("inspection_id"), F.col("l_linenumber").alias("version"), F.col("l_quantity").cast("int").alias("inspected_units"), F.floor(F.col("l_discount") * 100 + 0.5).cast("int").alias("defective_units"))
+    jobs.event_conflicts(rows, f"{root}/flags", f"{root}/checkpoint").awaitTermination()
+    return jobs.current_conflicts(spark.read.parquet(f"{root}/flags"))
+
+
+@query("stream_review_schedule", LEARNER_SQL["schedule_fold"])
+def stream_review_schedule(spark, sf_dir):
+    root = scratch(spark, "stream-schedules")
+    card = F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(5))
+    rating = F.when(F.col("event_type") == "error", "Again").when(F.col("event_type") == "click", "Hard").when(F.col("event_type") == "view", "Good").when(F.col("event_type") == "purchase", "Easy")
+    rows = _stream(spark, sf_dir, "events").filter("event_type <> 'signup'").select("event_id", F.col("user_id").alias("learner_id"), card.alias("card_id"), rating.alias("rating"), F.col("ts").alias("at"))
+    jobs.review_schedule(rows, root, f"{root}/checkpoint").awaitTermination()
+    done = spark.read.parquet(f"{root}/schedules-0")
+    return done.select("learner_id", "card_id", "interval_days", F.col("due_at").cast("timestamp_ntz").alias("due_at"), "last_event_id", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
+@query("stream_ingest_resolve", "SELECT l_orderkey::VARCHAR AS inspection_id, l_linenumber AS version FROM lineitem WHERE false")
+def stream_ingest_resolve(spark, sf_dir):
+    """Contradictory deliveries streamed in: the gate holds publication back, nothing is published."""
+    root = scratch(spark, "stream-pipeline")
+    lines = _stream(spark, sf_dir, "lineitem")
+    rows = lines.select(F.concat_ws("-", "l_orderkey", "l_partkey").alias("event_id"), F.col("l_orderkey").cast("string").alias("inspection_id"), F.col("l_linenumber").alias("version"), F.col("l_quantity").cast("int").alias("inspected_units"), F.floor(F.col("l_discount") * 100 + 0.5).cast("int").alias("defective_units"))
+    jobs.ingest_resolve(rows, f"{root}/tables", f"{root}/checkpoint").awaitTermination()
+    return P.Pipeline(spark, f"{root}/tables").published().select("inspection_id", "version")
