@@ -12,13 +12,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyspark.operators import resolve as R
 
-RAW = T.StructType.fromDDL("event_id string, inspection_id string, version int, inspected_units int, defective_units int, batch_id string")
-PUBLICATIONS = T.StructType.fromDDL("seq long, snapshot_id string, status string")
-OUTBOX = T.StructType.fromDDL("snapshot_id string, effect string")
+RAW = "event_id string, inspection_id string, version int, inspected_units int, defective_units int, batch_id string"
+PUBLICATIONS = "seq long, snapshot_id string, status string"
+OUTBOX = "snapshot_id string, effect string"
 
 
 def content_id(rows: DataFrame, buckets: int = 256) -> DataFrame:
@@ -42,7 +41,7 @@ class Pipeline:
     spark: SparkSession
     root: str
 
-    def _read(self, name: str, schema: T.StructType) -> DataFrame:
+    def _read(self, name: str, schema: str) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], schema)

@@ -369,3 +369,26 @@ def stream_ingest_resolve(spark, sf_dir):
     rows = lines.select(F.concat_ws("-", "l_orderkey", "l_partkey").alias("event_id"), F.col("l_orderkey").cast("string").alias("inspection_id"), F.col("l_linenumber").alias("version"), F.col("l_quantity").cast("int").alias("inspected_units"), F.floor(F.col("l_discount") * 100 + 0.5).cast("int").alias("defective_units"))
     jobs.ingest_resolve(rows, f"{root}/tables", f"{root}/checkpoint").awaitTermination()
     return P.Pipeline(spark, f"{root}/tables").published().select("inspection_id", "version")
+
+
+@query("scan_paths", "SELECT n_regionkey AS path, count(DISTINCT n_nationkey) AS groups, count(c_custkey) AS lessons FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def scan_paths(spark, sf_dir):
+    """Learning paths (regions) with groups (nations) of lessons (customers) as JSON files, read back in name order."""
+    lessons = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.collect_list("c_custkey").alias("lessons"))
+    groups = table(spark, sf_dir, "nation").join(lessons, "n_nationkey", "left").groupBy(F.col("n_regionkey").alias("path")).agg(F.collect_list(F.struct("n_nationkey", "lessons")).alias("groups"))
+    folder = scratch(spark, "paths")
+    groups.write.partitionBy("path").json(folder)
+    tree = readers.json_tree(spark, folder, "groups array<struct<n_nationkey: int, lessons: array<bigint>>>").orderBy("path")
+    size = F.aggregate("groups", F.lit(0), lambda n, g: n + F.greatest(F.coalesce(F.size(g["lessons"]), F.lit(0)), F.lit(0)))
+    return tree.select(F.regexp_extract("path", "path=([0-9]+)", 1).cast("int").alias("path"), F.size("groups").cast("long").alias("groups"), size.cast("long").alias("lessons"))
+
+
+@query("scan_teaching", "SELECT 'modules' AS family, count(*) AS rows FROM part UNION ALL SELECT 'media', count(*) FROM supplier")
+def scan_teaching(spark, sf_dir):
+    """Modules and media registers in one folder, told apart by file name and read under their own schemas."""
+    folder = scratch(spark, "teaching")
+    table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")).write.json(f"{folder}/kind=modules")
+    table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("seconds")).write.json(f"{folder}/kind=media")
+    modules = spark.read.schema("id bigint, title string").json(f"{folder}/kind=modules/*.json")
+    media = spark.read.schema("id bigint, seconds double").json(f"{folder}/kind=media/*.json")
+    return modules.agg(F.lit("modules").alias("family"), F.count("*").alias("rows")).unionByName(media.agg(F.lit("media").alias("family"), F.count("*").alias("rows")))

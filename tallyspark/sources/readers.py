@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DELIVERY = T.StructType.fromDDL("event_id string, inspection_id string, version int, inspected_units int, defective_units int")
+DELIVERY = "event_id string, inspection_id string, version int, inspected_units int, defective_units int"
 
 
-def json_typed(spark: SparkSession, path: str, schema: T.StructType = DELIVERY) -> DataFrame:
+def json_typed(spark: SparkSession, path: str, schema: str = DELIVERY) -> DataFrame:
     """A JSON array of records under an explicit schema; what does not fit a type is null."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
@@ -27,10 +27,10 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "text")
 
 
-def json_batches(spark: SparkSession, path: str, schema: T.StructType = DELIVERY) -> DataFrame:
+def json_batches(spark: SparkSession, path: str, schema: str = DELIVERY) -> DataFrame:
     """A JSON object of named batches as rows with ``batch_id`` and the position in the batch."""
-    batches = T.MapType(T.StringType(), T.ArrayType(schema))
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", batches).alias("b"))
+    fields = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in schema.split(", "))
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, array<struct<{fields}>>>").alias("b"))
     named = whole.select(F.explode("b").alias("batch_id", "rows"))
     return named.select("batch_id", F.posexplode("rows").alias("arrival_seq", "r")).select("batch_id", "arrival_seq", "r.*")
 
@@ -51,7 +51,7 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def json_tree(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def json_tree(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Nested JSON documents of a folder tree, with the file each came from."""
     return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path).withColumn("path", F.col("_metadata.file_path"))
 
