@@ -7,30 +7,50 @@ import numpy as np
 
 def joined(bodies: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The strings one after another, symbols from 1 on and a 0 behind each; offsets of the strings."""
-    sizes = np.array([b.size + 1 for b in bodies])
-    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    sizes = np.array([b.size for b in bodies])
+    offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
     text = np.zeros(offsets[-1], np.int64)
-    for at, b in zip(offsets[:-1], bodies, strict=True):
-        text[at : at + b.size] = b
-        text[at : at + b.size] += 1
+    flat = np.concatenate(bodies)
+    text[np.arange(flat.size) + np.repeat(np.arange(len(bodies)), sizes)] = flat.astype(np.int64) + 1
     return text, offsets
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix positions sorted by at least their first ``depth`` symbols, by prefix doubling."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    h = 1
-    while True:
-        ahead = np.zeros_like(rank)
-        ahead[:-h or None] = rank[h:] + 1
-        key = rank * (rank.size + 2) + ahead
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        fresh = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
-        rank[order] = fresh
+    """Suffix positions sorted by at least their first ``depth`` symbols, by prefix doubling.
+
+    The first ranks are those of as many symbols as fit 63 bits; each round then sorts the suffixes that
+    are not yet alone by the rank of what follows.
+    """
+    n, width = text.size, max(1, int(text.max(initial=0)).bit_length())
+    h = max(1, min(63 // width, n))
+    key = np.zeros(n, np.int64)
+    for i in range(h):
+        key <<= width
+        key[: n - i] |= text[i:]
+    order = np.argsort(key)
+    rank, order, open_ = _ranked(key, order)
+    while h < depth and open_.size:
+        at = order[open_]
+        ahead = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
+        key = rank[at] * (n + 1) + ahead
+        inner = np.argsort(key)
+        key, at = key[inner], at[inner]
+        order[open_] = at
+        fresh = np.diff(key, prepend=-1) != 0
+        # A rank is the first place of a suffix's group in the order.
+        first = np.maximum.accumulate(np.where(fresh, open_, 0))
+        rank[at] = first
         h *= 2
-        if h >= depth or h >= text.size or fresh[-1] == text.size - 1:
-            return order
+        alone = fresh & np.append(fresh[1:], True)
+        open_ = open_[~alone]
+    return order
+
+
+def _ranked(key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    fresh = np.diff(key[order], prepend=-1) != 0
+    rank = np.empty(order.size, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(order.size), 0))
+    return rank, order, np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
 
 
 def transform(text: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -49,7 +69,7 @@ def short_prefix_bounds(bwt: np.ndarray, depth: int) -> np.ndarray:
     n = bwt.size
     closed = np.zeros(n + 1, bool)
     closed[[0, n]] = True
-    by_symbol = np.argsort(bwt, kind="stable")
+    by_symbol = np.argsort(bwt.astype(np.uint16), kind="stable")
     back = np.empty(n, np.int64)
     back[by_symbol] = np.arange(n)
     changes = np.flatnonzero(np.diff(bwt, prepend=-1))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm import bwt, common, tokens, windows
 
 LENGTH = 100
-SPEC = windows.Spec(length=LENGTH, gram=24, words=False)
+SPEC = windows.Spec(length=LENGTH, gram=36, words=False)
 
 
 def later_windows(bodies: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -150,7 +150,7 @@ def extract(rows: DataFrame, spec: Spec) -> DataFrame:
                     hashes = tokens.ranges(tokens.prefix(values[part]), at, at + spec.length).view(np.int64)
                     out += [(x["m"], h, key, t, x["start"] + i, 1, x["single"], True, None) for i, h in enumerate(hashes.tolist())]
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(CONTENT.names, x, strict=True)) for x in out], schema=CONTENT)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), CONTENT, strict=True)], schema=CONTENT)
 
     return rows.mapInArrow(run, "m long, d long, doc long, tie int, start long, n int, single boolean, hot boolean, body binary")
 
