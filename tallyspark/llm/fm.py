@@ -31,45 +31,59 @@ class WaveletTree:
             self.levels.append((shift, BitRank(bits), int(bits.size - bits.sum())))
             symbols = np.concatenate((symbols[bits == 0], symbols[bits == 1]))
 
-    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Occurrences of ``symbol`` before position ``i``, for arrays of both."""
-        low = np.zeros_like(i)
+    def walk(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Where position ``i`` comes to in the bottom order, following the bits of ``symbol``."""
         for shift, bits, zeros in self.levels:
-            one = ((symbol >> shift) & 1).astype(bool)
-            low_ones, i_ones = bits.ones(low), bits.ones(i)
-            low = np.where(one, zeros + low_ones, low - low_ones)
-            i = np.where(one, zeros + i_ones, i - i_ones)
-        return i - low
+            ones = bits.ones(i)
+            i = np.where((symbol >> shift) & 1, zeros + ones, i - ones)
+        return i
 
 
 class FMIndex:
     def __init__(self, transform: np.ndarray):
         counts = np.bincount(transform)
-        self.below = np.cumsum(counts) - counts
         self.tree = WaveletTree(transform)
         self.size = transform.size
+        # Symbols below, less where the symbol's own part of the bottom order begins: a rank is walk - begin.
+        symbols = np.arange(counts.size)
+        self.base = np.cumsum(counts) - counts - self.tree.walk(symbols, np.zeros_like(symbols))
 
     def extend(self, symbol: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: the intervals of symbol + string."""
-        base = self.below[symbol]
-        return base + self.tree.rank(symbol, left), base + self.tree.rank(symbol, right)
-
-    def matching(self, text: np.ndarray, ends: np.ndarray, limit: int, least: int = 2) -> np.ndarray:
-        """Matching statistics: for each end, the length (``limit`` at most) of the longest string ending there,
-        free of the separator 0, that the index holds ``least`` times or more."""
-        out = np.zeros(ends.size, np.int64)
-        left, right = np.zeros(ends.size, np.int64), np.full(ends.size, self.size, np.int64)
-        live = np.arange(ends.size)
-        for step in range(limit):
-            at = ends[live] - step
-            inside = at >= 0
-            live, left, right, at = live[inside], left[inside], right[inside], at[inside]
-            real = text[at] > 0
-            live, left, right, at = live[real], left[real], right[real], at[real]
+        both = self.tree.walk(np.concatenate((symbol, symbol)), np.concatenate((left, right)))
+        base = self.base[symbol]
+        return base + both[: symbol.size], base + both[symbol.size :]
+
+    def matching(self, text: np.ndarray, first: np.ndarray, count: np.ndarray, limit: int, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """(start, n) runs of windows of ``limit`` symbols in ``text`` that the index holds ``least`` times or more.
+
+        Query i asks for the windows from first[i] on, count[i] of them. All queries stream in step. A string
+        over one or more windows is searched backward from its end, and its matching statistic is how far that
+        goes. If it reaches the string's start, all its windows are found, and the next string spans twice as
+        many. If a string of one window ends at a symbol p short of it, no window from here to p can reach the
+        threshold, and the query goes on behind p; a longer string is tried again with one window.
+        """
+        found, spans = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        start, last = first.astype(np.int64), (first + count).astype(np.int64)
+        keep = start < last
+        start, last = start[keep], last[keep]
+        span, step = np.ones(start.size, np.int64), np.zeros(start.size, np.int64)
+        left, right = np.zeros(start.size, np.int64), np.full(start.size, self.size, np.int64)
+        while start.size:
+            at = start + span + limit - 2 - step
             left, right = self.extend(text[at], left, right)
-            enough = right - left >= least
-            live, left, right = live[enough], left[enough], right[enough]
-            if not live.size:
-                break
-            out[live] = step + 1
-        return out
+            step += 1
+            failed = right - left < least
+            whole = ~failed & (at == start)
+            if whole.any():
+                found.append(start[whole])
+                spans.append(span[whole])
+            again = failed | whole
+            start = np.where(whole, start + span, np.where(failed & (span == 1), at + 1, start))
+            span = np.where(whole, span * 2, np.where(failed, 1, span))
+            step[again], left[again], right[again] = 0, 0, self.size
+            live = start < last
+            span = np.minimum(span, np.maximum(last - start, 1))
+            if not live.all():
+                start, last, span, step, left, right = (x[live] for x in (start, last, span, step, left, right))
+        return np.concatenate(found), np.concatenate(spans)

@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm import bwt, common, fm, tokens, windows
 
 LENGTH = 35
-SPEC = windows.Spec(length=LENGTH, gram=6, words=True)
-_NONE = (np.zeros(0, np.int64),) * 3
+SPEC = windows.Spec(length=LENGTH, gram=10, words=True)
 
 
 def shared_windows(bodies: list[np.ndarray], single: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -27,16 +26,11 @@ def shared_windows(bodies: list[np.ndarray], single: np.ndarray, length: int) ->
     ids = np.unique(np.concatenate(bodies), return_inverse=True)[1].astype(np.int64)
     text, offsets = bwt.joined(np.split(ids, np.cumsum(sizes)[:-1]))
     index = fm.FMIndex(bwt.transform(text, bwt.suffix_order(text, length + 1)))
+    windows_in = np.maximum(np.array(sizes) - length + 1, 0) * single
+    start, n = index.matching(text, offsets[:-1], windows_in, length)
     owner = np.repeat(np.arange(len(bodies)), np.diff(offsets))
-    asked = single[owner] & (np.arange(text.size) - offsets[owner] >= length - 1) & (text > 0)
-    ends = np.flatnonzero(asked)
-    hit = ends[index.matching(text, ends, length) >= length]
-    if not hit.size:
-        return _NONE
-    flags = np.zeros(text.size, bool)
-    flags[hit - length + 1] = True
-    start, n = windows.runs_of(flags)
-    return owner[start], start - offsets[owner[start]], n
+    row = owner[start]
+    return row, start - offsets[row], n
 
 
 def substring_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = True, hot_segments: int = windows.HOT_SEGMENTS) -> DataFrame:
