@@ -1,15 +1,18 @@
 """MinHash near-duplicate groups (operator 10).
 
-1. One Arrow pass hashes each document's word shingles and takes 250 universal-hash minima. It emits 50
-   band keys of five minima each, and one bit of each minimum as a 250-bit signature.
+1. One Arrow pass hashes each document's word shingles and takes 144 universal-hash minima. It emits 36
+   band keys of four minima each, and one bit of each minimum as a 144-bit signature.
 2. Documents with equal shingle sets form a class; only the smallest doc_id of a class goes on.
-3. Documents that share a band key are candidates. In a bucket only pairs with a *hub* (its smallest
-   doc_id, later the next ones) are made, never all pairs. Pairs whose signatures disagree too much go.
-4. What is left is confirmed on full shingle sets: at first one pair per document, and after each round
-   only pairs that are not yet in one component. Components come from alternating large-star and small-star.
-5. A bucket is done when its members are in one component, or each pair has been tried.
-
-With bands of five minima, a pair at similarity 0.75 is missed by all 50 with probability 1.4e-6, and a
+3. Documents that share a band key are candidates. In a bucket each document is paired with the *hub*, its
+   smallest doc_id, never all with all. Pairs whose signatures disagree too much go.
+4. What is left is confirmed on full shingle sets: first one pair per document, then those of the others
+   that are not yet in one component. Components come from alternating large-star and small-star.
+5. A bucket whose members are then in one component is done. In the others most members are in one main
+   component, and the rest are outliers of it. Outliers are compared with all documents of the buckets of
+   that main component on full shingle sets, block against block inside tasks, so that no link between a
+   document and any other than its hub is lost and no pairs are written out.
+
+With bands of four minima, a pair at similarity 0.75 is missed by all 36 with probability 1.1e-6, and a
 signature rejects a pair at 0.75 with about 3e-7 (it asks for five standard deviations below).
 """
 
@@ -28,11 +31,14 @@ from tallyspark.llm import common, tokens
 U = np.uint64
 SHINGLE = 5
 PERCENT = 75
-BANDS, ROWS = 50, 5
+BANDS, ROWS = 36, 4
 MINIMA = BANDS * ROWS
 
-#: Least number of equal bits of 250: 218.75 expected at similarity 0.75, less five standard deviations.
-LEAST_BITS = 192
+#: Least number of equal bits of 144: 126 expected at similarity 0.75, less five standard deviations.
+LEAST_BITS = 106
+
+#: Shingle hashes in a block that outliers are compared in, on average.
+BLOCK_HASHES = 100_000
 
 #: Universal hashing: (a x + b) mod 2**64, high bits, a odd. Fixed by a seed.
 _AB = np.random.default_rng(20250).integers(0, 2**64, (2, MINIMA), dtype=U)
@@ -56,7 +62,7 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc, n, set, s0..s3, bands) of (doc, body) rows; no bands where the set is empty."""
+    """(doc, n, set, s0..s2, bands) of (doc, body) rows; no bands where the set is empty."""
 
     def run(batches):
         for batch in batches:
@@ -64,18 +70,18 @@ def features(docs: DataFrame) -> DataFrame:
             for buf in tokens.rows_of(batch.column(1)):
                 hashes = shingles(buf)
                 low = minima(hashes)
-                bits = np.zeros(256, np.uint8)
+                bits = np.zeros(192, np.uint8)
                 bits[:MINIMA] = low & U(1)
                 sketch = np.packbits(bits).view(np.int64)
                 bands = tokens.ranges(tokens.prefix(tokens.mix(low)), np.arange(0, MINIMA, ROWS), np.arange(ROWS, MINIMA + 1, ROWS))
                 bands = tokens.mix(bands + np.arange(BANDS, dtype=U)).view(np.int64).tolist() if hashes.size else []
                 out.append((hashes.size, hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), *sketch.tolist(), bands))
             if out:
-                types = (pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.list_(pa.int64()))
+                types = (pa.int64(), pa.binary(), *[pa.int64()] * 3, pa.list_(pa.int64()))
                 cols = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc", "n", "set", "s0", "s1", "s2", "s3", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc", "n", "set", "s0", "s1", "s2", "bands"])
 
-    return docs.mapInArrow(run, "doc long, n long, set binary, s0 long, s1 long, s2 long, s3 long, bands array<long>")
+    return docs.mapInArrow(run, "doc long, n long, set binary, s0 long, s1 long, s2 long, bands array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -100,28 +106,25 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sides.select("hub", "doc", "a", "b").mapInArrow(run, "hub long, doc long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable over (u, v) edges, for nodes with an edge; by alternating
-    large-star and small-star until the edges no longer change."""
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node stands left in one edge at most, and then never right: all edges point to their root."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("left"), F.lit(0).alias("right")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("left").alias("left"), F.max("right").alias("right")).filter((F.col("left") > 1) | ((F.col("left") > 0) & (F.col("right") > 0))).isEmpty()
 
-    def tally(e):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node reachable over (u, v) edges, for nodes with an edge; by alternating
+    large-star and small-star until only stars are left."""
     now = common.stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges")
-    last = tally(now)
-    while True:
+    while not _stars(now):
         both = now.union(now.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = common.stage(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        then = common.stage(moved.union(least).distinct(), "small")
-        common.release(now, large)
-        now, before = then, last
-        last = tally(now)
-        if last == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        now = common.stage(moved.union(least).distinct(), "small")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _apart(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -133,46 +136,78 @@ def _apart(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
     return roots.filter(F.coalesce("hub_root", "hub") != F.coalesce("doc_root", "doc")).select("hub", "doc")
 
 
+def outlier_links(members: DataFrame, comp: DataFrame | None, texts: DataFrame) -> DataFrame:
+    """Links (hub, doc) of documents outside the main component of a bucket of three or more, to any document of the
+    buckets with that main component; exact, on full sets, a block of outliers against a block of documents."""
+    rooted = members.select("bucket", "doc").withColumn("root", F.col("doc"))
+    if comp is not None:
+        rooted = members.select("bucket", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    held = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mains = held.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("roots")).filter("roots > 1 and size > 2").select("bucket", "main")
+    group = common.stage(rooted.join(mains, "bucket").select("main", "doc", "root").distinct(), "outliers")
+    sets = group.join(texts, "doc").select("main", "doc", "root", "body", (F.octet_length("body") / 6).alias("weight"))
+    sets = common.stage(sets, "members")
+    sizes = sets.groupBy("main").agg(F.ceil(F.sum("weight") / BLOCK_HASHES).alias("all_blocks"), F.ceil(F.sum(F.when(F.col("root") != F.col("main"), F.col("weight"))) / BLOCK_HASHES).alias("out_blocks"))
+    common.release(group)
+
+    def pack(pdf):
+        found = [shingles(np.frombuffer(b, np.uint8)) for b in pdf["body"]]
+        return pdf[["main", "block"]].head(1).assign(docs=pdf["doc"].to_numpy(np.int64).tobytes(), roots=pdf["root"].to_numpy(np.int64).tobytes(), sizes=np.array([x.size for x in found], np.int64).tobytes(), hashes=np.concatenate(found).tobytes())
+
+    def packed(rows: DataFrame, blocks: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("doc"), F.greatest(F.col(blocks), F.lit(1))).alias("block")
+        cut = rows.join(sizes, "main").select("main", block, "doc", "root", "body")
+        return cut.groupBy("main", "block").applyInPandas(pack, "main long, block long, docs binary, roots binary, sizes binary, hashes binary")
+
+    def compare(batches):
+        for batch in batches:
+            hub, doc = [], []
+            for row in batch.to_pylist():
+                y_docs, y_roots, y_sizes, m_docs, m_roots, m_sizes = (np.frombuffer(row[c], np.int64) for c in ("docs", "roots", "sizes", "m_docs", "m_roots", "m_sizes"))
+                sets, pool = np.split(np.frombuffer(row["hashes"], U), np.cumsum(y_sizes)[:-1]), np.frombuffer(row["m_hashes"], U)
+                starts = np.cumsum(m_sizes) - m_sizes
+                for key, root, own in zip(y_docs.tolist(), y_roots.tolist(), sets, strict=True):
+                    same = own[np.minimum(np.searchsorted(own, pool), own.size - 1)] == pool
+                    both = np.add.reduceat(same, starts, dtype=np.int64)
+                    linked = (m_roots != root) & (100 * both >= PERCENT * (own.size + m_sizes - both))
+                    one_each = np.unique(m_roots[linked], return_index=True)[1]  # a link to a component is enough
+                    for other in m_docs[linked][one_each].tolist():
+                        hub.append(min(key, other))
+                        doc.append(max(key, other))
+            yield pa.RecordBatch.from_arrays([pa.array(hub, pa.int64()), pa.array(doc, pa.int64())], names=["hub", "doc"])
+
+    spark = members.sparkSession
+    out = common.stage(packed(sets.filter("root <> main"), "out_blocks"), "outlier-blocks")
+    every = common.stage(packed(sets, "all_blocks").select("main", *[F.col(c).alias(f"m_{c}") for c in ("docs", "roots", "sizes", "hashes")]), "member-blocks")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row holds two blocks
+    found = common.stage(out.join(every, "main").mapInArrow(compare, "hub long, doc long"), "outlier-links")
+    common.small_batches(spark)
+    common.release(sets, out, every)
+    return found
+
+
 def linked_components(sketches: DataFrame, bands: DataFrame, bodies: DataFrame) -> DataFrame | None:
     """(node, root) over all confirmed links of class representatives; None where there is no link."""
     busy = common.stage(bands.groupBy("bucket").agg(F.min("doc").alias("hub"), F.max("doc").alias("far")).filter("hub < far").select("bucket", "hub"), "busy")
     members = common.stage(bands.join(busy, "bucket"), "members")
     texts = common.stage(bodies.join(members.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "texts")
-    one = sketches.join(members.select("doc").distinct(), "doc", "left_semi")
+    one = common.stage(sketches.join(members.select("doc").distinct(), "doc", "left_semi"), "sketches")
     common.release(busy)
-    agree = 256 - reduce(lambda a, b: a + b, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(4)]) - (256 - MINIMA)
-    links, comp, made, level = [], None, members.filter("doc > hub").select("hub", "doc"), 0
-    while True:
-        near = made.distinct().join(one.select(F.col("doc").alias("hub"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(4)], F.col("n").alias("hub_n")), "hub").join(one, "doc")
-        alike = (agree >= LEAST_BITS) & (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n"))
-        pending, width = common.stage(near.filter(alike).select("hub", "doc"), "pairs"), 1
-        while True:
-            turn = F.row_number().over(Window.partitionBy("doc").orderBy("hub"))
-            ranked = common.stage(_apart(pending, comp).withColumn("turn", turn), "ranked")
-            common.release(pending)
-            if ranked.isEmpty():
-                break
-            links.append(common.stage(confirm(ranked.filter(F.col("turn") <= width).select("hub", "doc"), texts), "links"))
-            if links[-1].isEmpty():
-                links.pop()
-            else:
-                comp = components(reduce(DataFrame.union, links).toDF("u", "v"))
-            pending = ranked.filter(F.col("turn") > width).select("hub", "doc")
-            pending, width = common.stage(pending, "pairs"), width * 4
-            common.release(ranked)
-        # Buckets with members in several components go on with their next hubs, four times as many each round.
-        rooted = members.join(comp, members.doc == comp.node, "left").select("bucket", "hub", "doc", F.coalesce("root", "doc").alias("root")) if comp is not None else members.withColumn("root", F.col("doc"))
-        split = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("doc").alias("far"), F.max("hub").alias("hub")).filter("a < b and far > hub").select("bucket")
-        rest = common.stage(rooted.filter("doc > hub").join(split, "bucket", "left_semi"), "split")
-        level += 1
-        order = F.row_number().over(Window.partitionBy("bucket").orderBy("doc"))
-        hubs = rest.withColumn("turn", order).filter(F.col("turn") <= 4**level).select("bucket", F.col("doc").alias("next"), F.col("root").alias("next_root"))
-        hubs = common.stage(hubs, "hubs")
-        made = rest.join(hubs, "bucket").filter("doc > next and root <> next_root").select(F.col("next").alias("hub"), "doc")
-        done = hubs.groupBy("bucket").agg(F.max("next").alias("hub"))
-        members = common.stage(rest.select("bucket", "doc").join(done, "bucket"), "members")
-        if members.isEmpty():
-            return comp
+    agree = 192 - reduce(lambda a, b: a + b, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(3)]) - (192 - MINIMA)
+    links, comp, made = [], None, members.filter("doc > hub").select("hub", "doc").distinct()
+    near = made.join(one.select(F.col("doc").alias("hub"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(3)], F.col("n").alias("hub_n")), "hub").join(one, "doc")
+    alike = (agree >= LEAST_BITS) & (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n"))
+    turn = F.row_number().over(Window.partitionBy("doc").orderBy("hub"))
+    pending = common.stage(near.filter(alike).select("hub", "doc").withColumn("turn", turn), "pairs")
+    for chosen in (F.col("turn") == 1, F.col("turn") > 1):
+        fresh = common.stage(confirm(_apart(pending.filter(chosen).select("hub", "doc"), comp), texts), "links")
+        if not fresh.isEmpty():
+            links.append(fresh)
+            comp = components(reduce(DataFrame.union, links).toDF("u", "v"))
+    rest = outlier_links(members, comp, texts)
+    if rest.isEmpty():
+        return comp
+    return components(reduce(DataFrame.union, [*links, rest]).toDF("u", "v"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -183,7 +218,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows = common.stage(features(keyed), "features")
     classes = common.stage(rows.filter("n > 0").groupBy("set").agg(F.min("doc").alias("rep")), "classes")
     reps = rows.join(classes, (rows["set"] == classes["set"]) & (rows.doc == classes.rep), "left_semi")
-    comp = linked_components(reps.select("doc", "n", "s0", "s1", "s2", "s3").dropDuplicates(["doc"]), reps.select("doc", F.explode("bands").alias("bucket")), keyed)
+    comp = linked_components(reps.select("doc", "n", "s0", "s1", "s2").dropDuplicates(["doc"]), reps.select("doc", F.explode("bands").alias("bucket")), keyed)
     if comp is not None:
         classes = classes.join(comp, classes.rep == comp.node, "left").select("set", F.coalesce("root", "rep").alias("rep"))
     return rows.select("doc", "n", "set").join(classes, "set", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc").alias("component"))
@@ -195,8 +230,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     Words are lower-cased in A-Z; a document's set holds its distinct five-word shingles, with fewer words
     the whole sequence. A document without words is linked with nothing. component_id is the smallest
     doc_id reachable over links of similarity 0.75 or more; a missing doc_id is smaller than all others,
-    and its group has a missing component_id. Rows that share a doc_id are one document in the links, each
-    with its own row in the result. Other columns are not read.
+    and its group has a missing component_id. Each row has its own row in the result; rows that share a
+    doc_id but not the words count as one document where each is the smallest of its equal texts. Other columns are not read.
     """
     known = lambda c: F.nullif(F.col(c), F.lit(common.NO_ID))
     return near_groups(docs).select(known("doc").alias("doc_id"), "n_shingles", known("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
