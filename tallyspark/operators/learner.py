@@ -108,8 +108,8 @@ def migrate(documents: DataFrame) -> DataFrame:
     """State documents of versions 1 to 4 at version 4: missing families are empty, declared defaults fill, nothing is invented."""
     by = lambda v: documents.filter(F.col("schema_version") == v)
     none = F.array().cast("array<string>")
-    one = by(1).withColumn("extra_practice", none).withColumn("path_id", F.lit(None).cast("string")).withColumn("show_samajh", F.lit(True))
-    two = by(2).withColumn("path_id", F.lit(None).cast("string")).withColumn("show_samajh", F.lit(True))
-    three = by(3).withColumn("show_samajh", F.lit(True))
+    one = by(1).withColumn("extra_practice", none).withColumn("path_id", F.lit(None).cast("string")).withColumn("show_extra", F.lit(True))
+    two = by(2).withColumn("path_id", F.lit(None).cast("string")).withColumn("show_extra", F.lit(True))
+    three = by(3).withColumn("show_extra", F.lit(True))
     full = one.unionByName(two, allowMissingColumns=True).unionByName(three, allowMissingColumns=True).unionByName(by(4), allowMissingColumns=True)
     return full.withColumn("schema_version", F.lit(4))

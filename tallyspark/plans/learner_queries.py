@@ -194,8 +194,8 @@ def assessment_rows(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.explode(ratings).alias("criterion", "rating"))
 
 
-@query("state_migrate", "SELECT doc_id AS id, 4 AS schema_version, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS extra_practice, CASE WHEN doc_id % 4 < 2 THEN NULL ELSE lang END AS path_id, CASE WHEN doc_id % 4 < 3 THEN true ELSE n_chars > 1000 END AS show_samajh FROM documents")
+@query("state_migrate", "SELECT doc_id AS id, 4 AS schema_version, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS extra_practice, CASE WHEN doc_id % 4 < 2 THEN NULL ELSE lang END AS path_id, CASE WHEN doc_id % 4 < 3 THEN true ELSE n_chars > 1000 END AS show_extra FROM documents")
 def state_migrate(spark, sf_dir):
     version = (F.col("doc_id") % 4 + 1).cast("int")
-    old = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), version.alias("schema_version"), F.array("source").alias("extra_practice"), F.col("lang").alias("path_id"), (F.col("n_chars") > 1000).alias("show_samajh"))
+    old = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), version.alias("schema_version"), F.array("source").alias("extra_practice"), F.col("lang").alias("path_id"), (F.col("n_chars") > 1000).alias("show_extra"))
     return L.migrate(old).withColumn("extra_practice", F.array_join("extra_practice", ","))

@@ -102,8 +102,8 @@ def test_divergent_text_is_kept_and_stable(spark):
 
 
 def test_migration_and_frames(spark):
-    old = spark.createDataFrame([(1, v, ["x"], "p", False) for v in (1, 2, 3, 4)], "id int, schema_version int, extra_practice array<string>, path_id string, show_samajh boolean")
-    got = sorted((len(r["extra_practice"]), r["path_id"], r["show_samajh"]) for r in L.migrate(old).collect() if r["path_id"])
+    old = spark.createDataFrame([(1, v, ["x"], "p", False) for v in (1, 2, 3, 4)], "id int, schema_version int, extra_practice array<string>, path_id string, show_extra boolean")
+    got = sorted((len(r["extra_practice"]), r["path_id"], r["show_extra"]) for r in L.migrate(old).collect() if r["path_id"])
     assert L.migrate(old).filter("schema_version = 4").count() == 4 and got == [(1, "p", False), (1, "p", True)]
     frames = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 1, "z"), ("c", 0, "x"), ("c", 0, "x")], "b string, part int, data string")
     assert {r["b"]: r["status"] for r in M.frame_audit(frames, "b", "part", "data").collect()} == {"a": "ok", "b": "missing_part", "c": "repeated_part"}
