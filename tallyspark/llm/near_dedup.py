@@ -157,7 +157,7 @@ def outlier_links(members: DataFrame, comp: DataFrame | None, texts: DataFrame)
     def packed(rows: DataFrame, blocks: str) -> DataFrame:
         block = F.pmod(F.xxhash64("doc"), F.greatest(F.col(blocks), F.lit(1))).alias("block")
         cut = rows.join(sizes, "main").select("main", block, "doc", "root", "body")
-        return cut.groupBy("main", "block").applyInPandas(pack, "main long, block long, docs binary, roots binary, sizes binary, hashes binary")
+        return cut.repartition("main", "block").groupBy("main", "block").applyInPandas(pack, "main long, block long, docs binary, roots binary, sizes binary, hashes binary")
 
     def compare(batches):
         for batch in batches:
