@@ -29,6 +29,9 @@ BITS = 15
 KEEP_FROM = 0.5
 PRIOR = 0.002
 
+#: Words in a window that "sameness" counts distinct words in.
+WINDOW = 2000
+
 #: (name, bad from, plain to): a statistic at or above the one is a vote for bad; "clean" votes good where no
 #: statistic is above the other.
 LABELLERS = (
@@ -50,6 +53,17 @@ _SYMBOL = ~_PLAIN & ~tokens.SPACE
 _SYMBOL[[ord(c) for c in ".,;:'\"-()?!"]] = False
 
 
+def sameness(words: np.ndarray) -> float:
+    """One less distinct/total, averaged over the fewest windows of WINDOW words that cover all words.
+
+    Distinct words grow slower than words, so a fixed window keeps short and long documents comparable.
+    The windows are spread evenly from the first word to the last; a document shorter than one is a window itself.
+    """
+    size = min(WINDOW, words.size)
+    starts = np.linspace(0, words.size - size, -(-words.size // size)).astype(np.int64)
+    return float(np.mean([1 - np.unique(words[at : at + size]).size / size for at in starts.tolist()]))
+
+
 def statistics(buf: np.ndarray) -> np.ndarray:
     """One number for each labeller; not a number where it has nothing to go by."""
     out = np.full(len(LABELLERS), np.nan)
@@ -63,8 +77,7 @@ def statistics(buf: np.ndarray) -> np.ndarray:
     out[1] = counts[ord("!")] / solid
     out[2] = counts[_MAJOR].sum() / letters if letters else np.nan
     if words.size >= 40:
-        part = words[:2000]
-        out[3] = 1 - np.unique(part).size / part.size
+        out[3] = sameness(words)
         start = np.arange(words.size - 4)
         out[4] = 1 - np.unique(tokens.ranges(tokens.prefix(words), start, start + 5)).size / start.size
     out[5] = abs(solid / words.size - 6)

@@ -163,6 +163,25 @@ def test_quality_edges(spark):
     assert kept.columns == frame(spark, ["x"]).columns and kept.count() <= 4
 
 
+def test_sameness_covers_every_word():
+    at = [x[0] for x in quality.LABELLERS].index("sameness")
+    seen = lambda words: quality.statistics(np.frombuffer(" ".join(words).encode(), np.uint8))[at]
+    varied, same = [f"w{i}" for i in range(18_000)], ["same"] * 18_000
+    bad = quality.LABELLERS[at][1]
+    assert seen(varied[:2000] + same) >= bad  # varied start, repeated words after it
+    assert seen(same[:2000] + varied) < quality.LABELLERS[at][2]  # a list first, varied words after it
+    assert seen(varied[:2000] + same) == pytest.approx(seen(same + varied[:2000]))
+    assert seen(varied[:2000] + same[:1]) == pytest.approx(0) and seen(varied[:2000] + same[:300]) > 0.05  # the last words count
+    for n in (40, 1999, 2000, 2001, 3999, 4000, 4001, 19_999, 20_000):
+        words = np.arange(n, dtype=np.uint64)
+        assert quality.sameness(words) == 0
+        for place in {0, n // 2, n - 2}:
+            twice = words.copy()
+            twice[place + 1] = twice[place]
+            assert quality.sameness(twice) > 0 or n > quality.WINDOW  # a pair may be cut by a window's edge
+        assert quality.sameness(words // np.uint64(10)) == pytest.approx(0.9, abs=0.02)
+
+
 def test_em_finds_who_is_right():
     clean, junk, odd = 1 << 7, 0b1000001, 0b0000100
     post = quality.expectation_maximisation({clean: 900, junk: 60, odd: 40, 0: 30})
