@@ -2,9 +2,10 @@
 
 1. One Arrow pass hashes each document's word shingles and takes 144 universal-hash minima. It emits 36
    band keys of four minima each, and one bit of each minimum as a 144-bit signature.
-2. Documents with equal shingle sets form a class; only the smallest doc_id of a class goes on.
+2. Documents with equal shingle sets form a class; a class is one node, whatever the doc_ids in it, and its
+   first row by (doc_id, hash of the text) gives the text that it is confirmed on.
 3. Documents that share a band key are candidates. In a bucket each document is paired with the *hub*, its
-   smallest doc_id, never all with all. Pairs whose signatures disagree too much go.
+   smallest node, never all with all. Pairs whose signatures disagree too much go.
 4. What is left is confirmed on full shingle sets: first one pair per document, then those of the others
    that are not yet in one component. Components come from alternating large-star and small-star.
 5. A bucket whose members are then in one component is done. In the others most members are in one main
@@ -14,6 +15,8 @@
 
 With bands of four minima, a pair at similarity 0.75 is missed by all 36 with probability 1.1e-6, and a
 signature rejects a pair at 0.75 with about 3e-7 (it asks for five standard deviations below).
+
+From step 3 on, ``doc`` is a node.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common, tokens
@@ -62,12 +65,12 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc, n, set, s0..s2, bands) of (doc, body) rows; no bands where the set is empty."""
+    """(id, tie, n, set, s0..s2, bands) of (id, tie, body) rows; no bands where the set is empty."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for buf in tokens.rows_of(batch.column(1)):
+            for buf in tokens.rows_of(batch.column(2)):
                 hashes = shingles(buf)
                 low = minima(hashes)
                 bits = np.zeros(192, np.uint8)
@@ -79,9 +82,9 @@ def features(docs: DataFrame) -> DataFrame:
             if out:
                 types = (pa.int64(), pa.binary(), *[pa.int64()] * 3, pa.list_(pa.int64()))
                 cols = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc", "n", "set", "s0", "s1", "s2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["id", "tie", "n", "set", "s0", "s1", "s2", "bands"])
 
-    return docs.mapInArrow(run, "doc long, n long, set binary, s0 long, s1 long, s2 long, bands array<long>")
+    return docs.mapInArrow(run, "id long, tie long, n long, set binary, s0 long, s1 long, s2 long, bands array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -186,11 +189,13 @@ def outlier_links(members: DataFrame, comp: DataFrame | None, texts: DataFrame)
     return found
 
 
-def linked_components(sketches: DataFrame, bands: DataFrame, bodies: DataFrame) -> DataFrame | None:
-    """(node, root) over all confirmed links of class representatives; None where there is no link."""
+def linked_components(sketches: DataFrame, bands: DataFrame, names: DataFrame, bodies: DataFrame) -> DataFrame | None:
+    """(node, root) over all confirmed links of classes; None where there is no link. names: (doc, id, tie), which
+    of the (id, tie, body) rows has a node's text."""
     busy = common.stage(bands.groupBy("bucket").agg(F.min("doc").alias("hub"), F.max("doc").alias("far")).filter("hub < far").select("bucket", "hub"), "busy")
     members = common.stage(bands.join(busy, "bucket"), "members")
-    texts = common.stage(bodies.join(members.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "texts")
+    wanted = names.join(members.select("doc").distinct(), "doc", "left_semi")
+    texts = common.stage(bodies.join(wanted, ["id", "tie"]).select("doc", "body").dropDuplicates(["doc"]), "texts")
     one = common.stage(sketches.join(members.select("doc").distinct(), "doc", "left_semi"), "sketches")
     common.release(busy)
     agree = 192 - reduce(lambda a, b: a + b, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(3)]) - (192 - MINIMA)
@@ -210,18 +215,30 @@ def linked_components(sketches: DataFrame, bands: DataFrame, bodies: DataFrame)
     return components(reduce(DataFrame.union, [*links, rest]).toDF("u", "v"))
 
 
+def keys() -> tuple[Column, Column]:
+    """(id, tie) of a row: its doc_id, a missing one as NO_ID, and a 64-bit hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)), F.xxhash64(common.whole_text())
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc, n_shingles, component) of each row, a missing doc_id as NO_ID."""
+    """(id, tie, n_shingles, component, kept) of each row: component is the smallest id of the row's group, and
+    kept is true in one row of the group, its first by (id, tie)."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)).alias("doc"), common.whole_text().cast("binary").alias("body"))
-    rows = common.stage(features(keyed), "features")
-    classes = common.stage(rows.filter("n > 0").groupBy("set").agg(F.min("doc").alias("rep")), "classes")
-    reps = rows.join(classes, (rows["set"] == classes["set"]) & (rows.doc == classes.rep), "left_semi")
-    comp = linked_components(reps.select("doc", "n", "s0", "s1", "s2").dropDuplicates(["doc"]), reps.select("doc", F.explode("bands").alias("bucket")), keyed)
+    id_, tie = keys()
+    keyed = docs.select(id_.alias("id"), tie.alias("tie"), common.whole_text().cast("binary").alias("body"))
+    rows = common.stage(features(keyed).withColumn("row", F.monotonically_increasing_id()), "features")
+    place = F.struct("id", "tie", "row")
+    sketch = ("n", "s0", "s1", "s2", "bands")  # the same in all rows of a class
+    classes = rows.filter("n > 0").groupBy("set").agg(F.min(place).alias("head"), *[F.first(c).alias(c) for c in sketch])
+    classes = common.stage(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
+    comp = linked_components(classes.select("doc", *sketch[:-1]), classes.select("doc", F.explode("bands").alias("bucket")), classes.select("doc", "head.id", "head.tie"), keyed)
+    heads = classes.select("set", "head")
     if comp is not None:
-        classes = classes.join(comp, classes.rep == comp.node, "left").select("set", F.coalesce("root", "rep").alias("rep"))
-    return rows.select("doc", "n", "set").join(classes, "set", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc").alias("component"))
+        rooted = classes.select("set", "doc", "head").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        heads = rooted.select("set", "root").join(rooted.groupBy("root").agg(F.min("head").alias("head")), "root").drop("root")
+    found = rows.select("id", "tie", "row", "n", "set").join(heads, "set", "left").withColumn("head", F.coalesce("head", place))
+    return found.select("id", "tie", F.col("n").alias("n_shingles"), F.col("head.id").alias("component"), (F.col("row") == F.col("head.row")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -230,18 +247,27 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     Words are lower-cased in A-Z; a document's set holds its distinct five-word shingles, with fewer words
     the whole sequence. A document without words is linked with nothing. component_id is the smallest
     doc_id reachable over links of similarity 0.75 or more; a missing doc_id is smaller than all others,
-    and its group has a missing component_id. Each row has its own row in the result; rows that share a
-    doc_id but not the words count as one document where each is the smallest of its equal texts. Other columns are not read.
+    and its group has a missing component_id. Each row is a document of its own, also among rows with a
+    missing doc_id or with the same one: two such rows are in one group if links lead from one text to the
+    other. One row of each group is kept: of those with the smallest doc_id the one whose text has the
+    smallest hash. Other columns are not read.
     """
     known = lambda c: F.nullif(F.col(c), F.lit(common.NO_ID))
-    return near_groups(docs).select(known("doc").alias("doc_id"), "n_shingles", known("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+    return near_groups(docs).select(known("id").alias("doc_id"), "n_shingles", known("component").alias("component_id"), "kept")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their group, all columns as they are."""
-    stay = near_groups(docs).filter(F.col("doc") == F.col("component")).select(F.col("doc").alias("__doc")).distinct()
-    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)))
-    return keyed.join(stay, "__doc", "left_semi").drop("__doc")
+    """One row of each group of ``docs``, the one that ``near_dedup`` keeps, all columns as they are.
+
+    Rows equal in doc_id and text differ in other columns only; a hash of these tells which one stays.
+    """
+    id_, tie = keys()
+    wordy = common.whole_text().rlike(r"[^\x20\x09-\x0D]")  # rows without words are linked with nothing
+    stay = near_groups(docs).filter("kept and n_shingles > 0").select(F.col("id").alias("__id"), F.col("tie").alias("__tie"))
+    chosen = docs.filter(wordy).withColumns({"__id": id_, "__tie": tie}).join(stay, ["__id", "__tie"], "left_semi")
+    rest = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    turn = F.row_number().over(Window.partitionBy("__id", "__tie").orderBy(F.xxhash64(*rest)))
+    return chosen.withColumn("__turn", turn).filter("__turn = 1").select(docs.columns).union(docs.filter(~wordy))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,6 +152,33 @@ def test_near_dedup_edges(spark):
     assert {"m", "size"} <= set(near_dedup.drop_near_copies(rows).columns)
 
 
+@pytest.mark.parametrize("kind", ["missing", "repeated", "mixed"])
+def test_near_dedup_of_rows_without_an_id_of_their_own(spark, kind):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for size in (1, 2, 2, 3, 6):  # groups of near copies; pairs are two-member buckets
+        base = [r.choice(words) for _ in range(80)]
+        for k in range(size):
+            texts.append(" ".join([*base[:79], f"end{k}"]))
+    texts += [texts[0], texts[1], texts[1].upper(), None, None, "", " \n"]
+    r.shuffle(texts)
+    ids = {"missing": [None] * len(texts), "repeated": [5 + i % 2 for i in range(len(texts))], "mixed": [None if i % 3 == 0 else i % 4 for i in range(len(texts))]}[kind]
+    root = {i: c for i, (_, c, _) in brute_components(list(enumerate(texts))).items()}
+    rank = lambda x: (x is not None, x or 0)
+    least = {c: min((ids[i] for i in root if root[i] == c), key=rank) for c in set(root.values())}
+    rows = frame(spark, texts, ids)
+    got = near_dedup.near_dedup(rows).collect()
+    want = Counter((ids[i], len(shingle_set(t)), least[root[i]]) for i, t in enumerate(texts))
+    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == want
+    assert Counter(x["component_id"] for x in got if x["kept"]) == Counter(least.values())
+    stay = near_dedup.drop_near_copies(rows).collect()
+    assert Counter(x["doc_id"] for x in stay) == Counter(least.values())
+    group = {(ids[i], t): root[i] for i, t in enumerate(texts) if shingle_set(t)}
+    chosen = [group[x["doc_id"], x["text"]] for x in stay if shingle_set(x["text"])]
+    assert sorted(chosen) == sorted(set(group.values()))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 75), (7, 7)]
     got = {r["node"]: r["root"] for r in near_dedup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
