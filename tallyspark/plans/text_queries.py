@@ -63,6 +63,16 @@ def strip_code_spans(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(T.without_code(F.replace("html", F.lit("<p>"), F.lit("`")))).cast("long").alias("chars"))
 
 
+#: Members of one document on average, where a key's members are dealt out to several documents.
+PART_ROWS = 10_000
+
+
+def _in_parts(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """``rows`` with ``part``: each key's members dealt out by a hash into parts of about PART_ROWS rows."""
+    sizes = rows.groupBy(F.col(key).alias("__key")).agg(F.ceil(F.count("*") / PART_ROWS).alias("__parts"))
+    return rows.join(sizes, F.col(key).eqNullSafe(F.col("__key"))).withColumn("part", F.pmod(F.xxhash64(member), F.col("__parts"))).drop("__parts", "__key")
+
+
 _TOKENS = "tk AS (SELECT doc_id, 'a [[' || lang || '|' || source || ']] b [[x|' || lang || ']]' AS md FROM documents)"
 
 
@@ -182,9 +192,10 @@ def scan_json_strict(spark, sf_dir):
 
 @query("scan_json_batches", "SELECT event_type AS batch_id, count(*) AS rows, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
 def scan_json_batches(spark, sf_dir):
-    """Batches of ids as JSON objects, one for each user, read back and exploded."""
-    lists = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.collect_list("event_id").alias("ids"))
-    docs = lists.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("event_type", "ids")))).alias("doc"))
+    """Batches of ids as JSON objects, one or, for many ids, several for each user, read back and exploded."""
+    events = _in_parts(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), "user_id", "event_id")
+    lists = events.groupBy("user_id", "part", "event_type").agg(F.collect_list("event_id").alias("ids"))
+    docs = lists.groupBy("user_id", "part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("event_type", "ids")))).alias("doc"))
     named = docs.select(F.explode(F.from_json("doc", "map<string, array<bigint>>")).alias("batch_id", "ids"))
     return named.select("batch_id", F.explode("ids").alias("id")).groupBy("batch_id").agg(F.count("*").alias("rows"), F.sum("id").alias("ids"))
 
@@ -250,11 +261,12 @@ def scan_markdown_sections(spark, sf_dir):
 
 @query("scan_state_doc", "SELECT event_id::VARCHAR AS map_key, event_id AS id, event_type AS rating FROM events")
 def scan_state_doc(spark, sf_dir):
-    """Exported documents, one for each user, with a family of records; read back as rows."""
+    """Exported documents, one or, for many records, several for each user, with a family of records; read back as rows."""
     from pyspark.sql import types as TY
 
     entry = F.struct(F.col("event_id").cast("string"), F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("rating")))
-    docs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.to_json(F.struct(F.struct(F.map_from_entries(F.collect_list(entry)).alias("reviews")).alias("state"))).alias("doc"))
+    events = _in_parts(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+    docs = events.groupBy("user_id", "part").agg(F.to_json(F.struct(F.struct(F.map_from_entries(F.collect_list(entry)).alias("reviews")).alias("state"))).alias("doc"))
     return readers.family(docs, "doc", "reviews", TY.StructType.fromDDL("id bigint, rating string"))
 
 
@@ -373,14 +385,16 @@ def stream_ingest_resolve(spark, sf_dir):
 
 @query("scan_paths", "SELECT n_regionkey AS path, count(DISTINCT n_nationkey) AS groups, count(c_custkey) AS lessons FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def scan_paths(spark, sf_dir):
-    """Learning paths (regions) with groups (nations) of lessons (customers) as JSON files, read back in name order."""
-    lessons = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.collect_list("c_custkey").alias("lessons"))
-    groups = table(spark, sf_dir, "nation").join(lessons, "n_nationkey", "left").groupBy(F.col("n_regionkey").alias("path")).agg(F.collect_list(F.struct("n_nationkey", "lessons")).alias("groups"))
+    """Learning paths (regions) with groups (nations) of lessons (customers) as JSON files, several for many lessons, read back in name order."""
+    customers = _in_parts(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey")
+    lessons = customers.groupBy(F.col("c_nationkey").alias("n_nationkey"), "part").agg(F.collect_list("c_custkey").alias("lessons"))
+    groups = table(spark, sf_dir, "nation").join(lessons, "n_nationkey", "left").groupBy(F.col("n_regionkey").alias("path"), F.coalesce("part", F.lit(0)).alias("part")).agg(F.collect_list(F.struct("n_nationkey", "lessons")).alias("groups"))
     folder = scratch(spark, "paths")
-    groups.write.partitionBy("path").json(folder)
-    tree = readers.json_tree(spark, folder, "groups array<struct<n_nationkey: int, lessons: array<bigint>>>").orderBy("path")
-    size = F.aggregate("groups", F.lit(0), lambda n, g: n + F.greatest(F.coalesce(F.size(g["lessons"]), F.lit(0)), F.lit(0)))
-    return tree.select(F.regexp_extract("path", "path=([0-9]+)", 1).cast("int").alias("path"), F.size("groups").cast("long").alias("groups"), size.cast("long").alias("lessons"))
+    groups.write.partitionBy("path", "part").json(folder)
+    tree = readers.json_tree(spark, folder, "groups array<struct<n_nationkey: int, lessons: array<bigint>>>")
+    found = tree.select(F.regexp_extract("path", "path=([0-9]+)", 1).cast("int").alias("path"), F.explode("groups").alias("g"))
+    size = F.greatest(F.coalesce(F.size("g.lessons"), F.lit(0)), F.lit(0))
+    return found.groupBy("path").agg(F.count_distinct("g.n_nationkey").alias("groups"), F.sum(size).cast("long").alias("lessons")).orderBy("path")
 
 
 @query("scan_teaching", "SELECT 'modules' AS family, count(*) AS rows FROM part UNION ALL SELECT 'media', count(*) FROM supplier")
