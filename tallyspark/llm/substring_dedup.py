@@ -1,8 +1,8 @@
 """Removal of word passages that stand anywhere else in the corpus (operator 7).
 
 Windows of 35 words are routed to shards (see ``windows``). Each shard holds a compressed FM-index of
-its different segments; the segments stream through it by backward search over the wavelet tree, and
-every window whose matching statistic reaches the threshold in two places is reported.
+its representatives; their texts stream through it by backward search over the wavelet tree, and every
+window whose matching statistic reaches the threshold in two places is reported, with all its copies.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyspark.llm import bwt, common, fm, tokens, windows
 
@@ -20,36 +19,43 @@ LENGTH = 35
 SPEC = windows.Spec(length=LENGTH, gram=10, words=True)
 
 
-def shared_windows(bodies: list[np.ndarray], single: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, offset, n) of runs of windows of the ``single`` strings that the shard holds twice or more."""
-    sizes = [b.size for b in bodies]
+def shared_windows(bodies: list[np.ndarray], held: windows.Held, length: int) -> tuple[np.ndarray, ...]:
+    """(row, offset, n, sure): runs of windows that the shard holds twice or more, and which representatives have
+    only such windows. A representative with copies stands in the index once more."""
+    sizes = np.array([b.size for b in bodies])
     ids = np.unique(np.concatenate(bodies), return_inverse=True)[1].astype(np.int64)
-    text, offsets = bwt.joined(np.split(ids, np.cumsum(sizes)[:-1]))
+    texts = np.split(ids, np.cumsum(sizes)[:-1])
+    text, offsets = bwt.joined([*texts, *_stretches(texts, held, length)])
     index = fm.FMIndex(bwt.transform(text, bwt.suffix_order(text, length + 1)))
-    windows_in = np.maximum(np.array(sizes) - length + 1, 0) * single
-    start, n = index.matching(text, offsets[:-1], windows_in, length)
-    owner = np.repeat(np.arange(len(bodies)), np.diff(offsets))
-    row = owner[start]
-    return row, start - offsets[row], n
+    start, n = index.matching(text, offsets[: sizes.size], np.maximum(sizes - length + 1, 0), length)
+    change = np.zeros(text.size + 1, np.int64)
+    np.add.at(change, start, 1)
+    np.subtract.at(change, start + n, 1)
+    sure = windows.all_true(np.cumsum(change) > 0, offsets[held.row] + held.at, held.n)
+    row = np.searchsorted(offsets, start, side="right") - 1
+    return row, start - offsets[row], n, sure
 
 
-def substring_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = True, hot_segments: int = windows.HOT_SEGMENTS) -> DataFrame:
+def _stretches(texts: list[np.ndarray], held: windows.Held, length: int) -> list[np.ndarray]:
+    """The texts of representatives with copies, neighbours as one."""
+    row, at, n = (x[held.copied] for x in (held.row, held.at, held.n))
+    head = np.ones(row.size, bool)
+    head[1:] = (row[1:] != row[:-1]) | (at[1:] != (at + n)[:-1])
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], row.size) - 1 if first.size else first
+    return [texts[r][a : b + length - 1] for r, a, b in zip(row[first].tolist(), at[first].tolist(), (at + n)[last].tolist(), strict=True)]
+
+
+def substring_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = True, part_tokens: int = windows.PART_TOKENS) -> DataFrame:
     """Words of each text that no window covers whose words also stand in order anywhere else.
 
     Gives (doc_id, n_words, n_removed, kept_sha256, kept); kept words are joined by one space, and kept
     is null unless ``texts``. Windows are judged on the input, the same document included. A missing
-    text has no words; rows with a missing doc_id take part; rows equal in doc_id and text are one
-    document (each gets the same result). Other columns of ``docs`` are not read.
+    text has no words; rows with a missing doc_id take part, and rows equal in doc_id and text repeat each
+    other. An empty table gives no rows. Other columns of ``docs`` are not read.
     """
     length = spec.length
-    routed = windows.route(docs, spec, hot_segments)
-    twice = F.col("first") != F.col("last")
-    cols = ["doc", "tie", "start", "n"]
-    whole = routed.seen.filter(twice).select(*cols)
-    hot = windows.hot_windows(routed).filter(twice).select(*cols)
-    inner = windows.in_shards(routed, lambda bodies, single: shared_windows(bodies, single, length))
-    marks = common.stage(whole.unionByName(hot).unionByName(inner), "marks")
-    common.release(routed.seen, routed.contents)
+    marks = windows.found_places(docs, spec, lambda bodies, held: shared_windows(bodies, held, length), part_tokens)
 
     def run(batches):
         for batch in batches:

@@ -1,8 +1,9 @@
 """Removal of byte strings that stand earlier in the corpus (operator 4).
 
 Windows of 100 bytes are routed to shards (see ``windows``). Each shard builds the Burrows-Wheeler
-transform of its different segments and finds common prefixes by threshold-bounded interval expansion:
-suffixes between which no shorter prefix was found share 100 bytes, and all but the earliest go.
+transform of its representatives and finds common prefixes by threshold-bounded interval expansion:
+suffixes between which no shorter prefix was found share 100 bytes, and all but the earliest go. Copies
+of a representative are later than it, and go where the expansion finds its windows to stand twice.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ LENGTH = 100
 SPEC = windows.Spec(length=LENGTH, gram=36, words=False)
 
 
-def later_windows(bodies: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, offset, n) of runs of windows that also stand in an earlier string or earlier in the same one."""
+def later_windows(bodies: list[np.ndarray], held: windows.Held, length: int) -> tuple[np.ndarray, ...]:
+    """(row, offset, n, sure): runs of windows that also stand in an earlier text or earlier in the same one, and
+    which representatives have only windows that stand twice or more, copies counted."""
     text, offsets = bwt.joined(bodies)
     order = bwt.suffix_order(text, length + 1)
     closed = bwt.short_prefix_bounds(bwt.transform(text, order), length)
@@ -35,42 +37,56 @@ def later_windows(bodies: list[np.ndarray], length: int) -> tuple[np.ndarray, np
     flags[pos[pos > first[group]]] = True
     start, n = windows.runs_of(flags[:-1])  # a string's last windows are never flagged, so no run leaves its string
     row = owner[start] if start.size else start
-    return row, start - offsets[row], n
+    at = offsets[held.row] + held.at
+    extra = np.zeros(text.size + 1, np.int64)
+    np.add.at(extra, at[held.copied], 1)
+    np.subtract.at(extra, (at + held.n)[held.copied], 1)
+    weight = 1 + np.cumsum(extra)[pos]
+    often = np.zeros(text.size, bool)
+    often[pos] = np.bincount(group, weight)[group] >= 2
+    return row, start - offsets[row], n, windows.all_true(often, at, held.n)
 
 
-def suffix_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = True, hot_segments: int = windows.HOT_SEGMENTS) -> DataFrame:
+def _rows(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows of ``windows.marked`` with ``again``: true in all but one of the rows that agree in doc_id and text."""
+    once = docs.select(*windows.doc_key()).groupBy("doc", "tie").agg(F.count("*").alias("c")).filter("c > 1").select("doc", "tie")
+    once = common.stage(once, "rows-again")
+    full = windows.marked(docs, marks)
+    if once.isEmpty():
+        return full.withColumn("again", F.lit(False))
+    same = common.stage(full.join(once, ["doc", "tie"], "left_semi").withColumn("row", F.monotonically_increasing_id()), "same-rows")
+    head = same.groupBy("doc", "tie").agg(F.min("row").alias("head"))
+    later = same.join(head, ["doc", "tie"]).withColumn("again", F.col("row") > F.col("head")).drop("row", "head")
+    return full.join(once, ["doc", "tie"], "left_anti").withColumn("again", F.lit(False)).unionByName(later)
+
+
+def suffix_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = True, part_tokens: int = windows.PART_TOKENS) -> DataFrame:
     """Bytes of each text that remain once every byte covered by an earlier-standing window is gone.
 
     Gives (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept); kept is null unless ``texts``. Earlier means a smaller doc_id, or
     the same document and a smaller start; windows are judged on the input. A missing text is empty, a
-    missing doc_id comes before all others; rows that share a doc_id are ordered by a hash of the text,
-    and rows equal in doc_id and text are one document (each gets the same result). Other columns of
+    missing doc_id comes before all others; rows that share a doc_id are ordered by a hash of the text, and
+    of rows equal in both, in no set order, one comes first. An empty table gives no rows. Other columns of
     ``docs`` are not read.
     """
     length = spec.length
-    routed = windows.route(docs, spec, hot_segments)
-    later = F.struct("doc", "tie", "start") != F.col("first")
-    cols = ["doc", "tie", "start", "n"]
-    whole = routed.seen.filter(later).select(*cols)
-    hot = windows.hot_windows(routed).filter(later).select(*cols)
-    inner = windows.in_shards(routed, lambda bodies, single: later_windows(bodies, length))
-    marks = common.stage(whole.unionByName(hot).unionByName(inner), "marks")
-    common.release(routed.seen, routed.contents)
+    marks = windows.found_places(docs, spec, lambda bodies, held: later_windows(bodies, held, length), part_tokens)
 
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            texts = tokens.rows_of(batch.column(names.index("body")))
+            bufs = tokens.rows_of(batch.column(names.index("body")))
+            lists, again = (batch.column(names.index(c)).to_pylist() for c in ("marks", "again"))
             out = []
-            for buf, want in zip(texts, batch.column(names.index("marks")).to_pylist(), strict=True):
-                gone = windows.covered(buf.size, want, length)
+            for buf, want, copy in zip(bufs, lists, again, strict=True):
+                gone = np.ones(buf.size, bool) if copy and buf.size >= length else windows.covered(buf.size, want, length)
                 kept = buf[~gone].tobytes()
                 out.append((buf.size, int(gone.sum()), windows.runs_of(gone)[0].size, hashlib.sha256(kept).hexdigest(), kept if texts else None))
-            cols = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)] if out else []
             if out:
+                cols = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(names.index("doc_id")), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return windows.marked(docs, marks).select("doc_id", "body", "marks").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return _rows(docs, marks).select("doc_id", "body", "marks", "again").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
-"""Vectorised hashing of bytes and words inside Arrow tasks (numpy only).
+"""Vectorised hashing of bytes and words inside Arrow tasks.
 
-A text is hashed by a polynomial over scrambled bytes modulo 2**64, so the hash of any byte range is
-a difference of two prefix values.
+A word is hashed by a cryptographic digest. A range of words, or of bytes, is hashed by a polynomial over
+their numbers modulo 2**64, so the hash of any range is a difference of two prefix values. Such hashes
+have collisions by construction from some 1,000 tokens on; they are used for short grams only.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -13,6 +16,9 @@ _BASE = U(0x9E3779B97F4A7C15 | 1)
 _INV = U(pow(int(_BASE), -1, 2**64))
 CHUNK = 1 << 20
 
+#: Words whose digest a worker remembers.
+REMEMBERED = 500_000
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -27,8 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U))
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -84,15 +88,32 @@ def _cut(buf: np.ndarray, at: int) -> int:
     return buf.size
 
 
+class _Digests(dict):
+    """A 64-bit BLAKE2 digest of each word, remembered for frequent short words."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
+        return value
+
+
+_digests = _Digests()
+
+
 def word_hashes(buf: np.ndarray, fold: bool) -> np.ndarray:
-    """One hash per word in order; ``fold`` lower-cases A-Z first. Long texts go in pieces cut at white space."""
-    table, out, at = (_FOLDED if fold else _BYTE), [], 0
+    """One digest per word in order; ``fold`` lower-cases A-Z first. Long texts go in pieces cut at white space.
+
+    bytes.split knows just the six kinds of white space, and bytes.lower just A-Z.
+    """
+    out, at = [], 0
     while at < buf.size:
         end = _cut(buf, at)
-        piece = buf[at:end]
-        starts, ends = word_bounds(piece)
-        if starts.size:
-            out.append(ranges(prefix(table[piece]), starts, ends))
+        piece = buf[at:end].tobytes()
+        words = (piece.lower() if fold else piece).split()
+        out.append(np.fromiter(map(_digests.__getitem__, words), U, len(words)))
         at = end
     return np.concatenate(out) if out else np.zeros(0, U)
 

@@ -4,17 +4,20 @@ Every window of L tokens is assigned to its minimizer: the leftmost smallest has
 grams. Equal windows have equal minimizers. Consecutive windows with one minimizer position form a
 segment, and only segments, some two per L-K tokens, travel:
 
-1. ``segments``: (m, d, doc, tie, start, n): minimizer, hash of the segment's tokens, place, windows.
-2. ``repeated``: segments whose minimizer occurs more than once; nothing else can hold a repeat.
-3. ``groups``: equal segments of a minimizer, with their first and last place. Copies, however many,
-   end here by partial aggregation.
-4. ``contents``: the tokens of one segment for each (m, d) where a minimizer has several different
-   segments; shards of these are small enough for an index each. Minimizers with more than
-   ``HOT_SEGMENTS`` different segments (a very common line) are dealt out window by window instead:
-   one row for each window hash, grouped by Spark.
-
-A document is (doc, tie): its doc_id (a missing one as NO_ID) and a hash of the text, so that rows
-that share a doc_id but not the text are kept apart. Rows equal in both count as one document.
+1. ``segments``: (m, d, doc, tie, start, n): minimizer, digest of the segment's tokens, place, windows.
+2. ``some``: segments whose minimizer occurs more than once; nothing else can hold a repeat. A minimizer's
+   home is the first document that holds it.
+3. ``groups``: equal segments of a minimizer become one representative, the first of them, with their
+   number. Copies, however many, end here by partial aggregation.
+4. ``contents``: the tokens of every representative. All segments of one minimizer lie in one shard, and
+   minimizers with one home lie together, so a document's representatives are mostly one stretch of text
+   there and not overlapping pieces. A home too large for a shard is dealt out by minimizer. A minimizer
+   too large on its own (a very common line) is cut into windows: equal ones become one representative
+   again, and these are dealt out by window. They are segments of one window to everything that follows.
+5. ``in_shards``: each shard's index says which windows stand elsewhere; copies of a representative follow it.
+
+A document is (doc, tie): its doc_id (a missing one as NO_ID) and a 64-bit hash of the text, so that rows
+that share a doc_id but not the text are kept apart. Rows equal in both are counted one by one.
 """
 
 from __future__ import annotations
@@ -24,14 +27,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common, tokens
 
 U = np.uint64
-HOT_SEGMENTS = 4096
 SHARD_TOKENS = 1_500_000
+
+#: Tokens of one home or minimizer that stay together; more are dealt out.
+PART_TOKENS = 300_000
 _POS = 21  # bits for a position inside a piece of CHUNK tokens
 
 
@@ -43,8 +49,23 @@ class Spec:
     gram: int
     words: bool
 
-    def values(self, buf: np.ndarray) -> np.ndarray:
-        return tokens.word_hashes(buf, fold=False) if self.words else tokens.byte_values(buf)
+    def raw(self, buf: np.ndarray) -> np.ndarray:
+        """The tokens that windows are compared by: bytes, or a 64-bit digest of each word."""
+        return tokens.word_hashes(buf, fold=False) if self.words else buf
+
+    def values(self, raw: np.ndarray) -> np.ndarray:
+        """64-bit numbers to make gram hashes of."""
+        return raw if self.words else tokens.byte_values(raw)
+
+
+@dataclass(frozen=True)
+class Held:
+    """The representatives in a shard: text number, place in it, windows, and whether a segment has copies."""
+
+    row: np.ndarray
+    at: np.ndarray
+    n: np.ndarray
+    copied: np.ndarray
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -59,19 +80,26 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def cut_segments(values: np.ndarray, spec: Spec) -> Iterator[tuple[np.ndarray, ...]]:
+def digests(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each token range."""
+    data, width = memoryview(np.ascontiguousarray(raw)).cast("B"), raw.itemsize
+    of = xxhash.xxh3_64_intdigest
+    return np.fromiter((of(data[a:b]) for a, b in zip((first * width).tolist(), ((first + size) * width).tolist(), strict=True)), U, first.size)
+
+
+def cut_segments(raw: np.ndarray, spec: Spec) -> Iterator[tuple[np.ndarray, ...]]:
     """(m, d, start, n) arrays of a document's segments, a piece at a time."""
-    total = values.size - spec.length + 1
+    total = raw.size - spec.length + 1
     for at in range(0, max(0, total), tokens.CHUNK):
-        part = values[at : min(at + tokens.CHUNK, total) + spec.length - 1]
-        pre = tokens.prefix(part)
+        part = raw[at : min(at + tokens.CHUNK, total) + spec.length - 1]
+        pre = tokens.prefix(spec.values(part))
         starts = np.arange(part.size - spec.gram + 1)
         grams = tokens.ranges(pre, starts, starts + spec.gram)
         key = (grams & ~U((1 << _POS) - 1)) | starts.astype(U)
         place = (sliding_min(key, spec.length - spec.gram + 1) & U((1 << _POS) - 1)).astype(np.int64)
         first = np.flatnonzero(np.diff(place, prepend=-1))
         n = np.diff(first, append=place.size)
-        yield grams[place[first]], tokens.ranges(pre, first, first + n + spec.length - 1), at + first, n
+        yield grams[place[first]], digests(part, first, n + spec.length - 1), at + first, n
 
 
 def segments(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -82,56 +110,59 @@ def segments(docs: DataFrame, spec: Spec) -> DataFrame:
             names, parts = batch.schema.names, []
             doc, tie = (batch.column(names.index(c)) for c in ("doc", "tie"))
             for i, buf in enumerate(tokens.rows_of(batch.column(names.index("body")))):
-                for m, d, start, n in cut_segments(spec.values(buf), spec):
+                for m, d, start, n in cut_segments(spec.raw(buf), spec):
                     parts.append((m, d, np.full(m.size, i), start, n))
             if parts:
                 m, d, row, start, n = (np.concatenate(x) for x in zip(*parts, strict=True))
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(d.view(np.int64)), doc.take(at), tie.take(at), pa.array(start), pa.array(n.astype(np.int32))], names=["m", "d", "doc", "tie", "start", "n"])
 
-    return docs.mapInArrow(run, "m long, d long, doc long, tie int, start long, n int")
+    return docs.mapInArrow(run, "m long, d long, doc long, tie long, start long, n int")
+
+
+def doc_key() -> tuple[Column, Column]:
+    """(doc, tie) of a row."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)).alias("doc"), F.xxhash64(common.whole_text()).alias("tie")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc, tie, body) of documents: the key inside the operators and the whole text as UTF-8."""
-    text = common.whole_text()
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(2**31 - 1)).cast("int").alias("tie"), text.cast("binary").alias("body"))
+    return docs.select(*doc_key(), common.whole_text().cast("binary").alias("body"))
 
 
-@dataclass
-class Routed:
-    """seen: repeated segments with ``first`` and ``last`` (places of their group); contents: what indexes are built from."""
+def place() -> Column:
+    return F.struct("doc", "tie", "start")
 
-    seen: DataFrame
-    contents: DataFrame
-    spec: Spec
 
+def _wanted(groups: DataFrame) -> DataFrame:
+    """(doc, tie, wanted): the representatives of each document, as many as its text has windows at most."""
+    cell = F.struct("shard", "first.start", "n", (F.col("c") > 1).alias("copied"), "m", "d")
+    return groups.groupBy("first.doc", "first.tie").agg(F.collect_list(cell).alias("wanted"))
 
-def place() -> F.Column:
-    return F.struct("doc", "tie", "start")
 
+def _windows_of(docs: DataFrame, groups: DataFrame, spec: Spec) -> DataFrame:
+    """(m, doc, tie, start, c): a row for each window of the representatives, m its digest."""
 
-def route(docs: DataFrame, spec: Spec, hot_segments: int = HOT_SEGMENTS) -> Routed:
-    """Segments that can hold repeats, and the tokens of those that differ within a minimizer."""
-    common.small_batches(docs.sparkSession)
-    every = common.stage(segments(keyed(docs), spec), "segments")
-    often = common.stage(every.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m"), "often")
-    some = common.stage(every.join(often, "m", "left_semi"), "repeated")
-    common.release(every, often)
-    groups = common.stage(some.groupBy("m", "d").agg(F.min(place()).alias("first"), F.max(place()).alias("last")), "groups")
-    kinds = common.stage(groups.groupBy("m").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
-    seen = common.stage(some.join(groups, ["m", "d"]), "seen")
-    common.release(some)
-    alone = groups.join(kinds, "m").select("m", "d", "first.*", (F.col("first") == F.col("last")).alias("single"), (F.col("kinds") > hot_segments).alias("hot"))
-    sized = alone.join(seen.select("m", "d", "n").dropDuplicates(["m", "d"]), ["m", "d"])
-    wanted = sized.groupBy("doc", "tie").agg(F.collect_list(F.struct("m", "d", "start", "n", "single", "hot")).alias("wanted"))
-    contents = common.stage(extract(keyed(docs).join(wanted, ["doc", "tie"]), spec), "contents")
-    common.release(groups, kinds)
-    return Routed(seen, contents, spec)
-
-
-def extract(rows: DataFrame, spec: Spec) -> DataFrame:
-    """One row with the tokens for each wanted segment; of hot minimizers one row for each window, d its hash."""
+    def run(batches):
+        for batch in batches:
+            names, parts = batch.schema.names, []
+            doc, tie = (batch.column(names.index(c)) for c in ("doc", "tie"))
+            for i, (buf, want) in enumerate(zip(tokens.rows_of(batch.column(names.index("body"))), batch.column(names.index("wanted")).to_pylist(), strict=True)):
+                raw = spec.raw(buf)
+                start = np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in want])
+                copied = np.repeat([x["copied"] for x in want], [x["n"] for x in want])
+                parts.append((digests(raw, start, np.full(start.size, spec.length)), np.full(start.size, i), start, copied))
+            if parts:
+                m, row, start, copied = (np.concatenate(x) for x in zip(*parts, strict=True))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), doc.take(at), tie.take(at), pa.array(start), pa.array(np.where(copied, 2, 1))], names=["m", "doc", "tie", "start", "c"])
+
+    return keyed(docs).join(_wanted(groups), ["doc", "tie"]).mapInArrow(run, "m long, doc long, tie long, start long, c long")
+
+
+def _extract(rows: DataFrame, spec: Spec) -> DataFrame:
+    """(shard, doc, tie, start, body, held): the stretches of each document that a shard needs, with the
+    representatives in them as rows of (place, windows, copied, m, d)."""
 
     def run(batches):
         for batch in batches:
@@ -139,52 +170,107 @@ def extract(rows: DataFrame, spec: Spec) -> DataFrame:
             cells = (batch.column(batch.schema.names.index(c)) for c in ("doc", "tie", "body", "wanted"))
             doc, tie, body, wanted = cells
             for key, t, buf, want in zip(doc.to_pylist(), tie.to_pylist(), tokens.rows_of(body), wanted.to_pylist(), strict=True):
-                values = spec.values(buf)
-                raw = values if spec.words else buf
-                for x in want:
-                    part = slice(x["start"], x["start"] + x["n"] + spec.length - 1)
-                    if not x["hot"]:
-                        out.append((x["m"], x["d"], key, t, x["start"], x["n"], x["single"], False, raw[part].tobytes()))
-                        continue
-                    at = np.arange(x["n"])
-                    hashes = tokens.ranges(tokens.prefix(values[part]), at, at + spec.length).view(np.int64)
-                    out += [(x["m"], h, key, t, x["start"] + i, 1, x["single"], True, None) for i, h in enumerate(hashes.tolist())]
+                raw, stretches = spec.raw(buf), []
+                for x in sorted(want, key=lambda x: (x["shard"], x["start"])):
+                    end = x["start"] + x["n"] + spec.length - 1
+                    if not stretches or stretches[-1][0] != x["shard"] or stretches[-1][2] < x["start"]:
+                        stretches.append([x["shard"], x["start"], end, []])
+                    stretches[-1][2] = max(end, stretches[-1][2])
+                    stretches[-1][3].append((x["start"] - stretches[-1][1], x["n"], x["copied"], x["m"], x["d"]))
+                out += [(shard, key, t, start, raw[start:end].tobytes(), np.array(held, np.int64).tobytes()) for shard, start, end, held in stretches]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), CONTENT, strict=True)], schema=CONTENT)
 
-    return rows.mapInArrow(run, "m long, d long, doc long, tie int, start long, n int, single boolean, hot boolean, body binary")
+    return rows.mapInArrow(run, "shard int, doc long, tie long, start long, body binary, held binary")
+
 
+CONTENT = pa.schema([("shard", pa.int32()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("body", pa.binary()), ("held", pa.binary())])
 
-CONTENT = pa.schema([("m", pa.int64()), ("d", pa.int64()), ("doc", pa.int64()), ("tie", pa.int32()), ("start", pa.int64()), ("n", pa.int32()), ("single", pa.bool_()), ("hot", pa.bool_()), ("body", pa.binary())])
 
+def _dealt(groups: DataFrame, length: int, part_tokens: int) -> tuple[DataFrame, int]:
+    """(m, hot, part) of each minimizer in ``groups``, staged, and the number of tokens that are not hot.
 
-def hot_windows(routed: Routed) -> DataFrame:
-    """Windows of hot minimizers with the first and last place of their group."""
-    hot = routed.contents.filter("hot")
-    groups = hot.groupBy("m", "d").agg(F.min(place()).alias("first"), F.max(place()).alias("last"))
-    return hot.select("m", "d", "doc", "tie", "start", "n").join(groups, ["m", "d"])
+    part is what lies together: a home, or a piece of one. hot minimizers are too large for a part.
+    """
+    loads = groups.groupBy("m", "home").agg(F.sum(F.col("n") + length).alias("load")).withColumn("hot", F.col("load") > part_tokens)
+    loads = common.stage(loads, "loads")
+    homes = loads.filter("not hot").groupBy("home").agg(F.sum("load").alias("total"))
+    piece = F.pmod(F.xxhash64("m"), F.coalesce(F.ceil(F.col("total") / part_tokens), F.lit(1)))
+    dealt = common.stage(loads.join(homes, "home", "left").select("m", "hot", F.xxhash64("home", piece).alias("part"), F.when(~F.col("hot"), F.col("load")).alias("load")), "dealt")
+    total = int(dealt.agg(F.sum("load")).first()[0] or 0)
+    common.release(loads)
+    return dealt, total
 
 
-def in_shards(routed: Routed, find) -> DataFrame:
-    """``find(bodies, single, n, place) -> (row, offset, length)`` over each shard's different segments.
+def found_places(docs: DataFrame, spec: Spec, find: Callable, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """(doc, tie, start, n): runs of windows that ``find`` reports, staged; see ``in_shards`` for ``find``.
 
-    Gives (doc, tie, start, n): runs of n windows from start on that ``find`` reports. A shard holds
-    about SHARD_TOKENS tokens, whatever the input's size; a minimizer's segments lie in one shard.
+    Copies of a representative are reported wherever ``find`` confirms it; whether its own place is, ``find`` says.
+    """
+    common.small_batches(docs.sparkSession)
+    every = common.stage(segments(keyed(docs), spec), "segments")
+    often = every.groupBy("m").agg(F.count("*").alias("c"), F.min(F.struct("doc", "tie")).alias("home")).filter("c > 1").select("m", F.xxhash64("home.doc", "home.tie").alias("home"))
+    some = common.stage(every.join(common.stage(often, "often"), "m"), "repeated")
+    common.release(every)
+    groups = some.groupBy("m", "d").agg(F.min(place()).alias("first"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("home").alias("home"))
+    groups = common.stage(groups, "groups")
+    dealt, total = _dealt(groups, spec.length, part_tokens)
+    placed = groups.drop("home").join(dealt.drop("load"), "m")
+    calm, hot, cut = placed.filter("not hot"), None, None
+    if not dealt.filter("hot").isEmpty():
+        hot = common.stage(placed.filter("hot").withColumn("shard", F.lit(0)), "hot")
+        cut = common.stage(_windows_of(docs, hot, spec), "windows")
+        alone = cut.groupBy("m").agg(F.min(place()).alias("first"), F.sum("c").alias("c")).filter("c > 1")
+        alone = common.stage(alone.select("m", F.col("m").alias("d"), "first", "c", F.lit(1).alias("n"), F.lit(False).alias("hot"), F.xxhash64("m").alias("part")), "alone")
+        total += alone.count() * spec.length
+        calm = calm.select(alone.columns).unionByName(alone)
+    n_shards = max(1, -(-total // SHARD_TOKENS))
+    wanted = _wanted(calm.withColumn("shard", F.pmod("part", F.lit(n_shards)).cast("int")))
+    contents = common.stage(_extract(keyed(docs).join(wanted, ["doc", "tie"]), spec), "contents")
+    found = common.stage(in_shards(contents, spec, find, n_shards), "found")
+    own = found.filter("m is null").select("doc", "tie", "start", "n")
+    sure = found.filter("m is not null").select("m", "d", place().alias("first"))
+    apart = place() != F.col("first")
+    places = own.unionByName(some.join(sure, ["m", "d"]).filter(apart).select("doc", "tie", "start", "n"))
+    if hot is not None:
+        places = places.unionByName(cut.join(sure.select("m", "first"), "m").filter(apart).select("doc", "tie", "start", F.lit(1).alias("n")))
+        places = places.unionByName(some.join(hot.filter("c > 1").select("m", "d", "first"), ["m", "d"]).filter(apart).select("doc", "tie", "start", "n"))
+    marks = common.stage(places, "marks")
+    common.release(some, groups, dealt, contents, found, *([hot, cut] if hot is not None else []))
+    return marks
+
+
+def in_shards(contents: DataFrame, spec: Spec, find: Callable, n_shards: int) -> DataFrame:
+    """``find(bodies, held) -> (row, offset, n, sure)`` over each shard's stretches, which are in order of place.
+
+    Gives (doc, tie, start, n) with m and d missing for the runs of windows of stretch ``row`` that are found,
+    and (m, d) with the representative's place for those of ``held`` whose copies are ``sure``. A shard holds
+    about SHARD_TOKENS tokens, whatever the input's size.
     """
-    spec = routed.spec
-    calm = routed.contents.filter("not hot").dropDuplicates(["m", "d"])
-    total = calm.agg(F.sum(F.col("n") + spec.length)).first()[0] or 0
-    n_shards = max(1, -(-int(total) // SHARD_TOKENS))
 
     def run(pdf):
         dtype = np.uint64 if spec.words else np.uint8
         pdf = pdf.sort_values(["doc", "tie", "start"], kind="stable").reset_index(drop=True)
-        row, offset, n = find([np.frombuffer(x, dtype) for x in pdf["body"]], pdf["single"].to_numpy(bool))
-        got = pdf.loc[row, ["doc", "tie", "start"]].reset_index(drop=True)
-        return got.assign(start=got["start"] + offset, n=n.astype(np.int32))
+        parts = [np.frombuffer(x, np.int64).reshape(-1, 5) for x in pdf["held"]]
+        row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        at, n, copied, m, d = np.concatenate(parts).T
+        got, offset, runs, sure = find([np.frombuffer(x, dtype) for x in pdf["body"]], Held(row, at, n, copied > 0))
+        doc, tie, start = (pdf[c].to_numpy(np.int64) for c in ("doc", "tie", "start"))
+        rep = np.flatnonzero(sure & (copied > 0))
+        own = pa.table({"doc": doc[got], "tie": tie[got], "start": start[got] + offset, "n": runs, "m": pa.nulls(got.size, pa.int64()), "d": pa.nulls(got.size, pa.int64())})
+        others = pa.table({"doc": doc[row[rep]], "tie": tie[row[rep]], "start": start[row[rep]] + at[rep], "n": n[rep], "m": m[rep], "d": d[rep]})
+        return pa.concat_tables([own, others]).cast(FOUND)
+
+    return contents.repartition(n_shards, "shard").groupBy("shard").applyInArrow(lambda table: run(table.to_pandas()), "doc long, tie long, start long, n int, m long, d long")
+
+
+FOUND = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("m", pa.int64()), ("d", pa.int64())])
+
 
-    shard = F.pmod(F.xxhash64("m"), F.lit(n_shards)).alias("shard")
-    return calm.select("doc", "tie", "start", "single", "body", shard).groupBy("shard").applyInPandas(run, "doc long, tie int, start long, n int")
+def all_true(flags: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether all of flags[start : start + n] are true."""
+    before = np.concatenate(([0], np.cumsum(flags)))
+    return before[start + n] - before[start] == n
 
 
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,8 +282,7 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Every document row with the list ``marks`` of its (start, n) window runs, or null: doc_id and keyed columns."""
     lists = marks.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    text = common.whole_text()
-    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(2**31 - 1)).cast("int").alias("tie"), text.cast("binary").alias("body"))
+    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *doc_key(), common.whole_text().cast("binary").alias("body"))
     return full.join(lists, ["doc", "tie"], "left")
 
 

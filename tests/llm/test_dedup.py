@@ -47,16 +47,16 @@ def brute_bytes(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [windows.HOT_SEGMENTS, 1])
-def test_suffix_dedup(spark, hot):
+@pytest.mark.parametrize("part", [windows.PART_TOKENS, 400, 1])
+def test_suffix_dedup(spark, part):
     texts = planted()
     spec = windows.Spec(length=40, gram=12, words=False)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.suffix_dedup(frame(spark, texts), spec, hot_segments=hot).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.suffix_dedup(frame(spark, texts), spec, part_tokens=part).collect()}
     assert got == brute_bytes(list(enumerate(texts)), 40)
 
 
-@pytest.mark.parametrize("hot", [windows.HOT_SEGMENTS, 1])
-def test_substring_dedup(spark, hot):
+@pytest.mark.parametrize("part", [windows.PART_TOKENS, 400, 1])
+def test_substring_dedup(spark, part):
     texts = planted(2)
     spec = windows.Spec(length=12, gram=4, words=True)
     words = [WORD.findall(t or "") for t in texts]
@@ -68,7 +68,7 @@ def test_substring_dedup(spark, hot):
             if count[tuple(w[i : i + 12])] > 1:
                 gone[i : i + 12] = [True] * 12
         want[d] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest())
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(frame(spark, texts), spec, hot_segments=hot).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(frame(spark, texts), spec, part_tokens=part).collect()}
     assert got == want
 
 
