@@ -47,23 +47,26 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = Tr
     Gives (doc_id, n_tokens, ids_sha256, decoded_sha256, ids); ids is null unless asked for. Digests are
     over the ids as little-endian unsigned 32-bit integers and over the decoded raw bytes. A missing text
     is empty (no tokens); a missing doc_id stays missing; repeated rows give repeated results; other
-    columns are not read. The rank file (about 1 MB) is read by the driver and sent with the tasks.
+    columns are not read. An empty table gives no rows. The rank file (about 1 MB) is read by the driver and sent with the tasks.
     """
-    common.small_batches(docs.sparkSession)
     with open(ranks_path, "rb") as file:
         ranks = file.read()
 
     def run(batches):
         bpe = encoding(ranks, pattern)
-        for batch in batches:
-            out = []
+        for batch in common.slices(batches, "text"):
+            out, kept = [], []
             for text in batch.column(1).to_pylist():
-                tokens = [t for piece in safe_pieces(text) for t in bpe.encode_ordinary(piece)] if len(text) > PIECE else bpe.encode_ordinary(text)
-                packed = np.array(tokens, "<u4").tobytes()
-                out.append((len(tokens), hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.decode_bytes(tokens)).hexdigest(), tokens if ids else None))
-            if out:
-                cols = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+                tokens = np.concatenate([np.array(bpe.encode_ordinary(piece), "<u4") for piece in safe_pieces(text)])
+                decoded = hashlib.sha256()
+                for at in range(0, tokens.size, PIECE):  # raw bytes: a token may hold part of a character
+                    decoded.update(bpe.decode_bytes(tokens[at : at + PIECE].tolist()))
+                out.append((tokens.size, hashlib.sha256(tokens.tobytes()).hexdigest(), decoded.hexdigest()))
+                kept.append(tokens)
+            cols = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+            ends = np.cumsum([0, *(x.size for x in kept)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).astype(np.int64))) if ids else pa.nulls(len(out), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, lists], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<long>")

@@ -9,12 +9,16 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch sent to Python; long texts make larger batches too large for a worker.
-ARROW_ROWS = "512"
+#: Bytes of texts that a task takes from an Arrow batch at a time, and rows at most.
+SLICE_BYTES, SLICE_ROWS = 8 << 20, 512
 
 #: Stands for a missing doc_id inside the operators, so that such rows still join and sort.
 NO_ID = -(2**63)
@@ -55,7 +59,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete staged tables that no later step reads, and let Spark drop the shuffle files behind them."""
+    """Delete staged tables that no later step reads.
+
+    Spark deletes the shuffle files of finished steps only once the driver's JVM has collected what refers
+    to them, so this asks for a collection: without it their disk space adds up over the steps.
+    """
     for t in tables:
         fs, target = t._scratch
         fs.delete(target, True)
@@ -64,9 +72,20 @@ def release(*tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of a Python worker: few texts per Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded bytes in ``column`` (a longer text alone): they bound what a worker holds.
+
+    Spark bounds the batches themselves by bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB).
+    """
+    for batch in batches:
+        values = batch.column(batch.schema.names.index(column))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            then = max(at + 1, min(at + SLICE_ROWS, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))))
+            yield batch.slice(at, then - at)
+            at = then
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,9 @@ DEGREE = 32
 BEAM = 64
 RELAX = 1.2
 BATCH = 256
+
+#: Numbers in the distance matrices of a pruning step.
+PRUNE_CELLS = 1 << 22
 NONE = -1
 
 
@@ -77,29 +80,48 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relax: flo
     """The graph as rows of out-neighbours, and the entry node (nearest to the mean).
 
     Nodes go in in blocks: a greedy search from the entry proposes neighbours, pruning keeps diverse ones,
-    and each new edge also proposes its reverse. The second pass prunes with the full relaxation.
+    and each new edge also proposes its reverse. A node takes reverse edges until its row is full, half as
+    many again as ``degree``, and is then pruned. The second pass prunes with the full relaxation.
     """
-    n = points.shape[0]
+    n, width = points.shape[0], degree + degree // 2
     rng = np.random.default_rng(1)
     entry = int((points @ points.mean(axis=0)).argmax())
-    graph = rng.integers(0, n, (n, min(degree, max(1, n - 1))))
-    graph = np.pad(graph, ((0, 0), (0, degree - graph.shape[1])), constant_values=NONE)
+    graph = np.full((n, width), NONE)
+    size = np.full(n, min(degree, max(1, n - 1)))
+    graph[:, : size[0]] = rng.integers(0, n, (n, size[0]))
+
+    def keep(own: np.ndarray, near: np.ndarray, factor: float) -> None:
+        rows = max(1, PRUNE_CELLS // near.shape[1] ** 2)
+        for at in range(0, own.size, rows):
+            part = own[at : at + rows]
+            graph[part, :degree] = robust_prune(points, part, near[at : at + rows], degree, factor)
+            graph[part, degree:] = NONE
+            size[part] = (graph[part] >= 0).sum(axis=1)
+
     for factor in (1.0, relax):
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
             own = order[at : at + BATCH]
             found, _ = beam_search(points, graph, entry, points[own], beam)
-            graph[own] = robust_prune(points, own, np.concatenate((found, graph[own]), axis=1), degree, factor)
-            source = np.repeat(own, degree)
-            target = graph[own].ravel()
+            keep(own, np.concatenate((found, graph[own]), axis=1), factor)
+            source, target = np.repeat(own, degree), graph[own, :degree].ravel()
             source, target = source[target >= 0], target[target >= 0]
             by = np.argsort(target, kind="stable")
             source, target = source[by], target[by]
             head = np.flatnonzero(np.diff(target, prepend=-1))
-            place = np.arange(target.size) - np.repeat(head, np.diff(np.append(head, target.size)))
-            keep = place < 2 * degree  # a block proposes at most so many reverse edges to one node
-            nodes = target[head]
-            extra = np.full((nodes.size, 2 * degree), NONE)
-            extra[np.searchsorted(nodes, target[keep]), place[keep]] = source[keep]
-            graph[nodes] = robust_prune(points, nodes, np.concatenate((graph[nodes], extra), axis=1), degree, factor)
-    return graph.astype(np.int32), entry
+            many = np.diff(np.append(head, target.size))
+            place, nodes = np.arange(target.size) - np.repeat(head, many), target[head]
+            fits = np.repeat(size[nodes] + many <= width, many)
+            graph[target[fits], size[target[fits]] + place[fits]] = source[fits]
+            full = size[nodes] + many > width
+            size[nodes[~full]] += many[~full]
+            for few in (many <= degree, many > degree):  # rows of like width together
+                some = full & few
+                if some.any():
+                    extra = np.full((int(some.sum()), int(many[some].max())), NONE)
+                    edges = np.repeat(some, many)
+                    extra[np.repeat(np.arange(extra.shape[0]), many[some]), place[edges]] = source[edges]
+                    keep(nodes[some], np.concatenate((graph[nodes[some]], extra), axis=1), factor)
+    left = np.flatnonzero(size > degree)
+    keep(left, graph[left], relax)
+    return graph[:, :degree].astype(np.int32), entry

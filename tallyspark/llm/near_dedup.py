@@ -41,7 +41,7 @@ MINIMA = BANDS * ROWS
 LEAST_BITS = 106
 
 #: Shingle hashes in a block that outliers are compared in, on average.
-BLOCK_HASHES = 100_000
+BLOCK_HASHES = 32_000
 
 #: Universal hashing: (a x + b) mod 2**64, high bits, a odd. Fixed by a seed.
 _AB = np.random.default_rng(20250).integers(0, 2**64, (2, MINIMA), dtype=U)
@@ -68,7 +68,7 @@ def features(docs: DataFrame) -> DataFrame:
     """(id, tie, n, set, s0..s2, bands) of (id, tie, body) rows; no bands where the set is empty."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches, "body"):
             out = []
             for buf in tokens.rows_of(batch.column(2)):
                 hashes = shingles(buf)
@@ -155,17 +155,17 @@ def outlier_links(members: DataFrame, comp: DataFrame | None, texts: DataFrame)
 
     def pack(pdf):
         found = [shingles(np.frombuffer(b, np.uint8)) for b in pdf["body"]]
-        return pdf[["main", "block"]].head(1).assign(docs=pdf["doc"].to_numpy(np.int64).tobytes(), roots=pdf["root"].to_numpy(np.int64).tobytes(), sizes=np.array([x.size for x in found], np.int64).tobytes(), hashes=np.concatenate(found).tobytes())
+        return pdf[["main", "block", "all_blocks"]].head(1).rename(columns={"all_blocks": "blocks"}).assign(docs=pdf["doc"].to_numpy(np.int64).tobytes(), roots=pdf["root"].to_numpy(np.int64).tobytes(), sizes=np.array([x.size for x in found], np.int64).tobytes(), hashes=np.concatenate(found).tobytes())
 
     def packed(rows: DataFrame, blocks: str) -> DataFrame:
         block = F.pmod(F.xxhash64("doc"), F.greatest(F.col(blocks), F.lit(1))).alias("block")
-        cut = rows.join(sizes, "main").select("main", block, "doc", "root", "body")
-        return cut.repartition("main", "block").groupBy("main", "block").applyInPandas(pack, "main long, block long, docs binary, roots binary, sizes binary, hashes binary")
+        cut = rows.join(sizes, "main").select("main", block, "doc", "root", "body", "all_blocks")
+        return cut.repartition("main", "block").groupBy("main", "block").applyInPandas(pack, "main long, block long, blocks long, docs binary, roots binary, sizes binary, hashes binary")
 
     def compare(batches):
         for batch in batches:
             hub, doc = [], []
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 y_docs, y_roots, y_sizes, m_docs, m_roots, m_sizes = (np.frombuffer(row[c], np.int64) for c in ("docs", "roots", "sizes", "m_docs", "m_roots", "m_sizes"))
                 sets, pool = np.split(np.frombuffer(row["hashes"], U), np.cumsum(y_sizes)[:-1]), np.frombuffer(row["m_hashes"], U)
                 starts = np.cumsum(m_sizes) - m_sizes
@@ -179,12 +179,11 @@ def outlier_links(members: DataFrame, comp: DataFrame | None, texts: DataFrame)
                         doc.append(max(key, other))
             yield pa.RecordBatch.from_arrays([pa.array(hub, pa.int64()), pa.array(doc, pa.int64())], names=["hub", "doc"])
 
-    spark = members.sparkSession
     out = common.stage(packed(sets.filter("root <> main"), "out_blocks"), "outlier-blocks")
-    every = common.stage(packed(sets, "all_blocks").select("main", *[F.col(c).alias(f"m_{c}") for c in ("docs", "roots", "sizes", "hashes")]), "member-blocks")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row holds two blocks
-    found = common.stage(out.join(every, "main").mapInArrow(compare, "hub long, doc long"), "outlier-links")
-    common.small_batches(spark)
+    every = common.stage(packed(sets, "all_blocks").select("main", F.col("block").alias("m_block"), *[F.col(c).alias(f"m_{c}") for c in ("docs", "roots", "sizes", "hashes")]), "member-blocks")
+    # Pairs of blocks, not components, are dealt out: a component of any size is shared by many tasks.
+    pairs = out.withColumn("m_block", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("blocks", F.lit(1)) - 1)))
+    found = common.stage(pairs.join(every, ["main", "m_block"]).mapInArrow(compare, "hub long, doc long"), "outlier-links")
     common.release(sets, out, every)
     return found
 
@@ -223,8 +222,6 @@ def keys() -> tuple[Column, Column]:
 def near_groups(docs: DataFrame) -> DataFrame:
     """(id, tie, n_shingles, component, kept) of each row: component is the smallest id of the row's group, and
     kept is true in one row of the group, its first by (id, tie)."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
     id_, tie = keys()
     keyed = docs.select(id_.alias("id"), tie.alias("tie"), common.whole_text().cast("binary").alias("body"))
     rows = common.stage(features(keyed).withColumn("row", F.monotonically_increasing_id()), "features")

@@ -18,7 +18,7 @@ from tallyspark.llm import common, graph_index
 
 TOP = 5
 EVERY = 50
-SHARD_VECTORS = 4000
+SHARD_VECTORS = 10_000
 QUERY_BLOCK = 1024
 SEARCH_BEAM = 96
 
@@ -52,7 +52,7 @@ def build_shards(nodes: DataFrame, n_shards: int) -> DataFrame:
         return pdf[["shard", "dim"]].head(1).assign(vectors=vectors.tobytes(), ids=ids.tobytes(), held=real.tobytes(), graph=graph.tobytes(), entry=entry)
 
     shard = F.pmod(F.xxhash64("v"), F.lit(n_shards)).cast("int").alias("shard")
-    return nodes.select(shard, F.size("v").alias("dim"), "v", "ids").groupBy("shard", "dim").applyInPandas(run, "shard int, dim int, vectors binary, ids binary, held binary, graph binary, entry int")
+    return nodes.select(shard, F.size("v").alias("dim"), "v", "ids").repartition(n_shards, "shard", "dim").groupBy("shard", "dim").applyInPandas(run, "shard int, dim int, vectors binary, ids binary, held binary, graph binary, entry int")
 
 
 @lru_cache(maxsize=1)
@@ -67,7 +67,7 @@ def search(shards: DataFrame, blocks: DataFrame, top: int, beam: int) -> DataFra
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # a row holds a whole shard
                 vectors, points, ids, held, graph = _shard(row["dim"], row["vectors"], row["ids"], row["held"], row["graph"])
                 asked = np.frombuffer(row["asked"]).reshape(-1, row["dim"])
                 query_ids = np.frombuffer(row["query_ids"], np.int64)
@@ -109,14 +109,12 @@ def nearest(rows: DataFrame, vector: str = "embedding", top: int = TOP, every: i
     no part; vectors of another dimension than the query's are no candidates. Rows that repeat a vec_id are
     one candidate, and one query answered by their best candidates. Other columns are not read.
     """
-    spark = rows.sparkSession
     valid = common.stage(usable(rows, vector).dropDuplicates(["vec_id", "v"]), "vectors")
     turn = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     few = valid.withColumn("turn", turn).filter(F.col("turn") <= top + 1)
     nodes = common.stage(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "nodes")
     n_shards = max(1, -(-nodes.count() // SHARD_VECTORS))
     shards = common.stage(build_shards(nodes, n_shards), "shards")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row holds a whole shard
     blocks = common.stage(query_blocks(valid.filter(F.col("vec_id") % every == 0), n_shards), "blocks")
     found = search(shards, blocks, top, beam).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from tallyspark.llm import common, tokens
 
 U = np.uint64
 
-#: About this many documents (by a hash of doc_id) train the scorer; statistics and votes cover all documents.
+#: About this many documents (by a hash of doc_id and text) train the scorer; statistics and votes cover all documents.
 SAMPLE = 20_000
 TRAINERS = 8
 BITS = 15
@@ -144,32 +145,35 @@ def hashed(buf: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((slots, own.astype(np.int64))), np.concatenate((np.full(slots.size, 4.0 / max(1, slots.size)), np.full(own.size, 0.5)))
 
 
-def _measured(docs: DataFrame, run, schema: str) -> DataFrame:
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().cast("binary").alias("body"))
-    return keyed.mapInArrow(run, schema)
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().cast("binary").alias("body"))
 
 
 def posteriors(docs: DataFrame) -> dict[int, float]:
     """Posterior of each vote pattern over all documents."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches, "body"):
             yield pa.RecordBatch.from_arrays([pa.array([pattern(votes(statistics(b))) for b in tokens.rows_of(batch.column(1))], pa.int32())], names=["pattern"])
 
-    counts = _measured(docs, run, "pattern int").groupBy("pattern").agg(F.count("*").alias("n")).collect()
+    counts = _keyed(docs).mapInArrow(run, "pattern int").groupBy("pattern").agg(F.count("*").alias("n")).collect()
     return expectation_maximisation({r["pattern"]: r["n"] for r in sorted(counts)})
 
 
 def train(docs: DataFrame, post: dict[int, float], sample: int = SAMPLE) -> np.ndarray:
-    """Weights of the scorer: trained by a few tasks on parts of the sample, then averaged."""
+    """Weights of the scorer: trained by a few tasks on parts of the sample, then averaged.
+
+    A row is in the sample by a hash of its doc_id and text; reruns give the same weights.
+    """
     total = docs.count()
-    near = common.order_hash(F.lit("train"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < int(2**60 * min(1.0, sample / max(1, total)))
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(TRAINERS)).alias("part")
-    rows = docs.filter(near).select(part, F.col("doc_id"), common.whole_text().cast("binary").alias("body"))
+    text = common.whole_text()
+    own = F.xxhash64("doc_id", text)  # rows without a doc_id of their own are told apart by their text
+    near = F.shiftrightunsigned(own, 4) < int(2**60 * min(1.0, sample / max(1, total)))
+    rows = docs.filter(near).select(F.pmod(own, F.lit(TRAINERS)).alias("part"), F.sha2(text, 256).alias("order"), text.cast("binary").alias("body"))
 
     def fit(pdf):
         data = []
-        for body in pdf.sort_values("doc_id")["body"]:
+        for body in pdf.sort_values("order")["body"]:  # rows of one text are alike, so the order is one
             buf = np.frombuffer(body, np.uint8)
             stats = statistics(buf)
             slots, values = hashed(buf, stats)
@@ -201,41 +205,35 @@ def rate(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     votes. Equal texts get equal results. An empty table gives no rows; other columns are not read. The
     sample that trains the scorer is bounded (``sample``); votes and their statistics cover all documents.
     """
-    common.small_batches(docs.sparkSession)
     post = posteriors(docs)
     weights = train(docs, post, sample)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for buf in tokens.rows_of(batch.column(1)):
-                stats = statistics(buf)
-                slots, values = hashed(buf, stats)
-                out.append((post[pattern(votes(stats))], 1 / (1 + math.exp(-max(-30.0, min(30.0, weights[-1] + values @ weights[slots]))))))
-            if out:
-                p, s = (np.array(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(s), pa.array(s >= KEEP_FROM)], names=["doc_id", "posterior", "score", "kept"])
+        for batch in common.slices(batches, "body"):
+            measured = [(b, statistics(b)) for b in tokens.rows_of(batch.column(1))]
+            posterior = np.array([post[pattern(votes(stats))] for _, stats in measured])
+            score = np.array([score_of(b, stats, weights) for b, stats in measured])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(posterior), pa.array(score), pa.array(score >= KEEP_FROM)], names=["doc_id", "posterior", "score", "kept"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, posterior double, score double, kept boolean")
 
-    return _measured(docs, run, "doc_id long, posterior double, score double, kept boolean")
+
+def score_of(buf: np.ndarray, stats: np.ndarray, weights: np.ndarray) -> float:
+    """The scorer's chance of good quality."""
+    slots, values = hashed(buf, stats)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, weights[-1] + values @ weights[slots]))))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the scorer keeps, all columns as they are."""
-    common.small_batches(docs.sparkSession)
-    post = posteriors(docs)
-    weights = train(docs, post)
-    schema = docs.schema
+    """The rows of ``docs`` that the scorer keeps, all columns as they are. An empty table stays empty."""
+    weights = train(docs, posteriors(docs))
 
     def run(batches):
-        for batch in batches:
-            keep = []
-            for text in batch.column(batch.schema.names.index("text")).to_pylist():
-                buf = np.frombuffer((text or "").encode(), np.uint8)
-                slots, values = hashed(buf, statistics(buf))
-                keep.append(1 / (1 + math.exp(-max(-30.0, min(30.0, weights[-1] + values @ weights[slots])))) >= KEEP_FROM)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, schema)
+        for batch in common.slices(batches, "text"):
+            texts = pc.fill_null(batch.column(batch.schema.names.index("text")), "").cast(pa.binary())
+            yield batch.filter(pa.array([score_of(b, statistics(b), weights) >= KEEP_FROM for b in tokens.rows_of(texts)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

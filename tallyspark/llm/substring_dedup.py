@@ -58,7 +58,7 @@ def substring_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = Tr
     marks = windows.found_places(docs, spec, lambda bodies, held: shared_windows(bodies, held, length), part_tokens)
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches, "body"):
             names = batch.schema.names
             out = []
             for buf, want in zip(tokens.rows_of(batch.column(names.index("body"))), batch.column(names.index("marks")).to_pylist(), strict=True):

@@ -73,7 +73,7 @@ def suffix_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = True,
     marks = windows.found_places(docs, spec, lambda bodies, held: later_windows(bodies, held, length), part_tokens)
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches, "body"):
             names = batch.schema.names
             bufs = tokens.rows_of(batch.column(names.index("body")))
             lists, again = (batch.column(names.index(c)).to_pylist() for c in ("marks", "again"))

@@ -106,7 +106,7 @@ def segments(docs: DataFrame, spec: Spec) -> DataFrame:
     """All segments of (doc, tie, body) rows; body is the text in UTF-8."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches, "body"):
             names, parts = batch.schema.names, []
             doc, tie = (batch.column(names.index(c)) for c in ("doc", "tie"))
             for i, buf in enumerate(tokens.rows_of(batch.column(names.index("body")))):
@@ -144,7 +144,7 @@ def _windows_of(docs: DataFrame, groups: DataFrame, spec: Spec) -> DataFrame:
     """(m, doc, tie, start, c): a row for each window of the representatives, m its digest."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches, "body"):
             names, parts = batch.schema.names, []
             doc, tie = (batch.column(names.index(c)) for c in ("doc", "tie"))
             for i, (buf, want) in enumerate(zip(tokens.rows_of(batch.column(names.index("body"))), batch.column(names.index("wanted")).to_pylist(), strict=True)):
@@ -165,7 +165,7 @@ def _extract(rows: DataFrame, spec: Spec) -> DataFrame:
     representatives in them as rows of (place, windows, copied, m, d)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches, "body"):
             out = []
             cells = (batch.column(batch.schema.names.index(c)) for c in ("doc", "tie", "body", "wanted"))
             doc, tie, body, wanted = cells
@@ -207,7 +207,6 @@ def found_places(docs: DataFrame, spec: Spec, find: Callable, part_tokens: int =
 
     Copies of a representative are reported wherever ``find`` confirms it; whether its own place is, ``find`` says.
     """
-    common.small_batches(docs.sparkSession)
     every = common.stage(segments(keyed(docs), spec), "segments")
     often = every.groupBy("m").agg(F.count("*").alias("c"), F.min(F.struct("doc", "tie")).alias("home")).filter("c > 1").select("m", F.xxhash64("home.doc", "home.tie").alias("home"))
     some = common.stage(every.join(common.stage(often, "often"), "m"), "repeated")
