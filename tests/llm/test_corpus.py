@@ -1,8 +1,10 @@
 """Mixing, sharding, licences, tokens, neighbours, quality and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -10,7 +12,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tallyspark.llm import byte_bpe, graph_index, licenses, mixing, neighbours, quality, sharding
+from tallyspark.llm import byte_bpe, graph_index, license_texts, licenses, mixing, neighbours, quality, sharding
 
 DDL = "doc_id long, text string, lang string, source string, size int, rank int, key string"
 
@@ -99,6 +101,54 @@ def test_licenses(spark):
     assert licenses.license_scan(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_licenses(texts, templates):
+    """(labels, score) of each text: every start of every template is tried."""
+    files = [re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(UPPER)) for t in texts]
+    idf = {w: math.log((len(files) + 1) / (sum(w in set(f) for f in files) + 1)) + 1 for t in templates for w in t.words}
+    out = []
+    for words in files:
+        labels, best = set(), 0.0
+        for t in templates:
+            rare = sorted(set(t.words), key=lambda w: (-idf[w], w))[: 1 if t.base else licenses.RARE_WORDS]
+            spots = [k for k, w in enumerate(t.words) if w in rare]
+            total = sum(idf[w] for w in t.words)
+            for i in range(len(words)):
+                here = words[i : i + len(t.words)]
+                same = [k < len(here) and here[k] == w for k, w in enumerate(t.words)]
+                score = sum(idf[w] for w, ok in zip(t.words, same, strict=True) if ok) / total
+                if all(ok for ok, must in zip(same, t.key, strict=True) if must) and sum(same[k] for k in spots) >= min(2, len(spots)) and score >= licenses.LEAST_SCORE:
+                    labels.add(t.label)
+                    best = max(best, score)
+        out.append((",".join(sorted(labels)), min(1.0, best)))
+    return out
+
+
+def test_license_templates(spark):
+    r = random.Random(8)
+    texts = [None, "", "plain words only"]
+    for _, text in license_texts.TEXTS:
+        words = text.replace("[", "").replace("]", "").split()
+        texts.append(" ".join(words))
+        for share in (0.03, 0.1, 0.3):
+            texts.append("some code\n# " + " ".join("xyz" if r.random() < share else w for w in words) + "\nmore code")
+        texts.append(" ".join(words[2:]))  # its start lies before the text
+        texts.append(" ".join(words[:-3] + words))
+    got = {x["doc_id"]: x for x in licenses.license_scan(frame(spark, texts)).collect()}
+    for d, (labels, score) in enumerate(brute_licenses(texts, [*licenses.BASE, *licenses.OWN])):
+        assert got[d]["labels"] == labels and got[d]["score"] == pytest.approx(score), texts[d]
+    assert len({x["labels"] for x in got.values()}) > 10
+
+
+def test_license_scan_of_one_long_text(spark):
+    began = time.monotonic()
+    row = licenses.license_scan(frame(spark, ["cc by nc " * 60_000])).collect()[0]
+    assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"], row["labels"]) == (180_000, 60_000, 0, 179_997, "cc-by-nc")
+    assert time.monotonic() - began < 60  # linear: seconds, where all pairs of places would take hours
+
+
 def test_tokens_round_trip(spark):
     path, pattern = byte_bpe.public_ranks()
     with open(path, "rb") as f:
