@@ -16,6 +16,9 @@ SHARD_DIGESTS = 50_000
 #: Slots tried for each key of a level; fewer would need more levels.
 SPREAD = 2
 
+#: Rows equal in doc_id and text that are written out at once.
+PART_ROWS = 10_000
+
 U = np.uint64
 
 
@@ -73,11 +76,10 @@ def build_index(groups: DataFrame, n_shards: int) -> DataFrame:
     def run(pdf):
         digests = _digests(pdf)
         keys = _keys(digests)
-        _, first = np.unique(keys, return_index=True)
-        if first.size < keys.size:  # two digests that agree in 64 bits: a lookup would see it, but has one slot
-            raise ValueError("digests of a shard collide in 64 bits")
-        hashed = PerfectHash.build(keys)
-        order = np.argsort(hashed.slots(keys))
+        first = np.sort(np.unique(keys, return_index=True)[1])
+        hashed = PerfectHash.build(keys[first])
+        # A digest that agrees with another of its shard in 64 bits has no slot; it stands behind the slots.
+        order = np.concatenate((first[np.argsort(hashed.slots(keys[first]))], np.setdiff1d(np.arange(keys.size), first)))
         return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "sizes": hashed.sizes, "bits": np.packbits(hashed.bits).tobytes(), "digests": digests[order].tobytes(), "winners": pdf["winner"].to_numpy(np.int64)[order].tobytes(), "counts": pdf["n"].to_numpy(np.int64)[order].tobytes()}])
 
     return groups.select(_shard(n_shards), "digest", "winner", "n").groupBy("shard").applyInPandas(run, "shard int, sizes array<long>, bits binary, digests binary, winners binary, counts binary")
@@ -97,7 +99,10 @@ def look_up(index: DataFrame, batch: DataFrame, n_shards: int) -> DataFrame:
         member = np.zeros(len(pdf), bool)
         if len(slots) and len(pdf):
             sizes = [int(x) for x in row["sizes"]]
-            slot = PerfectHash(sizes, np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: sum(sizes)].astype(bool)).slots(_keys(asked))
+            bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: sum(sizes)].astype(bool)
+            slot = PerfectHash(sizes, bits).slots(_keys(asked))
+            for i in range(int(bits.sum()), len(digests)):
+                slot[(asked == digests[i]).all(axis=1)] = i
             found = slot >= 0
             member[found] = (digests[slot[found]] == asked[found]).all(axis=1)  # every byte
             winners[slot[member]] = np.maximum(winners[slot[member]], winner[member])
@@ -134,18 +139,20 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
     Texts are equal when their bytes are; a missing one is empty. The largest doc_id stays; a missing
     doc_id counts as smaller than all. Of rows equal in doc_id and text one stays. Gives (doc_id,
-    keep_id, group_size, kept, text_sha256); other columns are not read.
+    keep_id, group_size, kept, text_sha256); other columns are not read. An empty table gives no rows.
     """
     rows = _keyed(docs).groupBy(F.col("__doc").alias("doc"), F.col("__digest").alias("digest")).agg(F.count("*").alias("m"))
     places = common.stage(rows, "places")
     found = places.join(verdicts(places).drop("historical"), "digest")
-    each = found.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("copy"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / PART_ROWS))).alias("part")
+    rest = F.least(F.col("m") - F.col("part") * PART_ROWS, F.lit(PART_ROWS))
+    each = found.select("*", part).select("*", F.explode(F.sequence(F.lit(1).cast("long"), rest)).alias("copy"))
     known = lambda c: F.nullif(F.col(c), F.lit(common.NO_ID))
-    return each.select(known("doc").alias("doc_id"), known("winner").alias("keep_id"), F.col("n").alias("group_size"), ((F.col("doc") == F.col("winner")) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return each.select(known("doc").alias("doc_id"), known("winner").alias("keep_id"), F.col("n").alias("group_size"), ((F.col("doc") == F.col("winner")) & (F.col("part") == 0) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they are."""
+    """The rows of ``docs`` that stay, all columns as they are. An empty table stays empty."""
     keyed = _keyed(docs)
     places = common.stage(keyed.groupBy(F.col("__doc").alias("doc"), F.col("__digest").alias("digest")).agg(F.count("*").alias("m")), "places")
     stay = verdicts(places).select(F.col("winner").alias("__doc"), F.col("digest").alias("__digest"))

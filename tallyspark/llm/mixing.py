@@ -50,26 +50,27 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     by size class and in it in pseudo-random order of doc_id; expected copies are summed up, one random
     offset is added, and a document is emitted once for each integer boundary its stretch crosses. Every
     run gives the same copies. Sources come in code-point order, a missing one last and a source of its
-    own. A missing text has size 0; rows equal in doc_id, size and text are interchangeable. A column of
-    ``docs`` that is named like a new one is replaced.
+    own. A missing text has size 0; rows without a doc_id stand by a hash of their text, and rows equal in
+    doc_id, size and text are interchangeable. A column of ``docs`` that is named like a new one is
+    replaced, all others stay. An empty table gives no rows.
     """
     base = docs.drop("size", "source_size", "target", "copies")
-    base = base.withColumns({"size": common.n_words(), "no_source": F.col("source").isNull(), "key": F.coalesce(F.col("source").cast("string"), F.lit(""))})
-    base = base.withColumns({"__cell": size_class(F.col("size")), "__fine": common.order_hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
-    by_source = base.groupBy("no_source", "key").agg(F.sum("size").alias("source_size"))
+    base = base.withColumns({"size": common.n_words(), "__no_source": F.col("source").isNull(), "__key": F.coalesce(F.col("source").cast("string"), F.lit(""))})
+    base = base.withColumns({"__cell": size_class(F.col("size")), "__fine": common.order_hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(common.whole_text())))})
+    by_source = base.groupBy(F.col("__no_source").alias("no_source"), F.col("__key").alias("key")).agg(F.sum("size").alias("source_size"))
     known = common.stage(targets(by_source), "targets")
-    ranked = numbered(base, ["no_source", "key"], "__cell", "__fine", ["size", F.xxhash64("text")] if "text" in base.columns else ["size"])
-    rows = ranked.join(known, ["no_source", "key"])
+    ranked = numbered(base, ["__no_source", "__key"], "__cell", "__fine", ["size", F.xxhash64("text")])
+    rows = ranked.join(known.withColumnsRenamed({"no_source": "__no_source", "key": "__key"}), ["__no_source", "__key"])
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(each)
     part = F.floor((each - whole) * _UNIT).cast("long")
-    offset = F.shiftright(common.order_hash(F.lit(seed), F.lit("offset"), F.col("no_source").cast("string"), F.col("key")), 32)
-    crossed = F.shiftright(offset + (F.col("rank") + 1) * part, 28) - F.shiftright(offset + F.col("rank") * part, 28)
-    return rows.withColumn("copies", whole + crossed).drop("no_source", "key", "__cell", "__fine", "rank")
+    offset = F.shiftright(common.order_hash(F.lit(seed), F.lit("offset"), F.col("__no_source").cast("string"), F.col("__key")), 32)
+    crossed = F.shiftright(offset + (F.col("__rank") + 1) * part, 28) - F.shiftright(offset + F.col("__rank") * part, 28)
+    return rows.withColumn("copies", whole + crossed).drop("__no_source", "__key", "__cell", "__fine", "__rank")
 
 
 def emit(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as the mix takes it, columns as they are."""
+    """The mixed corpus: each row of ``docs`` as often as the mix takes it, columns as they are. An empty table stays empty."""
     own = [c for c in ("doc_id", "source", "text") if c in docs.columns]
     rest = [c for c in docs.columns if c not in own]
     packed = docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest") if rest else F.lit(None).alias("__rest"))
@@ -98,7 +99,7 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER b, 0.0::DOUB
 v AS (SELECT *, first_value(CASE WHEN share * weight <= most THEN share END IGNORE NULLS) OVER (ORDER BY most / weight, no_source, key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS level FROM l),
 t AS (SELECT no_source, key, source_size, CASE WHEN level IS NULL THEN most ELSE least(level * weight, most) END AS target FROM v),
 h AS (SELECT *, CASE WHEN size < 8 THEN size ELSE length(bin(size)) * 8 + ((size >> (length(bin(size)) - 4)) & 7) END AS cell,
-             {_hash_sql(f"'{SEED}'", "coalesce(doc_id::VARCHAR, '')")} AS fine FROM d),
+             {_hash_sql(f"'{SEED}'", "coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))")} AS fine FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY no_source, key ORDER BY cell, fine, size) - 1 AS rank FROM h),
 j AS (SELECT r.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS each_,
              ({_hash_sql(f"'{SEED}'", "'offset'", "no_source::VARCHAR", "key")} >> 32) AS start_

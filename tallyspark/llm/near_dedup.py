@@ -247,7 +247,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     and its group has a missing component_id. Each row is a document of its own, also among rows with a
     missing doc_id or with the same one: two such rows are in one group if links lead from one text to the
     other. One row of each group is kept: of those with the smallest doc_id the one whose text has the
-    smallest hash. Other columns are not read.
+    smallest hash. An empty table gives no rows. Other columns are not read.
     """
     known = lambda c: F.nullif(F.col(c), F.lit(common.NO_ID))
     return near_groups(docs).select(known("id").alias("doc_id"), "n_shingles", known("component").alias("component_id"), "kept")
@@ -256,7 +256,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each group of ``docs``, the one that ``near_dedup`` keeps, all columns as they are.
 
-    Rows equal in doc_id and text differ in other columns only; a hash of these tells which one stays.
+    Rows equal in doc_id and text differ in other columns only; a hash of these tells which one stays. An
+    empty table stays empty.
     """
     id_, tie = keys()
     wordy = common.whole_text().rlike(r"[^\x20\x09-\x0D]")  # rows without words are linked with nothing

@@ -107,7 +107,8 @@ def nearest(rows: DataFrame, vector: str = "embedding", top: int = TOP, every: i
 
     Rows without an id, and vectors that are missing, all 0, or hold a missing or non-finite component take
     no part; vectors of another dimension than the query's are no candidates. Rows that repeat a vec_id are
-    one candidate, and one query answered by their best candidates. Other columns are not read.
+    one candidate, and one query answered by their best candidates. Other columns are not read. An empty
+    table gives no rows.
     """
     valid = common.stage(usable(rows, vector).dropDuplicates(["vec_id", "v"]), "vectors")
     turn = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))

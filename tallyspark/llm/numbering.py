@@ -12,7 +12,7 @@ BLOCK_ROWS = 20_000
 
 
 def numbered(df: DataFrame, part: list[str], coarse: str, fine: str, ties: list[str], count_from: DataFrame | None = None) -> DataFrame:
-    """``df`` with ``rank``: 0, 1, ... within ``part`` by (coarse, fine, ties).
+    """``df`` with ``__rank``: 0, 1, ... within ``part`` by (coarse, fine, ties).
 
     ``fine`` is a 60-bit number spread evenly within (part, coarse), such as ``common.order_hash``. A
     (part, coarse) cell with many rows is cut into blocks by ranges of ``fine``; blocks are numbered on
@@ -31,4 +31,4 @@ def numbered(df: DataFrame, part: list[str], coarse: str, fine: str, ties: list[
     before = F.sum("__n").over(Window.partitionBy(*part).orderBy(coarse, "__block").rowsBetween(Window.unboundedPreceding, -1))
     starts = common.stage(sizes.select(*keys, F.coalesce(before, F.lit(0)).alias("__before")), "starts")
     own = F.row_number().over(Window.partitionBy(*keys).orderBy(fine, *ties)) - 1
-    return cut(df).withColumn("__own", own).join(starts, keys).withColumn("rank", F.col("__before") + F.col("__own")).drop("__blocks", "__block", "__own", "__before")
+    return cut(df).withColumn("__own", own).join(starts, keys).withColumn("__rank", F.col("__before") + F.col("__own")).drop("__blocks", "__block", "__own", "__before")

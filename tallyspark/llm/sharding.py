@@ -129,15 +129,15 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     Gives (doc_id, size, text_crc32, law, shard, slot, grown_shard). Size is the text's UTF-8 bytes plus 1;
     a missing text counts as empty, is grouped with empty ones and has size 1. Slots count the rows of a shard from 0 without
     gaps. grown_shard belongs to another law and is null. Fewer groups than shards leave shards empty.
-    Rows with equal doc_id and text are interchangeable; other columns are not read.
+    Rows with equal doc_id and text are interchangeable; other columns are not read. An empty table gives no rows.
     """
     text = common.whole_text()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("key"))
     rows = common.stage(rows, "sizes")
     number = reduce(lambda a, b: a + b, [(F.col("key") >= b).cast("int") for b in boundaries(rows.select("key", "size"), shards)], F.lit(0))
-    cell, fine = F.conv(F.substring("key", 1, DIGITS), 16, 10).cast("int"), common.order_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    cell, fine = F.conv(F.substring("key", 1, DIGITS), 16, 10).cast("int"), common.order_hash(F.coalesce(F.col("doc_id").cast("string"), F.col("key")))
     placed = numbered(rows.withColumns({"shard": number, "__cell": cell, "__fine": fine}), ["shard"], "__cell", "__fine", ["key", "doc_id"])
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("rank").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("__rank").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,8 @@ def substring_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = Tr
     other. An empty table gives no rows. Other columns of ``docs`` are not read.
     """
     length = spec.length
-    marks = windows.found_places(docs, spec, lambda bodies, held: shared_windows(bodies, held, length), part_tokens)
+    rows = windows.Texts(docs)
+    marks = windows.found_places(rows, spec, lambda bodies, held: shared_windows(bodies, held, length), part_tokens)
 
     def run(batches):
         for batch in common.slices(batches, "body"):
@@ -70,7 +71,7 @@ def substring_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = Tr
                 cols = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(names.index("doc_id")), *cols], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return windows.marked(docs, marks).select("doc_id", "body", "marks").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return windows.marked(rows, marks).select("doc_id", "body", "marks").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyspark.llm import bwt, common, tokens, windows
 
@@ -47,19 +46,6 @@ def later_windows(bodies: list[np.ndarray], held: windows.Held, length: int) ->
     return row, start - offsets[row], n, windows.all_true(often, at, held.n)
 
 
-def _rows(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows of ``windows.marked`` with ``again``: true in all but one of the rows that agree in doc_id and text."""
-    once = docs.select(*windows.doc_key()).groupBy("doc", "tie").agg(F.count("*").alias("c")).filter("c > 1").select("doc", "tie")
-    once = common.stage(once, "rows-again")
-    full = windows.marked(docs, marks)
-    if once.isEmpty():
-        return full.withColumn("again", F.lit(False))
-    same = common.stage(full.join(once, ["doc", "tie"], "left_semi").withColumn("row", F.monotonically_increasing_id()), "same-rows")
-    head = same.groupBy("doc", "tie").agg(F.min("row").alias("head"))
-    later = same.join(head, ["doc", "tie"]).withColumn("again", F.col("row") > F.col("head")).drop("row", "head")
-    return full.join(once, ["doc", "tie"], "left_anti").withColumn("again", F.lit(False)).unionByName(later)
-
-
 def suffix_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = True, part_tokens: int = windows.PART_TOKENS) -> DataFrame:
     """Bytes of each text that remain once every byte covered by an earlier-standing window is gone.
 
@@ -70,7 +56,8 @@ def suffix_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = True,
     ``docs`` are not read.
     """
     length = spec.length
-    marks = windows.found_places(docs, spec, lambda bodies, held: later_windows(bodies, held, length), part_tokens)
+    rows = windows.Texts(docs)
+    marks = windows.found_places(rows, spec, lambda bodies, held: later_windows(bodies, held, length), part_tokens)
 
     def run(batches):
         for batch in common.slices(batches, "body"):
@@ -86,7 +73,7 @@ def suffix_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = True,
                 cols = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(names.index("doc_id")), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return _rows(docs, marks).select("doc_id", "body", "marks", "again").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return windows.marked(rows, marks).select("doc_id", "body", "marks", "again").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

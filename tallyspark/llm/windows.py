@@ -125,9 +125,28 @@ def doc_key() -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)).alias("doc"), F.xxhash64(common.whole_text()).alias("tie")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc, tie, body) of documents: the key inside the operators and the whole text as UTF-8."""
-    return docs.select(*doc_key(), common.whole_text().cast("binary").alias("body"))
+class Texts:
+    """Documents by key, with those apart that share doc_id and text with another row: ``repeated`` (staged) or None."""
+
+    def __init__(self, docs: DataFrame):
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *doc_key(), common.whole_text().cast("binary").alias("body"))
+        more = docs.select(*doc_key()).groupBy("doc", "tie").agg(F.count("*").alias("c")).filter("c > 1").select("doc", "tie")
+        more = common.stage(more, "repeated-keys")
+        self.rows, self.repeated = rows, None
+        if not more.isEmpty():
+            same = common.stage(rows.join(more, ["doc", "tie"], "left_semi").withColumn("row", F.monotonically_increasing_id()), "repeated-rows")
+            head = same.groupBy("doc", "tie").agg(F.min("row").alias("head"))
+            self.rows = rows.join(more, ["doc", "tie"], "left_anti")
+            self.repeated = same.join(head, ["doc", "tie"]).withColumn("again", F.col("row") > F.col("head"))
+
+    def every(self) -> DataFrame:
+        """(doc_id, doc, tie, body, again) of every row: again is false in one row of each key."""
+        rows = self.rows.withColumn("again", F.lit(False))
+        return rows if self.repeated is None else rows.unionByName(self.repeated.select(rows.columns))
+
+    def once(self) -> DataFrame:
+        """(doc, tie, body), one row of each key."""
+        return self.every().filter("not again").select("doc", "tie", "body")
 
 
 def place() -> Column:
@@ -140,7 +159,7 @@ def _wanted(groups: DataFrame) -> DataFrame:
     return groups.groupBy("first.doc", "first.tie").agg(F.collect_list(cell).alias("wanted"))
 
 
-def _windows_of(docs: DataFrame, groups: DataFrame, spec: Spec) -> DataFrame:
+def _windows_of(docs: Texts, groups: DataFrame, spec: Spec) -> DataFrame:
     """(m, doc, tie, start, c): a row for each window of the representatives, m its digest."""
 
     def run(batches):
@@ -157,7 +176,7 @@ def _windows_of(docs: DataFrame, groups: DataFrame, spec: Spec) -> DataFrame:
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), doc.take(at), tie.take(at), pa.array(start), pa.array(np.where(copied, 2, 1))], names=["m", "doc", "tie", "start", "c"])
 
-    return keyed(docs).join(_wanted(groups), ["doc", "tie"]).mapInArrow(run, "m long, doc long, tie long, start long, c long")
+    return docs.once().join(_wanted(groups), ["doc", "tie"]).mapInArrow(run, "m long, doc long, tie long, start long, c long")
 
 
 def _extract(rows: DataFrame, spec: Spec) -> DataFrame:
@@ -202,12 +221,12 @@ def _dealt(groups: DataFrame, length: int, part_tokens: int) -> tuple[DataFrame,
     return dealt, total
 
 
-def found_places(docs: DataFrame, spec: Spec, find: Callable, part_tokens: int = PART_TOKENS) -> DataFrame:
+def found_places(docs: Texts, spec: Spec, find: Callable, part_tokens: int = PART_TOKENS) -> DataFrame:
     """(doc, tie, start, n): runs of windows that ``find`` reports, staged; see ``in_shards`` for ``find``.
 
     Copies of a representative are reported wherever ``find`` confirms it; whether its own place is, ``find`` says.
     """
-    every = common.stage(segments(keyed(docs), spec), "segments")
+    every = common.stage(segments(docs.every(), spec), "segments")
     often = every.groupBy("m").agg(F.count("*").alias("c"), F.min(F.struct("doc", "tie")).alias("home")).filter("c > 1").select("m", F.xxhash64("home.doc", "home.tie").alias("home"))
     some = common.stage(every.join(common.stage(often, "often"), "m"), "repeated")
     common.release(every)
@@ -225,7 +244,7 @@ def found_places(docs: DataFrame, spec: Spec, find: Callable, part_tokens: int =
         calm = calm.select(alone.columns).unionByName(alone)
     n_shards = max(1, -(-total // SHARD_TOKENS))
     wanted = _wanted(calm.withColumn("shard", F.pmod("part", F.lit(n_shards)).cast("int")))
-    contents = common.stage(_extract(keyed(docs).join(wanted, ["doc", "tie"]), spec), "contents")
+    contents = common.stage(_extract(docs.once().join(wanted, ["doc", "tie"]), spec), "contents")
     found = common.stage(in_shards(contents, spec, find, n_shards), "found")
     own = found.filter("m is null").select("doc", "tie", "start", "n")
     sure = found.filter("m is not null").select("m", "d", place().alias("first"))
@@ -278,11 +297,10 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turns[0::2], turns[1::2] - turns[0::2]
 
 
-def marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Every document row with the list ``marks`` of its (start, n) window runs, or null: doc_id and keyed columns."""
+def marked(docs: Texts, marks: DataFrame) -> DataFrame:
+    """Every document row with the list ``marks`` of its (start, n) window runs, or null."""
     lists = marks.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *doc_key(), common.whole_text().cast("binary").alias("body"))
-    return full.join(lists, ["doc", "tie"], "left")
+    return docs.every().join(lists, ["doc", "tie"], "left")
 
 
 def covered(n_tokens: int, marks, length: int) -> np.ndarray:

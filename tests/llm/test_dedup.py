@@ -59,17 +59,65 @@ def test_suffix_dedup(spark, part):
 def test_substring_dedup(spark, part):
     texts = planted(2)
     spec = windows.Spec(length=12, gram=4, words=True)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(frame(spark, texts), spec, part_tokens=part).collect()}
+    assert got == brute_words(texts, 12)
+
+
+def test_window_dedup_as_registered(spark):
+    """100 bytes and 35 words; passages that many texts share, at different places."""
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    passages = [[r.choice(words) for _ in range(n)] for n in (34, 35, 36, 60, 200)]
+    texts = []
+    for i in range(60):
+        parts = [[r.choice(words) for _ in range(r.randrange(5, 90))] for _ in range(3)]
+        for p in r.sample(passages, 2):
+            parts.insert(r.randrange(4), p)
+        texts.append(" ".join(w for p in parts for w in p))
+    texts += [texts[0], texts[1][7:], "é" * 49 + "xy", "é" * 50, "é" * 51, None, ""]
+    rows = list(enumerate(texts))
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.suffix_dedup(frame(spark, texts)).collect()}
+    assert got == brute_bytes(rows, 100)
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring_dedup.substring_dedup(frame(spark, texts)).collect()}
+    assert got == brute_words(texts, 35)
+
+
+def test_rows_equal_in_doc_id_and_text(spark):
+    r = random.Random(22)
+    text = " ".join(f"w{r.randrange(500)}" for _ in range(80))
+    rows = frame(spark, [text, text, text, text + " tail", "short", "short"], [None, None, None, 5, None, None])
+    got = sorted((x["doc_id"] or 0, x["n_bytes"] - x["n_removed"]) for x in suffix_dedup.suffix_dedup(rows).collect())
+    assert got == [(0, 0), (0, 0), (0, 5), (0, 5), (0, len(text)), (5, 5)]
+    got = sorted((x["doc_id"] or 0, x["n_words"] - x["n_removed"]) for x in substring_dedup.substring_dedup(rows).collect())
+    assert got == [(0, 0), (0, 0), (0, 0), (0, 1), (0, 1), (5, 1)]
+
+
+def test_words_that_a_polynomial_takes_as_equal(spark):
+    """Thue-Morse words over two letters, and runs of such words."""
+    morse = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[x ^ flip] for x in morse) for flip in (0, 1))
+    got = near_dedup.near_dedup(frame(spark, [one, other])).collect()
+    assert sorted((x["doc_id"], x["component_id"]) for x in got) == [(0, 0), (1, 1)]
+    tail = " ".join(f"t{i}" for i in range(40))
+    got = substring_dedup.substring_dedup(frame(spark, [f"{one} {tail}", f"{other} {tail}"])).collect()
+    assert [x["n_removed"] for x in got] == [40, 40]
+    long, rest = (" ".join(f"w{x ^ flip}" for x in morse) for flip in (0, 1))
+    want = brute_words([long, rest], 35)
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring_dedup.substring_dedup(frame(spark, [long, rest])).collect()} == want
+
+
+def brute_words(texts, length):
+    """(n, removed, sha) of each text."""
     words = [WORD.findall(t or "") for t in texts]
-    count = Counter(tuple(w[i : i + 12]) for w in words for i in range(len(w) - 11))
+    count = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
     want = {}
     for d, w in enumerate(words):
         gone = [False] * len(w)
-        for i in range(len(w) - 11):
-            if count[tuple(w[i : i + 12])] > 1:
-                gone[i : i + 12] = [True] * 12
+        for i in range(len(w) - length + 1):
+            if count[tuple(w[i : i + length])] > 1:
+                gone[i : i + length] = [True] * length
         want[d] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest())
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(frame(spark, texts), spec, part_tokens=part).collect()}
-    assert got == want
+    return want
 
 
 def test_window_dedup_edges(spark):
@@ -88,7 +136,22 @@ def test_exact_dedup(spark):
     assert got == [(-1, 7, 3, False), (1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True), (4, 4, 1, True), (5, 7, 3, False), (7, 7, 3, True), (9, 9, 2, False), (9, 9, 2, True)]
     kept = sorted(r["doc_id"] for r in exact_dedup.drop_copies(frame(spark, texts, ids)).collect())
     assert kept == [2, 3, 4, 7, 9]
-    assert exact_dedup.exact_dedup(frame(spark, []).limit(0)).count() == 0
+    assert exact_dedup.exact_dedup(frame(spark, []).limit(0)).count() == exact_dedup.drop_copies(frame(spark, []).limit(0)).count() == 0
+
+
+def test_exact_dedup_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "PART_ROWS", 7)
+    rows = frame(spark, [""] * 50 + ["x"] * 14 + [None], [None] * 50 + [3] * 14 + [None])
+    got = exact_dedup.exact_dedup(rows).collect()
+    assert Counter((x["doc_id"], x["keep_id"], x["group_size"], x["kept"]) for x in got) == {(None, None, 51, False): 50, (None, None, 51, True): 1, (3, 3, 14, False): 13, (3, 3, 14, True): 1}
+
+
+def test_digests_that_agree_in_64_bits(spark):
+    digests = [bytes(8) + b"k" * 8 + bytes([i]) * 16 for i in range(6)]
+    table = spark.createDataFrame([(d, i, 1) for i, d in enumerate(digests[:4])], "digest binary, winner long, n long")
+    asked = spark.createDataFrame([(d, 10 + i, 2) for i, d in enumerate(digests)], "digest binary, winner long, n long")
+    got = exact_dedup.look_up(exact_dedup.build_index(table, 1), asked, 1).collect()
+    assert sorted((x["digest"][-1], x["winner"], x["n"], x["historical"]) for x in got) == [*((i, 10 + i, 3, True) for i in range(4)), (4, 14, 2, False), (5, 15, 2, False)]
 
 
 def test_perfect_hash_is_minimal():
@@ -145,7 +208,7 @@ def test_near_dedup_finds_every_link(spark, monkeypatch):
 
 
 def test_near_dedup_edges(spark):
-    assert near_dedup.near_dedup(frame(spark, []).limit(0)).count() == 0
+    assert near_dedup.near_dedup(frame(spark, []).limit(0)).count() == near_dedup.drop_near_copies(frame(spark, []).limit(0)).count() == 0
     rows = frame(spark, ["same words in this text here", "same words in this text here", "other", None], [None, 4, 4, 8])
     got = sorted(((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in near_dedup.near_dedup(rows).collect()))
     assert got == [(-1, -1, True), (4, -1, False), (4, 4, True), (8, 8, True)]
