@@ -44,24 +44,48 @@ def contract_minimums(counts: DataFrame, minimums: dict[str, int]) -> DataFrame:
 def cycle_nodes(edges: DataFrame) -> DataFrame:
     """(id): nodes of (src, dst) edges that lie on a cycle.
 
-    Nodes without a way in or a way out are stripped until none is left; whether what remains comes back to
-    itself is then followed edge by edge. The remainder of a sound catalog is empty.
+    Nodes without a way in or a way out are stripped until none is left; the remainder of a sound catalog is
+    empty. Where as many edges as nodes are left, they are plain cycles. Otherwise each node gets the smallest
+    id that reaches it, and what reaches back to that id among the nodes of its label is strongly connected
+    with it. These nodes are taken out, and the rest goes on. Tables never grow beyond the edges.
     """
-    now = cut(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
-    size = now.count()
+    now, found = cut(edges.select("src", "dst").filter("src is not null and dst is not null").distinct()), []
     while True:
+        now, size = _stripped(now)
+        nodes = cut(now.select(F.col("src").alias("id")).distinct())
+        if size == nodes.count():
+            return reduce(DataFrame.union, [*found, nodes])
+        label = _least_reaching(now, nodes)
+        of = lambda side, name: label.select(F.col("id").alias(side), F.col("label").alias(name))  # noqa: E731, B023
+        inner = cut(now.join(of("src", "label"), "src").join(of("dst", "other"), "dst").filter("label = other").select("src", "dst"))
+        back = fresh = cut(label.filter("id = label").select("id"))
+        while not fresh.isEmpty():
+            fresh = cut(inner.join(fresh.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id")).distinct().join(back, "id", "left_anti"))
+            back = cut(back.union(fresh))
+        ends = lambda df, how: df.join(back.withColumnRenamed("id", "src"), "src", how).join(back.withColumnRenamed("id", "dst"), "dst", how)  # noqa: E731, B023
+        found.append(cut(ends(inner, "left_semi").select(F.col("src").alias("id")).distinct()))
+        now = cut(ends(now, "left_anti").select("src", "dst"))
+
+
+def _stripped(now: DataFrame) -> tuple[DataFrame, int]:
+    """Edges between nodes that all have a way in and a way out, and how many there are."""
+    left, size = -1, now.count()
+    while left != size:
         inner = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        inner = cut(inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        left, size = size, inner.count()
-        now = inner
-        if size == left:
-            break
-    reach = fresh = now
-    while not fresh.isEmpty():
-        longer = fresh.join(now.select(F.col("src").alias("dst"), F.col("dst").alias("then")), "dst").select("src", F.col("then").alias("dst")).distinct()
-        fresh = cut(longer.join(reach, ["src", "dst"], "left_anti"))
-        reach = cut(reach.union(fresh))
-    return reach.filter("src = dst").select(F.col("src").alias("id")).distinct()
+        now = cut(inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        left, size = size, now.count()
+    return now, size
+
+
+def _least_reaching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, label): the smallest id among a node and all that reach it."""
+    label = nodes.withColumn("label", F.col("id"))
+    while True:
+        offer = edges.join(label.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("offer"))
+        moved = cut(label.join(offer, "id").select("id", F.least("label", "offer").alias("label"), (F.col("offer") < F.col("label")).alias("moved")))
+        label = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            return label
 
 
 def path_steps(groups: DataFrame) -> DataFrame:

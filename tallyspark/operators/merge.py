@@ -32,6 +32,14 @@ def guarded_upsert(target: DataFrame, source: DataFrame, key: str, version: str,
     return t.join(s, key, "full_outer").select(key, chosen.alias("r")).select(key, "r.*").select(*target.columns)
 
 
+def apply_resolved(target: DataFrame, source: DataFrame, key: str, version: str, quantities: list[str], strict: bool = True) -> DataFrame:
+    """``guarded_upsert`` of resolved rows: rows of one version agree if their quantities do, whatever else they carry.
+
+    The target's row stays then; ``source`` must have the target's columns.
+    """
+    return guarded_upsert(target, source, key, version, quantities, strict)
+
+
 def sequence_conflicts(rows: DataFrame, key: str, payload: list[str]) -> DataFrame:
     """Ids of immutable records that come with different payloads."""
     text = F.to_json(F.struct(*payload), {"ignoreNullFields": "false"})

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 
+#: Of percentiles of large groups.
+ACCURACY = 100_000
+
+
 def over(order: list[str], by: list[str] | None = None) -> WindowSpec:
     """A window by columns, in an order such as ["a desc", "b"]."""
     keys = [F.desc(c[:-5]) if c.endswith(" desc") else F.asc(c) for c in order]
@@ -28,10 +32,14 @@ def metric_contract(rows: DataFrame) -> DataFrame:
 
 
 def tail_objective(rows: DataFrame, by: str, value: str, threshold: float, share: float) -> DataFrame:
-    """Share under a threshold, median and tail percentile by group, and whether the objective is met."""
+    """Share under a threshold, median and tail percentile by group, and whether the objective is met.
+
+    Percentiles are values of the group whose rank is off by 1/ACCURACY of the group at most (exact up to
+    ACCURACY / 2 rows): a group of any size is summarised in bounded memory, on the map side already.
+    """
     under = F.count_if(F.col(value) < threshold).cast("double") / F.count("*").cast("double")
-    exact = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-    return rows.groupBy(by).agg(under.alias("share_under"), exact(0.5).alias("median"), exact(share).alias("tail")).withColumn("met", F.col("share_under") >= share)
+    at = lambda p: F.percentile_approx(value, p, ACCURACY)
+    return rows.groupBy(by).agg(under.alias("share_under"), at(0.5).alias("median"), at(share).alias("tail")).withColumn("met", F.col("share_under") >= share)
 
 
 def latency_attribution(before: DataFrame, after: DataFrame, key: str, parts: list[str]) -> DataFrame:
@@ -66,11 +74,11 @@ def as_of(rows: DataFrame, publications: DataFrame, snapshot: str, publication:
 def point_in_time(events: DataFrame, entity: str, at: str, event: str, predict: str, feature: str, outcome: str, horizon: int) -> DataFrame:
     """A row per prediction event: the entity's last feature value known then, and whether the outcome follows in time.
 
-    One ordered pass per entity: the last feature at or before and the first outcome after an event are running
-    values of the entity's timeline, so no pairs of events are made.
+    The last feature at or before an event is a running value of the entity's timeline, and the first outcome
+    after it one of the timeline read backward: two ordered passes, no pairs of events.
     """
     past = Window.partitionBy(entity).orderBy(at, F.col("kind"), event).rowsBetween(Window.unboundedPreceding, 0)
-    later = Window.partitionBy(entity).orderBy(at).rangeBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(entity).orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, -1)
     kind = F.when(F.col("event_type") == feature, 0).when(F.col("event_type") == predict, 1).when(F.col("event_type") == outcome, 2)
     line = events.select(entity, F.unix_micros(F.col(at).cast("timestamp")).alias(at), event, "event_type", F.col("value").alias("v")).withColumn("kind", kind).filter("kind is not null")
     known = F.last(F.when(F.col("kind") == 0, F.col("v")), ignorenulls=True).over(past)

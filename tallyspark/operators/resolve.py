@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.iterate import cut
 from tallyspark.functions.rules import Rule, delivery_rules, nonblank, positive_int, reasons
 
 
@@ -59,6 +60,12 @@ class Resolution:
         return self.events.filter("conflict").select(self.policy.event, "deliveries")
 
     def revision_conflicts(self) -> DataFrame:
+        """(key, version, payloads): contradicted revisions and how many different quantities they came with."""
+        p = self.policy
+        split = self.split_revisions()
+        return self.rows.join(split, [p.key, p.version], "left_semi").groupBy(p.key, p.version).agg(F.count_distinct(F.struct(*p.quantities)).alias("payloads"))
+
+    def split_revisions(self) -> DataFrame:
         return self.revisions.filter("conflict").select(self.policy.key, self.policy.version)
 
     def unresolved(self) -> DataFrame:
@@ -76,12 +83,9 @@ class Resolution:
 
     def gate(self) -> DataFrame:
         """One row: counts of the three kinds of doubt, and whether the state may be published."""
-        counts = [
-            self.events.agg(F.count_if(F.expr("conflict")).alias("event_conflicts")),
-            self.revisions.agg(F.count_if(F.expr("conflict")).alias("revision_conflicts")),
-            self.keys.agg(F.count_if(F.expr("blocked")).alias("unresolved_keys")),
-        ]
-        one = reduce(lambda a, b: a.crossJoin(b), counts)  # three global aggregates of one row each
+        events = self.events.agg(F.count_if(F.expr("conflict")).alias("event_conflicts"))
+        keys = self.keys.agg(F.coalesce(F.sum("split_revisions"), F.lit(0)).alias("revision_conflicts"), F.count_if(F.expr("blocked")).alias("unresolved_keys"))
+        one = events.crossJoin(keys)  # one row each
         return one.withColumn("publication_allowed", F.expr("event_conflicts = 0 and revision_conflicts = 0 and unresolved_keys = 0"))
 
 
@@ -114,6 +118,7 @@ def resolve(raw: DataFrame, policy: Policy = Policy()) -> Resolution:
         F.bool_or("any_valid").alias("known"),
         F.bool_or(F.col(p.version).isNull()).alias("unordered"),
         F.bool_or(F.col("event_conflict") | F.col("conflict")).alias("contradicted"),
+        F.count_if(F.expr(f"conflict and {p.version} is not null")).alias("split_revisions"),
     )
     invalid_latest = F.col("known") & ~F.col("top.all_valid")
     unordered = F.col("known") & F.col("unordered")
@@ -142,7 +147,7 @@ def conflict_arrivals(raw: DataFrame, policy: Policy = Policy(), arrival: str =
     found = resolve(raw, p)
     event = raw.join(found.event_conflicts().select(p.event), p.event).select(F.lit("event_id").alias("kind"), F.col(p.event).cast("string").alias("identity"), arrival)
     pair = F.concat_ws("@", F.col(p.key), F.col(p.version))
-    revision = raw.join(found.revision_conflicts(), [p.key, p.version]).select(F.lit("key_version").alias("kind"), pair.alias("identity"), arrival)
+    revision = raw.join(found.split_revisions(), [p.key, p.version]).select(F.lit("key_version").alias("kind"), pair.alias("identity"), arrival)
     return event.unionByName(revision)
 
 
@@ -165,31 +170,30 @@ def classify_arrivals(raw: DataFrame, policy: Policy = Policy(), arrival: str =
     older_revision: the key has a higher version; correction: a version that replaces a lower one; first_evidence.
     """
     p = policy
-    found = resolve(raw, p)
-    firsts = raw.groupBy(p.event, *p.payload).agg(F.min(arrival).alias("first_seq"))
-    pairs = firsts.groupBy(p.key, p.version).agg(F.min("first_seq").alias("pair_seq"))
-    spread = found.revisions.groupBy(p.key).agg(F.max(p.version).alias("high"), F.min(p.version).alias("low"))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (p.event, *p.payload)]
-    rows = raw.alias("r").join(firsts.alias("f"), reduce(lambda a, b: a & b, same), "left").select("r.*", "f.first_seq")
-    rows = rows.join(pairs, [p.key, p.version], "left").join(spread, p.key, "left")
-    rows = rows.join(found.event_conflicts().select(p.event, F.lit(True).alias("ec")), p.event, "left")
-    rows = rows.join(found.revision_conflicts().withColumn("rc", F.lit(True)), [p.key, p.version], "left")
+    key, version = F.col(p.key), F.col(p.version)
+    one = cut(raw.groupBy(p.event, *p.payload).agg(F.min(arrival).alias("first_seq")))  # the different deliveries
+    events = one.filter(nonblank(F.col(p.event))).groupBy(p.event).agg(disagree(p.payload).alias("ec")).filter("ec")
+    pairs = one.groupBy(p.key, p.version).agg(F.min("first_seq").alias("pair_seq"), (nonblank(key) & positive_int(version) & disagree(p.quantities)).alias("rc"))
+    spread = pairs.filter(positive_int(version)).groupBy(p.key).agg(F.max(p.version).alias("high"), F.min(p.version).alias("low"))
+    rows = one.join(pairs, [p.key, p.version], "left").join(spread, p.key, "left").join(events, p.event, "left")
     label = (
-        F.when(F.col(arrival) > F.col("first_seq"), "identical_delivery")
-        .when(F.col("ec") | F.col("rc"), "conflict")
-        .when(~positive_int(F.col(p.version)), "unresolved_ordering")
+        F.when(F.col("ec") | F.col("rc"), "conflict")
+        .when(~positive_int(version), "unresolved_ordering")
         .when(F.col("first_seq") > F.col("pair_seq"), "redundant_evidence")
-        .when(F.col(p.version) < F.col("high"), "older_revision")
-        .when(F.col(p.version) > F.col("low"), "correction")
+        .when(version < F.col("high"), "older_revision")
+        .when(version > F.col("low"), "correction")
         .otherwise("first_evidence")
     )
-    return rows.select(arrival, label.alias("label"))
+    delivery = F.struct(p.event, *p.payload).alias("delivery")  # as one value, missing parts are equal
+    labelled = rows.select(delivery, "first_seq", label.alias("label"))
+    found = raw.select(delivery, arrival).join(labelled, "delivery")
+    return found.select(arrival, F.when(F.col(arrival) > F.col("first_seq"), "identical_delivery").otherwise(F.col("label")).alias("label"))
 
 
-def coverage(found: Resolution, raw: DataFrame) -> DataFrame:
-    """One row: arrivals, distinct deliveries, quarantined, valid, accepted keys, excluded keys."""
+def coverage(found: Resolution, raw: DataFrame | None = None) -> DataFrame:
+    """One row: arrivals (if ``raw`` is given), distinct deliveries, quarantined, valid, accepted, excluded and withheld keys."""
     counts = [
-        raw.agg(F.count("*").alias("raw")),
+        *([raw.agg(F.count("*").alias("raw"))] if raw is not None else []),
         found.rows.agg(F.count("*").alias("distinct"), F.count_if(~F.col("valid")).alias("quarantined"), F.count_if(F.expr("valid")).alias("valid")),
         found.keys.agg(F.count_if(F.expr("known and not blocked")).alias("accepted"), F.count_if(F.expr("not known and not blocked")).alias("excluded"), F.count_if(F.expr("blocked")).alias("withheld")),
     ]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import rules
 from tallyspark.operators import catalog as C
 from tallyspark.plans.register import registry
+from tallyspark.plans import views as V
 from tallyspark.plans.views import table
 
 QUERIES, SQL, query = registry()
@@ -149,9 +150,10 @@ def known_ids(spark, sf_dir):
 
 @query("collect_all_ids", "SELECT 'region' AS kind, r_regionkey::VARCHAR AS id FROM region UNION SELECT 'nation', n_nationkey::VARCHAR FROM nation UNION SELECT 'customer', c_custkey::VARCHAR FROM customer")
 def collect_all_ids(spark, sf_dir):
-    """Ids at every depth of nested region documents (region, its nations, their customers)."""
-    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("id"))).alias("customers"))
-    n = table(spark, sf_dir, "nation").join(c, "n_nationkey", "left").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list(F.struct(F.col("n_nationkey").cast("string").alias("id"), "customers")).alias("nations"))
+    """Ids at every depth of nested region documents (region, its nations, their customers), several for a nation of many."""
+    customers = V.in_parts(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey")
+    c = customers.groupBy(F.col("c_nationkey").alias("n_nationkey"), "part").agg(F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("id"))).alias("customers"))
+    n = table(spark, sf_dir, "nation").join(c, "n_nationkey", "left").groupBy(F.col("n_regionkey").alias("r_regionkey"), "part").agg(F.collect_list(F.struct(F.col("n_nationkey").cast("string").alias("id"), "customers")).alias("nations"))
     docs = table(spark, sf_dir, "region").join(n, "r_regionkey", "left")
     inner = docs.select(F.explode("nations").alias("n"))
     levels = [docs.select(F.lit("region").alias("kind"), F.col("r_regionkey").cast("string").alias("id")), inner.select(F.lit("nation").alias("kind"), F.col("n.id").alias("id")), inner.select(F.explode("n.customers").alias("c")).select(F.lit("customer").alias("kind"), F.col("c.id").alias("id"))]
@@ -278,8 +280,8 @@ def payload_bound(spark, sf_dir):
 def table_shape_rule(spark, sf_dir):
     """Tables (orders) with a row (line) of more cells than the five columns."""
     cells = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(5), F.col("l_linenumber"))), lambda i: i.cast("string"))
-    tables = table(spark, sf_dir, "lineitem").select("l_orderkey", cells.alias("row")).groupBy("l_orderkey").agg(F.collect_list("row").alias("cells"))
-    return tables.filter(F.exists("cells", lambda r: F.size(r) != 5)).select("l_orderkey", F.size("cells").cast("long").alias("rows"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.size(cells) != 5).alias("wrong"))
+    return rows.groupBy("l_orderkey").agg(F.count("*").alias("rows"), F.bool_or("wrong").alias("wrong")).filter("wrong").drop("wrong")
 
 
 @query("section_assignment_audit", "WITH m AS (SELECT conv_id, turn % 3 AS section FROM conversations), d AS (SELECT DISTINCT conv_id, unnest([0, 1]) AS section FROM conversations), u AS (SELECT conv_id, section, 'repeated_marker' AS problem FROM m GROUP BY 1, 2 HAVING count(*) > 1) SELECT * FROM u UNION ALL SELECT DISTINCT conv_id, section, 'undeclared_section' FROM m WHERE (conv_id, section) NOT IN (SELECT (conv_id, section) FROM d) UNION ALL SELECT conv_id, section, 'missing_marker' FROM d WHERE (conv_id, section) NOT IN (SELECT (conv_id, section) FROM m)")

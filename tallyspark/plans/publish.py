@@ -1,7 +1,8 @@
 """Restartable publication: retained raw, resolved state, snapshot, publication record, effect.
 
-All state is Parquet under one root: ``raw/batch_id=…``, ``snapshots/snapshot_id=…``, ``publications``,
-``outbox``. A snapshot's id comes from its content, and every step first asks whether it has been done, so
+All state is Parquet under one root: ``raw/batch_id=…``, ``snapshots/snapshot_id=…/<relation>``,
+``publications``, ``outbox``. A snapshot is the accepted state with its totals, the excluded keys and the
+coverage; its id comes from the content of all four, so that a change in any of them is published. Every step first asks whether it has been done, so
 running again after a failure at any point ends in the same state with one effect per snapshot. One writer
 is assumed. A publication record is written last; readers go through it.
 """
@@ -9,6 +10,7 @@ is assumed. A publication record is written last; readers go through it.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +36,20 @@ def content_id(rows: DataFrame, buckets: int = 256) -> DataFrame:
     return sums.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ","), 256).alias("content_id"))
 
 
+def snapshot_of(found: R.Resolution) -> dict[str, DataFrame]:
+    """The relations of a snapshot. Repeated arrivals change none of them."""
+    return {"accepted": found.accepted(), "totals": found.totals(), "excluded": found.excluded(), "coverage": R.coverage(found)}
+
+
+def snapshot_id(relations: dict[str, DataFrame]) -> DataFrame:
+    """One row: the content id of all relations together."""
+    parts = [content_id(rows).select(F.concat(F.lit(f"{name}:"), "content_id").alias("part")) for name, rows in sorted(relations.items())]
+    return reduce(DataFrame.union, parts).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("part")), ","), 256).alias("content_id"))
+
+
 @dataclass
 class Pipeline:
-    """``fail_after`` is a test hook: a step name after which ``run`` raises."""
+    """``fail_after`` is a test hook: a step name after which ``ingest`` or ``recover`` raises."""
 
     spark: SparkSession
     root: str
@@ -64,20 +77,23 @@ class Pipeline:
             raise RuntimeError(fail_after)
         return self.recover(fail_after)
 
+    def status(self) -> str:
+        """Of the report as it stands, between retained raw and recovery: not_published or stale_previous."""
+        return "not_published" if self.publications().isEmpty() else "stale_previous"
+
     def recover(self, fail_after: str | None = None) -> str:
         """Bring published state and effects in line with retained raw; the status of the report."""
         found = R.resolve(self.raw())
-        gate = found.gate().first()
         last = self.publications().orderBy(F.desc("seq")).first()
         status = "stale_previous" if last else "blocked_no_snapshot"
-        if gate["publication_allowed"]:
-            accepted = found.accepted()
-            snapshot = content_id(accepted).first()["content_id"]
-            excluded = found.excluded().count()
-            accepted.write.mode("overwrite").parquet(f"{self.root}/snapshots/snapshot_id={snapshot}")
+        if found.gate().first()["publication_allowed"]:
+            relations = snapshot_of(found)
+            snapshot = snapshot_id(relations).first()["content_id"]
+            for name, rows in relations.items():
+                rows.write.mode("overwrite").parquet(f"{self.root}/snapshots/snapshot_id={snapshot}/{name}")
             if fail_after == "resolved_state":
                 raise RuntimeError(fail_after)
-            status = "current_with_exclusions" if excluded else "current"
+            status = "current" if self.relation("excluded", snapshot).isEmpty() else "current_with_exclusions"
             if last is None or last["snapshot_id"] != snapshot:
                 row = [(last["seq"] + 1 if last else 0, snapshot, status)]
                 self.spark.createDataFrame(row, PUBLICATIONS).write.mode("append").parquet(f"{self.root}/publications")
@@ -89,9 +105,12 @@ class Pipeline:
         due.write.mode("append").parquet(f"{self.root}/outbox")
         return status
 
-    def published(self) -> DataFrame:
-        """Accepted state of the newest publication; readers go through the publication record."""
+    def relation(self, name: str, snapshot: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/snapshots/snapshot_id={snapshot}/{name}")
+
+    def published(self, name: str = "accepted") -> DataFrame:
+        """A relation of the newest publication, the accepted state if not said otherwise; readers go through the publication record."""
         last = self.publications().orderBy(F.desc("seq")).first()
         if last is None:
-            return R.resolve(self.raw().limit(0)).accepted()
-        return self.spark.read.parquet(f"{self.root}/snapshots/snapshot_id={last['snapshot_id']}")
+            return snapshot_of(R.resolve(self.raw().limit(0)))[name]
+        return self.relation(name, last["snapshot_id"])

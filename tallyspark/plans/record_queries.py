@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.operators import grain as G
@@ -11,6 +14,8 @@ from tallyspark.operators import orders as O
 from tallyspark.operators import resolve as R
 from tallyspark.plans import views as V
 from tallyspark.plans.register import registry
+from tallyspark.plans.resolver_queries import RESOLVE_SQL
+from tallyspark.plans.resolver_queries import SQL as RESOLVER_SQL
 from tallyspark.plans.views import table
 
 QUERIES, SQL, query = registry()
@@ -95,11 +100,11 @@ def guarded_upsert(spark, sf_dir):
     return M.guarded_upsert(*_sides(spark, sf_dir), "inspection_id", "version", _QUANTITIES)
 
 
-@query("apply_resolved", "SELECT l_orderkey::VARCHAR AS inspection_id, 'repeated' AS rule FROM lineitem WHERE false")
+@query("apply_resolved", f"WITH {V.D1C}, {_TARGET} SELECT coalesce(t.inspection_id, s.inspection_id) AS inspection_id, CASE WHEN t.version IS NULL OR s.version > t.version THEN s.version ELSE t.version END AS version, CASE WHEN t.version IS NULL OR s.version > t.version THEN s.inspected_units ELSE t.inspected_units END AS inspected_units, CASE WHEN t.version IS NULL OR s.version > t.version THEN s.defective_units ELSE t.defective_units END AS defective_units, CASE WHEN t.version IS NULL OR s.version > t.version THEN 'second' ELSE 'first' END AS loaded FROM t FULL JOIN s ON t.inspection_id = s.inspection_id")
 def apply_resolved(spark, sf_dir):
-    """Violations of applying clean source rows to the clean target, quantities compared: there are none."""
+    """Resolved rows applied to a target that also says which load a row is from; equal versions agree in quantities."""
     target, source = _sides(spark, sf_dir)
-    return M.upsert_violations(target, source, "inspection_id", "version", _QUANTITIES).select("inspection_id", "rule")
+    return M.apply_resolved(target.withColumn("loaded", F.lit("first")), source.withColumn("loaded", F.lit("second")), "inspection_id", "version", _QUANTITIES)
 
 
 _V_RAW = f"WITH {V.D1}, s AS (SELECT DISTINCT inspection_id, version, inspected_units, defective_units FROM d1 WHERE version <= 2), t AS (SELECT DISTINCT inspection_id, version, inspected_units + 1 AS inspected_units, defective_units FROM d1 WHERE version = 1) "
@@ -168,12 +173,16 @@ def readout_status(spark, sf_dir):
     return tried.groupBy(F.coalesce("status", F.lit("pass")).alias("status")).agg(F.count("*").alias("keys")).withColumn("passes", F.col("status") == "pass")
 
 
-@query("relation_equivalence", "SELECT true AS same_types, 0::BIGINT AS only_left, 0::BIGINT AS only_right")
-def relation_equivalence(spark, sf_dir):
-    from tallyspark.plans.resolver_queries import RESOLVE_SQL
+_SAME = "SELECT '{pair}' AS pair, true AS same_types, (SELECT count(*) FROM (({a}) EXCEPT ALL ({b}))) AS only_left, (SELECT count(*) FROM (({b}) EXCEPT ALL ({a}))) AS only_right"
 
+
+@query("relation_equivalence", " UNION ALL ".join(_SAME.format(pair=pair, a=RESOLVER_SQL["accepted_state"], b=RESOLVER_SQL[other]) for pair, other in (("sql", "accepted_state"), ("simple", "resolve_simple"))))
+def relation_equivalence(spark, sf_dir):
+    """The accepted state against its SQL form (the same) and against the weaker contract (not the same)."""
     raw = V.deliveries(spark, sf_dir)
-    return G.relation_equivalence(R.resolve(raw).accepted(), spark.sql(RESOLVE_SQL, raw=raw))
+    accepted = R.resolve(raw).accepted()
+    pairs = {"sql": spark.sql(RESOLVE_SQL["accepted"], raw=raw), "simple": R.resolve_simple(V.arrivals(spark, sf_dir))}
+    return reduce(DataFrame.unionByName, [G.relation_equivalence(accepted, other).withColumn("pair", F.lit(name)) for name, other in pairs.items()])
 
 
 @query("plan_report")
@@ -218,15 +227,14 @@ def published_as_of(spark, sf_dir):
     return X.as_of(rows, publications, "snapshot_id", "publication", 2).groupBy("publication").agg(F.count("*").alias("rows"), F.sum("amount").alias("amount"))
 
 
-_SLICES = "a AS (SELECT doc_id AS id, n_chars AS updated, lang, substr(text, 1, 40) AS text FROM documents), b AS (SELECT doc_id AS id, n_chars + doc_id % 3 AS updated, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS lang, CASE WHEN doc_id % 4 = 0 THEN 'new ' || substr(text, 1, 40) ELSE substr(text, 1, 40) END AS text FROM documents WHERE doc_id % 2 = 0), ab AS (SELECT * FROM a UNION ALL SELECT * FROM b)"
+_SLICES = "a AS (SELECT doc_id AS id, n_chars AS updated, lang, text AS text FROM documents), b AS (SELECT doc_id AS id, n_chars + doc_id % 3 AS updated, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS lang, CASE WHEN doc_id % 4 = 0 THEN 'new ' || text ELSE text END AS text FROM documents WHERE doc_id % 2 = 0), ab AS (SELECT * FROM a UNION ALL SELECT * FROM b)"
 
 
 def _slices(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    head = F.substring("text", 1, 40)
-    a = d.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("updated"), "lang", head.alias("text"))
+    a = d.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("updated"), "lang", "text")
     even = d.filter("doc_id % 2 = 0")
-    b = even.select(F.col("doc_id").alias("id"), (F.col("n_chars") + F.col("doc_id") % 3).alias("updated"), F.when(F.col("doc_id") % 5 == 0, "xx").otherwise(F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("new "), head)).otherwise(head).alias("text"))
+    b = even.select(F.col("doc_id").alias("id"), (F.col("n_chars") + F.col("doc_id") % 3).alias("updated"), F.when(F.col("doc_id") % 5 == 0, "xx").otherwise(F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("new "), "text")).otherwise(F.col("text")).alias("text"))
     return a, b
 
 
@@ -265,7 +273,7 @@ def import_preview(spark, sf_dir):
     return M.import_preview({"notes": b}, {"notes": a}, "id", "text", {"notes": ["lang"]}, a.select(F.col("lang").alias("id")))
 
 
-@query("preview_basis_check", "SELECT 1 AS preview, true AS unchanged UNION ALL SELECT 2, false")
+@query("preview_basis_check", f"WITH {_SLICES} SELECT 1 AS preview, NOT EXISTS ((SELECT * FROM a ORDER BY id DESC) EXCEPT ALL (SELECT * FROM a)) AS unchanged UNION ALL SELECT 2, NOT EXISTS ((SELECT * FROM ab) EXCEPT ALL (SELECT * FROM a))")
 def preview_basis_check(spark, sf_dir):
     """An import applies only to the state that was previewed: the same rows in another order pass, changed ones do not."""
     from tallyspark.plans.publish import content_id

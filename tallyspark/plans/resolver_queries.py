@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions import rules
+from tallyspark.functions.iterate import cut
 from tallyspark.operators import resolve as R
 from tallyspark.plans import views as V
 from tallyspark.plans.register import registry
 
 QUERIES, SQL, query = registry()
 
-#: The same relations as plain SQL: literal, several joins.
+#: The same relations as plain SQL: flags over the distinct deliveries by windows; each relation is then one filter.
 _BASE = """, u AS (SELECT DISTINCT * FROM {src}),
-k AS (SELECT *, coalesce(version > 0 AND inspected_units >= 0 AND defective_units >= 0 AND defective_units <= inspected_units
-  AND regexp_matches(event_id, '[^ \\t\\r\\n]') AND regexp_matches(inspection_id, '[^ \\t\\r\\n]'), false) AS valid FROM u),
-ec AS (SELECT event_id, count(*) AS deliveries FROM u GROUP BY 1 HAVING count(*) > 1),
-rc AS (SELECT inspection_id, version FROM (SELECT DISTINCT inspection_id, version, inspected_units, defective_units FROM u WHERE version > 0) GROUP BY 1, 2 HAVING count(*) > 1),
-lt AS (SELECT inspection_id, max(version) AS version FROM u WHERE version > 0 GROUP BY 1),
-cur AS (SELECT k.* FROM k JOIN lt USING (inspection_id, version)),
-kv AS (SELECT DISTINCT inspection_id FROM k WHERE valid),
-il AS (SELECT DISTINCT inspection_id FROM cur WHERE NOT valid AND inspection_id IN (SELECT inspection_id FROM kv)),
-uo AS (SELECT DISTINCT inspection_id FROM u WHERE NOT coalesce(version > 0, false) AND inspection_id IN (SELECT inspection_id FROM kv)),
-un AS (SELECT inspection_id FROM u WHERE event_id IN (SELECT event_id FROM ec) UNION SELECT inspection_id FROM rc UNION SELECT inspection_id FROM il UNION SELECT inspection_id FROM uo),
-ac AS (SELECT DISTINCT inspection_id, version, inspected_units, defective_units FROM cur WHERE valid AND inspection_id NOT IN (SELECT inspection_id FROM un)),
+flagged AS (SELECT *,
+  coalesce(regexp_matches(event_id, '[^ \\t\\r\\n]'), false) AS named, coalesce(regexp_matches(inspection_id, '[^ \\t\\r\\n]'), false) AS keyed, coalesce(version > 0, false) AS ordered,
+  coalesce(inspected_units >= 0 AND defective_units BETWEEN 0 AND inspected_units, false) AS counted, {'i': inspected_units, 'd': defective_units}::VARCHAR AS quantities FROM u),
+marked AS (SELECT *, named AND keyed AND ordered AND counted AS valid, named AND count(*) OVER (PARTITION BY event_id) > 1 AS doubted,
+  ordered AND min(quantities) OVER revision < max(quantities) OVER revision AS split, max(version) FILTER (ordered) OVER key AS top, bool_or(named AND keyed AND ordered AND counted) OVER key AS known
+  FROM flagged WINDOW revision AS (PARTITION BY inspection_id, version), key AS (PARTITION BY inspection_id)),
+judged AS (SELECT *, bool_or(doubted OR split OR known AND NOT ordered OR known AND version = top AND NOT valid) OVER (PARTITION BY inspection_id) AS blocked FROM marked),
+k AS (SELECT event_id, inspection_id, version, inspected_units, defective_units, valid FROM judged),
+ec AS (SELECT event_id, count(*) AS deliveries FROM judged WHERE doubted GROUP BY 1),
+rc AS (SELECT inspection_id, version, count(DISTINCT quantities) AS payloads FROM judged WHERE split GROUP BY 1, 2),
+un AS (SELECT DISTINCT inspection_id FROM judged WHERE blocked),
+ex AS (SELECT DISTINCT inspection_id FROM judged WHERE NOT known AND NOT blocked),
+ac AS (SELECT DISTINCT inspection_id, version, inspected_units, defective_units FROM judged WHERE valid AND version = top AND NOT blocked),
 tt AS (SELECT sum(inspected_units)::BIGINT AS inspected_units, sum(defective_units)::BIGINT AS defective_units,
-  CASE WHEN sum(inspected_units) <> 0 THEN sum(defective_units)::DOUBLE / sum(inspected_units)::DOUBLE END AS defect_rate FROM ac),
+  sum(defective_units)::DOUBLE / nullif(sum(inspected_units), 0)::DOUBLE AS defect_rate FROM ac),
 gt AS (SELECT (SELECT count(*) FROM ec) AS event_conflicts, (SELECT count(*) FROM rc) AS revision_conflicts, (SELECT count(*) FROM un) AS unresolved_keys)
 """
 
@@ -67,9 +70,15 @@ def safe_cast(spark, sf_dir):
     return V.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(digits).alias("numbers"), F.count_if(F.col("p_brand").try_cast("int").isNull()).alias("rejected"))
 
 
-@query("nonblank_key", "SELECT doc_id, regexp_matches(coalesce(substr(text, 20, 2), ''), '[^ \\t\\n\\r\\x0b\\x0c]') AS keyed FROM documents")
+_BLANK = "\\t\\n\\x0b\\x0c\\r \\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+
+
+@query("nonblank_key", f"SELECT doc_id, regexp_matches(coalesce(text, ''), '[^{_BLANK}]') AS keyed FROM documents UNION ALL SELECT doc_id, false FROM documents WHERE text IS NOT NULL")
 def nonblank_key(spark, sf_dir):
-    return V.table(spark, sf_dir, "documents").select("doc_id", rules.nonblank(F.substring("text", 20, 2)).alias("keyed"))
+    """Whole texts, and the white space of each text alone, as keys."""
+    docs = V.table(spark, sf_dir, "documents")
+    blank = F.regexp_replace("text", r"(?U)[^\s\x1c-\x1f]", "")
+    return docs.select("doc_id", rules.nonblank(F.col("text")).alias("keyed")).unionByName(docs.filter("text is not null").select("doc_id", rules.nonblank(blank).alias("keyed")))
 
 
 @query("positive_revision", "SELECT l_orderkey, l_linenumber, (l_linenumber - 2) BETWEEN 1 AND 2147483647 AS usable FROM lineitem")
@@ -96,7 +105,7 @@ def quarantine_split(spark, sf_dir):
     return kept.unionByName(found.quarantine().agg(F.lit(False).alias("valid"), F.count("*").alias("rows")))
 
 
-@query("coverage_gap", _sql("SELECT (SELECT count(*) FROM d1) AS raw, (SELECT count(*) FROM u) AS distinct, (SELECT count(*) FROM k WHERE NOT valid) AS quarantined, (SELECT count(*) FROM k WHERE valid) AS valid, (SELECT count(*) FROM ac) AS accepted, (SELECT count(*) FROM (SELECT DISTINCT inspection_id FROM u WHERE inspection_id NOT IN (SELECT inspection_id FROM kv) AND inspection_id NOT IN (SELECT inspection_id FROM un))) AS excluded, (SELECT count(*) FROM un) AS withheld"))
+@query("coverage_gap", _sql("SELECT (SELECT count(*) FROM d1) AS raw, (SELECT count(*) FROM u) AS distinct, (SELECT count(*) FROM k WHERE NOT valid) AS quarantined, (SELECT count(*) FROM k WHERE valid) AS valid, (SELECT count(*) FROM ac) AS accepted, (SELECT count(*) FROM ex) AS excluded, (SELECT count(*) FROM un) AS withheld"))
 def coverage_gap(spark, sf_dir):
     raw = V.deliveries(spark, sf_dir)
     return R.coverage(R.resolve(raw), raw)
@@ -118,7 +127,7 @@ def event_conflicts(spark, sf_dir):
     return _found(spark, sf_dir).event_conflicts()
 
 
-@query("revision_conflicts", _sql("SELECT inspection_id, version FROM rc"))
+@query("revision_conflicts", _sql("SELECT inspection_id, version, payloads FROM rc"))
 def revision_conflicts(spark, sf_dir):
     return _found(spark, sf_dir).revision_conflicts()
 
@@ -129,24 +138,24 @@ def conflict_evidence(spark, sf_dir):
     return rows.withColumn("arrivals", F.array_join(F.col("arrivals").cast("array<string>"), ","))
 
 
-@query("latest_revision", _sql("SELECT inspection_id, version FROM lt"))
+@query("latest_revision", _sql("SELECT DISTINCT inspection_id, top AS version FROM judged WHERE top IS NOT NULL"))
 def latest_revision(spark, sf_dir):
     return _found(spark, sf_dir).keys.filter("latest is not null").select("inspection_id", F.col("latest").alias("version"))
 
 
-@query("current_rows", _sql("SELECT event_id, inspection_id, version, inspected_units, defective_units, valid FROM cur"))
+@query("current_rows", _sql("SELECT event_id, inspection_id, version, inspected_units, defective_units, valid FROM judged WHERE version = top"))
 def current_rows(spark, sf_dir):
     found = _found(spark, sf_dir)
     latest = found.keys.select("inspection_id", F.col("latest").alias("version"))
     return found.rows.join(latest, ["inspection_id", "version"], "left_semi").select("event_id", *R.Policy().payload, "valid")
 
 
-@query("known_valid_keys", _sql("SELECT inspection_id FROM kv"))
+@query("known_valid_keys", _sql("SELECT DISTINCT inspection_id FROM judged WHERE known"))
 def known_valid_keys(spark, sf_dir):
     return _found(spark, sf_dir).keys.filter("known").select("inspection_id")
 
 
-@query("invalid_latest", _sql("SELECT inspection_id FROM il"))
+@query("invalid_latest", _sql("SELECT DISTINCT inspection_id FROM judged WHERE known AND version = top AND NOT valid"))
 def invalid_latest(spark, sf_dir):
     return _found(spark, sf_dir).keys.filter("invalid_latest").select("inspection_id")
 
@@ -158,7 +167,7 @@ def _unordered(spark, sf_dir):
     return V.deliveries(spark, sf_dir).withColumn("version", F.when(F.col("version") != 7, F.col("version")))
 
 
-@query("unordered_known", _sql("SELECT inspection_id FROM uo", V.D1 + ", " + _UNORDERED, "d1u"))
+@query("unordered_known", _sql("SELECT DISTINCT inspection_id FROM judged WHERE known AND NOT ordered", V.D1 + ", " + _UNORDERED, "d1u"))
 def unordered_known(spark, sf_dir):
     return R.resolve(_unordered(spark, sf_dir)).keys.filter("unordered_known").select("inspection_id")
 
@@ -168,7 +177,7 @@ def unresolved_keys(spark, sf_dir):
     return R.resolve(_unordered(spark, sf_dir)).unresolved()
 
 
-@query("excluded_keys", _sql("SELECT DISTINCT inspection_id FROM u WHERE inspection_id NOT IN (SELECT inspection_id FROM kv) AND inspection_id NOT IN (SELECT inspection_id FROM un)"))
+@query("excluded_keys", _sql("SELECT inspection_id FROM ex"))
 def excluded_keys(spark, sf_dir):
     return _found(spark, sf_dir).excluded()
 
@@ -209,25 +218,54 @@ def resolve_history(spark, sf_dir):
     return out
 
 
-#: The accepted state as one Spark SQL statement, to be compared with ``Resolution.accepted``.
-RESOLVE_SQL = """
+#: The resolution as Spark SQL: one statement for each relation over the same common table expressions.
+_RESOLVE_SQL = """
 WITH u AS (SELECT DISTINCT event_id, inspection_id, version, inspected_units, defective_units FROM {raw}),
 k AS (SELECT *, coalesce(event_id RLIKE r'(?U)[^\\s\\x1c-\\x1f]' AND inspection_id RLIKE r'(?U)[^\\s\\x1c-\\x1f]' AND version > 0 AND inspected_units >= 0
   AND defective_units >= 0 AND defective_units <= inspected_units, false) AS valid FROM u),
-e AS (SELECT event_id FROM u WHERE event_id RLIKE r'(?U)[^\\s\\x1c-\\x1f]' GROUP BY event_id HAVING count(DISTINCT struct(inspection_id, version, inspected_units, defective_units)) > 1),
+e AS (SELECT event_id, count(*) AS deliveries FROM u WHERE event_id RLIKE r'(?U)[^\\s\\x1c-\\x1f]' GROUP BY event_id HAVING count(DISTINCT struct(inspection_id, version, inspected_units, defective_units)) > 1),
 f AS (SELECT k.*, e.event_id IS NOT NULL AS doubted FROM k LEFT JOIN e USING (event_id)),
 v AS (SELECT inspection_id, CASE WHEN version > 0 THEN version END AS version, bool_and(valid) AS sound, bool_or(valid) AS known, bool_or(doubted) AS doubted,
-  max(version) > 0 AND count(DISTINCT struct(inspected_units, defective_units)) > 1 AS split, max(inspected_units) AS inspected_units, max(defective_units) AS defective_units
+  max(version) > 0 AND count(DISTINCT struct(inspected_units, defective_units)) > 1 AS split, count(DISTINCT struct(inspected_units, defective_units)) AS payloads,
+  max(inspected_units) AS inspected_units, max(defective_units) AS defective_units
   FROM f WHERE inspection_id RLIKE r'(?U)[^\\s\\x1c-\\x1f]' GROUP BY 1, 2),
 s AS (SELECT inspection_id, max(version) AS version, max_by(struct(sound, inspected_units, defective_units), version) AS top, bool_or(known) AS known,
-  bool_or(coalesce(doubted, false) OR coalesce(split, false)) AS doubted, bool_or(version IS NULL) AS unordered FROM v GROUP BY 1)
-SELECT inspection_id, version, top.inspected_units, top.defective_units FROM s WHERE known AND top.sound AND NOT unordered AND NOT doubted
+  bool_or(coalesce(doubted, false) OR coalesce(split, false)) AS doubted, bool_or(version IS NULL) AS unordered FROM v GROUP BY 1),
+j AS (SELECT *, doubted OR known AND (unordered OR NOT coalesce(top.sound, false)) AS blocked FROM s),
+a AS (SELECT inspection_id, version, top.inspected_units, top.defective_units FROM j WHERE known AND NOT blocked)
 """
+RESOLVE_SQL = {
+    "accepted": _RESOLVE_SQL + "SELECT * FROM a",
+    "unresolved": _RESOLVE_SQL + "SELECT inspection_id FROM j WHERE blocked",
+    "event_conflicts": _RESOLVE_SQL + "SELECT event_id, deliveries FROM e",
+    "revision_conflicts": _RESOLVE_SQL + "SELECT inspection_id, version, payloads FROM v WHERE split",
+    "totals": _RESOLVE_SQL + "SELECT sum(inspected_units) AS inspected_units, sum(defective_units) AS defective_units, try_divide(CAST(sum(defective_units) AS DOUBLE), CAST(sum(inspected_units) AS DOUBLE)) AS defect_rate FROM a",
+    "gate": _RESOLVE_SQL + """, g AS (SELECT (SELECT count(*) FROM e) AS event_conflicts, (SELECT count_if(split) FROM v) AS revision_conflicts, (SELECT count_if(blocked) FROM j) AS unresolved_keys)
+SELECT *, event_conflicts = 0 AND revision_conflicts = 0 AND unresolved_keys = 0 AS publication_allowed FROM g""",
+}
 
 
 @query("resolve_sql", _sql("SELECT * FROM ac"))
 def resolve_sql(spark, sf_dir):
-    return spark.sql(RESOLVE_SQL, raw=V.deliveries(spark, sf_dir))
+    return spark.sql(RESOLVE_SQL["accepted"], raw=V.deliveries(spark, sf_dir))
+
+
+@query("resolve_sql_unresolved", _sql("SELECT inspection_id FROM un"))
+def resolve_sql_unresolved(spark, sf_dir):
+    return spark.sql(RESOLVE_SQL["unresolved"], raw=V.deliveries(spark, sf_dir))
+
+
+@query("resolve_sql_conflicts", _sql("SELECT 'event_id' AS kind, event_id AS identity, deliveries AS times FROM ec UNION ALL SELECT 'key_version', inspection_id || '@' || version, payloads FROM rc"))
+def resolve_sql_conflicts(spark, sf_dir):
+    raw = V.deliveries(spark, sf_dir)
+    events = spark.sql(RESOLVE_SQL["event_conflicts"], raw=raw).select(F.lit("event_id").alias("kind"), F.col("event_id").alias("identity"), F.col("deliveries").alias("times"))
+    return events.unionByName(spark.sql(RESOLVE_SQL["revision_conflicts"], raw=raw).select(F.lit("key_version").alias("kind"), F.concat_ws("@", "inspection_id", "version").alias("identity"), F.col("payloads").alias("times")))
+
+
+@query("resolve_sql_gate", _sql("SELECT gt.*, event_conflicts = 0 AND revision_conflicts = 0 AND unresolved_keys = 0 AS publication_allowed, tt.* FROM gt, tt"))
+def resolve_sql_gate(spark, sf_dir):
+    raw = V.deliveries(spark, sf_dir)
+    return spark.sql(RESOLVE_SQL["gate"], raw=raw).crossJoin(spark.sql(RESOLVE_SQL["totals"], raw=raw))  # one row each
 
 
 @query("resolve_simple", f"WITH {V.D1A}, l AS (SELECT * FROM d1a QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY arrival_seq DESC) = 1) SELECT inspection_id, version, inspected_units, defective_units FROM l WHERE inspected_units >= 0 AND defective_units >= 0 QUALIFY row_number() OVER (PARTITION BY inspection_id ORDER BY version DESC, inspected_units DESC, defective_units DESC) = 1")
@@ -254,7 +292,7 @@ def incremental_resolve(spark, sf_dir):
     """Two batches: keys that the second one touches are resolved again over retained history, others stay."""
     raw = V.deliveries(spark, sf_dir)
     first, second = raw.filter("version <= 4"), raw.filter("version > 4")
-    touched = R.affected_keys(first, second)
+    touched = cut(R.affected_keys(first, second))
     kept = R.resolve(first).accepted().join(touched, "inspection_id", "left_anti")
     again = R.resolve(R.history_of(raw, touched)).accepted().join(touched, "inspection_id", "left_semi")
     return kept.unionByName(again)

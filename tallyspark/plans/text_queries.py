@@ -15,7 +15,7 @@ from tallyspark.operators import text as T
 from tallyspark.plans import publish as P
 from tallyspark.plans import views as V
 from tallyspark.plans.register import registry
-from tallyspark.plans.resolver_queries import SQL as RESOLVER_SQL
+from tallyspark.plans import resolver_queries as RESOLVER
 from tallyspark.plans.learner_queries import SQL as LEARNER_SQL
 from tallyspark.plans.views import table
 from tallyspark.sources import readers
@@ -36,10 +36,11 @@ def link_extract(spark, sf_dir):
     return _markdown(spark, sf_dir).select("page_id", F.explode(T.links(F.col("md"))).alias("target"))
 
 
-@query("link_classify_resolve", f"WITH {_MD}, l AS (SELECT page_id, unnest(regexp_extract_all(md, '\\]\\(([^)]+)\\)', 1)) AS target FROM md), k AS (SELECT DISTINCT split_part(text, ' ', 1) AS id FROM documents) SELECT page_id, target, CASE WHEN starts_with(target, 'https://') THEN 'external' WHEN NOT regexp_matches(target, '^/[^/?#]+$') THEN 'unsafe' WHEN substr(target, 2) IN (SELECT id FROM k) THEN 'internal' ELSE 'broken' END AS label FROM l")
+@query("link_classify_resolve", f"WITH {_MD}, l AS (SELECT page_id, unnest(regexp_extract_all(md, '\\]\\(([^)]+)\\)', 1)) AS target FROM md), k AS (SELECT DISTINCT unnest(string_split(url, '/')) AS id FROM pages UNION SELECT source FROM documents) SELECT page_id, target, CASE WHEN starts_with(target, 'https://') THEN 'external' WHEN NOT regexp_matches(target, '^/[^/?#]+$') THEN 'unsafe' WHEN substr(target, 2) IN (SELECT id FROM k WHERE id IS NOT NULL) THEN 'internal' ELSE 'broken' END AS label FROM l")
 def link_classify_resolve(spark, sf_dir):
-    known = table(spark, sf_dir, "documents").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("id"))
-    return T.classify_links(link_extract(spark, sf_dir), known)
+    """Internal names are the parts of all page addresses and the sources of documents."""
+    parts = table(spark, sf_dir, "pages").select(F.explode(F.split("url", "/")).alias("id"))
+    return T.classify_links(link_extract(spark, sf_dir), parts.union(table(spark, sf_dir, "documents").select("source")))
 
 
 @query("unsafe_markup_rule", "SELECT page_id, regexp_matches(html, '(?i)<script|<iframe|javascript:|onerror\\s*=') AS unsafe FROM pages")
@@ -63,16 +64,6 @@ def strip_code_spans(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(T.without_code(F.replace("html", F.lit("<p>"), F.lit("`")))).cast("long").alias("chars"))
 
 
-#: Members of one document on average, where a key's members are dealt out to several documents.
-PART_ROWS = 10_000
-
-
-def _in_parts(rows: DataFrame, key: str, member: str) -> DataFrame:
-    """``rows`` with ``part``: each key's members dealt out by a hash into parts of about PART_ROWS rows."""
-    sizes = rows.groupBy(F.col(key).alias("__key")).agg(F.ceil(F.count("*") / PART_ROWS).alias("__parts"))
-    return rows.join(sizes, F.col(key).eqNullSafe(F.col("__key"))).withColumn("part", F.pmod(F.xxhash64(member), F.col("__parts"))).drop("__parts", "__key")
-
-
 _TOKENS = "tk AS (SELECT doc_id, 'a [[' || lang || '|' || source || ']] b [[x|' || lang || ']]' AS md FROM documents)"
 
 
@@ -92,11 +83,14 @@ def plain_concepts(spark, sf_dir):
     return _tokens(spark, sf_dir).select("doc_id", T.plain_concepts(F.col("md")).alias("text"))
 
 
-@query("fence_extract", "SELECT doc_id, sha256(substr(text, 1, 200)) AS digest FROM documents WHERE NOT contains(text, '`')")
+_FENCED = "'intro' || chr(10) || '```python' || chr(10) || text || chr(10) || '```' || chr(10) || 'more' || chr(10) || '```' || chr(10) || 'other' || chr(10) || '```'"
+
+
+@query("fence_extract", f"SELECT doc_id, sha256(regexp_extract({_FENCED}, '(?s)```[a-z]*\\n(.*?)\\n```', 1)) AS digest, sha256(regexp_extract(text, '(?s)```[a-z]*\\n(.*?)\\n```', 1)) AS own FROM documents")
 def fence_extract(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter(~F.col("text").contains("`"))
-    md = F.concat(F.lit("intro\n```python\n"), F.substring("text", 1, 200), F.lit("\n```\nmore\n```\nother\n```"))
-    return rows.select("doc_id", F.sha2(T.first_fence(md), 256).alias("digest"))
+    """The first block of each whole text put into a fence (it ends at a fence of its own), and of the text as it is."""
+    md = F.concat(F.lit("intro\n```python\n"), "text", F.lit("\n```\nmore\n```\nother\n```"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.first_fence(md), 256).alias("digest"), F.sha2(T.first_fence(F.col("text")), 256).alias("own"))
 
 
 @query("content_match", "SELECT doc_id, doc_id % 10 <> 0 AS matches FROM documents")
@@ -106,16 +100,20 @@ def content_match(spark, sf_dir):
     return docs.join(manifest, "doc_id").select("doc_id", (F.sha2("text", 256) == F.col("recorded")).alias("matches"))
 
 
-@query("checksum_audit", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'different' WHEN doc_id % 3 = 1 AND contains(text, chr(10)) THEN 'equal_after_newlines' ELSE 'equal' END AS status FROM documents WHERE NOT contains(text, chr(13))")
+@query("checksum_audit", "WITH c AS (SELECT doc_id, sha256(text) AS recorded, CASE doc_id % 3 WHEN 0 THEN text || '.' WHEN 1 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text END AS content FROM documents) SELECT doc_id, CASE WHEN sha256(content) = recorded THEN 'equal' WHEN sha256(replace(content, chr(13) || chr(10), chr(10))) = recorded THEN 'equal_after_newlines' ELSE 'different' END AS status FROM c")
 def checksum_audit(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(~F.col("text").contains("\r"))
     content = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("."))).when(F.col("doc_id") % 3 == 1, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
-    return docs.select("doc_id", T.checksum_status(content, F.sha2("text", 256)).alias("status"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.checksum_status(content, F.sha2("text", 256)).alias("status"))
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @query("manifest_of_inputs")
 def manifest_of_inputs(spark, sf_dir):
-    return readers.files_binary(spark, sf_dir, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
+    """Rows and content id of each table: from its rows, so that a table of any size and number of files has one."""
+    rows = ((name, table(spark, sf_dir, name)) for name in TABLES)
+    return reduce(DataFrame.unionByName, [P.content_id(t).crossJoin(t.agg(F.count("*").alias("rows"))).withColumn("table", F.lit(name)) for name, t in rows])
 
 
 _INDEX = """ix AS (SELECT 'document' AS type, doc_id AS id, substr(text, 1, 30) AS title, text, '#/lesson/' || doc_id || '/' || source AS href FROM documents
@@ -149,16 +147,19 @@ def href_columns(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("#/"), place, path).alias("href"))
 
 
-_HITS = "h AS (SELECT doc_id AS position, text FROM documents WHERE contains(lower(text), 'the mit') ORDER BY doc_id LIMIT 80)"
+_KINDS = ("document", "page", "turn", "part")
+_HITS = f"{_INDEX}, h AS (SELECT CASE type WHEN 'document' THEN 0 WHEN 'page' THEN 1 WHEN 'turn' THEN 2 ELSE 3 END * 1000000000000 + id AS position, type, id, text FROM ix WHERE contains(lower(text), 'the mit') ORDER BY position LIMIT 80)"
 
 
 def _hits(spark, sf_dir):
-    return T.search(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), "text"), "the mit")
+    """Search over the index of all kinds; its order is by kind, then id."""
+    place = (F.array_position(F.array(*map(F.lit, _KINDS)), F.col("type")) - 1) * 1_000_000_000_000 + F.col("id")
+    return T.search(index(spark, sf_dir).withColumn("position", place), "the mit")
 
 
-@query("search_query", f"WITH {_HITS} SELECT position FROM h")
+@query("search_query", f"WITH {_HITS} SELECT position, type, id FROM h")
 def search_query(spark, sf_dir):
-    return _hits(spark, sf_dir).select("position")
+    return _hits(spark, sf_dir).select("position", "type", "id")
 
 
 @query("search_snippet", f"WITH {_HITS} SELECT position, substr(regexp_replace(text, '[#*`]', '', 'g'), greatest(0, strpos(lower(text), 'the mit') - 1 - 55) + 1, 200) AS snippet FROM h")
@@ -193,7 +194,7 @@ def scan_json_strict(spark, sf_dir):
 @query("scan_json_batches", "SELECT event_type AS batch_id, count(*) AS rows, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
 def scan_json_batches(spark, sf_dir):
     """Batches of ids as JSON objects, one or, for many ids, several for each user, read back and exploded."""
-    events = _in_parts(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), "user_id", "event_id")
+    events = V.in_parts(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), "user_id", "event_id")
     lists = events.groupBy("user_id", "part", "event_type").agg(F.collect_list("event_id").alias("ids"))
     docs = lists.groupBy("user_id", "part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("event_type", "ids")))).alias("doc"))
     named = docs.select(F.explode(F.from_json("doc", "map<string, array<bigint>>")).alias("batch_id", "ids"))
@@ -251,12 +252,12 @@ def scan_inline(spark, sf_dir):
     return table(spark, sf_dir, "nation").join(sides, "n_regionkey").select("n_name", "side")
 
 
-@query("scan_markdown_sections", "SELECT conv_id, turn + 1 AS ord, 's' || turn AS section, trim(text, ' ') AS body FROM conversations WHERE NOT contains(text, '<!--')")
+@query("scan_markdown_sections", "WITH m AS (SELECT conv_id, turn, 'before <!-- section:s' || turn || ' -->' || text || '<!-- section:end -->' || role AS md FROM conversations), p AS (SELECT conv_id, turn, string_split_regex(md, '<!-- section:[a-z0-9-]+ -->') AS parts, regexp_extract_all(md, '<!-- section:([a-z0-9-]+) -->', 1) AS names FROM m) SELECT conv_id, turn, i::INT AS ord, CASE WHEN i > 0 THEN names[i] END AS section, trim(parts[i + 1], ' ') AS body FROM (SELECT *, unnest(range(len(parts))) AS i FROM p)")
 def scan_markdown_sections(spark, sf_dir):
-    marked = F.concat(F.lit("<!-- section:s"), "turn", F.lit(" -->"), "text")
-    turns = table(spark, sf_dir, "conversations").filter(~F.col("text").contains("<!--")).select("conv_id", "turn", marked.alias("md"))
-    found = T.sections(turns.withColumn("key", F.struct("conv_id", "turn")), "key", "md").filter("ord > 0")
-    return found.select("key.conv_id", (F.col("key.turn") + 1).alias("ord"), "section", "body")
+    """Turns with a marker before and behind the text; markers in the text itself begin sections too."""
+    marked = F.concat(F.lit("before <!-- section:s"), "turn", F.lit(" -->"), "text", F.lit("<!-- section:end -->"), "role")
+    turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), marked.alias("md"))
+    return T.sections(turns, "key", "md").select("key.conv_id", "key.turn", "ord", "section", "body")
 
 
 @query("scan_state_doc", "SELECT event_id::VARCHAR AS map_key, event_id AS id, event_type AS rating FROM events")
@@ -265,14 +266,19 @@ def scan_state_doc(spark, sf_dir):
     from pyspark.sql import types as TY
 
     entry = F.struct(F.col("event_id").cast("string"), F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("rating")))
-    events = _in_parts(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+    events = V.in_parts(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
     docs = events.groupBy("user_id", "part").agg(F.to_json(F.struct(F.struct(F.map_from_entries(F.collect_list(entry)).alias("reviews")).alias("state"))).alias("doc"))
     return readers.family(docs, "doc", "reviews", TY.StructType.fromDDL("id bigint, rating string"))
 
 
-@query("scan_files_binary", "SELECT 'region.parquet' AS file UNION ALL SELECT 'nation.parquet'")
+@query("scan_files_binary", "SELECT count(*) AS rows, sum(strlen(line) + 1)::BIGINT AS bytes, true AS hashed FROM (SELECT translate(html, chr(10) || chr(13), '  ') AS line FROM pages WHERE html IS NOT NULL)")
 def scan_files_binary(spark, sf_dir):
-    return readers.files_binary(spark, sf_dir, "*ion.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    """Pages written as lines of text files of bounded size; the files' bytes are read and hashed."""
+    path = scratch(spark, "page-files")
+    lines = table(spark, sf_dir, "pages").filter("html is not null").select(F.translate("html", "\n\r", "  ").alias("value"))
+    lines.write.option("maxRecordsPerFile", 1000).text(path)
+    files = readers.files_binary(spark, path).agg(F.sum("length").alias("bytes"), F.bool_and(F.length("sha256") == 64).alias("hashed"))
+    return spark.read.text(path).agg(F.count("*").alias("rows")).crossJoin(files)  # one row each
 
 
 @query("scan_catalog_tree", "SELECT r_regionkey AS course, count(n_nationkey) AS modules FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
@@ -302,13 +308,29 @@ def sink_report_json(spark, sf_dir):
     return spark.read.schema("flag string, lines bigint").json(path)
 
 
-@query("snapshot_identity")
+_RELATIONS = {"accepted": "SELECT * FROM ac", "totals": "SELECT * FROM tt", "excluded": "SELECT * FROM ex", "coverage": "SELECT (SELECT count(*) FROM u) AS rows, (SELECT count(*) FROM k WHERE valid) AS valid, (SELECT count(*) FROM un) AS withheld"}
+
+
+def _snapshot_sql() -> str:
+    """Whether all relations of a history equal those of the deliveries as they are."""
+    as_sql = RESOLVER._sql
+    histories = {"once": (V.D1, "d1"), "replayed": (V.D1R, "d1r"), "clean": (V.D1C, "d1c"), "later": (V.D1 + ", d1l AS (SELECT * FROM d1 WHERE version > 1)", "d1l")}
+    rows = []
+    for name, view in histories.items():
+        pairs = [(as_sql(tail), as_sql(tail, *view)) for tail in _RELATIONS.values()]
+        same = " AND ".join(f"NOT EXISTS (({a}) EXCEPT ALL ({b})) AND NOT EXISTS (({b}) EXCEPT ALL ({a}))" for a, b in pairs)
+        rows.append(f"SELECT '{name}' AS history, {same} AS same")
+    return " UNION ALL ".join(rows)
+
+
+@query("snapshot_identity", _snapshot_sql())
 def snapshot_identity(spark, sf_dir):
-    """Content ids of the accepted state, of the state after a replay (the same) and of the clean history."""
-    once = P.content_id(R.resolve(V.deliveries(spark, sf_dir)).accepted()).withColumn("history", F.lit("once"))
-    again = P.content_id(R.resolve(V.replayed(spark, sf_dir)).accepted()).withColumn("history", F.lit("replayed"))
-    clean = P.content_id(R.resolve(V.clean(spark, sf_dir)).accepted()).withColumn("history", F.lit("clean"))
-    return once.unionByName(again).unionByName(clean)
+    """Which histories have the snapshot id of the deliveries as they are: a replay has, others have not."""
+    raw = V.deliveries(spark, sf_dir)
+    histories = {"once": raw, "replayed": V.replayed(spark, sf_dir), "clean": V.clean(spark, sf_dir), "later": raw.filter("version > 1")}
+    ids = reduce(DataFrame.unionByName, [P.snapshot_id(P.snapshot_of(R.resolve(h))).withColumn("history", F.lit(name)) for name, h in histories.items()])
+    once = P.snapshot_id(P.snapshot_of(R.resolve(raw))).withColumnRenamed("content_id", "basis")
+    return ids.crossJoin(once).select("history", (F.col("content_id") == F.col("basis")).alias("same"))  # one row a history
 
 
 def _published(spark, sf_dir, fail=None):
@@ -336,15 +358,28 @@ def recover_idempotent(spark, sf_dir):
     return pipeline.published().select("inspection_id", "version")
 
 
-@query("sink_snapshot")
+_COVER = "(SELECT count(*) FROM ac) AS accepted, (SELECT count(*) FROM ex) AS excluded, (SELECT inspected_units FROM tt) AS inspected_units, (SELECT defective_units FROM tt) AS defective_units"
+
+
+@query("sink_snapshot", RESOLVER._sql(f"SELECT 0::BIGINT AS seq, 'current' AS status, {_COVER}", V.D1C + ", d1f AS (SELECT * FROM d1c WHERE version <= 3)", "d1f") + " UNION ALL SELECT * FROM (" + RESOLVER._sql(f"SELECT 1::BIGINT AS seq, 'current' AS status, {_COVER}", V.D1C, "d1c") + ")")
 def sink_snapshot(spark, sf_dir):
-    return _published(spark, sf_dir).publications().select("seq", "status")
+    """Each publication with what its snapshot holds."""
+    pipeline = _published(spark, sf_dir)
+    held = []
+    for p in pipeline.publications().orderBy("seq").collect():  # one for each batch
+        accepted, excluded, totals = (pipeline.relation(n, p["snapshot_id"]) for n in ("accepted", "excluded", "totals"))
+        one = accepted.agg(F.lit(p["seq"]).alias("seq"), F.lit(p["status"]).alias("status"), F.count("*").alias("accepted"))
+        held.append(one.crossJoin(excluded.agg(F.count("*").alias("excluded"))).crossJoin(totals.select("inspected_units", "defective_units")))
+    return reduce(DataFrame.unionByName, held)
 
 
-@query("sink_outbox")
+@query("sink_outbox", "SELECT publication::BIGINT AS publication, count(*) AS effects FROM (SELECT unnest(range((SELECT count(DISTINCT version > 3) FROM (SELECT row_number() OVER (PARTITION BY l_orderkey) AS version FROM lineitem)))) AS publication) GROUP BY 1")
 def sink_outbox(spark, sf_dir):
+    """Effects of each publication, after a failure behind the second one's record: one each."""
     pipeline = _published(spark, sf_dir, "published_snapshot")
-    return pipeline.outbox().groupBy("snapshot_id").agg(F.count("*").alias("effects"))
+    pipeline.recover()
+    rows = pipeline.publications().join(pipeline.outbox(), "snapshot_id", "left")
+    return rows.groupBy(F.col("seq").alias("publication")).agg(F.count("effect").alias("effects"))
 
 
 def _stream(spark, sf_dir, name):
@@ -353,7 +388,7 @@ def _stream(spark, sf_dir, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-@query("stream_event_conflicts", RESOLVER_SQL["event_conflicts"].replace("SELECT event_id, deliveries FROM ec", "SELECT event_id FROM ec"))
+@query("stream_event_conflicts", RESOLVER.SQL["event_conflicts"].replace("SELECT event_id, deliveries FROM ec", "SELECT event_id FROM ec"))
 def stream_event_conflicts(spark, sf_dir):
     root = scratch(spark, "stream-conflicts")
     lines = _stream(spark, sf_dir, "lineitem")
@@ -369,24 +404,26 @@ def stream_review_schedule(spark, sf_dir):
     rating = F.when(F.col("event_type") == "error", "Again").when(F.col("event_type") == "click", "Hard").when(F.col("event_type") == "view", "Good").when(F.col("event_type") == "purchase", "Easy")
     rows = _stream(spark, sf_dir, "events").filter("event_type <> 'signup'").select("event_id", F.col("user_id").alias("learner_id"), card.alias("card_id"), rating.alias("rating"), F.col("ts").alias("at"))
     jobs.review_schedule(rows, root, f"{root}/checkpoint").awaitTermination()
-    done = spark.read.parquet(f"{root}/schedules-0")
+    done = jobs.current_schedules(spark, root)
     return done.select("learner_id", "card_id", "interval_days", F.col("due_at").cast("timestamp_ntz").alias("due_at"), "last_event_id", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
-@query("stream_ingest_resolve", "SELECT l_orderkey::VARCHAR AS inspection_id, l_linenumber AS version FROM lineitem WHERE false")
+@query("stream_ingest_resolve", RESOLVER._sql("SELECT inspection_id, version, inspected_units, defective_units FROM ac", V.D1C, "d1c"))
 def stream_ingest_resolve(spark, sf_dir):
-    """Contradictory deliveries streamed in: the gate holds publication back, nothing is published."""
+    """Deliveries streamed in by several micro-batches: what is published after the last one."""
     root = scratch(spark, "stream-pipeline")
-    lines = _stream(spark, sf_dir, "lineitem")
-    rows = lines.select(F.concat_ws("-", "l_orderkey", "l_partkey").alias("event_id"), F.col("l_orderkey").cast("string").alias("inspection_id"), F.col("l_linenumber").alias("version"), F.col("l_quantity").cast("int").alias("inspected_units"), F.floor(F.col("l_discount") * 100 + 0.5).cast("int").alias("defective_units"))
+    V.clean(spark, sf_dir).withColumn("part", F.col("version") % 3).write.partitionBy("part").parquet(f"{root}/arriving")
+    schema = "event_id string, inspection_id string, version int, inspected_units int, defective_units int"
+    files = spark.read.parquet(f"{root}/arriving").select(F.input_file_name()).distinct().count()
+    rows = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", -(-files // 3)).parquet(f"{root}/arriving")
     jobs.ingest_resolve(rows, f"{root}/tables", f"{root}/checkpoint").awaitTermination()
-    return P.Pipeline(spark, f"{root}/tables").published().select("inspection_id", "version")
+    return P.Pipeline(spark, f"{root}/tables").published()
 
 
 @query("scan_paths", "SELECT n_regionkey AS path, count(DISTINCT n_nationkey) AS groups, count(c_custkey) AS lessons FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def scan_paths(spark, sf_dir):
     """Learning paths (regions) with groups (nations) of lessons (customers) as JSON files, several for many lessons, read back in name order."""
-    customers = _in_parts(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey")
+    customers = V.in_parts(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey")
     lessons = customers.groupBy(F.col("c_nationkey").alias("n_nationkey"), "part").agg(F.collect_list("c_custkey").alias("lessons"))
     groups = table(spark, sf_dir, "nation").join(lessons, "n_nationkey", "left").groupBy(F.col("n_regionkey").alias("path"), F.coalesce("part", F.lit(0)).alias("part")).agg(F.collect_list(F.struct("n_nationkey", "lessons")).alias("groups"))
     folder = scratch(spark, "paths")

@@ -10,6 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Members of one document on average, where a key's members are dealt out to several documents.
+PART_ROWS = 10_000
+
+
+def in_parts(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """``rows`` with ``part``: each key's members dealt out by a hash into parts of about PART_ROWS rows."""
+    sizes = rows.groupBy(F.col(key).alias("__key")).agg(F.ceil(F.count("*") / PART_ROWS).alias("__parts"))
+    return rows.join(sizes, F.col(key).eqNullSafe(F.col("__key"))).withColumn("part", F.pmod(F.xxhash64(member), F.col("__parts"))).drop("__parts", "__key")
+
+
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inspection deliveries from ``lineitem``: real contradictions and invalid quantities occur."""
     return table(spark, sf_dir, "lineitem").select(

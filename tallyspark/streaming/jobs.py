@@ -6,7 +6,7 @@ failure between its steps) leaves the tables as they were. One writer is assumed
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -42,26 +42,48 @@ def current_conflicts(flags: DataFrame, event: str = "event_id") -> DataFrame:
     return flags.groupBy(event).agg(F.max_by("conflict", "epoch").alias("conflict")).filter("conflict").select(event)
 
 
+#: Parts that cards are dealt out to; a batch rewrites the parts of its own cards only.
+BUCKETS = 64
+
+
+def _current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Rows of ``path/epoch=…/bucket=…``: each bucket as of its newest epoch (below ``before``). Which epochs there are
+    is read from folder names only, and the join prunes the folders that are read."""
+    rows = spark.read.parquet(path)
+    if before is not None:
+        rows = rows.filter(F.col("epoch") < before)
+    newest = rows.groupBy("bucket").agg(F.max("epoch").alias("epoch"))
+    return rows.join(F.broadcast(newest), ["bucket", "epoch"])  # BUCKETS rows at most
+
+
+def current_schedules(spark: SparkSession, root: str) -> DataFrame:
+    """Every card's schedule after the last batch."""
+    return _current(spark, f"{root}/schedules").drop("bucket", "epoch")
+
+
 def review_schedule(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Running schedules: per card the last reviews that can matter are kept, and folded again with each batch.
+    """Running schedules: per card the last reviews that can matter are kept, and folded again when the card has new ones.
 
-    ``root/tail-<epoch>`` holds the kept reviews, ``root/schedules-<epoch>`` the schedules after that batch.
-    Late reviews find their place by time, since a kept tail is as long as the fold's memory.
+    Cards are dealt out to BUCKETS by a hash. A batch reads the kept reviews of its own buckets, as of the newest
+    earlier epoch, and writes ``root/tail/epoch=…/bucket=…`` and ``root/schedules/epoch=…/bucket=…`` for these
+    only; other buckets stay untouched. Running an epoch again writes the same. Late reviews find their place by
+    time, since a kept tail is as long as the fold's memory.
     """
     spark = stream.sparkSession
     columns = ["event_id", "learner_id", "card_id", "rating", "at"]
+    newest_first = Window.partitionBy("learner_id", "card_id").orderBy(F.desc("at"), F.desc("event_id"))
+    bucket = F.pmod(F.xxhash64("learner_id", "card_id"), F.lit(BUCKETS)).cast("int")
 
     def step(batch: DataFrame, epoch: int) -> None:
-        rows = batch.select(*columns)
+        rows = batch.select(*columns, bucket.alias("bucket"))
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
         if epoch > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{root}/tail-{epoch - 1}"))
-        turn = F.row_number().over(R_window)
-        tail = rows.dropDuplicates(["event_id"]).withColumn("turn", turn).filter(F.col("turn") <= L.MEMORY).drop("turn")
-        tail.write.mode("overwrite").parquet(f"{root}/tail-{epoch}")
-        kept = spark.read.parquet(f"{root}/tail-{epoch}")
-        L.schedule_fold(kept).write.mode("overwrite").parquet(f"{root}/schedules-{epoch}")
-
-    from pyspark.sql import Window
+            kept = _current(spark, f"{root}/tail", epoch).filter(F.col("bucket").isin(touched))
+            rows = rows.unionByName(kept.select(*columns, "bucket"))
+        tail = rows.dropDuplicates(["event_id"]).withColumn("turn", F.row_number().over(newest_first)).filter(F.col("turn") <= L.MEMORY).drop("turn")
+        tail.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/tail/epoch={epoch}")
+        kept = spark.read.schema(tail.schema).parquet(f"{root}/tail/epoch={epoch}")
+        folded = L.schedule_fold(kept.drop("bucket")).withColumn("bucket", bucket)
+        folded.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/schedules/epoch={epoch}")
 
-    R_window = Window.partitionBy("learner_id", "card_id").orderBy(F.desc("at"), F.desc("event_id"))
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -59,11 +59,12 @@ def test_documents_of_a_key_are_bounded(spark, monkeypatch):
     from collections import Counter
 
     from tallyspark.plans import text_queries as Q
+    from tallyspark.plans import views as V
     from tallyspark.sources import readers
 
-    monkeypatch.setattr(Q, "PART_ROWS", 50)
+    monkeypatch.setattr(V, "PART_ROWS", 50)
     rows = spark.createDataFrame([(1, i) for i in range(2000)] + [(2, i) for i in range(5)] + [(None, i) for i in range(400)], "user_id int, event_id int")
-    parted = Q._in_parts(rows, "user_id", "event_id").collect()
+    parted = V.in_parts(rows, "user_id", "event_id").collect()
     assert Counter((r["user_id"], r["event_id"]) for r in parted) == Counter((r["user_id"], r["event_id"]) for r in rows.collect())
     sizes = Counter((r["user_id"], r["part"]) for r in parted)
     assert max(sizes.values()) <= 100 and sizes[2, 0] == 5
@@ -71,7 +72,7 @@ def test_documents_of_a_key_are_bounded(spark, monkeypatch):
     held = []
     family = readers.family
     monkeypatch.setattr(readers, "family", lambda docs, *rest: held.append(docs) or family(docs, *rest))
-    monkeypatch.setattr(Q, "PART_ROWS", 5)
+    monkeypatch.setattr(V, "PART_ROWS", 5)
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     got = Q.scan_state_doc(spark, "/root/testdata/sf0.001")
     assert Counter(r["id"] for r in got.collect()) == Counter(r["event_id"] for r in events.collect())

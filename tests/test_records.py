@@ -1,6 +1,9 @@
 """Golden literals of upserts, order lines, grain, schedules, sources and streams."""
 
+import bisect
 import json
+import random
+import time
 from datetime import datetime, timezone
 
 import pytest
@@ -146,7 +149,55 @@ def test_streams_equal_batch(spark, tmp_path):
         whole.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     jobs.review_schedule(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    last = max(int(p.name.split("-")[1]) for p in (tmp_path / "out").iterdir() if p.name.startswith("schedules"))
-    assert last == 2
-    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/schedules-{last}").collect()))
+    got = sorted(map(tuple, jobs.current_schedules(spark, f"{tmp_path}/out").collect()))
     assert got == sorted(map(tuple, L.schedule_fold(whole).collect()))
+
+
+def test_a_batch_rewrites_its_own_cards_only(spark, tmp_path):
+    ddl = "event_id long, learner_id long, card_id int, rating string, at timestamp"
+    at = lambda i: datetime(2024, 1, 1, 0, i, tzinfo=timezone.utc)
+    first = [(i, i, 0, "Good", at(i)) for i in range(40)]
+    later = [(100, 3, 0, "Easy", at(50)), (101, 3, 0, "Hard", at(1))]  # one of them late
+    for name, rows in (("a", first), ("b", later)):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(ddl).parquet(f"{tmp_path}/in")
+        jobs.review_schedule(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert len(list((tmp_path / "out/tail/epoch=1").glob("bucket=*"))) == 1 < len(list((tmp_path / "out/tail/epoch=0").glob("bucket=*")))
+    got = sorted(map(tuple, jobs.current_schedules(spark, f"{tmp_path}/out").collect()))
+    assert got == sorted(map(tuple, L.schedule_fold(spark.createDataFrame(first + later, ddl)).collect()))
+
+
+def test_cycles_against_reachability(spark):
+    r = random.Random(2)
+    for n, m in ((12, 16), (20, 30), (9, 20)):
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
+        reach = {(a, b) for a, b in edges}
+        while longer := {(a, d) for a, b in reach for c, d in edges if b == c} - reach:
+            reach |= longer
+        got = C.cycle_nodes(spark.createDataFrame([*edges, (None, 1)], "src int, dst int"))
+        assert sorted(x["id"] for x in got.collect()) == sorted(a for a in range(n) if (a, a) in reach)
+
+
+def test_features_of_a_long_timeline(spark):
+    n = 60_000
+    kind = F.when(F.col("id") % 3 == 0, "view").when(F.col("id") % 3 == 1, "purchase").when(F.col("id") % 50 == 2, "error").otherwise("signup")
+    rows = spark.range(n).select(F.lit(1).alias("user_id"), (F.col("id") * 60).cast("timestamp").alias("ts"), F.col("id").alias("event_id"), kind.alias("event_type"), F.col("id").cast("double").alias("value"))
+    began = time.monotonic()
+    got = X.point_in_time(rows, "user_id", "ts", "event_id", "purchase", "view", "error", 600).collect()
+    assert time.monotonic() - began < 60  # two passes; all pairs would be 3.6 billion
+    errors = [i for i in range(n) if i % 3 == 2 and i % 50 == 2]
+    for x in got[:: n // 300]:
+        i = x["event_id"]
+        assert x["feature"] == i - 1 and x["label"] == any(i < e <= i + 10 for e in errors[bisect.bisect_right(errors, i) :][:1])
+
+
+def test_apply_resolved_compares_quantities_only(spark):
+    ddl = "k string, version int, q int, loaded string"
+    target = spark.createDataFrame([("a", 1, 5, "old"), ("b", 2, 6, "old"), ("c", 3, 7, "old")], ddl)
+    source = spark.createDataFrame([("a", 2, 9, "new"), ("b", 2, 6, "new"), ("c", 1, 1, "new"), ("d", 1, 0, "new")], ddl)
+    got = sorted(map(tuple, M.apply_resolved(target, source, "k", "version", ["q"]).collect()))
+    assert got == [("a", 2, 9, "new"), ("b", 2, 6, "old"), ("c", 3, 7, "old"), ("d", 1, 0, "new")]
+    with pytest.raises(ValueError, match="equal_version_disagrees"):
+        M.apply_resolved(target, source.withColumn("q", F.col("q") + 1), "k", "version", ["q"])
+    with pytest.raises(ValueError, match="equal_version_disagrees"):
+        M.guarded_upsert(target, source, "k", "version", ["q", "loaded"])

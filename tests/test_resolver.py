@@ -104,6 +104,30 @@ def test_publication_survives_failures(spark, tmp_path):
     assert pipe.ingest(frame([("ev5", "A", 3, 15, 1)]), "2") == "stale_previous"
 
 
+def test_a_change_of_exclusions_alone_is_published(spark, tmp_path):
+    def frame(rows):
+        return spark.createDataFrame(rows, DDL)
+
+    pipe = P.Pipeline(spark, f"file://{tmp_path}/c")
+    assert pipe.status() == "not_published"
+    with pytest.raises(RuntimeError):
+        pipe.ingest(frame([("a1", "A", 1, 10, 1)]), "0", "retained_raw")
+    assert pipe.status() == "not_published"
+    assert pipe.recover() == "current" and pipe.status() == "stale_previous"
+    assert pipe.ingest(frame([("a1", "A", 1, 10, 1)]), "1") == "current" and pipe.publications().count() == 1  # a replay
+    assert pipe.ingest(frame([("z1", "Z", 1, -5, 0)]), "2") == "current_with_exclusions"
+    assert [(r["seq"], r["status"]) for r in pipe.publications().orderBy("seq").collect()] == [(0, "current"), (1, "current_with_exclusions")]
+    assert pipe.outbox().count() == 2 and [r[0] for r in pipe.published("excluded").collect()] == ["Z"]
+    assert [tuple(r) for r in pipe.published().collect()] == [("A", 1, 10, 1)]
+    assert pipe.published("totals").first()["inspected_units"] == 10 and pipe.published("coverage").first()["excluded"] == 1
+    assert len({P.snapshot_id(P.snapshot_of(R.resolve(frame(x)))).first()[0] for x in (BASE, [*BASE, BASE[0]], BASE[:-1])}) == 2
+
+
+def test_conflicting_revisions_are_counted(spark):
+    rows = [("e1", "A", 1, 5, 1), ("e2", "A", 1, 6, 1), ("e3", "A", 1, None, 1), ("e4", "A", 1, 5, 1), ("e5", "A", 2, 5, 1)]
+    assert [tuple(r) for r in R.resolve(spark.createDataFrame(rows, DDL)).revision_conflicts().collect()] == [("A", 1, 3)]
+
+
 def test_content_id_ignores_order(spark):
     rows = spark.createDataFrame(BASE, DDL)
     one, two = P.content_id(rows).first()[0], P.content_id(rows.orderBy("version", ascending=False).repartition(3)).first()[0]
