@@ -94,10 +94,12 @@ def distinct_deliveries(raw: DataFrame, policy: Policy = Policy()) -> DataFrame:
     return raw.select(policy.event, *policy.payload).distinct()
 
 
-def resolve(raw: DataFrame, policy: Policy = Policy()) -> Resolution:
+def resolve(raw: DataFrame, policy: Policy = Policy(), staged: bool = False) -> Resolution:
+    """The relations of a history; ``staged`` ones are evaluated once for a caller that asks for several of them."""
     p = policy
+    once = cut if staged else lambda df: df
     why = reasons(p.rules())
-    rows = distinct_deliveries(raw, p).withColumn("reasons", why).withColumn("valid", F.size("reasons") == 0)
+    rows = once(distinct_deliveries(raw, p).withColumn("reasons", why).withColumn("valid", F.size("reasons") == 0))
     named = rows.filter(nonblank(F.col(p.event)))
     events = named.groupBy(p.event).agg(F.count("*").alias("deliveries"), disagree(p.payload).alias("conflict"))
     doubtful = events.filter("conflict").select(F.col(p.event), F.lit(True).alias("event_conflict"))
@@ -124,7 +126,7 @@ def resolve(raw: DataFrame, policy: Policy = Policy()) -> Resolution:
     unordered = F.col("known") & F.col("unordered")
     keys = keys.withColumns({"invalid_latest": F.coalesce(invalid_latest, F.lit(False)), "unordered_known": unordered})
     keys = keys.withColumn("blocked", F.col("contradicted") | F.col("invalid_latest") | F.col("unordered_known"))
-    return Resolution(p, rows, events, by_revision.filter(F.col(p.version).isNotNull()), keys)
+    return Resolution(p, rows, events, by_revision.filter(F.col(p.version).isNotNull()), once(keys))
 
 
 def weighted_rate(rows: DataFrame, by: list[str]) -> DataFrame:

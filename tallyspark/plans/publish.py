@@ -83,7 +83,7 @@ class Pipeline:
 
     def recover(self, fail_after: str | None = None) -> str:
         """Bring published state and effects in line with retained raw; the status of the report."""
-        found = R.resolve(self.raw())
+        found = R.resolve(self.raw(), staged=True)
         last = self.publications().orderBy(F.desc("seq")).first()
         status = "stale_previous" if last else "blocked_no_snapshot"
         if found.gate().first()["publication_allowed"]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.rules import units_text
+from tallyspark.functions.iterate import cut
 from tallyspark.functions.scratch import scratch
 from tallyspark.operators import catalog as C
 from tallyspark.operators import resolve as R
@@ -328,9 +329,10 @@ def snapshot_identity(spark, sf_dir):
     """Which histories have the snapshot id of the deliveries as they are: a replay has, others have not."""
     raw = V.deliveries(spark, sf_dir)
     histories = {"once": raw, "replayed": V.replayed(spark, sf_dir), "clean": V.clean(spark, sf_dir), "later": raw.filter("version > 1")}
-    ids = reduce(DataFrame.unionByName, [P.snapshot_id(P.snapshot_of(R.resolve(h))).withColumn("history", F.lit(name)) for name, h in histories.items()])
-    once = P.snapshot_id(P.snapshot_of(R.resolve(raw))).withColumnRenamed("content_id", "basis")
-    return ids.crossJoin(once).select("history", (F.col("content_id") == F.col("basis")).alias("same"))  # one row a history
+    ids = reduce(DataFrame.unionByName, [P.snapshot_id(P.snapshot_of(R.resolve(h, staged=True))).withColumn("history", F.lit(name)) for name, h in histories.items()])
+    ids = cut(ids)  # one row a history
+    once = ids.filter("history = 'once'").select(F.col("content_id").alias("basis"))
+    return ids.crossJoin(once).select("history", (F.col("content_id") == F.col("basis")).alias("same"))
 
 
 def _published(spark, sf_dir, fail=None):
