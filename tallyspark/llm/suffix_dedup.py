@@ -63,7 +63,7 @@ def suffix_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = True,
         for batch in common.slices(batches, "body"):
             names = batch.schema.names
             bufs = tokens.rows_of(batch.column(names.index("body")))
-            lists, again = (batch.column(names.index(c)).to_pylist() for c in ("marks", "again"))
+            lists, again = tokens.lists_of(batch.column(names.index("marks"))), batch.column(names.index("again")).to_pylist()
             out = []
             for buf, want, copy in zip(bufs, lists, again, strict=True):
                 gone = np.ones(buf.size, bool) if copy and buf.size >= length else windows.covered(buf.size, want, length)

@@ -8,6 +8,7 @@ have collisions by construction from some 1,000 tokens on; they are used for sho
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -118,6 +119,14 @@ def word_hashes(buf: np.ndarray, fold: bool) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
+def lists_of(column) -> Iterator[dict[str, np.ndarray]]:
+    """The struct lists of an Arrow column, each as an array per field; a missing list is empty."""
+    ends, values = column.offsets.to_numpy(), column.values
+    fields = {f.name: values.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(values.type)}
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield {name: x[a:b] for name, x in fields.items()}
+
+
 def rows_of(column) -> list[np.ndarray]:
     """The values of an Arrow binary column as byte arrays, without copies."""
     if column.null_count:

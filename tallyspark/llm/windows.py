@@ -6,7 +6,7 @@ segment, and only segments, some two per L-K tokens, travel:
 
 1. ``segments``: (m, d, doc, tie, start, n): minimizer, digest of the segment's tokens, place, windows.
 2. ``some``: segments whose minimizer occurs more than once; nothing else can hold a repeat. A minimizer's
-   home is the first document that holds it.
+   home is one document that holds it, the one of least hash.
 3. ``groups``: equal segments of a minimizer become one representative, the first of them, with their
    number. Copies, however many, end here by partial aggregation.
 4. ``contents``: the tokens of every representative. All segments of one minimizer lie in one shard, and
@@ -38,6 +38,8 @@ SHARD_TOKENS = 1_500_000
 
 #: Tokens of one home or minimizer that stay together; more are dealt out.
 PART_TOKENS = 300_000
+#: Ranges digested at once, and windows in a batch of them.
+DIGESTS = 50_000
 _POS = 21  # bits for a position inside a piece of CHUNK tokens
 
 
@@ -82,9 +84,12 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 def digests(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A 64-bit digest of each token range."""
-    data, width = memoryview(np.ascontiguousarray(raw)).cast("B"), raw.itemsize
+    data, width, out = memoryview(np.ascontiguousarray(raw)).cast("B"), raw.itemsize, np.empty(first.size, U)
     of = xxhash.xxh3_64_intdigest
-    return np.fromiter((of(data[a:b]) for a, b in zip((first * width).tolist(), ((first + size) * width).tolist(), strict=True)), U, first.size)
+    for at in range(0, first.size, DIGESTS):
+        a, b = first[at : at + DIGESTS] * width, (first + size)[at : at + DIGESTS] * width
+        out[at : at + DIGESTS] = [of(data[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    return out
 
 
 def cut_segments(raw: np.ndarray, spec: Spec) -> Iterator[tuple[np.ndarray, ...]]:
@@ -164,17 +169,17 @@ def _windows_of(docs: Texts, groups: DataFrame, spec: Spec) -> DataFrame:
 
     def run(batches):
         for batch in common.slices(batches, "body"):
-            names, parts = batch.schema.names, []
-            doc, tie = (batch.column(names.index(c)) for c in ("doc", "tie"))
-            for i, (buf, want) in enumerate(zip(tokens.rows_of(batch.column(names.index("body"))), batch.column(names.index("wanted")).to_pylist(), strict=True)):
+            names = batch.schema.names
+            doc, tie = (batch.column(names.index(c)).to_pylist() for c in ("doc", "tie"))
+            bodies = tokens.rows_of(batch.column(names.index("body")))
+            for key, t, buf, want in zip(doc, tie, bodies, tokens.lists_of(batch.column(names.index("wanted"))), strict=True):
                 raw = spec.raw(buf)
-                start = np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in want])
-                copied = np.repeat([x["copied"] for x in want], [x["n"] for x in want])
-                parts.append((digests(raw, start, np.full(start.size, spec.length)), np.full(start.size, i), start, copied))
-            if parts:
-                m, row, start, copied = (np.concatenate(x) for x in zip(*parts, strict=True))
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), doc.take(at), tie.take(at), pa.array(start), pa.array(np.where(copied, 2, 1))], names=["m", "doc", "tie", "start", "c"])
+                every = np.repeat(want["start"] - np.cumsum(want["n"]) + want["n"], want["n"]) + np.arange(want["n"].sum())
+                copies = np.repeat(np.where(want["copied"], 2, 1), want["n"])
+                for at in range(0, every.size, DIGESTS):
+                    start = every[at : at + DIGESTS]
+                    m = digests(raw, start, np.full(start.size, spec.length))
+                    yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.repeat(pa.scalar(key, pa.int64()), start.size), pa.repeat(pa.scalar(t, pa.int64()), start.size), pa.array(start.astype(np.int64)), pa.array(copies[at : at + DIGESTS])], names=["m", "doc", "tie", "start", "c"])
 
     return docs.once().join(_wanted(groups), ["doc", "tie"]).mapInArrow(run, "m long, doc long, tie long, start long, c long")
 
@@ -186,17 +191,15 @@ def _extract(rows: DataFrame, spec: Spec) -> DataFrame:
     def run(batches):
         for batch in common.slices(batches, "body"):
             out = []
-            cells = (batch.column(batch.schema.names.index(c)) for c in ("doc", "tie", "body", "wanted"))
-            doc, tie, body, wanted = cells
-            for key, t, buf, want in zip(doc.to_pylist(), tie.to_pylist(), tokens.rows_of(body), wanted.to_pylist(), strict=True):
-                raw, stretches = spec.raw(buf), []
-                for x in sorted(want, key=lambda x: (x["shard"], x["start"])):
-                    end = x["start"] + x["n"] + spec.length - 1
-                    if not stretches or stretches[-1][0] != x["shard"] or stretches[-1][2] < x["start"]:
-                        stretches.append([x["shard"], x["start"], end, []])
-                    stretches[-1][2] = max(end, stretches[-1][2])
-                    stretches[-1][3].append((x["start"] - stretches[-1][1], x["n"], x["copied"], x["m"], x["d"]))
-                out += [(shard, key, t, start, raw[start:end].tobytes(), np.array(held, np.int64).tobytes()) for shard, start, end, held in stretches]
+            doc, tie, body, wanted = (batch.column(batch.schema.names.index(c)) for c in ("doc", "tie", "body", "wanted"))
+            for key, t, buf, want in zip(doc.to_pylist(), tie.to_pylist(), tokens.rows_of(body), tokens.lists_of(wanted), strict=True):
+                raw, order = spec.raw(buf), np.lexsort((want["start"], want["shard"]))
+                shard, start, n, copied, m, d = (want[c][order] for c in ("shard", "start", "n", "copied", "m", "d"))
+                end = start + n + spec.length - 1
+                head = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (start[1:] > end[:-1])))
+                last = np.append(head[1:], start.size)
+                held = np.stack([start - np.repeat(start[head], last - head), n, copied, m, d], axis=1).astype(np.int64)
+                out += [(int(shard[a]), key, t, int(start[a]), raw[start[a] : end[b - 1]].tobytes(), held[a:b].tobytes()) for a, b in zip(head.tolist(), last.tolist(), strict=True)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), CONTENT, strict=True)], schema=CONTENT)
 
@@ -227,7 +230,7 @@ def found_places(docs: Texts, spec: Spec, find: Callable, part_tokens: int = PAR
     Copies of a representative are reported wherever ``find`` confirms it; whether its own place is, ``find`` says.
     """
     every = common.stage(segments(docs.every(), spec), "segments")
-    often = every.groupBy("m").agg(F.count("*").alias("c"), F.min(F.struct("doc", "tie")).alias("home")).filter("c > 1").select("m", F.xxhash64("home.doc", "home.tie").alias("home"))
+    often = every.groupBy("m").agg(F.count("*").alias("c"), F.min(F.xxhash64("doc", "tie")).alias("home")).filter("c > 1").select("m", "home")
     some = common.stage(every.join(common.stage(often, "often"), "m"), "repeated")
     common.release(every)
     groups = some.groupBy("m", "d").agg(F.min(place()).alias("first"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("home").alias("home"))
@@ -303,12 +306,9 @@ def marked(docs: Texts, marks: DataFrame) -> DataFrame:
     return docs.every().join(lists, ["doc", "tie"], "left")
 
 
-def covered(n_tokens: int, marks, length: int) -> np.ndarray:
+def covered(n_tokens: int, marks: dict[str, np.ndarray], length: int) -> np.ndarray:
     """Flags of the tokens that some marked window covers."""
     change = np.zeros(n_tokens + 1, np.int64)
-    if marks:
-        start = np.array([x["start"] for x in marks])
-        n = np.array([x["n"] for x in marks])
-        np.add.at(change, start, 1)
-        np.subtract.at(change, start + n + length - 1, 1)
+    np.add.at(change, marks["start"], 1)
+    np.subtract.at(change, marks["start"] + marks["n"] + length - 1, 1)
     return np.cumsum(change[:-1]) > 0
