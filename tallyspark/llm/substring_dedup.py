@@ -18,6 +18,9 @@ from tallyspark.llm import bwt, common, fm, tokens, windows
 LENGTH = 35
 SPEC = windows.Spec(length=LENGTH, gram=10, words=True)
 
+#: Windows in a query.
+QUERY = 64
+
 
 def shared_windows(bodies: list[np.ndarray], held: windows.Held, length: int) -> tuple[np.ndarray, ...]:
     """(row, offset, n, sure): runs of windows that the shard holds twice or more, and which representatives have
@@ -27,7 +30,8 @@ def shared_windows(bodies: list[np.ndarray], held: windows.Held, length: int) ->
     texts = np.split(ids, np.cumsum(sizes)[:-1])
     text, offsets = bwt.joined([*texts, *_stretches(texts, held, length)])
     index = fm.FMIndex(bwt.transform(text, bwt.suffix_order(text, length + 1)))
-    start, n = index.matching(text, offsets[: sizes.size], np.maximum(sizes - length + 1, 0), length)
+    first, count = _queries(offsets[: sizes.size], np.maximum(sizes - length + 1, 0))
+    start, n = index.matching(text, first, count, length)
     change = np.zeros(text.size + 1, np.int64)
     np.add.at(change, start, 1)
     np.subtract.at(change, start + n, 1)
@@ -36,6 +40,13 @@ def shared_windows(bodies: list[np.ndarray], held: windows.Held, length: int) ->
     return row, start - offsets[row], n, sure
 
 
+def _queries(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows start .. start + count of each text as queries of QUERY windows, which stream through the index in step."""
+    parts = -(-count // QUERY)
+    place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.repeat(start, parts) + place * QUERY, np.minimum(QUERY, np.repeat(count, parts) - place * QUERY)
+
+
 def _stretches(texts: list[np.ndarray], held: windows.Held, length: int) -> list[np.ndarray]:
     """The texts of representatives with copies, neighbours as one."""
     row, at, n = (x[held.copied] for x in (held.row, held.at, held.n))
@@ -62,7 +73,7 @@ def substring_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = Tr
         for batch in common.slices(batches, "body"):
             names = batch.schema.names
             out = []
-            for buf, want in zip(tokens.rows_of(batch.column(names.index("body"))), batch.column(names.index("marks")).to_pylist(), strict=True):
+            for buf, want in zip(tokens.rows_of(batch.column(names.index("body"))), tokens.lists_of(batch.column(names.index("marks"))), strict=True):
                 words = buf.tobytes().split()  # bytes.split knows just these six kinds of white space
                 gone = windows.covered(len(words), want, length)
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
