@@ -94,7 +94,7 @@ def fence_extract(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.first_fence(md), 256).alias("digest"), F.sha2(T.first_fence(F.col("text")), 256).alias("own"))
 
 
-@query("content_match", "SELECT doc_id, doc_id % 10 <> 0 AS matches FROM documents")
+@query("content_match", "WITH m AS (SELECT doc_id, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS recorded FROM documents) SELECT doc_id, sha256(text) = recorded AS matches FROM documents JOIN m USING (doc_id)")
 def content_match(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     manifest = docs.select("doc_id", F.sha2(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("recorded"))
