@@ -270,3 +270,17 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(common.documents(spark, sf_dir))
+
+
+#: Exact intersections of all shingle sets that share a shingle, and what links reach.
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{common.WORD}') AS w FROM documents),
+x AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[s:s + 4], ' ') AS k FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM x GROUP BY r),
+p AS (SELECT a.r AS u, b.r AS v, count(*) AS shared FROM x a JOIN x b USING (k) WHERE a.r < b.r GROUP BY ALL),
+l AS MATERIALIZED (SELECT u, v FROM p JOIN n a ON a.r = u JOIN n b ON b.r = v WHERE 100 * shared >= 75 * (a.n + b.n - shared)),
+y AS MATERIALIZED (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+t AS (SELECT r AS node, r AS other FROM d UNION SELECT node, v FROM t JOIN y ON other = u),
+m AS (SELECT node, min(doc_id) AS component_id FROM t JOIN d ON d.r = other GROUP BY node)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN m ON node = r LEFT JOIN n USING (r)
+"""

@@ -17,4 +17,10 @@ QUERIES = {
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mix": mixing.OP2_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_source_mix": mixing.OP2_SQL,
+    "op4_suffix_dedup": suffix_dedup.OP4_SQL,
+    "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op7_substring_dedup": substring_dedup.OP7_SQL,
+    "op10_near_dedup": near_dedup.OP10_SQL,
+}

@@ -87,3 +87,16 @@ def substring_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = Tr
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(common.documents(spark, sf_dir), texts=False).drop("kept")
+
+
+#: Every window as one text, told apart by MD5; a word goes if one of the 35 windows that hold it is repeated.
+OP7_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{common.WORD}') AS w FROM documents),
+v AS (SELECT r, s, md5(array_to_string(w[s:s + 34], ' ')) AS k FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d)),
+e AS (SELECT r, s FROM v QUALIFY count(*) OVER (PARTITION BY k) > 1),
+i AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS s FROM d),
+c AS (SELECT i.r, s, word, count(e.s) OVER (PARTITION BY i.r ORDER BY s ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS gone
+      FROM i LEFT JOIN e USING (r, s)),
+a AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY s) FILTER (NOT gone) AS kept FROM c GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (r)
+"""

@@ -78,3 +78,18 @@ def suffix_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = True,
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(common.documents(spark, sf_dir), texts=False).drop("kept")
+
+
+#: Every window as bytes, told apart by MD5; windows that stand earlier too are united to spans, and the bytes between spans are kept.
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+v AS (SELECT r, doc_id, s, md5(b[s:s + 99]) AS k FROM (SELECT r, doc_id, b, unnest(range(1, octet_length(b) - 98)) AS s FROM d)),
+e AS (SELECT r, s FROM v QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+g AS (SELECT r, s, coalesce(s > lag(s) OVER (PARTITION BY r ORDER BY s) + 100, true) AS fresh FROM e),
+h AS (SELECT r, s, sum(fresh::INT) OVER (PARTITION BY r ORDER BY s) AS run FROM g),
+o AS (SELECT r, min(s) AS low, max(s) + 100 AS high FROM h GROUP BY r, run),
+p AS (SELECT r, 0 AS low, 1 AS high FROM d UNION ALL SELECT * FROM o),
+q AS (SELECT r, high AS start_, coalesce(lead(low) OVER (PARTITION BY r ORDER BY low), octet_length(b) + 1) - 1 AS stop_, low, high, b FROM p JOIN d USING (r)),
+a AS (SELECT r, sum(high - low) FILTER (low > 0) AS n_removed, count(*) FILTER (low > 0) AS n_spans, string_agg(CASE WHEN stop_ >= start_ THEN hex(b[start_:stop_]) ELSE '' END, '' ORDER BY low) AS kept FROM q GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN a USING (r)
+"""
