@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +24,10 @@ PIECE = 1 << 15
 #: and none looks back: a text may be cut before such a space.
 SAFE = re.compile(r"(?<=[0-9A-Za-z])[ \n]")
 
+#: White space as the pattern's ``\s`` has it, in runs that are long enough to be taken out of the text first:
+#: the pattern's look-ahead backtracks over a run, and its stack ends at about a million characters.
+LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1024,}")
+
 
 def safe_pieces(text: str, size: int = PIECE) -> list[str]:
     """The text cut at safe boundaries, each the first one ``size`` or more characters after the last."""
@@ -33,6 +38,28 @@ def safe_pieces(text: str, size: int = PIECE) -> list[str]:
     return [*out, text[at:]]
 
 
+def pieces(text: str) -> Iterator[tuple[str, bool]]:
+    """Pieces that may be encoded on their own, and whether a piece is one match of the pattern.
+
+    In a run of k > 1 white-space characters the pattern matches the first k-1 at once, or all k at the end of the
+    text; the last one starts the next match. No match before the run goes into it, and none looks back.
+    """
+    at = 0
+    for run in LONG_SPACE.finditer(text):
+        if run.start() > at:
+            yield from ((piece, False) for piece in safe_pieces(text[at : run.start()]))
+        at = run.end() - (run.end() < len(text))
+        yield text[run.start() : at], True
+    if at < len(text):
+        yield from ((piece, False) for piece in safe_pieces(text[at:]))
+
+
+def encode(bpe, text: str) -> np.ndarray:
+    """Token ids of a whole text of any length."""
+    ids = [bpe._encode_single_piece(piece) if whole else bpe.encode_ordinary(piece) for piece, whole in pieces(text)]
+    return np.concatenate([np.zeros(0, "<u4"), *(np.array(x, "<u4") for x in ids)])
+
+
 @lru_cache(maxsize=4)
 def encoding(ranks: bytes, pattern: str):
     import tiktoken
@@ -57,7 +84,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = Tr
         for batch in common.slices(batches, "text"):
             out, kept = [], []
             for text in batch.column(1).to_pylist():
-                tokens = np.concatenate([np.array(bpe.encode_ordinary(piece), "<u4") for piece in safe_pieces(text)])
+                tokens = encode(bpe, text)
                 decoded = hashlib.sha256()
                 for at in range(0, tokens.size, PIECE):  # raw bytes: a token may hold part of a character
                     decoded.update(bpe.decode_bytes(tokens[at : at + PIECE].tolist()))

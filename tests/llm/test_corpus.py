@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 
 import corpus_pipeline
 from tallyspark.llm import byte_bpe, graph_index, license_texts, licenses, mixing, neighbours, quality, sharding
@@ -166,6 +167,44 @@ def test_tokens_round_trip(spark):
     assert len(byte_bpe.safe_pieces(long)) > 1 and "".join(byte_bpe.safe_pieces(long)) == long
 
 
+def merged_by_rank(piece, ranks):
+    """Byte-pair merges in plain Python: the pair of least rank first, the leftmost of equal ones."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        rank, i = min((ranks.get(parts[i] + parts[i + 1], math.inf), i) for i in range(len(parts) - 1))
+        if rank == math.inf:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[x] for x in parts]
+
+
+def test_white_space_runs_against_pattern_and_merges():
+    path, pattern = byte_bpe.public_ranks()
+    with open(path, "rb") as f:
+        bpe = byte_bpe.encoding(f.read(), pattern)
+    ranks, r = bpe._mergeable_ranks, random.Random(9)
+    for i in range(60):
+        runs = ["".join(r.choices(" \t\n\u3000\x85\x1c", [8, 2, 2, 1, 1, i % 2], k=r.choice([1, 3, 1023, 1024, 1100]))) for _ in range(2)]
+        text = r.choice(["", "hi", "'s", "é", "1"]) + runs[0] + r.choice(["", "x", "!", "2", "'ll"]) + runs[1] + r.choice(["", "y", "語"])
+        want = [t for piece in regex.findall(pattern, text, regex.V1) for t in merged_by_rank(piece.encode(), ranks)]
+        assert byte_bpe.encode(bpe, text).tolist() == want == bpe.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t", "\t \n"])
+def test_ten_megabytes_of_white_space(spark, space):
+    path, pattern = byte_bpe.public_ranks()
+    with open(path, "rb") as f:
+        bpe = byte_bpe.encoding(f.read(), pattern)
+    run = space * (10_000_000 // len(space))
+    one = bpe._encode_single_piece
+    head, last = one(run[:-1]), bpe.encode_ordinary(run[-1] + "x")  # the pattern's rule: all but the last before another character
+    texts = {run: one(run), run + "x": [*head, *last], "hi" + run: [*one("hi"), *one(run)], "hi" + run + "x" + run: [*one("hi"), *head, *last, *one(run)]}
+    got = {r["doc_id"]: r for r in byte_bpe.encode_decode(frame(spark, list(texts)), path, pattern, ids=False).collect()}
+    for d, (text, ids) in enumerate(texts.items()):
+        assert got[d]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[d]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(900, 16)).astype(np.float32)
