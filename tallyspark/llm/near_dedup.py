@@ -220,12 +220,12 @@ def keys() -> tuple[Column, Column]:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """(id, tie, n_shingles, component, kept) of each row: component is the smallest id of the row's group, and
-    kept is true in one row of the group, its first by (id, tie)."""
+    """(id, tie, n_shingles, component, stays) of each row: component is the smallest known id of the row's group, and
+    stays is true in one row of the group, its first by (id, tie), rows with an id before others."""
     id_, tie = keys()
     keyed = docs.select(id_.alias("id"), tie.alias("tie"), common.whole_text().cast("binary").alias("body"))
     rows = common.stage(features(keyed).withColumn("row", F.monotonically_increasing_id()), "features")
-    place = F.struct("id", "tie", "row")
+    place = F.struct((F.col("id") == common.NO_ID).alias("unnamed"), "id", "tie", "row")
     sketch = ("n", "s0", "s1", "s2", "bands")  # the same in all rows of a class
     classes = rows.filter("n > 0").groupBy("set").agg(F.min(place).alias("head"), *[F.first(c).alias(c) for c in sketch])
     classes = common.stage(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
@@ -235,7 +235,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         rooted = classes.select("set", "doc", "head").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
         heads = rooted.select("set", "root").join(rooted.groupBy("root").agg(F.min("head").alias("head")), "root").drop("root")
     found = rows.select("id", "tie", "row", "n", "set").join(heads, "set", "left").withColumn("head", F.coalesce("head", place))
-    return found.select("id", "tie", F.col("n").alias("n_shingles"), F.col("head.id").alias("component"), (F.col("row") == F.col("head.row")).alias("kept"))
+    return found.select("id", "tie", F.col("n").alias("n_shingles"), F.col("head.id").alias("component"), (F.col("row") == F.col("head.row")).alias("stays"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -243,25 +243,27 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     Words are lower-cased in A-Z; a document's set holds its distinct five-word shingles, with fewer words
     the whole sequence. A document without words is linked with nothing. component_id is the smallest
-    doc_id reachable over links of similarity 0.75 or more; a missing doc_id is smaller than all others,
-    and its group has a missing component_id. Each row is a document of its own, also among rows with a
-    missing doc_id or with the same one: two such rows are in one group if links lead from one text to the
-    other. One row of each group is kept: of those with the smallest doc_id the one whose text has the
-    smallest hash. An empty table gives no rows. Other columns are not read.
+    doc_id reachable over links of similarity 0.75 or more; missing ones do not count, and a group of rows
+    that all miss it has a missing component_id. kept says whether doc_id and component_id are the same, also
+    where both are missing; rows that share a group's smallest doc_id are all kept. Each row is a document of
+    its own, also among rows with a missing doc_id or with the same one: two such rows are in one group if
+    links lead from one text to the other. An empty table gives no rows. Other columns are not read.
     """
     known = lambda c: F.nullif(F.col(c), F.lit(common.NO_ID))
-    return near_groups(docs).select(known("id").alias("doc_id"), "n_shingles", known("component").alias("component_id"), "kept")
+    same = F.col("id") == F.col("component")
+    return near_groups(docs).select(known("id").alias("doc_id"), "n_shingles", known("component").alias("component_id"), same.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each group of ``docs``, the one that ``near_dedup`` keeps, all columns as they are.
+    """One row of each group of ``docs``, all columns as they are: of those with its smallest doc_id (a missing one
+    only where all are missing) the one whose text has the smallest hash.
 
     Rows equal in doc_id and text differ in other columns only; a hash of these tells which one stays. An
     empty table stays empty.
     """
     id_, tie = keys()
     wordy = common.whole_text().rlike(r"[^\x20\x09-\x0D]")  # rows without words are linked with nothing
-    stay = near_groups(docs).filter("kept and n_shingles > 0").select(F.col("id").alias("__id"), F.col("tie").alias("__tie"))
+    stay = near_groups(docs).filter("stays and n_shingles > 0").select(F.col("id").alias("__id"), F.col("tie").alias("__tie"))
     chosen = docs.filter(wordy).withColumns({"__id": id_, "__tie": tie}).join(stay, ["__id", "__tie"], "left_semi")
     rest = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     turn = F.row_number().over(Window.partitionBy("__id", "__tie").orderBy(F.xxhash64(*rest)))
@@ -282,5 +284,5 @@ l AS MATERIALIZED (SELECT u, v FROM p JOIN n a ON a.r = u JOIN n b ON b.r = v WH
 y AS MATERIALIZED (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
 t AS (SELECT r AS node, r AS other FROM d UNION SELECT node, v FROM t JOIN y ON other = u),
 m AS (SELECT node, min(doc_id) AS component_id FROM t JOIN d ON d.r = other GROUP BY node)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN m ON node = r LEFT JOIN n USING (r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN m ON node = r LEFT JOIN n USING (r)
 """

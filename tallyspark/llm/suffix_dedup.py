@@ -82,9 +82,9 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Every window as bytes, told apart by MD5; windows that stand earlier too are united to spans, and the bytes between spans are kept.
 OP4_SQL = """
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
-v AS (SELECT r, doc_id, s, md5(b[s:s + 99]) AS k FROM (SELECT r, doc_id, b, unnest(range(1, octet_length(b) - 98)) AS s FROM d)),
-e AS (SELECT r, s FROM v QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, ('0x' || left(md5(coalesce(text, '')), 15))::BIGINT AS h, encode(coalesce(text, '')) AS b FROM documents),
+v AS (SELECT r, doc_id, h, s, md5(b[s:s + 99]) AS k FROM (SELECT r, doc_id, h, b, unnest(range(1, octet_length(b) - 98)) AS s FROM d)),
+e AS (SELECT r, s FROM v QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h, r, s) > 1),
 g AS (SELECT r, s, coalesce(s > lag(s) OVER (PARTITION BY r ORDER BY s) + 100, true) AS fresh FROM e),
 h AS (SELECT r, s, sum(fresh::INT) OVER (PARTITION BY r ORDER BY s) AS run FROM g),
 o AS (SELECT r, min(s) AS low, max(s) + 100 AS high FROM h GROUP BY r, run),

@@ -16,7 +16,7 @@ segment, and only segments, some two per L-K tokens, travel:
    again, and these are dealt out by window. They are segments of one window to everything that follows.
 5. ``in_shards``: each shard's index says which windows stand elsewhere; copies of a representative follow it.
 
-A document is (doc, tie): its doc_id (a missing one as NO_ID) and a 64-bit hash of the text, so that rows
+A document is (doc, tie): its doc_id (a missing one as NO_ID) and a 60-bit hash of the text, so that rows
 that share a doc_id but not the text are kept apart. Rows equal in both are counted one by one.
 """
 
@@ -127,7 +127,7 @@ def segments(docs: DataFrame, spec: Spec) -> DataFrame:
 
 def doc_key() -> tuple[Column, Column]:
     """(doc, tie) of a row."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)).alias("doc"), F.xxhash64(common.whole_text()).alias("tie")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)).alias("doc"), common.order_hash(common.whole_text()).alias("tie")
 
 
 class Texts:

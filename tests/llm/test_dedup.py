@@ -211,7 +211,7 @@ def test_near_dedup_edges(spark):
     assert near_dedup.near_dedup(frame(spark, []).limit(0)).count() == near_dedup.drop_near_copies(frame(spark, []).limit(0)).count() == 0
     rows = frame(spark, ["same words in this text here", "same words in this text here", "other", None], [None, 4, 4, 8])
     got = sorted(((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in near_dedup.near_dedup(rows).collect()))
-    assert got == [(-1, -1, True), (4, -1, False), (4, 4, True), (8, 8, True)]
+    assert got == [(-1, 4, False), (4, 4, True), (4, 4, True), (8, 8, True)]
     assert {"m", "size"} <= set(near_dedup.drop_near_copies(rows).columns)
 
 
@@ -228,13 +228,12 @@ def test_near_dedup_of_rows_without_an_id_of_their_own(spark, kind):
     r.shuffle(texts)
     ids = {"missing": [None] * len(texts), "repeated": [5 + i % 2 for i in range(len(texts))], "mixed": [None if i % 3 == 0 else i % 4 for i in range(len(texts))]}[kind]
     root = {i: c for i, (_, c, _) in brute_components(list(enumerate(texts))).items()}
-    rank = lambda x: (x is not None, x or 0)
+    rank = lambda x: (x is None, x or 0)
     least = {c: min((ids[i] for i in root if root[i] == c), key=rank) for c in set(root.values())}
     rows = frame(spark, texts, ids)
     got = near_dedup.near_dedup(rows).collect()
-    want = Counter((ids[i], len(shingle_set(t)), least[root[i]]) for i, t in enumerate(texts))
-    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == want
-    assert Counter(x["component_id"] for x in got if x["kept"]) == Counter(least.values())
+    want = Counter((ids[i], len(shingle_set(t)), least[root[i]], ids[i] == least[root[i]]) for i, t in enumerate(texts))
+    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in got) == want
     stay = near_dedup.drop_near_copies(rows).collect()
     assert Counter(x["doc_id"] for x in stay) == Counter(least.values())
     group = {(ids[i], t): root[i] for i, t in enumerate(texts) if shingle_set(t)}
