@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import byte_bpe, exact_dedup, licenses, mixing, near_dedup, neighbours, quality, sharding, substring_dedup, suffix_dedup
+from tallyspark.llm import byte_bpe, exact_dedup, licenses, merkle, mixing, near_dedup, neighbours, quality, sharding, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_nearest": neighbours.op8_nearest,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op10_near_dedup": near_dedup.OP10_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
 }
