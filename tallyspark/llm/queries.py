@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import alignment, byte_bpe, exact_dedup, licenses, merkle, mixing, near_dedup, neighbours, quality, sharding, substring_dedup, suffix_dedup
+from tallyspark.llm import alignment, byte_bpe, exact_dedup, licenses, merkle, mixing, near_dedup, neighbours, quality, sharding, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_token_alignment": alignment.op13_token_alignment,
 }
 
