@@ -8,8 +8,8 @@ tokens of a group are linked with all its B tokens.
    that follows another character, tokens of A end since no match of its pattern goes on over such a space, and
    tokens of B end since none of its pieces holds a space behind another character (checked when it is loaded).
    So a chunk has the same tokens, groups and links wherever it stands, and each different one of a slice is encoded once.
-2. In a chunk, the ends of both id lists go into dictionaries from end to index; the common ends, sorted, slice both lists into
-   groups, and links are expanded per slice of the lists.
+2. The ends of both id lists of some chunks in a row go into dictionaries from end to index; the common ends, sorted, slice both
+   lists into groups, and links are expanded per slice of the lists.
 3. A slice is one row: its documents as lists of chunks, its chunks as lists of linked id pairs, and for each id pair how many
    of its documents hold it. Documents that hold a pair are summed over slices by a shuffle of (pair, slice) rows,
    and the sums go back to the slices that asked, so no row is made for a pair of each document.
@@ -21,7 +21,8 @@ import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from tallyspark.llm import common
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 #: Bytes of texts in a slice (a longer text alone), and of chunks that are encoded at a time.
-SLICE_BYTES, ENCODE_BYTES = 16 << 20, 1 << 20
+SLICE_BYTES, ENCODE_BYTES = 6 << 20, 1 << 18
 
 #: Links of a group from which on they are counted by distinct ids.
 LARGE = 1 << 12
@@ -57,6 +58,14 @@ class Tokenizer:
     def size(self) -> int:
         return len(self.raw)
 
+    @cached_property
+    def sizes(self) -> list[int]:
+        return [len(x) for x in self.raw]
+
+    @cached_property
+    def names(self) -> list[str]:
+        return [str(i) for i in range(self.size)]
+
 
 def byte_level() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, others from U+0100 on."""
@@ -93,65 +102,77 @@ def tokenizer_b(model: bytes) -> Tokenizer:
     return Tokenizer(lambda chunks: made.encode([x[1:] for x in chunks], num_threads=1), raw)  # it adds the space
 
 
-def groups_of(a: list[int], b: list[int], a_raw: list[bytes], b_raw: list[bytes]) -> list[tuple[list[int], list[int]]]:
-    """The groups between common ends of two id lists over the same bytes."""
-
-    def ends(ids: list[int], raw: list[bytes]) -> dict[int, int]:
-        out, at = {}, 0
-        for i, x in enumerate(ids, 1):
-            at += len(raw[x])
-            out[at] = i
-        return out
-
-    of_a, of_b = ends(a, a_raw), ends(b, b_raw)
-    out, i, j = [], 0, 0
-    for end in sorted(of_a.keys() & of_b.keys()):
-        out.append((a[i : of_a[end]], b[j : of_b[end]]))
-        i, j = of_a[end], of_b[end]
-    return out
-
-
-def links_of(groups: list[tuple[list[int], list[int]]], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (A id * width + B id), and how many links each stands for; a pair may come more than once."""
-    pairs, times = [], []
-    for a, b in groups:
-        if len(a) * len(b) < LARGE:
-            pairs += [x * width + y for x in a for y in b]
-            times += [1] * (len(a) * len(b))
-        else:
-            (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-            pairs += (x[:, None] * width + y).ravel().tolist()
-            times += (n[:, None] * m).ravel().tolist()
-    return np.array(pairs, np.int64), np.array(times, np.int64)
+def cuts_of(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> np.ndarray:
+    """How many tokens of each of two id lists, over the same bytes, lie before each of their common ends, in order."""
+    of_a = dict(zip(accumulate([a_size[i] for i in a]), range(1, len(a) + 1), strict=True))
+    of_b = dict(zip(accumulate([b_size[i] for i in b]), range(1, len(b) + 1), strict=True))
+    common_ends = sorted(of_a.keys() & of_b.keys())
+    return np.array([[of_a[end], of_b[end]] for end in common_ends], np.int64).reshape(-1, 2)
+
+
+def links_of(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linked pairs (A id * width + B id), how many links each stands for, and entries per group, of groups of n_a and n_b
+    tokens that stand one after the other in two flat id lists. Large groups come by their distinct ids."""
+    start_a, start_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    large = np.flatnonzero(n_a * n_b >= LARGE)
+    entries = n_a * n_b
+    distinct = {}
+    for g in large.tolist():
+        (x, n), (y, m) = (np.unique(ids[at : at + k], return_counts=True) for ids, at, k in ((a, start_a[g], n_a[g]), (b, start_b[g], n_b[g])))
+        distinct[g] = ((x[:, None] * width + y).ravel(), (n[:, None] * m).ravel())
+        entries[g] = 0
+    group = np.repeat(np.arange(entries.size), entries)
+    turn = np.arange(group.size) - np.repeat(np.cumsum(entries) - entries, entries)
+    pairs = a[start_a[group] + turn // np.maximum(n_b[group], 1)] * width + b[start_b[group] + turn % np.maximum(n_b[group], 1)]
+    times = np.ones(pairs.size, np.int64)
+    if distinct:
+        pairs, times = np.concatenate([pairs, *(x for x, _ in distinct.values())]), np.concatenate([times, *(n for _, n in distinct.values())])
+        group = np.concatenate([group, *(np.full(x.size, g) for g, (x, _) in distinct.items())])
+        order = np.argsort(group, kind="stable")
+        pairs, times = pairs[order], times[order]
+        entries[large] = [distinct[g][0].size for g in large.tolist()]
+    return pairs, times, entries
 
 
 class Chunks:
-    """The different chunks of a slice, each aligned once."""
+    """The different chunks of a slice, each aligned once: text and counts (n_a, n_b, n_groups, n_links) of each, whether
+    both tokenizers give it back, and its linked pairs as places in ``pairs``."""
 
     def __init__(self, chunks: list[str], a: Tokenizer, b: Tokenizer):
-        self.sound, self.text, self.counts, pairs, times = [], [], [], [], []
-        at = 0
-        while at < len(chunks):
+        n = len(chunks)
+        self.sound, self.text, self.counts, self.n_pairs = np.zeros(n, bool), [""] * n, np.zeros((n, 4), np.int64), np.zeros(n, np.int64)
+        pairs, times, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        a_raw, b_raw, a_size, b_size, a_name, b_name = a.raw, b.raw, a.sizes, b.sizes, a.names, b.names
+        while at < n:
             then, size = at, 0
-            while then < len(chunks) and (then == at or size < ENCODE_BYTES):
+            while then < n and (then == at or size < ENCODE_BYTES):
                 size += len(chunks[then])
                 then += 1
-            part = chunks[at:then]
-            for chunk, ids_a, ids_b in zip(part, a.encode(part), b.encode(part), strict=True):
-                raw = chunk.encode()
-                sound = b"".join([a.raw[i] for i in ids_a]) == raw and b"".join([b.raw[i] for i in ids_b]) == raw
-                groups = groups_of(ids_a, ids_b, a.raw, b.raw) if sound else []
-                linked, n = links_of(groups, b.size)
-                pairs.append(linked)
-                times.append(n)
-                self.sound.append(sound)
-                self.text.append(";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups]))
-                self.counts.append((len(ids_a), len(ids_b), len(groups), int(n.sum())))
+            raw, ids_a, ids_b = [x.encode() for x in chunks[at:then]], a.encode(chunks[at:then]), b.encode(chunks[at:then])
+            sound = np.array([b"".join([a_raw[i] for i in x]) == r and b"".join([b_raw[i] for i in y]) == r for r, x, y in zip(raw, ids_a, ids_b, strict=True)])
+            good = np.flatnonzero(sound).tolist()
+            flat_a, flat_b = ([i for k in good for i in ids[k]] for ids in (ids_a, ids_b))
+            cuts = cuts_of(flat_a, flat_b, a_size, b_size)  # a chunk's end is a common end
+            (n_a, n_b), ends = np.diff(cuts, axis=0, prepend=0).T, np.cumsum([len(ids_a[k]) for k in good])
+            of_chunk = np.diff(np.searchsorted(cuts[:, 0], ends, side="right"), prepend=0)
+            self.sound[at:then] = sound
+            self.counts[at:then][good, :3] = np.stack([[len(ids_a[k]) for k in good], [len(ids_b[k]) for k in good], of_chunk], axis=1) if good else 0
+            names_a, names_b = [a_name[i] for i in flat_a], [b_name[i] for i in flat_b]
+            texts, i, j = [], 0, 0
+            for p, q in cuts.tolist():
+                texts.append(f"{','.join(names_a[i:p])}|{','.join(names_b[j:q])}")
+                i, j = p, q
+            for k, end, n_groups in zip(good, np.cumsum(of_chunk).tolist(), of_chunk.tolist(), strict=True):
+                self.text[at + k] = ";".join(texts[end - n_groups : end])
+            linked, held, entries = links_of(np.array(flat_a, np.int64), np.array(flat_b, np.int64), n_a, n_b, b.size)
+            pairs.append(linked)
+            times.append(held)
+            groups = self.counts[at:then, 2]
+            self.counts[at:then, 3] = _by_length(n_a * n_b, groups)
+            self.n_pairs[at:then] = _by_length(entries, groups)
             at = then
-        self.n_pairs = np.array([x.size for x in pairs], np.int64)
-        self.pairs, local = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]), return_inverse=True)
-        self.local = local.astype(np.int64)
-        self.times = np.concatenate([np.zeros(0, np.int64), *times])
+        self.pairs, local = np.unique(np.concatenate(pairs), return_inverse=True)
+        self.local, self.times = local.astype(np.int64), np.concatenate(times)
 
     def held(self, documents: list[np.ndarray]) -> np.ndarray:
         """How many of the documents (lists of chunks) hold each pair."""
@@ -197,23 +218,20 @@ def slices(docs: DataFrame, a_spec: str, b_model: bytes, groups: bool = False) -
             for text in table["text"].to_pylist():
                 documents.append(np.array([known.setdefault(x, len(known)) for x in CHUNK.split(" " + text)] if text else [], np.int64))
             found = Chunks(list(known), a, b)
-            sound, counts = np.array([*found.sound, True]), np.array(found.counts, np.int64).reshape(-1, 4)
-            documents = [x if sound[x].all() else x[:0] for x in documents]
-            sums = np.array([counts[x].sum(axis=0) for x in documents], np.int64).reshape(-1, 4)
+            documents = [x if found.sound[x].all() else x[:0] for x in documents]
+            sums = np.array([found.counts[x].sum(axis=0) for x in documents], np.int64).reshape(-1, 4)
             texts = [";".join([found.text[i] for i in x.tolist()]) for x in documents] if groups else None
             sha = [hashlib.sha256(";".join([found.text[i] for i in x.tolist()]).encode()).hexdigest() if x.size else "" for x in documents]
             packed = lambda x, kind: np.ascontiguousarray(x, kind).tobytes()
             flat = np.concatenate([np.zeros(0, np.int64), *documents])
-            yield pa.RecordBatch.from_pylist(
-                [
-                    {
-                        "slice": table["row"][0].as_py(), "doc_id": table["doc_id"].to_pylist(), **{k: sums[:, i].tolist() for i, k in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
-                        "groups_sha256": sha, "groups": texts, "n_chunks": packed([x.size for x in documents], np.uint32), "chunks": packed(flat, np.uint32),
-                        "n_pairs": packed(found.n_pairs, np.uint32), "local": packed(found.local, np.uint32), "times": packed(found.times, np.int64), "pairs": found.pairs, "held": found.held(documents).astype(np.int32),
-                    }
-                ],
-                schema=SCHEMA,
-            )
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            cols = [
+                table["row"].slice(0, 1).combine_chunks(), one(table["doc_id"].combine_chunks()), *[one(pa.array(sums[:, i])) for i in range(4)],
+                one(pa.array(sha, pa.string())), one(pa.array(texts, pa.string())) if groups else pa.nulls(1, pa.list_(pa.string())),
+                *[pa.array([x], pa.binary()) for x in (packed([x.size for x in documents], np.uint32), packed(flat, np.uint32), packed(found.n_pairs, np.uint32), packed(found.local, np.uint32), packed(found.times, np.int64))],
+                one(pa.array(found.pairs)), one(pa.array(found.held(documents).astype(np.int32))),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, schema=SCHEMA)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().alias("text"))
     return rows.mapInArrow(run, SLICES)

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -114,13 +115,13 @@ def test_alignment_of_long_texts(spark, plain):
 
 
 def test_large_groups_are_counted_by_distinct_ids(monkeypatch):
-    groups = [([1, 2, 1, 3], [5, 5, 6]), ([1], [6])]
-    small = alignment.links_of(groups, 10)
-    monkeypatch.setattr(alignment, "LARGE", 1)
-    large = alignment.links_of(groups, 10)
-    sums = lambda x: {p: int(x[1][x[0] == p].sum()) for p in np_unique(x[0])}
-    np_unique = lambda x: sorted(set(x.tolist()))
-    assert sums(small) == sums(large) == {15: 4, 16: 3, 25: 2, 26: 1, 35: 2, 36: 1}
+    ids = [np.array(x) for x in ([9, 1, 2, 1, 3, 1], [7, 5, 5, 6, 6], [1, 4, 1], [1, 3, 1])]
+    for large in (1 << 12, 4, 1):
+        monkeypatch.setattr(alignment, "LARGE", large)
+        pairs, times, entries = alignment.links_of(*ids, 10)
+        of_group = np.split(np.stack([pairs, times], axis=1), np.cumsum(entries)[:-1])
+        got = [{p: int(x[x[:, 0] == p, 1].sum()) for p in x[:, 0].tolist()} for x in of_group]
+        assert got == [{97: 1}, {15: 4, 16: 2, 25: 2, 26: 1, 35: 2, 36: 1}, {16: 1}]
 
 
 def test_alignment_of_no_rows(spark):
