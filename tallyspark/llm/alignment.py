@@ -62,10 +62,6 @@ class Tokenizer:
     def sizes(self) -> list[int]:
         return [len(x) for x in self.raw]
 
-    @cached_property
-    def names(self) -> list[str]:
-        return [str(i) for i in range(self.size)]
-
 
 def byte_level() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, others from U+0100 on."""
@@ -134,6 +130,23 @@ def links_of(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, wid
     return pairs, times, entries
 
 
+def given_back(raw: list[bytes], ids: list[list[int]], by: Tokenizer) -> np.ndarray:
+    """Which texts the bytes of their tokens are equal to."""
+    of, size = by.raw, by.sizes
+    lengths = [sum([size[i] for i in x]) for x in ids]
+    if lengths == list(map(len, raw)) and b"".join([of[i] for x in ids for i in x]) == b"".join(raw):
+        return np.ones(len(raw), bool)
+    return np.array([b"".join([of[i] for i in x]) == r for x, r in zip(ids, raw, strict=True)], bool)
+
+
+class Numbers(dict):
+    """Numbers its keys as they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Chunks:
     """The different chunks of a slice, each aligned once: text and counts (n_a, n_b, n_groups, n_links) of each, whether
     both tokenizers give it back, and its linked pairs as places in ``pairs``."""
@@ -142,29 +155,29 @@ class Chunks:
         n = len(chunks)
         self.sound, self.text, self.counts, self.n_pairs = np.zeros(n, bool), [""] * n, np.zeros((n, 4), np.int64), np.zeros(n, np.int64)
         pairs, times, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        a_raw, b_raw, a_size, b_size, a_name, b_name = a.raw, b.raw, a.sizes, b.sizes, a.names, b.names
+        self._names = np.array([f"{i}{mark}" for mark in ",|;" for i in range(max(a.size, b.size))], object)
         while at < n:
             then, size = at, 0
             while then < n and (then == at or size < ENCODE_BYTES):
                 size += len(chunks[then])
                 then += 1
             raw, ids_a, ids_b = [x.encode() for x in chunks[at:then]], a.encode(chunks[at:then]), b.encode(chunks[at:then])
-            sound = np.array([b"".join([a_raw[i] for i in x]) == r and b"".join([b_raw[i] for i in y]) == r for r, x, y in zip(raw, ids_a, ids_b, strict=True)])
+            sound = given_back(raw, ids_a, a) & given_back(raw, ids_b, b)
             good = np.flatnonzero(sound).tolist()
             flat_a, flat_b = ([i for k in good for i in ids[k]] for ids in (ids_a, ids_b))
-            cuts = cuts_of(flat_a, flat_b, a_size, b_size)  # a chunk's end is a common end
+            cuts = cuts_of(flat_a, flat_b, a.sizes, b.sizes)  # a chunk's end is a common end
             (n_a, n_b), ends = np.diff(cuts, axis=0, prepend=0).T, np.cumsum([len(ids_a[k]) for k in good])
             of_chunk = np.diff(np.searchsorted(cuts[:, 0], ends, side="right"), prepend=0)
             self.sound[at:then] = sound
-            self.counts[at:then][good, :3] = np.stack([[len(ids_a[k]) for k in good], [len(ids_b[k]) for k in good], of_chunk], axis=1) if good else 0
-            names_a, names_b = [a_name[i] for i in flat_a], [b_name[i] for i in flat_b]
-            texts, i, j = [], 0, 0
-            for p, q in cuts.tolist():
-                texts.append(f"{','.join(names_a[i:p])}|{','.join(names_b[j:q])}")
-                i, j = p, q
-            for k, end, n_groups in zip(good, np.cumsum(of_chunk).tolist(), of_chunk.tolist(), strict=True):
-                self.text[at + k] = ";".join(texts[end - n_groups : end])
-            linked, held, entries = links_of(np.array(flat_a, np.int64), np.array(flat_b, np.int64), n_a, n_b, b.size)
+            if good:
+                self.counts[at:then][good, :3] = np.stack([[len(ids_a[k]) for k in good], [len(ids_b[k]) for k in good], of_chunk], axis=1)
+            flat_a, flat_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
+            shown = self._shown(flat_a, flat_b, cuts)
+            start = 0
+            for k, n_tokens in zip(good, self.counts[at:then][good, :2].sum(axis=1).tolist(), strict=True):
+                self.text[at + k] = "".join(shown[start : start + n_tokens])[:-1]
+                start += n_tokens
+            linked, held, entries = links_of(flat_a, flat_b, n_a, n_b, b.size)
             pairs.append(linked)
             times.append(held)
             groups = self.counts[at:then, 2]
@@ -174,6 +187,16 @@ class Chunks:
         self.pairs, local = np.unique(np.concatenate(pairs), return_inverse=True)
         self.local, self.times = local.astype(np.int64), np.concatenate(times)
 
+    def _shown(self, a: np.ndarray, b: np.ndarray, cuts: np.ndarray) -> list[str]:
+        """Both flat id lists as decimal ids, group by group, each with the mark that follows it."""
+        each = self._names.size // 3
+        group_a, group_b = (np.repeat(np.arange(len(cuts)), np.diff(side, prepend=0)) for side in cuts.T)
+        names = np.concatenate([self._names[a], self._names[b]])
+        last_a, last_b = cuts[:, 0] - 1, cuts[:, 1] - 1
+        names[last_a] = self._names[each + a[last_a]]
+        names[a.size + last_b] = self._names[2 * each + b[last_b]]
+        return names[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tolist()
+
     def held(self, documents: list[np.ndarray]) -> np.ndarray:
         """How many of the documents (lists of chunks) hold each pair."""
         starts = np.cumsum(self.n_pairs) - self.n_pairs
@@ -213,10 +236,9 @@ def slices(docs: DataFrame, a_spec: str, b_model: bytes, groups: bool = False) -
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its core
         a, b = tokenizer_a(a_spec), tokenizer_b(b_model)
         for table in larger_slices(batches, "text"):
-            known: dict[str, int] = {}
-            documents = []
+            known, documents = Numbers(), []
             for text in table["text"].to_pylist():
-                documents.append(np.array([known.setdefault(x, len(known)) for x in CHUNK.split(" " + text)] if text else [], np.int64))
+                documents.append(np.array(list(map(known.__getitem__, CHUNK.split(" " + text))) if text else [], np.int64))
             found = Chunks(list(known), a, b)
             documents = [x if found.sound[x].all() else x[:0] for x in documents]
             sums = np.array([found.counts[x].sum(axis=0) for x in documents], np.int64).reshape(-1, 4)
