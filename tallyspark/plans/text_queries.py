@@ -396,7 +396,7 @@ def stream_event_conflicts(spark, sf_dir):
     lines = _stream(spark, sf_dir, "lineitem")
     rows = lines.select(F.concat_ws("-", "l_orderkey", "l_partkey").alias("event_id"), F.col("l_orderkey").cast("string").alias("inspection_id"), F.col("l_linenumber").alias("version"), F.col("l_quantity").cast("int").alias("inspected_units"), F.floor(F.col("l_discount") * 100 + 0.5).cast("int").alias("defective_units"))
     jobs.event_conflicts(rows, f"{root}/flags", f"{root}/checkpoint").awaitTermination()
-    return jobs.current_conflicts(spark.read.parquet(f"{root}/flags"))
+    return jobs.current_conflicts(spark, f"{root}/flags")
 
 
 @query("stream_review_schedule", LEARNER_SQL["schedule_fold"])
@@ -405,8 +405,8 @@ def stream_review_schedule(spark, sf_dir):
     card = F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(5))
     rating = F.when(F.col("event_type") == "error", "Again").when(F.col("event_type") == "click", "Hard").when(F.col("event_type") == "view", "Good").when(F.col("event_type") == "purchase", "Easy")
     rows = _stream(spark, sf_dir, "events").filter("event_type <> 'signup'").select("event_id", F.col("user_id").alias("learner_id"), card.alias("card_id"), rating.alias("rating"), F.col("ts").alias("at"))
-    jobs.review_schedule(rows, root, f"{root}/checkpoint").awaitTermination()
-    done = jobs.current_schedules(spark, root)
+    jobs.review_schedule(rows, f"{root}/schedules", f"{root}/checkpoint").awaitTermination()
+    done = jobs.current_schedules(spark, f"{root}/schedules")
     return done.select("learner_id", "card_id", "interval_days", F.col("due_at").cast("timestamp_ntz").alias("due_at"), "last_event_id", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 

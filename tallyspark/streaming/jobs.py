@@ -1,22 +1,24 @@
 """Streaming forms of three batch semantics. State is evidence and is never dropped by a watermark.
 
-Each job keeps its tables as Parquet under ``root`` and works per micro-batch; running a batch again (after a
-failure between its steps) leaves the tables as they were. One writer is assumed.
+Keyed state lies in Spark's state store and is checkpointed with the query; what goes out is changes only. Changes are
+kept by ``functions.deltas``: a folder for each micro-batch that changed something, folded together from time to time.
+Running a batch again (after a failure between its steps) leaves the tables as they were. One writer is assumed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyspark.operators import learner as L
+from tallyspark.functions.deltas import Deltas, newest
 from tallyspark.operators import resolve as R
 from tallyspark.plans.publish import Pipeline
+from tallyspark.streaming import state
 
 
 def ingest_resolve(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Retain each micro-batch under its id, resolve, gate, publish or stay stale."""
+    """Retain each micro-batch under its id, merge it into the resolver's state, gate, publish or stay stale."""
     pipeline = Pipeline(stream.sparkSession, root)
 
     def step(batch: DataFrame, epoch: int) -> None:
@@ -25,65 +27,67 @@ def ingest_resolve(stream: DataFrame, root: str, checkpoint: str) -> StreamingQu
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def event_conflicts(stream: DataFrame, root: str, checkpoint: str, policy: R.Policy = R.Policy()) -> StreamingQuery:
-    """Running contradiction flag per event id: changed ids are appended to ``root`` with their epoch."""
-    row = F.struct(*policy.payload)
-    state = stream.filter(F.col(policy.event).isNotNull()).groupBy(policy.event).agg(F.min(row).alias("low"), F.max(row).alias("high"))
-    flags = state.select(policy.event, (~F.col("low").eqNullSafe(F.col("high"))).alias("conflict"))
-
+def _append_changes(changes: DataFrame, table: Deltas, checkpoint: str) -> StreamingQuery:
     def step(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
+        rows = batch.persist()
+        try:
+            if not rows.isEmpty():
+                table.add(rows, epoch)
+                table.compact()
+        finally:
+            rows.unpersist()
+
+    with state.state_store(changes.sparkSession):
+        return changes.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return flags.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def flags(spark: SparkSession, root: str, event_type: str = "string") -> Deltas:
+    """Contradicted event ids, each written once."""
+    return Deltas(spark, root, f"event_id {event_type}", newest("event_id"))
 
 
-def current_conflicts(flags: DataFrame, event: str = "event_id") -> DataFrame:
-    """Event ids whose newest flag is set."""
-    return flags.groupBy(event).agg(F.max_by("conflict", "epoch").alias("conflict")).filter("conflict").select(event)
+def event_conflicts(stream: DataFrame, root: str, checkpoint: str, policy: R.Policy = R.Policy()) -> StreamingQuery:
+    """Event ids as they turn contradictory: a batch without a new contradiction writes nothing.
+
+    The state of an event id is its first payload and a flag; a missing event id is no event.
+    """
+    payload = F.to_json(F.struct(*policy.payload), {"ignoreNullFields": "false"})
+    rows = stream.filter(F.col(policy.event).isNotNull()).select(F.col(policy.event).cast("string").alias("event_id"), payload.alias("payload"))
+    turned = rows.groupBy("event_id").transformWithState(state.Contradictions(), "event_id string", "Update", "None")
+    return _append_changes(turned, flags(stream.sparkSession, root), checkpoint)
+
 
+def current_conflicts(spark: SparkSession, root: str) -> DataFrame:
+    """Event ids that are contradictory after the last batch."""
+    return flags(spark, root).current()
 
-#: Parts that cards are dealt out to; a batch rewrites the parts of its own cards only.
-BUCKETS = 64
 
+SCHEDULE = "learner_id long, card_id int, interval_days int, due_at timestamp, last_event_id long, updated_at timestamp"
 
-def _current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Rows of ``path/epoch=…/bucket=…``: each bucket as of its newest epoch (below ``before``). Which epochs there are
-    is read from folder names only, and the join prunes the folders that are read."""
-    rows = spark.read.parquet(path)
-    if before is not None:
-        rows = rows.filter(F.col("epoch") < before)
-    newest = rows.groupBy("bucket").agg(F.max("epoch").alias("epoch"))
-    return rows.join(F.broadcast(newest), ["bucket", "epoch"])  # BUCKETS rows at most
+
+def schedules(spark: SparkSession, root: str) -> Deltas:
+    """Changed schedules by batch."""
+    return Deltas(spark, root, SCHEDULE, newest("learner_id", "card_id"))
 
 
 def current_schedules(spark: SparkSession, root: str) -> DataFrame:
     """Every card's schedule after the last batch."""
-    return _current(spark, f"{root}/schedules").drop("bucket", "epoch")
+    return schedules(spark, root).current()
+
+
+def due_cards(spark: SparkSession, root: str, at: Column | None = None) -> DataFrame:
+    """Cards that are due at a time, now if not said otherwise."""
+    return current_schedules(spark, root).filter(F.col("due_at") <= (F.current_timestamp() if at is None else at)).select("learner_id", "card_id", "due_at")
 
 
 def review_schedule(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Running schedules: per card the last reviews that can matter are kept, and folded again when the card has new ones.
+    """Running schedules: a batch reads and changes the state of its own cards only, and writes their schedules only.
 
-    Cards are dealt out to BUCKETS by a hash. A batch reads the kept reviews of its own buckets, as of the newest
-    earlier epoch, and writes ``root/tail/epoch=…/bucket=…`` and ``root/schedules/epoch=…/bucket=…`` for these
-    only; other buckets stay untouched. Running an epoch again writes the same. Late reviews find their place by
-    time, since a kept tail is as long as the fold's memory.
+    A card's state is its last reviews, as many as the interval rule remembers, so late reviews find their place by
+    time and repeated ones change nothing.
     """
     spark = stream.sparkSession
-    columns = ["event_id", "learner_id", "card_id", "rating", "at"]
-    newest_first = Window.partitionBy("learner_id", "card_id").orderBy(F.desc("at"), F.desc("event_id"))
-    bucket = F.pmod(F.xxhash64("learner_id", "card_id"), F.lit(BUCKETS)).cast("int")
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        rows = batch.select(*columns, bucket.alias("bucket"))
-        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
-        if epoch > 0:
-            kept = _current(spark, f"{root}/tail", epoch).filter(F.col("bucket").isin(touched))
-            rows = rows.unionByName(kept.select(*columns, "bucket"))
-        tail = rows.dropDuplicates(["event_id"]).withColumn("turn", F.row_number().over(newest_first)).filter(F.col("turn") <= L.MEMORY).drop("turn")
-        tail.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/tail/epoch={epoch}")
-        kept = spark.read.schema(tail.schema).parquet(f"{root}/tail/epoch={epoch}")
-        folded = L.schedule_fold(kept.drop("bucket")).withColumn("bucket", bucket)
-        folded.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/schedules/epoch={epoch}")
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = stream.select("event_id", "learner_id", "card_id", "rating", F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
+    changed = rows.groupBy("learner_id", "card_id").transformWithState(state.Schedules(), SCHEDULE.replace("timestamp", "long"), "Update", "None")
+    changed = changed.withColumns({c: F.timestamp_micros(c) for c in ("due_at", "updated_at")})
+    return _append_changes(changed, schedules(spark, root), checkpoint)

@@ -153,20 +153,6 @@ def test_streams_equal_batch(spark, tmp_path):
     assert got == sorted(map(tuple, L.schedule_fold(whole).collect()))
 
 
-def test_a_batch_rewrites_its_own_cards_only(spark, tmp_path):
-    ddl = "event_id long, learner_id long, card_id int, rating string, at timestamp"
-    at = lambda i: datetime(2024, 1, 1, 0, i, tzinfo=timezone.utc)
-    first = [(i, i, 0, "Good", at(i)) for i in range(40)]
-    later = [(100, 3, 0, "Easy", at(50)), (101, 3, 0, "Hard", at(1))]  # one of them late
-    for name, rows in (("a", first), ("b", later)):
-        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(ddl).parquet(f"{tmp_path}/in")
-        jobs.review_schedule(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    assert len(list((tmp_path / "out/tail/epoch=1").glob("bucket=*"))) == 1 < len(list((tmp_path / "out/tail/epoch=0").glob("bucket=*")))
-    got = sorted(map(tuple, jobs.current_schedules(spark, f"{tmp_path}/out").collect()))
-    assert got == sorted(map(tuple, L.schedule_fold(spark.createDataFrame(first + later, ddl)).collect()))
-
-
 def test_cycles_against_reachability(spark):
     r = random.Random(2)
     for n, m in ((12, 16), (20, 30), (9, 20)):
