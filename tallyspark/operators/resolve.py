@@ -113,6 +113,13 @@ def resolve(raw: DataFrame, policy: Policy = Policy(), staged: bool = False) ->
         F.bool_or("event_conflict").alias("event_conflict"),
         *[F.max(c).alias(c) for c in p.quantities],
     )
+    keys = key_states(by_revision, p)
+    return Resolution(p, rows, events, by_revision.filter(F.col(p.version).isNotNull()), once(keys))
+
+
+def key_states(by_revision: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """One row per key from (key, version) rows: what is needed to accept, exclude or block it."""
+    p = policy
     at_top = F.struct(F.col("all_valid").alias("all_valid"), *p.quantities)
     keys = by_revision.groupBy(p.key).agg(
         F.max(p.version).alias("latest"),
@@ -125,8 +132,7 @@ def resolve(raw: DataFrame, policy: Policy = Policy(), staged: bool = False) ->
     invalid_latest = F.col("known") & ~F.col("top.all_valid")
     unordered = F.col("known") & F.col("unordered")
     keys = keys.withColumns({"invalid_latest": F.coalesce(invalid_latest, F.lit(False)), "unordered_known": unordered})
-    keys = keys.withColumn("blocked", F.col("contradicted") | F.col("invalid_latest") | F.col("unordered_known"))
-    return Resolution(p, rows, events, by_revision.filter(F.col(p.version).isNotNull()), once(keys))
+    return keys.withColumn("blocked", F.col("contradicted") | F.col("invalid_latest") | F.col("unordered_known"))
 
 
 def weighted_rate(rows: DataFrame, by: list[str]) -> DataFrame:

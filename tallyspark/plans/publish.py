@@ -1,7 +1,7 @@
 """Restartable publication: retained raw, resolved state, snapshot, publication record, effect.
 
-All state is Parquet under one root: ``raw/batch_id=…``, ``snapshots/snapshot_id=…/<relation>``,
-``publications``, ``outbox``. A snapshot is the accepted state with its totals, the excluded keys and the
+All state is Parquet under one root: ``raw/batch_id=…``, ``state`` (see ``operators.resolve_state``; each retained
+batch is merged into it once), ``snapshots/snapshot_id=…/<relation>``, ``publications``, ``outbox``. A snapshot is the accepted state with its totals, the excluded keys and the
 coverage; its id comes from the content of all four, so that a change in any of them is published. Every step first asks whether it has been done, so
 running again after a failure at any point ends in the same state with one effect per snapshot. One writer
 is assumed. A publication record is written last; readers go through it.
@@ -15,7 +15,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.functions.deltas import Deltas, newest
 from tallyspark.operators import resolve as R
+from tallyspark.operators.resolve_state import ResolverState
 
 RAW = "event_id string, inspection_id string, version int, inspected_units int, defective_units int, batch_id string"
 PUBLICATIONS = "seq long, snapshot_id string, status string"
@@ -77,13 +79,30 @@ class Pipeline:
             raise RuntimeError(fail_after)
         return self.recover(fail_after)
 
+    def state(self) -> ResolverState:
+        return ResolverState(self.spark, f"{self.root}/state")
+
+    def merge_retained(self) -> None:
+        """Bring the resolver's state in line with retained raw: batches that it does not have yet, in the order of their ids."""
+        done = Deltas(self.spark, f"{self.root}/state/applied", "batch_id string", newest("batch_id"))
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/raw")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        retained = {x.getPath().getName().removeprefix("batch_id=") for x in fs.listStatus(path)} if fs.exists(path) else set()
+        known = {r["batch_id"] for r in done.current().collect()}  # ids of batches, not rows of them
+        for batch_id in sorted(x for x in retained - known if not x.startswith(("_", "."))):
+            seq = done.applied()
+            self.state().apply(self.spark.read.schema(RAW).parquet(f"{self.root}/raw/batch_id={batch_id}"), seq)
+            done.add(self.spark.createDataFrame([(batch_id,)], "batch_id string"), seq)
+            done.compact()
+
     def status(self) -> str:
         """Of the report as it stands, between retained raw and recovery: not_published or stale_previous."""
         return "not_published" if self.publications().isEmpty() else "stale_previous"
 
     def recover(self, fail_after: str | None = None) -> str:
         """Bring published state and effects in line with retained raw; the status of the report."""
-        found = R.resolve(self.raw(), staged=True)
+        self.merge_retained()
+        found = self.state().resolution()
         last = self.publications().orderBy(F.desc("seq")).first()
         status = "stale_previous" if last else "blocked_no_snapshot"
         if found.gate().first()["publication_allowed"]:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import rules
 from tallyspark.functions.iterate import cut
+from tallyspark.functions.scratch import scratch
 from tallyspark.operators import resolve as R
+from tallyspark.operators.resolve_state import ResolverState
 from tallyspark.plans import views as V
 from tallyspark.plans.register import registry
 
@@ -289,10 +291,9 @@ def classify_arrival(spark, sf_dir):
 
 @query("incremental_resolve", _sql("SELECT * FROM ac"))
 def incremental_resolve(spark, sf_dir):
-    """Two batches: keys that the second one touches are resolved again over retained history, others stay."""
+    """Two batches merged into kept state: the second one reads and writes what its events and keys have there."""
     raw = V.deliveries(spark, sf_dir)
-    first, second = raw.filter("version <= 4"), raw.filter("version > 4")
-    touched = cut(R.affected_keys(first, second))
-    kept = R.resolve(first).accepted().join(touched, "inspection_id", "left_anti")
-    again = R.resolve(R.history_of(raw, touched)).accepted().join(touched, "inspection_id", "left_semi")
-    return kept.unionByName(again)
+    state = ResolverState(spark, scratch(spark, "resolver-state"))
+    for batch in (raw.filter("version <= 4"), raw.filter("version > 4")):
+        state.apply(batch)
+    return state.resolution().accepted()

@@ -347,17 +347,17 @@ def _published(spark, sf_dir, fail=None):
     return pipeline
 
 
-@query("publish_pipeline", "SELECT l_orderkey::VARCHAR AS inspection_id, count(*)::INT AS version FROM lineitem GROUP BY 1")
+@query("publish_pipeline", RESOLVER._sql("SELECT inspection_id, version, inspected_units, defective_units FROM ac", V.D1C, "d1c"))
 def publish_pipeline(spark, sf_dir):
-    return _published(spark, sf_dir).published().select("inspection_id", "version")
+    return _published(spark, sf_dir).published()
 
 
-@query("recover_idempotent", "SELECT l_orderkey::VARCHAR AS inspection_id, count(*)::INT AS version FROM lineitem GROUP BY 1")
+@query("recover_idempotent", RESOLVER._sql("SELECT inspection_id, version, inspected_units, defective_units FROM ac", V.D1C, "d1c"))
 def recover_idempotent(spark, sf_dir):
     """Published state after a failure behind the snapshot and two recoveries."""
     pipeline = _published(spark, sf_dir, "resolved_state")
     pipeline.recover()
-    return pipeline.published().select("inspection_id", "version")
+    return pipeline.published()
 
 
 _COVER = "(SELECT count(*) FROM ac) AS accepted, (SELECT count(*) FROM ex) AS excluded, (SELECT inspected_units FROM tt) AS inspected_units, (SELECT defective_units FROM tt) AS defective_units"
