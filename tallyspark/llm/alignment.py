@@ -18,6 +18,7 @@ tokens of a group are linked with all its B tokens.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -35,7 +36,7 @@ from tallyspark.llm import common
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 #: Bytes of texts in a slice (a longer text alone), and of chunks that are encoded at a time.
-SLICE_BYTES, ENCODE_BYTES = 6 << 20, 1 << 18
+SLICE_BYTES, ENCODE_BYTES = 3 << 20, 1 << 16
 
 #: Links of a group from which on they are counted by distinct ids.
 LARGE = 1 << 12
@@ -43,6 +44,12 @@ LARGE = 1 << 12
 #: A chunk starts at a space behind a character that is surely no white space, if it is not the last character.
 CHUNK = re.compile(r"(?<=[!-~À-ɏ])(?= [\s\S])")
 
+#: Short chunks of characters whose classes are the same in all versions of Unicode.
+LATIN = re.compile(r"[\x00-\u024f]{1,4096}")
+
+#: How byte-level BPE splits a text before it merges (a fixed value).
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 _BYTE_PIECE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 
 
@@ -72,6 +79,10 @@ def byte_level() -> dict[str, int]:
 
 @lru_cache(maxsize=4)
 def tokenizer_a(spec: str) -> Tokenizer:
+    """The byte-level BPE of a tokenizers file. Where the order of its merges is that of its ids, chunks of Latin characters are
+    encoded by rank with the tiktoken library, which is faster: a token is made by one merge only, so the pair of least rank
+    is the pair of least id, and both libraries split such characters alike (tests compare them)."""
+    import tiktoken
     import tokenizers
 
     model = tokenizers.Tokenizer.from_str(spec)
@@ -80,7 +91,22 @@ def tokenizer_a(spec: str) -> Tokenizer:
     special = {i: t.content for i, t in model.get_added_tokens_decoder().items()}
     for entry, i in model.get_vocab().items():
         raw[i] = special[i].encode() if i in special else bytes(table[c] for c in entry)
-    return Tokenizer(lambda chunks: [x.ids for x in model.encode_batch_fast(chunks, add_special_tokens=False)], raw)
+    by_file = lambda chunks: [x.ids for x in model.encode_batch_fast(chunks, add_special_tokens=False)]
+    loaded = json.loads(spec)
+    pairs = [x.split(" ") if isinstance(x, str) else x for x in loaded["model"]["merges"]]
+    made = [model.token_to_id("".join(x)) for x in pairs]
+    if made != sorted(set(made)) or (loaded.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or loaded.get("normalizer"):
+        return Tokenizer(by_file, raw)
+    ranked = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks={x: i for i, x in enumerate(raw) if i not in special}, special_tokens={})
+
+    def encode(chunks: list[str]) -> list[list[int]]:
+        out = [ranked.encode_ordinary(x) if LATIN.fullmatch(x) else None for x in chunks]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, by_file([chunks[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    return Tokenizer(encode, raw)
 
 
 @lru_cache(maxsize=4)
@@ -147,6 +173,12 @@ class Numbers(dict):
         return n
 
 
+@lru_cache(maxsize=1)
+def _marked(size: int) -> np.ndarray:
+    """Decimal ids with the mark that follows them: a comma, a bar, a semicolon."""
+    return np.array([f"{i}{mark}" for mark in ",|;" for i in range(size)], object)
+
+
 class Chunks:
     """The different chunks of a slice, each aligned once: text and counts (n_a, n_b, n_groups, n_links) of each, whether
     both tokenizers give it back, and its linked pairs as places in ``pairs``."""
@@ -155,7 +187,7 @@ class Chunks:
         n = len(chunks)
         self.sound, self.text, self.counts, self.n_pairs = np.zeros(n, bool), [""] * n, np.zeros((n, 4), np.int64), np.zeros(n, np.int64)
         pairs, times, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        self._names = np.array([f"{i}{mark}" for mark in ",|;" for i in range(max(a.size, b.size))], object)
+        self._names = _marked(max(a.size, b.size))
         while at < n:
             then, size = at, 0
             while then < n and (then == at or size < ENCODE_BYTES):
@@ -250,7 +282,7 @@ def slices(docs: DataFrame, a_spec: str, b_model: bytes, groups: bool = False) -
             cols = [
                 table["row"].slice(0, 1).combine_chunks(), one(table["doc_id"].combine_chunks()), *[one(pa.array(sums[:, i])) for i in range(4)],
                 one(pa.array(sha, pa.string())), one(pa.array(texts, pa.string())) if groups else pa.nulls(1, pa.list_(pa.string())),
-                *[pa.array([x], pa.binary()) for x in (packed([x.size for x in documents], np.uint32), packed(flat, np.uint32), packed(found.n_pairs, np.uint32), packed(found.local, np.uint32), packed(found.times, np.int64))],
+                *[pa.array([x], pa.binary()) for x in (packed([x.size for x in documents], np.uint32), packed(flat, np.uint32), packed(found.n_pairs, np.uint32), packed(found.local, np.uint32), packed(found.times, np.uint32 if found.times.max(initial=0) < 2**32 else np.int64))],
                 one(pa.array(found.pairs)), one(pa.array(found.held(documents).astype(np.int32))),
             ]
             yield pa.RecordBatch.from_arrays(cols, schema=SCHEMA)
@@ -297,7 +329,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, groups: bool = True) -> Dat
         pair, n, best = (order[c].to_numpy().astype(np.int64) for c in ("pair", "n", "best"))
         for row in rows.to_pylist():
             n_pairs, local, chunks, n_chunks = (np.frombuffer(row[c], np.uint32).astype(np.int64) for c in ("n_pairs", "local", "chunks", "n_chunks"))
-            times, own = np.frombuffer(row["times"], np.int64), np.array(row["pairs"], np.int64)
+            times = np.frombuffer(row["times"], np.uint32 if len(row["times"]) == 4 * local.size else np.int64).astype(np.int64)
+            own = np.array(row["pairs"], np.int64)
             at = np.minimum(np.searchsorted(pair, own), max(0, pair.size - 1))
             known = pair[at] == own if pair.size else np.zeros(own.size, bool)  # pairs of unsound documents alone have no count
 

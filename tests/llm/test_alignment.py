@@ -114,6 +114,19 @@ def test_alignment_of_long_texts(spark, plain):
         assert got[i]["n_links"] >= got[i]["n_groups"] and got[i]["groups"] is None
 
 
+def test_ranks_give_what_the_file_gives():
+    with open(PATHS[0], encoding="utf-8") as file:
+        spec = file.read()
+    made, model = alignment.tokenizer_a(spec), tokenizers.Tokenizer.from_str(spec)
+    model.encode_special_tokens = True
+    r = random.Random(1)
+    chars = [chr(c) for c in range(0x250)]
+    chunks = [" x" + c + "y" + c + c + " " for c in chars] + ["".join(r.choices(chars, k=30)) for _ in range(3000)] + ["".join(r.choices("abcde 's'll1!\n\t", k=40)) for _ in range(3000)]
+    chunks += [x.decode() for x in made.raw[:50256] if not any(c >= 0x80 for c in x)]
+    assert made.encode.__name__ == "encode" and all(alignment.LATIN.fullmatch(x) for x in chunks)
+    assert made.encode(chunks) == [x.ids for x in model.encode_batch(chunks, add_special_tokens=False)]
+
+
 def test_large_groups_are_counted_by_distinct_ids(monkeypatch):
     ids = [np.array(x) for x in ([9, 1, 2, 1, 3, 1], [7, 5, 5, 6, 6], [1, 4, 1], [1, 3, 1])]
     for large in (1 << 12, 4, 1):
