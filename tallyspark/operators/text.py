@@ -51,9 +51,9 @@ def classify_links(found: DataFrame, known: DataFrame) -> DataFrame:
     return seen.withColumn("label", label).drop("name", "found")
 
 
-def search(index: DataFrame, q: str, limit: int = 80) -> DataFrame:
-    """The first ``limit`` entries in index order (column ``position``) whose text holds the query, case ignored."""
-    return index.filter(F.lower("text").contains(q.lower())).orderBy("position").limit(limit)
+def search(index: DataFrame, q: str, limit: int = 80, order: list[str] | None = None) -> DataFrame:
+    """The first ``limit`` entries in index order (column ``position`` if not said otherwise) whose text holds the query, case ignored."""
+    return index.filter(F.lower("text").contains(q.lower())).orderBy(*(order or ["position"])).limit(limit)
 
 
 def snippet(text: Column, q: str) -> Column:

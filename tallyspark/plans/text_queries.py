@@ -12,6 +12,7 @@ from tallyspark.functions.iterate import cut
 from tallyspark.functions.scratch import scratch
 from tallyspark.operators import catalog as C
 from tallyspark.operators import resolve as R
+from tallyspark.operators import search as S
 from tallyspark.operators import text as T
 from tallyspark.plans import publish as P
 from tallyspark.plans import views as V
@@ -117,28 +118,47 @@ def manifest_of_inputs(spark, sf_dir):
     return reduce(DataFrame.unionByName, [P.content_id(t).crossJoin(t.agg(F.count("*").alias("rows"))).withColumn("table", F.lit(name)) for name, t in rows])
 
 
-_INDEX = """ix AS (SELECT 'document' AS type, doc_id AS id, substr(text, 1, 30) AS title, text, '#/lesson/' || doc_id || '/' || source AS href FROM documents
-UNION ALL SELECT 'page', page_id, url, url, '#/course/' || page_id FROM pages
-UNION ALL SELECT 'turn', conv_id * 1000 + turn, role, text, '#/practice/' || conv_id FROM conversations
-UNION ALL SELECT 'part', p_partkey, p_name, concat_ws(' ', p_name, p_type, p_brand), '#/module/' || p_partkey FROM part)"""
+#: Entry kinds in index order: courses, lesson sections, their glossary, beats, extension cards, concepts of modules, roadmaps,
+#: playbooks, and then own notes.
+_KINDS = ("region", "document", "nation", "page", "turn", "part", "supplier", "benchmark", "note")
+_INDEX = """ix AS (SELECT 0 AS kind, 'region' AS type, r_regionkey AS id, 0 AS part, r_name AS title, r_name || ' region' AS text, '#/course/' || r_regionkey AS href FROM region
+UNION ALL SELECT 1, 'document', doc_id, 0, substr(text, 1, 30), text, '#/lesson/' || doc_id || '/' || source FROM documents
+UNION ALL SELECT 2, 'nation', n_nationkey, 0, n_name, n_name || ' ' || r_name, '#/lesson/' || n_regionkey || '/' || n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 3, 'page', page_id, 0, url, url || ' ' || html, '#/module/' || page_id FROM pages
+UNION ALL SELECT 4, 'turn', conv_id, turn, role, text, '#/module/' || conv_id || '?extension=' || turn FROM conversations WHERE role <> 'user'
+UNION ALL SELECT 5, 'part', p_partkey, 0, p_name, concat_ws(' ', p_name, p_type, p_brand), '#/module/' || p_partkey FROM part
+UNION ALL SELECT 6, 'supplier', s_suppkey, 0, s_name, s_name || ' ' || n_name, '#/path/' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT 7, 'benchmark', item_id, 0, substr(text, 1, 30), text, '#/learn/playbooks?playbook=' || item_id FROM benchmark
+UNION ALL SELECT 8, 'note', conv_id, turn, 'Note', text, '#/notebook/' || conv_id || '/' || turn FROM conversations WHERE role = 'user')"""
 
 
 def index(spark, sf_dir) -> DataFrame:
+    """Entries of all kinds and own notes; (kind, id, part) names an entry and orders the index."""
     t = lambda name: table(spark, sf_dir, name)
-    entry = lambda df, kind, id_, title, text, *href: df.select(F.lit(kind).alias("type"), id_.cast("long").alias("id"), title.alias("title"), text.alias("text"), F.concat(*href).alias("href"))
     c, lit = F.col, F.lit
+
+    def entry(df, type_, id_, title, text, *href, part=lit(0)):
+        return df.select(lit(_KINDS.index(type_)).alias("kind"), lit(type_).alias("type"), id_.cast("long").alias("id"), part.cast("int").alias("part"), title.alias("title"), text.alias("text"), F.concat(*href).alias("href"))
+
+    said = t("conversations")
+    nations = t("nation").join(t("region"), c("n_regionkey") == c("r_regionkey"))
     parts = [
+        entry(t("region"), "region", c("r_regionkey"), c("r_name"), F.concat("r_name", lit(" region")), lit("#/course/"), "r_regionkey"),
         entry(t("documents"), "document", c("doc_id"), F.substring("text", 1, 30), c("text"), lit("#/lesson/"), "doc_id", lit("/"), "source"),
-        entry(t("pages"), "page", c("page_id"), c("url"), c("url"), lit("#/course/"), "page_id"),
-        entry(t("conversations"), "turn", c("conv_id") * 1000 + c("turn"), c("role"), c("text"), lit("#/practice/"), "conv_id"),
+        entry(nations, "nation", c("n_nationkey"), c("n_name"), F.concat("n_name", lit(" "), "r_name"), lit("#/lesson/"), "n_regionkey", lit("/"), "n_nationkey"),
+        entry(t("pages"), "page", c("page_id"), c("url"), F.concat("url", lit(" "), "html"), lit("#/module/"), "page_id"),
+        entry(said.filter("role <> 'user'"), "turn", c("conv_id"), c("role"), c("text"), lit("#/module/"), "conv_id", lit("?extension="), "turn", part=c("turn")),
         entry(t("part"), "part", c("p_partkey"), c("p_name"), F.concat_ws(" ", "p_name", "p_type", "p_brand"), lit("#/module/"), "p_partkey"),
+        entry(t("supplier").join(t("nation"), c("s_nationkey") == c("n_nationkey")), "supplier", c("s_suppkey"), c("s_name"), F.concat("s_name", lit(" "), "n_name"), lit("#/path/"), "s_suppkey"),
+        entry(t("benchmark"), "benchmark", c("item_id"), F.substring("text", 1, 30), c("text"), lit("#/learn/playbooks?playbook="), "item_id"),
+        entry(said.filter("role = 'user'"), "note", c("conv_id"), lit("Note"), c("text"), lit("#/notebook/"), "conv_id", lit("/"), "turn", part=c("turn")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("search_index", f"WITH {_INDEX} SELECT type, id, title, length(text) AS chars, href FROM ix")
+@query("search_index", f"WITH {_INDEX} SELECT type, id, part, title, length(text) AS chars, href FROM ix")
 def search_index(spark, sf_dir):
-    return index(spark, sf_dir).select("type", "id", "title", F.length("text").cast("long").alias("chars"), "href")
+    return index(spark, sf_dir).select("type", "id", "part", "title", F.length("text").cast("long").alias("chars"), "href")
 
 
 @query("href_columns", "SELECT doc_id, '#/' || CASE WHEN doc_id % 2 = 0 THEN 'lesson/' || doc_id || '/' || source ELSE 'module/' || lang END || CASE WHEN doc_id % 3 = 0 THEN '?path=p%20' || lang ELSE '' END AS href FROM documents")
@@ -148,24 +168,25 @@ def href_columns(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("#/"), place, path).alias("href"))
 
 
-_KINDS = ("document", "page", "turn", "part")
-_HITS = f"{_INDEX}, h AS (SELECT CASE type WHEN 'document' THEN 0 WHEN 'page' THEN 1 WHEN 'turn' THEN 2 ELSE 3 END * 1000000000000 + id AS position, type, id, text FROM ix WHERE contains(lower(text), 'the mit') ORDER BY position LIMIT 80)"
+_ORDER = ["kind", "id", "part"]
+_HITS = f"{_INDEX}, h AS (SELECT * FROM ix WHERE contains(lower(text), 'the mit') ORDER BY kind, id, part LIMIT 80)"
 
 
 def _hits(spark, sf_dir):
-    """Search over the index of all kinds; its order is by kind, then id."""
-    place = (F.array_position(F.array(*map(F.lit, _KINDS)), F.col("type")) - 1) * 1_000_000_000_000 + F.col("id")
-    return T.search(index(spark, sf_dir).withColumn("position", place), "the mit")
+    """Search by grams over the kept index of all kinds."""
+    root = scratch(spark, "search")
+    S.write(index(spark, sf_dir), _ORDER, root)
+    return S.search(spark, root, _ORDER, "the mit")
 
 
-@query("search_query", f"WITH {_HITS} SELECT position, type, id FROM h")
+@query("search_query", f"WITH {_HITS} SELECT type, id, part FROM h")
 def search_query(spark, sf_dir):
-    return _hits(spark, sf_dir).select("position", "type", "id")
+    return _hits(spark, sf_dir).select("type", "id", "part")
 
 
-@query("search_snippet", f"WITH {_HITS} SELECT position, substr(regexp_replace(text, '[#*`]', '', 'g'), greatest(0, strpos(lower(text), 'the mit') - 1 - 55) + 1, 200) AS snippet FROM h")
+@query("search_snippet", f"WITH {_HITS} SELECT type, id, part, substr(regexp_replace(text, '[#*`]', '', 'g'), greatest(0, strpos(lower(text), 'the mit') - 1 - 55) + 1, 200) AS snippet FROM h")
 def search_snippet(spark, sf_dir):
-    return _hits(spark, sf_dir).select("position", T.snippet(F.col("text"), "the mit").alias("snippet"))
+    return _hits(spark, sf_dir).select("type", "id", "part", T.snippet(F.col("text"), "the mit").alias("snippet"))
 
 
 @query("notebook_filter", "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND contains(lower(text), 'the')")
