@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tallyspark.functions.iterate import cut
 
 #: Of percentiles of large groups.
 ACCURACY = 100_000
@@ -74,17 +75,30 @@ def as_of(rows: DataFrame, publications: DataFrame, snapshot: str, publication:
 def point_in_time(events: DataFrame, entity: str, at: str, event: str, predict: str, feature: str, outcome: str, horizon: int) -> DataFrame:
     """A row per prediction event: the entity's last feature value known then, and whether the outcome follows in time.
 
-    The last feature at or before an event is a running value of the entity's timeline, and the first outcome
-    after it one of the timeline read backward: two ordered passes, no pairs of events.
+    Timelines are cut into ranges of (entity, time), so one of any length is shared by many tasks. Within a range, the last
+    feature at or before an event is a running value, and the first outcome after it one of the range read backward. What
+    a range does not know comes from others: the last feature of earlier ranges of the entity, and the first outcome of
+    later ones, by one row a range. Equal times of an entity lie in one range.
     """
-    past = Window.partitionBy(entity).orderBy(at, F.col("kind"), event).rowsBetween(Window.unboundedPreceding, 0)
-    later = Window.partitionBy(entity).orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, -1)
     kind = F.when(F.col("event_type") == feature, 0).when(F.col("event_type") == predict, 1).when(F.col("event_type") == outcome, 2)
     line = events.select(entity, F.unix_micros(F.col(at).cast("timestamp")).alias(at), event, "event_type", F.col("value").alias("v")).withColumn("kind", kind).filter("kind is not null")
-    known = F.last(F.when(F.col("kind") == 0, F.col("v")), ignorenulls=True).over(past)
-    first = F.min(F.when(F.col("kind") == 2, F.col(at))).over(later)
-    out = line.withColumns({"feature": known, "next": first}).filter("kind = 1")
-    return out.select(event, "feature", F.coalesce(F.col("next") <= F.col(at) + horizon * 1_000_000, F.lit(False)).alias("label"))
+    line = cut(line.repartitionByRange(entity, at).withColumn("range", F.spark_partition_id()))
+    feature_value, when_outcome = F.when(F.col("kind") == 0, F.col("v")), F.when(F.col("kind") == 2, F.col(at))
+    ends = line.groupBy(entity, "range").agg(F.max_by(feature_value, F.when(feature_value.isNotNull(), F.struct(at, event))).alias("last"), F.min(when_outcome).alias("first"))
+    in_order = Window.partitionBy(entity).orderBy("range")
+    carried = ends.select(
+        F.col(entity).alias("__entity"),
+        F.col("range").alias("__range"),
+        F.last("last", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1)).alias("__last"),
+        F.min("first").over(in_order.rowsBetween(1, Window.unboundedFollowing)).alias("__first"),
+    )
+    past = Window.partitionBy(entity, "range").orderBy(at, "kind", event).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(entity, "range").orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, -1)
+    known = F.last(feature_value, ignorenulls=True).over(past)
+    out = line.withColumns({"known": known, "next": F.min(when_outcome).over(later)}).filter("kind = 1")
+    out = out.join(carried, F.col(entity).eqNullSafe(F.col("__entity")) & (F.col("range") == F.col("__range")))
+    following = F.coalesce("next", "__first")
+    return out.select(event, F.coalesce("known", "__last").alias("feature"), F.coalesce(following <= F.col(at) + horizon * 1_000_000, F.lit(False)).alias("label"))
 
 
 def temporal_split(rows: DataFrame, entity: str, at: str, cut: str, parts: int) -> DataFrame:

@@ -17,9 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.iterate import cut
+from tallyspark.functions.ranked import ranked
 from tallyspark.functions.rules import Rule, delivery_rules, nonblank, positive_int, reasons
 
 
+#: Arrivals in a part of the evidence of a contradiction.
+EVIDENCE = 1000
+
+
 @dataclass(frozen=True)
 class Policy:
     """Which columns name an event, a key, its revision and the quantities, and the rules of a row."""
@@ -141,13 +146,19 @@ def weighted_rate(rows: DataFrame, by: list[str]) -> DataFrame:
     return sums.withColumn("defect_rate", F.try_divide(F.col("defective_units").cast("double"), F.col("inspected_units").cast("double")))
 
 
-def conflict_evidence(raw: DataFrame, policy: Policy = Policy(), arrival: str = "arrival_seq") -> DataFrame:
-    """Every arrival of a contradicted event id or (key, version): kind, identity, arrival positions in order.
+def conflict_evidence(raw: DataFrame, policy: Policy = Policy(), arrival: str = "arrival_seq", part: int = EVIDENCE) -> DataFrame:
+    """Every arrival of a contradicted event id or (key, version): kind, identity, part, arrival positions in order.
 
-    The list is as long as the contradiction has arrivals; ``conflict_arrivals`` gives the same as rows.
+    A contradiction with more than ``part`` arrivals has several parts, 0, 1, ..., of that length but for the last, in the
+    order of arrival; its arrivals are numbered, and its parts made, by many tasks.
     """
-    rows = conflict_arrivals(raw, policy, arrival)
-    return rows.groupBy("kind", "identity").agg(F.array_sort(F.collect_list(arrival)).alias("arrivals"))
+    rows = ranked(conflict_arrivals(raw, policy, arrival), ["kind", "identity"], [arrival]).withColumn("part", F.floor(F.col("index") / part).cast("long"))
+    return rows.groupBy("kind", "identity", "part").agg(F.array_sort(F.collect_list(arrival)).alias("arrivals"))
+
+
+def quarantined_arrivals(raw: DataFrame, policy: Policy = Policy(), arrival: str = "arrival_seq") -> DataFrame:
+    """Every arrival that fails a rule, also a repeated one, with its position and the codes of the rules, in their order."""
+    return raw.withColumn("reasons", reasons(policy.rules())).filter(F.size("reasons") > 0).select(arrival, policy.event, *policy.payload, "reasons")
 
 
 def conflict_arrivals(raw: DataFrame, policy: Policy = Policy(), arrival: str = "arrival_seq") -> DataFrame:

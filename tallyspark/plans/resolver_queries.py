@@ -134,12 +134,25 @@ def revision_conflicts(spark, sf_dir):
     return _found(spark, sf_dir).revision_conflicts()
 
 
-@query("conflict_evidence", "WITH " + V.D1A + _BASE.replace("{src}", "(SELECT event_id, inspection_id, version, inspected_units, defective_units FROM d1a)") + "SELECT 'event_id' AS kind, event_id AS identity, array_to_string(list_sort(list(arrival_seq)), ',') AS arrivals FROM d1a WHERE event_id IN (SELECT event_id FROM ec) GROUP BY 2 UNION ALL SELECT 'key_version', inspection_id || '@' || version, array_to_string(list_sort(list(arrival_seq)), ',') FROM d1a JOIN rc USING (inspection_id, version) GROUP BY 2")
+_EVIDENCE = """, x AS (SELECT 'event_id' AS kind, event_id AS identity, arrival_seq FROM d1a WHERE event_id IN (SELECT event_id FROM ec)
+  UNION ALL SELECT 'key_version', inspection_id || '@' || version, arrival_seq FROM d1a JOIN rc USING (inspection_id, version)),
+y AS (SELECT *, (row_number() OVER (PARTITION BY kind, identity ORDER BY arrival_seq) - 1) // 1000 AS part FROM x)
+SELECT kind, identity, part, array_to_string(list(arrival_seq ORDER BY arrival_seq), ',') AS arrivals FROM y GROUP BY ALL"""
+
+
+@query("conflict_evidence", "WITH " + V.D1A + _BASE.replace("{src}", "(SELECT event_id, inspection_id, version, inspected_units, defective_units FROM d1a)") + _EVIDENCE)
 def conflict_evidence(spark, sf_dir):
     rows = R.conflict_evidence(V.arrivals(spark, sf_dir))
     return rows.withColumn("arrivals", F.array_join(F.col("arrivals").cast("array<string>"), ","))
 
 
+@query("quarantined_arrivals", f"WITH {V.D1A} SELECT arrival_seq, event_id, 'defective_exceeds_inspected' AS reasons FROM d1a WHERE defective_units > inspected_units")
+def quarantined_arrivals(spark, sf_dir):
+    """Quarantined arrivals with their position; the given deliveries fail no other rule."""
+    rows = R.quarantined_arrivals(V.arrivals(spark, sf_dir))
+    return rows.select("arrival_seq", "event_id", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query("latest_revision", _sql("SELECT DISTINCT inspection_id, top AS version FROM judged WHERE top IS NOT NULL"))
 def latest_revision(spark, sf_dir):
     return _found(spark, sf_dir).keys.filter("latest is not null").select("inspection_id", F.col("latest").alias("version"))
