@@ -23,7 +23,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +66,8 @@ class Tokenizer:
         return len(self.raw)
 
     @cached_property
-    def sizes(self) -> list[int]:
-        return [len(x) for x in self.raw]
+    def sizes(self) -> np.ndarray:
+        return np.array([len(x) for x in self.raw], np.int64)
 
 
 def byte_level() -> dict[str, int]:
@@ -124,12 +124,11 @@ def tokenizer_b(model: bytes) -> Tokenizer:
     return Tokenizer(lambda chunks: made.encode([x[1:] for x in chunks], num_threads=1), raw)  # it adds the space
 
 
-def cuts_of(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> np.ndarray:
+def cuts_of(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray) -> np.ndarray:
     """How many tokens of each of two id lists, over the same bytes, lie before each of their common ends, in order."""
-    of_a = dict(zip(accumulate([a_size[i] for i in a]), range(1, len(a) + 1), strict=True))
-    of_b = dict(zip(accumulate([b_size[i] for i in b]), range(1, len(b) + 1), strict=True))
+    of_a, of_b = (dict(zip(np.cumsum(size[ids]).tolist(), range(1, ids.size + 1), strict=True)) for ids, size in ((a, a_size), (b, b_size)))
     common_ends = sorted(of_a.keys() & of_b.keys())
-    return np.array([[of_a[end], of_b[end]] for end in common_ends], np.int64).reshape(-1, 2)
+    return np.array([list(map(of_a.__getitem__, common_ends)), list(map(of_b.__getitem__, common_ends))], np.int64).T
 
 
 def links_of(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,9 +157,10 @@ def links_of(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, wid
 
 def given_back(raw: list[bytes], ids: list[list[int]], by: Tokenizer) -> np.ndarray:
     """Which texts the bytes of their tokens are equal to."""
-    of, size = by.raw, by.sizes
-    lengths = [sum([size[i] for i in x]) for x in ids]
-    if lengths == list(map(len, raw)) and b"".join([of[i] for x in ids for i in x]) == b"".join(raw):
+    of, counts = by.raw, np.array(list(map(len, ids)), np.int64)
+    flat = list(chain.from_iterable(ids))
+    lengths = _by_length(by.sizes[np.array(flat, np.int64)], counts)
+    if (lengths == np.array(list(map(len, raw)), np.int64)).all() and b"".join(map(of.__getitem__, flat)) == b"".join(raw):
         return np.ones(len(raw), bool)
     return np.array([b"".join([of[i] for i in x]) == r for x, r in zip(ids, raw, strict=True)], bool)
 
@@ -196,14 +196,13 @@ class Chunks:
             raw, ids_a, ids_b = [x.encode() for x in chunks[at:then]], a.encode(chunks[at:then]), b.encode(chunks[at:then])
             sound = given_back(raw, ids_a, a) & given_back(raw, ids_b, b)
             good = np.flatnonzero(sound).tolist()
-            flat_a, flat_b = ([i for k in good for i in ids[k]] for ids in (ids_a, ids_b))
+            flat_a, flat_b = (np.fromiter(chain.from_iterable([ids[k] for k in good]), np.int64) for ids in (ids_a, ids_b))
             cuts = cuts_of(flat_a, flat_b, a.sizes, b.sizes)  # a chunk's end is a common end
             (n_a, n_b), ends = np.diff(cuts, axis=0, prepend=0).T, np.cumsum([len(ids_a[k]) for k in good])
             of_chunk = np.diff(np.searchsorted(cuts[:, 0], ends, side="right"), prepend=0)
             self.sound[at:then] = sound
             if good:
                 self.counts[at:then][good, :3] = np.stack([[len(ids_a[k]) for k in good], [len(ids_b[k]) for k in good], of_chunk], axis=1)
-            flat_a, flat_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
             shown = self._shown(flat_a, flat_b, cuts)
             start = 0
             for k, n_tokens in zip(good, self.counts[at:then][good, :2].sum(axis=1).tolist(), strict=True):
@@ -241,6 +240,16 @@ class Chunks:
         return out
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as the largest one takes, after a byte that says how many."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if values.max(initial=0) <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + np.ascontiguousarray(values, kind).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[data[0]], offset=1).astype(np.int64)
+
+
 def larger_slices(batches, column: str):
     """Arrow batches joined to about SLICE_BYTES of texts."""
     held, size = [], 0
@@ -276,13 +285,12 @@ def slices(docs: DataFrame, a_spec: str, b_model: bytes, groups: bool = False) -
             sums = np.array([found.counts[x].sum(axis=0) for x in documents], np.int64).reshape(-1, 4)
             texts = [";".join([found.text[i] for i in x.tolist()]) for x in documents] if groups else None
             sha = [hashlib.sha256(";".join([found.text[i] for i in x.tolist()]).encode()).hexdigest() if x.size else "" for x in documents]
-            packed = lambda x, kind: np.ascontiguousarray(x, kind).tobytes()
             flat = np.concatenate([np.zeros(0, np.int64), *documents])
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             cols = [
                 table["row"].slice(0, 1).combine_chunks(), one(table["doc_id"].combine_chunks()), *[one(pa.array(sums[:, i])) for i in range(4)],
                 one(pa.array(sha, pa.string())), one(pa.array(texts, pa.string())) if groups else pa.nulls(1, pa.list_(pa.string())),
-                *[pa.array([x], pa.binary()) for x in (packed([x.size for x in documents], np.uint32), packed(flat, np.uint32), packed(found.n_pairs, np.uint32), packed(found.local, np.uint32), packed(found.times, np.uint32 if found.times.max(initial=0) < 2**32 else np.int64))],
+                *[pa.array([x], pa.binary()) for x in map(packed, (np.array([x.size for x in documents]), flat, found.n_pairs, found.local, found.times))],
                 one(pa.array(found.pairs)), one(pa.array(found.held(documents).astype(np.int32))),
             ]
             yield pa.RecordBatch.from_arrays(cols, schema=SCHEMA)
@@ -328,8 +336,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, groups: bool = True) -> Dat
         order = told.sort_by("pair")
         pair, n, best = (order[c].to_numpy().astype(np.int64) for c in ("pair", "n", "best"))
         for row in rows.to_pylist():
-            n_pairs, local, chunks, n_chunks = (np.frombuffer(row[c], np.uint32).astype(np.int64) for c in ("n_pairs", "local", "chunks", "n_chunks"))
-            times = np.frombuffer(row["times"], np.uint32 if len(row["times"]) == 4 * local.size else np.int64).astype(np.int64)
+            n_pairs, local, times, chunks, n_chunks = (unpacked(row[c]) for c in ("n_pairs", "local", "times", "chunks", "n_chunks"))
             own = np.array(row["pairs"], np.int64)
             at = np.minimum(np.searchsorted(pair, own), max(0, pair.size - 1))
             known = pair[at] == own if pair.size else np.zeros(own.size, bool)  # pairs of unsound documents alone have no count

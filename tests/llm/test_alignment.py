@@ -137,5 +137,10 @@ def test_large_groups_are_counted_by_distinct_ids(monkeypatch):
         assert got == [{97: 1}, {15: 4, 16: 2, 25: 2, 26: 1, 35: 2, 36: 1}, {16: 1}]
 
 
+def test_packed_numbers():
+    for values in ([], [0], [255, 1], [256], [65536], [2**32], [2**62, 0]):
+        assert alignment.unpacked(alignment.packed(np.array(values, np.int64))).tolist() == values
+
+
 def test_alignment_of_no_rows(spark):
     assert alignment.align(frame(spark, []), *PATHS).count() == 0
