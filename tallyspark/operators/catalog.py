@@ -123,3 +123,27 @@ def media_reasons(start: Column, end: Column, duration: Column, verified: Column
 
 def known_ids(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, [p.select(F.col(p.columns[0]).cast("string").alias("id")) for p in parts]).filter("id is not null").distinct()
+
+
+#: Levels of nesting that ``all_ids`` follows; deeper documents are refused, not cut.
+LEVELS = 64
+
+
+def all_ids(documents: DataFrame, column: str) -> DataFrame:
+    """(path, id): every text under a key ``id`` at any depth of JSON documents, in arrays and objects alike.
+
+    ``path`` names the keys that lead there, without positions. The documents are walked level by level as VARIANT values,
+    so a large document is spread over rows; a text under ``id`` is not looked into. Texts that are no JSON give nothing.
+    """
+    level = documents.select(F.lit("").alias("path"), F.try_parse_json(column).alias("v")).filter("v is not null")
+    found = []
+    for _ in range(LEVELS):
+        level = cut(level)
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found).distinct() if found else level.select("path", F.lit("").alias("id"))
+        own = F.try_variant_get("v", "$.id", "variant")
+        found.append(level.filter(F.schema_of_variant(own) == "STRING").select("path", F.variant_get(own, "$", "string").alias("id")))
+        inner = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer())).filter("key is null or key <> 'id'")
+        inner = inner.select(F.when(F.col("key").isNull(), F.col("path")).otherwise(F.concat_ws(".", F.nullif("path", F.lit("")), "key")).alias("path"), F.col("value").alias("v"))
+        level = inner.filter(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+    raise ValueError(f"documents are nested more than {LEVELS} levels deep")

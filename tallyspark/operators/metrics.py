@@ -43,6 +43,27 @@ def tail_objective(rows: DataFrame, by: str, value: str, threshold: float, share
     return rows.groupBy(by).agg(under.alias("share_under"), at(0.5).alias("median"), at(share).alias("tail")).withColumn("met", F.col("share_under") >= share)
 
 
+#: Items that a level of a stored sketch keeps: ranks are off by about 1/SKETCH of a group, and exact up to SKETCH rows.
+SKETCH = 4096
+
+
+def day_sketches(rows: DataFrame, by: str, day: str, value: str, threshold: float) -> DataFrame:
+    """(by, day, n, under, sketch): what ``tail_of_days`` needs of a day, to be stored; new days are added to the old."""
+    under = F.count_if(F.col(value) < threshold)
+    return rows.groupBy(by, day).agg(F.count(value).alias("n"), under.alias("under"), F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH).alias("sketch"))
+
+
+def tail_of_days(sketches: DataFrame, by: str, share: float) -> DataFrame:
+    """The objective of ``tail_objective`` over any choice of stored days: sketches are merged, no row is read again.
+
+    Days without a value count nothing; a group without any has no percentiles.
+    """
+    merged = sketches.filter("n > 0").groupBy(by).agg(F.sum("n").alias("n"), F.sum("under").alias("under"), F.kll_merge_agg_double("sketch", SKETCH).alias("sketch"))
+    at = lambda p: F.kll_sketch_get_quantile_double("sketch", F.lit(p))
+    rows = merged.select(by, (F.col("under") / F.col("n")).alias("share_under"), at(0.5).alias("median"), at(share).alias("tail"))
+    return rows.withColumn("met", F.col("share_under") >= share)
+
+
 def latency_attribution(before: DataFrame, after: DataFrame, key: str, parts: list[str]) -> DataFrame:
     """Change of the total between paired runs, split by part, and the part that changed most (ties: the first)."""
     b = before.select(key, *[F.col(p).alias(f"__{p}") for p in parts])

@@ -155,9 +155,9 @@ def collect_all_ids(spark, sf_dir):
     c = customers.groupBy(F.col("c_nationkey").alias("n_nationkey"), "part").agg(F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("id"))).alias("customers"))
     n = table(spark, sf_dir, "nation").join(c, "n_nationkey", "left").groupBy(F.col("n_regionkey").alias("r_regionkey"), "part").agg(F.collect_list(F.struct(F.col("n_nationkey").cast("string").alias("id"), "customers")).alias("nations"))
     docs = table(spark, sf_dir, "region").join(n, "r_regionkey", "left")
-    inner = docs.select(F.explode("nations").alias("n"))
-    levels = [docs.select(F.lit("region").alias("kind"), F.col("r_regionkey").cast("string").alias("id")), inner.select(F.lit("nation").alias("kind"), F.col("n.id").alias("id")), inner.select(F.explode("n.customers").alias("c")).select(F.lit("customer").alias("kind"), F.col("c.id").alias("id"))]
-    return reduce(DataFrame.unionByName, levels).distinct()
+    whole = docs.select(F.to_json(F.struct(F.col("r_regionkey").cast("string").alias("id"), "nations")).alias("doc"))
+    kind = F.when(F.col("path") == "", "region").when(F.col("path") == "nations", "nation").when(F.col("path") == "nations.customers", "customer")
+    return C.all_ids(whole, "doc").select(kind.alias("kind"), "id")
 
 
 @query("source_register", "WITH u AS (SELECT l_suppkey AS source, 'line' AS use, l_orderkey AS claim FROM lineitem UNION ALL SELECT s_suppkey, 'supplier', s_nationkey FROM supplier) SELECT source, use, count(DISTINCT claim) AS claims, bool_or(s_acctbal > 0) AS reachable FROM u LEFT JOIN supplier ON s_suppkey = source GROUP BY 1, 2")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.scratch import scratch
 from tallyspark.operators import grain as G
 from tallyspark.operators import merge as M
 from tallyspark.operators import metrics as X
@@ -308,6 +309,15 @@ def state_size_budget(spark, sf_dir):
     return M.state_sizes(rows.filter("turn > 0"), rows, "conv_id", 30)
 
 
+@query("tail_of_days", "SELECT event_type, count(*) FILTER (WHERE value < 15)::DOUBLE / count(*) AS share_under, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.95) AS tail, count(*) FILTER (WHERE value < 15)::DOUBLE / count(*) >= 0.95 AS met FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY 1")
+def tail_of_days(spark, sf_dir):
+    """A range of days out of stored day sketches."""
+    path = scratch(spark, "day-sketches")
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    X.day_sketches(events, "event_type", "day", "value", 15).write.partitionBy("day").parquet(path)
+    return X.tail_of_days(spark.read.parquet(path).filter("day between '2024-01-05' and '2024-01-20'"), "event_type", 0.95)
+
+
 @query("point_in_time_features", "WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT p.event_id, arg_max(e.value, (e.ts, e.event_id)) AS feature FROM p JOIN events e ON e.user_id = p.user_id AND e.event_type = 'view' AND e.ts <= p.ts GROUP BY 1), l AS (SELECT DISTINCT p.event_id FROM p JOIN events e ON e.user_id = p.user_id AND e.event_type = 'error' AND e.ts > p.ts AND e.ts <= p.ts + INTERVAL 24 HOUR) SELECT p.event_id, v.feature, l.event_id IS NOT NULL AS label FROM p LEFT JOIN v USING (event_id) LEFT JOIN l USING (event_id)")
 def point_in_time_features(spark, sf_dir):
     return X.point_in_time(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "purchase", "view", "error", 24 * 3600)
