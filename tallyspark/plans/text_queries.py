@@ -211,12 +211,19 @@ def scan_json_typed(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int").alias("p")).select("event_id", "p.k")
 
 
-@query("scan_json_strict", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'BIGINT' WHEN 1 THEN 'STRING' WHEN 2 THEN 'BOOLEAN' END AS k_type FROM events")
+@query("scan_json_strict", "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'BIGINT' WHEN 1 THEN 'STRING' WHEN 2 THEN 'BOOLEAN' WHEN 3 THEN 'VOID' WHEN 4 THEN 'DECIMAL(2,1)' WHEN 5 THEN 'malformed' END AS k_type FROM events")
 def scan_json_strict(spark, sf_dir):
-    form = F.col("event_id") % 4
-    k = F.get_json_object("props", "$.k")
-    text = F.when(form == 0, F.col("props")).when(form == 1, F.concat(F.lit('{"k": "'), k, F.lit('"}'))).when(form == 2, F.lit('{"k": true}')).otherwise(F.lit("{}"))
-    return readers.json_strict(table(spark, sf_dir, "events").select("event_id", text.alias("text")), "text", ["k"]).drop("text")
+    """Token types of records written to JSON files and read back: a number, a text, a boolean, a null, a decimal, no JSON, nothing."""
+    form, k = F.col("event_id") % 7, F.get_json_object("props", "$.k")
+    token = F.when(form == 0, k).when(form == 1, F.concat(F.lit('"'), k, F.lit('"'))).when(form == 2, "true").when(form == 3, "null").when(form == 4, "1.5")
+    start = F.concat(F.lit('{"event_id": '), "event_id")
+    line = F.when(form == 5, F.concat(start, F.lit(', "k": '))).when(form == 6, F.concat(start, F.lit("}"))).otherwise(F.concat(start, F.lit(', "k": '), token, F.lit("}")))
+    folder = scratch(spark, "json-lines")
+    table(spark, sf_dir, "events").select(line.alias("value")).write.text(folder)
+    rows = readers.json_variants(spark, folder, ["k"])
+    broken = F.regexp_extract("_corrupt_record", "([0-9]+)", 1).try_cast("long")
+    event_id = F.coalesce(F.try_variant_get("v", "$.event_id", "long"), broken)
+    return rows.select(event_id.alias("event_id"), F.when(F.col("v").isNull(), "malformed").otherwise(F.col("k_type")).alias("k_type"))
 
 
 @query("scan_json_batches", "SELECT event_type AS batch_id, count(*) AS rows, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")

@@ -22,6 +22,13 @@ def json_strict(raw: DataFrame, text: str, fields: list[str]) -> DataFrame:
     return parsed.select(*raw.columns, *kinds)
 
 
+def json_variants(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """Records of JSON-lines files as one VARIANT column ``v``, with the token type of each field as in ``json_strict``; a
+    line that is no JSON is kept in ``_corrupt_record``, with ``v`` missing."""
+    rows = spark.read.option("singleVariantColumn", "v").schema("v variant, _corrupt_record string").json(path)
+    return rows.select("v", *[F.schema_of_variant(F.try_variant_get("v", f"$.{f}", "variant")).alias(f"{f}_type") for f in fields], "_corrupt_record")
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Raw text of JSON-lines files, for ``json_strict``."""
     return spark.read.text(path).withColumnRenamed("value", "text")

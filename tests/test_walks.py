@@ -61,3 +61,12 @@ def test_small_groups_of_sketches_are_exact(spark):
         values = sorted(v for k, _, v in rows if k == g and v is not None)
         assert got[g]["median"] == values[-(-len(values) // 2) - 1] and got[g]["tail"] == values[-(-len(values) * 95 // 100) - 1]
         assert got[g]["share_under"] == sum(v < 50 for v in values) / len(values)
+
+
+def test_token_types_of_files(spark, tmp_path):
+    from tallyspark.sources import readers
+
+    lines = ['{"k": "1"}', '{"k": true}', '{"k": 1.0}', '{"k": null}', "{}", '{"k": 1}', "not json", '{"k": ', "[1]"]
+    (tmp_path / "a.json").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    got = [(r["k_type"], r["_corrupt_record"]) for r in readers.json_variants(spark, f"{tmp_path}/a.json", ["k"]).collect()]
+    assert got == [("STRING", None), ("BOOLEAN", None), ("DECIMAL(1,0)", None), ("VOID", None), (None, None), ("BIGINT", None), (None, "not json"), (None, '{"k": '), (None, None)]
