@@ -53,6 +53,11 @@ class Deltas:
             return self.spark.createDataFrame([], f"{self.schema}, seq long")
         return self.spark.read.schema(f"{self.schema}, seq long").parquet(*[f"{self.root}/{n}" for n in names])
 
+    def batch(self, seq: int) -> DataFrame:
+        """Rows of one batch that is not folded yet."""
+        (name,) = [n for n in self.folders() if n.startswith(f"d-{seq:012d}-")]
+        return self.spark.read.schema(f"{self.schema}, seq long").parquet(f"{self.root}/{name}")
+
     def current(self) -> DataFrame:
         return self.fold(self.read()).drop("seq")
 

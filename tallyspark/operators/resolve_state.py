@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.deltas import Deltas, newest
-from tallyspark.functions.iterate import cut
 from tallyspark.functions.rules import nonblank, positive_int, reasons
 from tallyspark.operators import resolve as R
 
@@ -98,16 +97,15 @@ class ResolverState:
             return
         delivery = F.sha2(F.to_json(F.struct(p.event, *p.payload), {"ignoreNullFields": "false"}), 256)
         rows = R.distinct_deliveries(batch, p).withColumn("valid", F.size(reasons(p.rules())) == 0).withColumn("delivery", delivery)
-        fresh = cut(rows.join(deliveries.read(before=seq).select("delivery"), "delivery", "left_anti"))
-        deliveries.add(fresh, seq)
+        deliveries.add(rows.join(deliveries.read(before=seq).select("delivery"), "delivery", "left_anti"), seq)
+        fresh = deliveries.batch(seq)
         events = fresh.filter(nonblank(F.col(p.event))).select(p.event).distinct()
         met = deliveries.read(before=seq + 1).join(events, p.event, "left_semi")
         split = met.groupBy(p.event).agg(R.disagree(p.payload).alias("split")).filter("split").select(p.event)
         contradicted.add(met.join(split, p.event, "left_semi").select(p.event, p.key).distinct(), seq)
-        keyed = fresh.filter(nonblank(F.col(p.key)))
-        revisions.add(self._revisions_of(keyed), seq)
-        reached = contradicted.read(before=seq + 1).filter(F.col("seq") == seq).select(p.key).filter(nonblank(F.col(p.key)))
-        touched = cut(keyed.select(p.key).union(reached).distinct())
+        revisions.add(self._revisions_of(fresh.filter(nonblank(F.col(p.key)))), seq)
+        reached = contradicted.batch(seq).select(p.key).filter(nonblank(F.col(p.key)))
+        touched = revisions.batch(seq).select(p.key).union(reached).distinct()
         of_touched = lambda t: t.read(before=seq + 1).join(touched, p.key, "left_semi")
         keys.add(self._keys_of(self._merged(of_touched(revisions)), of_touched(contradicted)), seq)
         for t in tables:

@@ -84,6 +84,8 @@ def test_deltas_fold_to_the_newest_row(spark, tmp_path, limit):
     (tmp_path / "t/d-000000000099-broken").mkdir()  # a batch that did not end
     assert dict(map(tuple, table.current().collect())) == want
     assert table.read(before=0).count() == 0
+    if limit == 16:
+        assert sorted(map(tuple, table.batch(3).collect())) == [(k, f"{k}@3", 3) for k in (3, 4, 5)]
 
 
 def test_schedule_step_is_the_rule(spark):
