@@ -217,17 +217,3 @@ def coverage(found: Resolution, raw: DataFrame | None = None) -> DataFrame:
         found.keys.agg(F.count_if(F.expr("known and not blocked")).alias("accepted"), F.count_if(F.expr("not known and not blocked")).alias("excluded"), F.count_if(F.expr("blocked")).alias("withheld")),
     ]
     return reduce(lambda a, b: a.crossJoin(b), counts)
-
-
-def affected_keys(history: DataFrame, batch: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Keys whose resolution a batch can change: its own, and those that share an event id with it."""
-    p = policy
-    shared = history.join(batch.select(p.event).distinct(), p.event, "left_semi").select(p.key)
-    return batch.select(p.key).union(shared).filter(nonblank(F.col(p.key))).distinct()
-
-
-def history_of(history: DataFrame, keys: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """All deliveries that bear on the resolution of these keys: theirs, and others with one of their event ids."""
-    p = policy
-    own = history.join(keys, p.key, "left_semi")
-    return history.join(own.select(p.event).distinct(), p.event, "left_semi").unionByName(own.filter(F.col(p.event).isNull()))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions import rules
-from tallyspark.functions.iterate import cut
 from tallyspark.functions.scratch import scratch
 from tallyspark.operators import resolve as R
 from tallyspark.operators.resolve_state import ResolverState
