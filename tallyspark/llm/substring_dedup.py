@@ -1,8 +1,9 @@
 """Removal of word passages that stand anywhere else in the corpus (operator 7).
 
 Windows of 35 words are routed to shards (see ``windows``). Each shard holds a compressed FM-index of
-its representatives; their texts stream through it by backward search over the wavelet tree, and every
-window whose matching statistic reaches the threshold in two places is reported, with all its copies.
+its representatives, two real places of each passage that is proposed to repeat; their texts stream through
+it by backward search over the wavelet tree, and every window whose matching statistic reaches the threshold
+in two places is reported, with all its copies.
 """
 
 from __future__ import annotations
@@ -24,22 +25,30 @@ QUERY = 64
 
 def shared_windows(bodies: list[np.ndarray], held: windows.Held, length: int) -> tuple[np.ndarray, ...]:
     """(row, offset, n, sure): runs of windows that the shard holds twice or more, and which representatives have
-    only such windows. A representative with copies stands in the index once more."""
+    only such windows. Last ones are asked for only if a first one is not confirmed."""
     sizes = np.array([b.size for b in bodies])
     ids = np.unique(np.concatenate(bodies), return_inverse=True)[1].astype(np.int64)
-    texts = np.split(ids, np.cumsum(sizes)[:-1])
-    text, offsets = bwt.joined([*texts, *_stretches(texts, held, length)])
+    text, offsets = bwt.joined(np.split(ids, np.cumsum(sizes)[:-1]))
     index = fm.FMIndex(bwt.transform(text, bwt.suffix_order(text, length + 1)))
-    first, count = _queries(offsets[: sizes.size], np.maximum(sizes - length + 1, 0))
-    start, n = index.matching(text, first, count, length)
-    change = np.zeros(text.size + 1, np.int64)
-    np.add.at(change, start, 1)
-    np.subtract.at(change, start + n, 1)
-    sure = windows.all_true(np.cumsum(change) > 0, offsets[held.row] + held.at, held.n)
+    at = offsets[held.row] + held.at
+    for asked in (held.c > 0, held.c >= 0):
+        start, n = index.matching(text, *_queries(*_stretches(at[asked], held.n[asked])), length)
+        change = np.zeros(text.size + 1, np.int64)
+        np.add.at(change, start, 1)
+        np.subtract.at(change, start + n, 1)
+        sure = windows.all_true(np.cumsum(change) > 0, at, held.n)
+        if sure[held.c > 1].all():
+            break
     row = np.searchsorted(offsets, start, side="right") - 1
     return row, start - offsets[row], n, sure
 
 
+def _stretches(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and numbers of the windows of representatives, neighbours as one."""
+    head = np.flatnonzero(np.diff(at - np.cumsum(n) + n, prepend=-1))
+    return at[head], np.add.reduceat(n, head) if head.size else n
+
+
 def _queries(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows start .. start + count of each text as queries of QUERY windows, which stream through the index in step."""
     parts = -(-count // QUERY)
@@ -47,16 +56,6 @@ def _queries(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(start, parts) + place * QUERY, np.minimum(QUERY, np.repeat(count, parts) - place * QUERY)
 
 
-def _stretches(texts: list[np.ndarray], held: windows.Held, length: int) -> list[np.ndarray]:
-    """The texts of representatives with copies, neighbours as one."""
-    row, at, n = (x[held.copied] for x in (held.row, held.at, held.n))
-    head = np.ones(row.size, bool)
-    head[1:] = (row[1:] != row[:-1]) | (at[1:] != (at + n)[:-1])
-    first = np.flatnonzero(head)
-    last = np.append(first[1:], row.size) - 1 if first.size else first
-    return [texts[r][a : b + length - 1] for r, a, b in zip(row[first].tolist(), at[first].tolist(), (at + n)[last].tolist(), strict=True)]
-
-
 def substring_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = True, part_tokens: int = windows.PART_TOKENS) -> DataFrame:
     """Words of each text that no window covers whose words also stand in order anywhere else.
 
@@ -73,16 +72,18 @@ def substring_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = Tr
         for batch in common.slices(batches, "body"):
             names = batch.schema.names
             out = []
-            for buf, want in zip(tokens.rows_of(batch.column(names.index("body"))), tokens.lists_of(batch.column(names.index("marks"))), strict=True):
+            bufs = tokens.rows_of(batch.column(names.index("body")))
+            lists, twins = tokens.lists_of(batch.column(names.index("marks"))), batch.column(names.index("twin")).to_pylist()
+            for buf, want, twin in zip(bufs, lists, twins, strict=True):
                 words = buf.tobytes().split()  # bytes.split knows just these six kinds of white space
-                gone = windows.covered(len(words), want, length)
+                gone = np.ones(len(words), bool) if twin and len(words) >= length else windows.covered(len(words), want, length)
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
                 out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None))
             if out:
                 cols = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(names.index("doc_id")), *cols], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return windows.marked(rows, marks).select("doc_id", "body", "marks").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return windows.marked(rows, marks).select("doc_id", "body", "marks", "twin").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

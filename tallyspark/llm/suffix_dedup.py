@@ -1,9 +1,10 @@
 """Removal of byte strings that stand earlier in the corpus (operator 4).
 
 Windows of 100 bytes are routed to shards (see ``windows``). Each shard builds the Burrows-Wheeler
-transform of its representatives and finds common prefixes by threshold-bounded interval expansion:
-suffixes between which no shorter prefix was found share 100 bytes, and all but the earliest go. Copies
-of a representative are later than it, and go where the expansion finds its windows to stand twice.
+transform of its representatives, two real places of each string that is proposed to repeat, and finds
+common prefixes by threshold-bounded interval expansion: suffixes between which no shorter prefix was
+found share 100 bytes, and all but the earliest go. Further copies are later than the first place, and go
+where the expansion finds all windows of it to stand in two places.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ SPEC = windows.Spec(length=LENGTH, gram=36, words=False)
 
 def later_windows(bodies: list[np.ndarray], held: windows.Held, length: int) -> tuple[np.ndarray, ...]:
     """(row, offset, n, sure): runs of windows that also stand in an earlier text or earlier in the same one, and
-    which representatives have only windows that stand twice or more, copies counted."""
+    which representatives have only windows that stand in two places or more."""
     text, offsets = bwt.joined(bodies)
     order = bwt.suffix_order(text, length + 1)
     closed = bwt.short_prefix_bounds(bwt.transform(text, order), length)
@@ -36,14 +37,9 @@ def later_windows(bodies: list[np.ndarray], held: windows.Held, length: int) ->
     flags[pos[pos > first[group]]] = True
     start, n = windows.runs_of(flags[:-1])  # a string's last windows are never flagged, so no run leaves its string
     row = owner[start] if start.size else start
-    at = offsets[held.row] + held.at
-    extra = np.zeros(text.size + 1, np.int64)
-    np.add.at(extra, at[held.copied], 1)
-    np.subtract.at(extra, (at + held.n)[held.copied], 1)
-    weight = 1 + np.cumsum(extra)[pos]
     often = np.zeros(text.size, bool)
-    often[pos] = np.bincount(group, weight)[group] >= 2
-    return row, start - offsets[row], n, windows.all_true(often, at, held.n)
+    often[pos] = np.bincount(group)[group] >= 2
+    return row, start - offsets[row], n, windows.all_true(often, offsets[held.row] + held.at, held.n)
 
 
 def suffix_dedup(docs: DataFrame, spec: windows.Spec = SPEC, texts: bool = True, part_tokens: int = windows.PART_TOKENS) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tallyspark.llm import exact_dedup, near_dedup, substring_dedup, suffix_dedup, windows
@@ -92,6 +93,38 @@ def test_rows_equal_in_doc_id_and_text(spark):
     assert got == [(0, 0), (0, 0), (0, 0), (0, 1), (0, 1), (5, 1)]
 
 
+@pytest.mark.parametrize("part", [windows.PART_TOKENS, 1])
+def test_no_copy_follows_what_the_index_does_not_find(spark, part):
+    none = np.zeros(0, np.int64)
+    deny = lambda bodies, held: (none, none, none, np.zeros(held.n.size, bool))
+    spec = windows.Spec(length=40, gram=12, words=False)
+    assert windows.found_places(windows.Texts(frame(spark, planted())), spec, deny, part).count() == 0
+
+
+@pytest.mark.parametrize("find", [suffix_dedup.later_windows, substring_dedup.shared_windows])
+def test_equal_digests_of_different_tokens_are_refused(find):
+    """A shard whose held segments claim five copies each: the first has a real one, the second only a forged one."""
+    r = np.random.default_rng(4)
+    real, other, forged = (r.integers(1, 200, 30).astype(np.uint64) for _ in range(3))
+    bodies = [np.concatenate([real, other]), real, forged]
+    held = windows.Held(np.array([0, 0, 1, 2]), np.array([0, 30, 0, 0]), np.array([21, 21, 21, 21]), np.array([5, 5, 0, 0]))
+    row, offset, n, sure = find(bodies if find is substring_dedup.shared_windows else [b.astype(np.uint8) for b in bodies], held, 10)
+    assert sure.tolist()[:2] == [True, False]
+    found = {(a, b + i) for a, b, k in zip(row.tolist(), offset.tolist(), n.tolist(), strict=True) for i in range(k)}
+    late, early = {(1, i) for i in range(21)}, {(0, i) for i in range(21)}
+    assert found == (late if find is suffix_dedup.later_windows else late | early)
+
+
+def test_rows_of_common_keys_are_joined_in_place(spark, monkeypatch):
+    monkeypatch.setattr(windows, "HEAVY", 4)
+    many = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(90)], "m long, x long")
+    few = many.groupBy("m").count().withColumnRenamed("count", "c").filter("m % 2 = 0")
+    got = windows.joined_by_count(many, few, ["m"])
+    assert sorted(map(tuple, got.select("m", "x", "c").collect())) == sorted(map(tuple, many.join(few, "m").select("m", "x", "c").collect()))
+    monkeypatch.setattr(windows, "HEAVY", 1)
+    assert windows.joined_by_count(many, few, ["m"]).count() == got.count()
+
+
 def test_words_that_a_polynomial_takes_as_equal(spark):
     """Thue-Morse words over two letters, and runs of such words."""
     morse = [bin(i).count("1") % 2 for i in range(1024)]
@@ -156,8 +189,6 @@ def test_digests_that_agree_in_64_bits(spark):
 
 
 def test_perfect_hash_is_minimal():
-    import numpy as np
-
     keys = np.random.default_rng(3).integers(0, 2**64, 5000, dtype=np.uint64)
     hashed = exact_dedup.PerfectHash.build(keys)
     assert sorted(hashed.slots(keys).tolist()) == list(range(5000))
