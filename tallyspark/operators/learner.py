@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.ranked import ranked
+
 #: Fixed values of the scheduling rule: longest interval in days, delay after "Again", seconds in a day.
 LONGEST, AGAIN_SECONDS, DAY_SECONDS = 365, 600, 86_400
 RATINGS = ("Again", "Hard", "Good", "Easy")
@@ -90,13 +92,29 @@ def due_queue(schedules: DataFrame, cards: DataFrame, at: Column, limit: int) ->
 
 
 def card_pool(opened: DataFrame, cards: DataFrame, schedules: DataFrame, limit: int, scheduled: bool) -> DataFrame:
-    """(learner_id, place, card_id): cards of opened lessons, not yet scheduled ones (new) or scheduled ones (extra practice)."""
-    offered = opened.distinct().join(cards, "lesson_id")
-    side = offered.join(schedules.select("learner_id", "card_id").distinct(), ["learner_id", "card_id"], "left_semi" if scheduled else "left_anti")
+    """(learner_id, place, card_id): cards of opened lessons, not yet scheduled ones (new) or scheduled ones (extra practice).
+
+    Learners and cards of a lesson are never paired: cards are numbered within their lesson, and new ones are the first
+    numbers that a learner's scheduled cards leave free. The work grows with the schedules and the rows that come out.
+    """
+    placed = ranked(cards.select("lesson_id", "card_id").filter("lesson_id is not null"), ["lesson_id"], ["card_id"])
+    ours = opened.select("learner_id", "lesson_id").filter("lesson_id is not null").distinct()
+    seen = schedules.select("learner_id", "card_id").join(placed, "card_id").join(ours, ["learner_id", "lesson_id"], "left_semi").distinct()
+    side = seen if scheduled else _free(ours, seen, limit).join(placed, ["lesson_id", "index"])
     place = F.row_number().over(Window.partitionBy("learner_id").orderBy("card_id"))
     return side.withColumn("place", place).filter(F.col("place") <= limit).select("learner_id", "place", "card_id")
 
 
+def _free(ours: DataFrame, seen: DataFrame, limit: int) -> DataFrame:
+    """(learner_id, lesson_id, index): the first ``limit`` numbers, or some more, of a lesson that the learner has not seen."""
+    turn = Window.partitionBy("learner_id", "lesson_id").orderBy("index")
+    marks = ours.withColumn("index", F.lit(-1).cast("long")).unionByName(seen.select("learner_id", "lesson_id", "index"))
+    marks = marks.withColumns({"free_before": F.col("index") + 2 - F.row_number().over(turn), "next": F.lead("index").over(turn)})
+    last = F.least(F.col("next") - 1, F.col("index") + limit)  # the least of those that are there
+    runs = marks.withColumns({"first": F.col("index") + 1, "last": last}).filter((F.col("free_before") < limit) & (F.col("first") <= F.col("last")))
+    return runs.select("learner_id", "lesson_id", F.explode(F.sequence("first", "last")).alias("index"))
+
+
 def attempt_audit(attempts: DataFrame) -> DataFrame:
     """(attempt_id, reason): chosen or correct option not among the options shown, or a wrong ``correct`` flag."""
     has = lambda c: F.exists("options", lambda o: o == F.col(c))
