@@ -2,7 +2,7 @@
 
 The state is four tables that grow by batches (``functions.deltas``), each with a fold that may run in any order:
 
-* ``deliveries``: the different deliveries;
+* ``deliveries``: the different deliveries, each in the batch that brought it first;
 * ``contradicted``: (event, key) of events that came with different payloads, which never ends;
 * ``revisions``: per (key, version) the least and largest of each quantity, whether one was missing and one was there, and
   whether all and any deliveries were valid: minima, maxima, ands and ors;
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.deltas import Deltas, newest
+from tallyspark.functions.iterate import cut
 from tallyspark.functions.rules import nonblank, positive_int, reasons
 from tallyspark.operators import resolve as R
 
@@ -44,7 +45,7 @@ class ResolverState:
         return ", ".join([f"{p.event} string, {p.key} string, {p.version} {self.version_type}", *[f"{c} {self.quantity_type}" for c in p.quantities]])
 
     def deliveries(self) -> Deltas:
-        return self._table("deliveries", f"delivery string, {self._row()}, valid boolean", newest("delivery"))
+        return self._table("deliveries", f"{self._row()}, valid boolean", lambda rows: rows)  # a batch adds no delivery that is there
 
     def contradicted(self) -> Deltas:
         return self._table("contradicted", f"{self.policy.event} string, {self.policy.key} string", newest(self.policy.event, self.policy.key))
@@ -95,14 +96,17 @@ class ResolverState:
         tables = deliveries, contradicted, revisions, keys = self.deliveries(), self.contradicted(), self.revisions(), self.keys()
         if self.applied() > seq:
             return
-        delivery = F.sha2(F.to_json(F.struct(p.event, *p.payload), {"ignoreNullFields": "false"}), 256)
-        rows = R.distinct_deliveries(batch, p).withColumn("valid", F.size(reasons(p.rules())) == 0).withColumn("delivery", delivery)
-        deliveries.add(rows.join(deliveries.read(before=seq).select("delivery"), "delivery", "left_anti"), seq)
+        row = [p.event, *p.payload]
+        before = deliveries.read(before=seq)
+        both = batch.select(*row, F.lit(False).alias("known")).unionByName(before.select(*row, F.lit(True).alias("known")))
+        new = both.groupBy(*row).agg(F.bool_or("known").alias("known")).filter("not known").drop("known")
+        deliveries.add(new.withColumn("valid", F.size(reasons(p.rules())) == 0), seq)
         fresh = deliveries.batch(seq)
-        events = fresh.filter(nonblank(F.col(p.event))).select(p.event).distinct()
-        met = deliveries.read(before=seq + 1).join(events, p.event, "left_semi")
-        split = met.groupBy(p.event).agg(R.disagree(p.payload).alias("split")).filter("split").select(p.event)
-        contradicted.add(met.join(split, p.event, "left_semi").select(p.event, p.key).distinct(), seq)
+        # Different deliveries of an event differ in payload: two in the batch, or one there and one before it, contradict each other.
+        events = fresh.filter(nonblank(F.col(p.event))).groupBy(p.event).agg(F.count("*").alias("n"))
+        earlier = cut(before.select(p.event, p.key).join(events.select(p.event), p.event, "left_semi"))
+        split = events.filter("n > 1").select(p.event).union(earlier.select(p.event)).distinct()
+        contradicted.add(fresh.select(p.event, p.key).join(split, p.event, "left_semi").union(earlier).distinct(), seq)
         revisions.add(self._revisions_of(fresh.filter(nonblank(F.col(p.key)))), seq)
         reached = contradicted.batch(seq).select(p.key).filter(nonblank(F.col(p.key)))
         touched = revisions.batch(seq).select(p.key).union(reached).distinct()
@@ -111,8 +115,9 @@ class ResolverState:
         for t in tables:
             t.compact()
 
-    def resolution(self) -> R.Resolution:
-        """The relations of all batches together."""
+    def resolution(self, staged: bool = False) -> R.Resolution:
+        """The relations of all batches together; ``staged`` keys are folded once for a caller that asks for several relations."""
         p = self.policy
+        keys = self.keys().current()
         events = self.contradicted().current().select(p.event).distinct().withColumn("conflict", F.lit(True))
-        return R.Resolution(p, self.deliveries().current(), events, self.revisions().current(), self.keys().current())
+        return R.Resolution(p, self.deliveries().current(), events, self.revisions().current(), cut(keys) if staged else keys)

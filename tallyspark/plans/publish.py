@@ -102,8 +102,26 @@ class Pipeline:
     def recover(self, fail_after: str | None = None) -> str:
         """Bring published state and effects in line with retained raw; the status of the report."""
         self.merge_retained()
-        found = self.state().resolution()
         last = self.publications().orderBy(F.desc("seq")).first()
+        judged = Deltas(self.spark, f"{self.root}/state/judged", "snapshot_id string, status string", newest("snapshot_id"))
+        seq = self.state().applied()  # of the state that is judged: batches merged into it
+        known = judged.read().filter(F.col("seq") == seq).first() if judged.applied() == seq + 1 else None
+        if known and known["snapshot_id"] == (last["snapshot_id"] if last else None):
+            status = known["status"]
+        else:
+            status = self._publish(last, fail_after)
+            last = self.publications().orderBy(F.desc("seq")).first()
+            judged.add(self.spark.createDataFrame([(last["snapshot_id"] if last else None, status)], "snapshot_id string, status string"), seq)
+            judged.compact()
+        # Every published snapshot gets its one effect, also those whose effect an earlier failure prevented.
+        due = self.publications().select("snapshot_id").distinct().join(self.outbox(), "snapshot_id", "left_anti")
+        due = due.withColumn("effect", F.lit("notify")).coalesce(1)
+        due.write.mode("append").parquet(f"{self.root}/outbox")
+        return status
+
+    def _publish(self, last, fail_after: str | None) -> str:
+        """Judge the state, and write its snapshot and record if it may be published and is not the ``last`` one."""
+        found = self.state().resolution(staged=True)
         status = "stale_previous" if last else "blocked_no_snapshot"
         if found.gate().first()["publication_allowed"]:
             relations = snapshot_of(found)
@@ -118,10 +136,6 @@ class Pipeline:
                 self.spark.createDataFrame(row, PUBLICATIONS).write.mode("append").parquet(f"{self.root}/publications")
             if fail_after == "published_snapshot":
                 raise RuntimeError(fail_after)
-        # Every published snapshot gets its one effect, also those whose effect an earlier failure prevented.
-        due = self.publications().select("snapshot_id").distinct().join(self.outbox(), "snapshot_id", "left_anti")
-        due = due.withColumn("effect", F.lit("notify")).coalesce(1)
-        due.write.mode("append").parquet(f"{self.root}/outbox")
         return status
 
     def relation(self, name: str, snapshot: str) -> DataFrame:

@@ -4,7 +4,11 @@ import random
 
 import pytest
 
+from tallyspark.operators import grain as G
 from tallyspark.operators import learner as L
+from tallyspark.operators import resolve as R
+from tallyspark.operators.resolve_state import ResolverState
+from tallyspark.plans import publish as P
 from tallyspark.streaming import jobs
 
 DELIVERY = "event_id string, inspection_id string, version int, inspected_units int, defective_units int"
@@ -63,3 +67,29 @@ def test_card_pools_pair_no_learners_with_cards(spark, scheduled):
     first = 0 if scheduled else 3
     assert sorted(map(tuple, found)) == [(i, k + 1, first + k) for i in range(2000) for k in range(2)]
     assert 2000 <= rows < 100_000  # there are 4,000,000 pairs
+
+
+def test_recovery_without_a_new_batch_reads_no_state(spark, tmp_path):
+    pipe = P.Pipeline(spark, f"file://{tmp_path}/p")
+    rows = [(f"e{i}", f"k{i}", 1, 5, 0) for i in range(300)]
+    assert pipe.ingest(spark.createDataFrame(rows, DELIVERY), "0") == "current"
+    again = []
+    assert largest(spark, lambda: again.append(pipe.recover())) < 20 and again == ["current"]
+    assert pipe.publications().count() == pipe.outbox().count() == 1
+    assert pipe.ingest(spark.createDataFrame([("e1", "k1", 1, 6, 0)], DELIVERY), "1") == pipe.recover() == "stale_previous"
+
+
+def test_kept_deliveries_are_read_without_a_shuffle(spark, tmp_path):
+    state = ResolverState(spark, f"{tmp_path}/state")
+    for rows in ([("a", "k", 1, 5, None), ("a", "k", 1, 5, None), (None, None, None, None, None)], [("a", "k", 1, 5, None), (None, None, None, None, None), ("b", "", 1, 5, 0)]):
+        state.apply(spark.createDataFrame(rows, DELIVERY))
+    kept = state.deliveries().current()
+    assert kept.count() == 3 and state.resolution().events.count() == 0
+    assert "Exchange" not in G.plan_text(kept) and kept.columns == ["event_id", "inspection_id", "version", "inspected_units", "defective_units", "valid"]
+
+
+def test_events_are_counted_not_compared(spark):
+    rows = [("a", "k", 1, 5, 0), ("a", "k", 1, 5, 0), ("b", "k", 1, 5, 0), ("b", "k", 1, 5, None), (" ", "k", 1, 1, 1), (" ", "k", 1, 1, 2)]
+    events = R.resolve(spark.createDataFrame(rows, DELIVERY)).events
+    assert sorted(map(tuple, events.collect())) == [("a", 1, False), ("b", 2, True)]
+    assert "SortAggregate" not in G.plan_text(events)
