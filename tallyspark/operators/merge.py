@@ -7,13 +7,21 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.operators.resolve import disagree
+
 
 def upsert_violations(target: DataFrame, source: DataFrame, key: str, version: str, compare: list[str]) -> DataFrame:
     """(rule, key): repeated keys on either side, and equal versions that differ in a compared column."""
-    repeated = lambda df, rule: df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(F.lit(rule).alias("rule"), key)
-    pairs = target.select(key, version, F.struct(*compare).alias("t")).join(source.select(key, version, F.struct(*compare).alias("s")), [key, version])
-    differ = pairs.filter(~F.col("t").eqNullSafe(F.col("s"))).select(F.lit("equal_version_disagrees").alias("rule"), key).distinct()
-    return repeated(target, "duplicate_target_key").unionByName(repeated(source, "duplicate_source_key")).unionByName(differ)
+    cols = [c for c in compare if c not in (key, version)]
+    both = target.select(key, version, *cols, F.lit(True).alias("__old")).unionByName(source.select(key, version, *cols, F.lit(False).alias("__old")))
+    differ = disagree(tuple(cols)) if cols else F.lit(False)
+    old, new = F.count_if(F.expr("__old")).alias("__olds"), F.count_if(F.expr("not __old")).alias("__news")
+    each = both.groupBy(key, version).agg(old, new, differ.alias("__differ"))  # counts and bounds: no row is sorted or joined
+    clash = F.expr("__olds > 0 and __news > 0 and __differ") & F.col(key).isNotNull() & F.col(version).isNotNull()
+    keys = each.groupBy(key).agg(F.sum("__olds").alias("__olds"), F.sum("__news").alias("__news"), F.bool_or(clash).alias("__clash"))
+    found = {"duplicate_target_key": "__olds > 1", "duplicate_source_key": "__news > 1", "equal_version_disagrees": "__clash"}
+    rules = F.array_compact(F.array(*[F.when(F.expr(test), F.lit(rule)) for rule, test in found.items()]))
+    return keys.select(F.explode(rules).alias("rule"), key)
 
 
 def guarded_upsert(target: DataFrame, source: DataFrame, key: str, version: str, compare: list[str], strict: bool = True) -> DataFrame:

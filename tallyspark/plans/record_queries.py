@@ -92,7 +92,7 @@ _QUANTITIES = ["inspected_units", "defective_units"]
 
 def _sides(spark, sf_dir):
     rows = V.clean(spark, sf_dir)
-    top = lambda df: df.groupBy("inspection_id").agg(F.max_by(F.struct("version", *_QUANTITIES), "version").alias("r")).select("inspection_id", "r.*")
+    top = lambda df: df.groupBy("inspection_id").agg(F.max("version").alias("version"), *[F.max_by(c, "version").alias(c) for c in _QUANTITIES])
     return top(rows.filter("version <= 2")), top(rows.filter("version <> 3"))
 
 

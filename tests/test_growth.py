@@ -6,6 +6,7 @@ import pytest
 
 from tallyspark.operators import grain as G
 from tallyspark.operators import learner as L
+from tallyspark.operators import merge as M
 from tallyspark.operators import resolve as R
 from tallyspark.operators.resolve_state import ResolverState
 from tallyspark.plans import publish as P
@@ -93,3 +94,13 @@ def test_events_are_counted_not_compared(spark):
     events = R.resolve(spark.createDataFrame(rows, DELIVERY)).events
     assert sorted(map(tuple, events.collect())) == [("a", 1, False), ("b", 2, True)]
     assert "SortAggregate" not in G.plan_text(events)
+
+
+def test_upsert_violations_join_and_sort_nothing(spark):
+    ddl = "k string, v int, q int"
+    target = spark.createDataFrame([("a", 1, 5), ("b", 1, 5), ("b", 2, 5), ("c", 1, None), ("d", 1, None), ("e", None, 1), (None, 1, 1)], ddl)
+    source = spark.createDataFrame([("a", 1, 6), ("b", 1, 5), ("c", 1, None), ("d", 1, 0), ("e", None, 2), (None, 1, 2), ("f", 3, 1), ("f", 3, 1)], ddl)
+    found = M.upsert_violations(target, source, "k", "v", ["q"])
+    assert sorted(map(tuple, found.collect())) == [("duplicate_source_key", "f"), ("duplicate_target_key", "b"), ("equal_version_disagrees", "a"), ("equal_version_disagrees", "d")]
+    text = G.plan_text(found)
+    assert "Join" not in text and "Sort" not in text
