@@ -10,6 +10,7 @@ from tallyspark.operators import merge as M
 from tallyspark.operators import resolve as R
 from tallyspark.operators.resolve_state import ResolverState
 from tallyspark.plans import publish as P
+from tallyspark.plans.resolver_queries import QUERIES, RESOLVE_SQL
 from tallyspark.streaming import jobs
 
 DELIVERY = "event_id string, inspection_id string, version int, inspected_units int, defective_units int"
@@ -104,3 +105,15 @@ def test_upsert_violations_join_and_sort_nothing(spark):
     assert sorted(map(tuple, found.collect())) == [("duplicate_source_key", "f"), ("duplicate_target_key", "b"), ("equal_version_disagrees", "a"), ("equal_version_disagrees", "d")]
     text = G.plan_text(found)
     assert "Join" not in text and "Sort" not in text
+
+
+def test_gate_and_totals_of_sql_are_one_pass(spark):
+    rows = [("a", "k", 1, 5, 0), ("a", "k", 1, 5, None), ("b", "l", 1, 5, 1), ("b", "l", 1, 5, 1), ("c", "m", 1, 5, 1), ("d", "m", 1, 6, 1), (" ", "n", 1, 5, 1), ("e", "o", None, 5, 1), ("f", "o", 2, 7, 2), ("g", None, 1, 1, 1)]
+    raw = spark.createDataFrame(rows, DELIVERY)
+    one = spark.sql(RESOLVE_SQL["gate_totals"], raw=raw)
+    assert tuple(one.first()) == (1, 2, 3, False, 5, 1, 0.2)
+    found = R.resolve(raw)
+    assert tuple(one.first()) == (*found.gate().first(), *found.totals().first()) == (*spark.sql(RESOLVE_SQL["gate"], raw=raw).first(), *spark.sql(RESOLVE_SQL["totals"], raw=raw).first())
+    assert sorted(map(tuple, spark.sql(RESOLVE_SQL["revision_conflicts"], raw=raw).collect())) == sorted(map(tuple, found.revision_conflicts().collect())) == [("k", 1, 2), ("m", 1, 2)]
+    text = G.plan_text(QUERIES["resolve_sql_gate"](spark, "/root/testdata/sf0.001"))
+    assert text.count(") Scan parquet") <= 4 and "SortAggregate" not in text  # an events' count, their keys, the revisions
