@@ -37,13 +37,20 @@ def dual_run(old: DataFrame, new: DataFrame, key: list[str], values: list[str])
 
 def relation_equivalence(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: whether types agree, and how many rows either side has that the other has not (with multiplicity)."""
-    same_types = [t for _, t in a.dtypes] == [t for _, t in b.dtypes] and a.columns == b.columns
-    sides = reduce(DataFrame.unionByName, [a.withColumn("__side", F.lit(1)), b.withColumn("__side", F.lit(-1))]) if same_types else None
-    if sides is None:
-        return a.sparkSession.range(1).select(F.lit(False).alias("same_types"), F.lit(None).cast("long").alias("only_left"), F.lit(None).cast("long").alias("only_right"))
-    net = sides.groupBy(*a.columns).agg(F.sum("__side").alias("net"))
-    counts = net.agg(F.coalesce(F.sum(F.greatest("net", F.lit(0))), F.lit(0)).alias("only_left"), F.coalesce(F.sum(F.greatest(-F.col("net"), F.lit(0))), F.lit(0)).alias("only_right"))
-    return counts.select(F.lit(True).alias("same_types"), "only_left", "only_right")
+    return relation_equivalences(a, {"": b}).drop("pair")
+
+
+def relation_equivalences(a: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
+    """``relation_equivalence`` of one relation with each of several, named in ``pair``; each relation is read and shuffled once."""
+    same = {name: b for name, b in others.items() if b.columns == a.columns and [t for _, t in b.dtypes] == [t for _, t in a.dtypes]}
+    sides = [a.withColumn("__side", F.lit(-1))] + [b.select(*a.columns).withColumn("__side", F.lit(i)) for i, b in enumerate(same.values())]
+    held = lambda side: F.count_if(F.col("__side") == side)
+    nets = reduce(DataFrame.unionByName, sides).groupBy(*a.columns).agg(*[(held(-1) - held(i)).alias(f"__{i}") for i in range(len(same))], F.lit(0).alias("__"))
+    over = lambda net: F.coalesce(F.sum(F.greatest(net, F.lit(0))), F.lit(0))
+    counts = [F.struct(F.lit(True).alias("same_types"), over(F.col(f"__{i}")).alias("only_left"), over(-F.col(f"__{i}")).alias("only_right"), F.lit(name).alias("pair")) for i, name in enumerate(same)]
+    unlike = [F.struct(F.lit(False).alias("same_types"), F.lit(None).cast("long").alias("only_left"), F.lit(None).cast("long").alias("only_right"), F.lit(name).alias("pair")) for name in others if name not in same]
+    one = nets.agg(F.array(*counts).alias("pairs")).select(F.concat("pairs", F.array(*unlike))) if unlike and counts else nets.agg(F.array(*counts).alias("pairs")) if counts else a.sparkSession.range(1).select(F.array(*unlike).alias("pairs"))
+    return one.toDF("pairs").select(F.inline("pairs"))
 
 
 def plan_text(df: DataFrame) -> str:

@@ -80,9 +80,7 @@ class ResolverState:
         p = self.policy
         apart = [(F.col(f"{c}_low") < F.col(c)) | (F.col(f"{c}_missing") & F.col(f"{c}_given")) for c in p.quantities]
         conflict = F.col(p.version).isNotNull() & reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in apart])
-        doubtful = contradicted.select(p.key).distinct().withColumn("event_conflict", F.lit(True))
-        rows = revisions.withColumn("conflict", conflict).join(doubtful, p.key, "left").withColumn("event_conflict", F.coalesce("event_conflict", F.lit(False)))
-        return R.key_states(rows, p)
+        return R.key_states(revisions.withColumn("conflict", conflict), contradicted.select(p.key), p)
 
     def applied(self) -> int:
         """The number that the next batch gets."""

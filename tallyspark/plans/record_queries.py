@@ -182,8 +182,7 @@ def relation_equivalence(spark, sf_dir):
     """The accepted state against its SQL form (the same) and against the weaker contract (not the same)."""
     raw = V.deliveries(spark, sf_dir)
     accepted = R.resolve(raw).accepted()
-    pairs = {"sql": spark.sql(RESOLVE_SQL["accepted"], raw=raw), "simple": R.resolve_simple(V.arrivals(spark, sf_dir))}
-    return reduce(DataFrame.unionByName, [G.relation_equivalence(accepted, other).withColumn("pair", F.lit(name)) for name, other in pairs.items()])
+    return G.relation_equivalences(accepted, {"sql": spark.sql(RESOLVE_SQL["accepted"], raw=raw), "simple": R.resolve_simple(V.arrivals(spark, sf_dir))})
 
 
 @query("plan_report")

@@ -117,3 +117,23 @@ def test_gate_and_totals_of_sql_are_one_pass(spark):
     assert sorted(map(tuple, spark.sql(RESOLVE_SQL["revision_conflicts"], raw=raw).collect())) == sorted(map(tuple, found.revision_conflicts().collect())) == [("k", 1, 2), ("m", 1, 2)]
     text = G.plan_text(QUERIES["resolve_sql_gate"](spark, "/root/testdata/sf0.001"))
     assert text.count(") Scan parquet") <= 4 and "SortAggregate" not in text  # an events' count, their keys, the revisions
+
+
+def test_accepted_state_groups_by_hashes(spark):
+    rows = [("a", "k", 1, 5, 0), ("a", "l", 1, 5, 0), ("b", "l", 2, 5, 0), ("c", "m", 1, 5, 0), ("c", "m", 1, 5, 0), ("d", "m", 2, 6, 1), ("e", "n", 1, None, 0), ("e2", "n", 2, 4, 4), ("f", "", 1, 5, 0), (None, "o", 1, 5, 0)]
+    raw = spark.createDataFrame(rows, DELIVERY)
+    for staged in (False, True):
+        found = R.resolve(raw, staged=staged)
+        assert sorted(map(tuple, found.accepted().collect())) == [("m", 2, 6, 1), ("n", 2, 4, 4)]
+        assert sorted(r[0] for r in found.unresolved().collect()) == ["k", "l"] and [r[0] for r in found.excluded().collect()] == ["o"]
+    assert "SortAggregate" not in G.plan_text(R.resolve(raw).accepted())
+
+
+def test_several_relations_are_compared_in_one_pass(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "z")], "k int, v string")
+    b = spark.createDataFrame([(1, "x"), (2, None), (2, None), (4, "z")], "k int, v string")
+    both = G.relation_equivalences(a, {"same": a, "b": b, "types": a.withColumn("k", a.k.cast("long")), "none": a.limit(0)})
+    assert sorted(map(tuple, both.collect())) == [(False, None, None, "types"), (True, 0, 0, "same"), (True, 2, 2, "b"), (True, 4, 0, "none")]
+    assert tuple(G.relation_equivalence(a, b).first()) == (True, 2, 2)
+    assert tuple(G.relation_equivalence(a, b.select("k")).first()) == (False, None, None)
+    assert [tuple(r) for r in G.relation_equivalences(a.limit(0), {"b": b}).collect()] == [(True, 0, 4, "b")]
