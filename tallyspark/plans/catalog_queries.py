@@ -173,9 +173,13 @@ def source_register(spark, sf_dir):
 _STEPS = "g AS (SELECT l_orderkey AS path, l_linenumber AS group_pos, l_partkey AS lesson_pos, min(l_suppkey) AS lesson FROM lineitem GROUP BY 1, 2, 3), st AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY group_pos, lesson_pos)::INT AS place, lesson FROM g)"
 
 
+def _groups(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("group_pos"), F.col("l_partkey").alias("lesson_pos"), F.col("l_suppkey").alias("lesson"))
+    return C.least_lessons(rows)
+
+
 def _steps(spark, sf_dir):
-    groups = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("group_pos"), F.col("l_partkey").alias("lesson_pos")).agg(F.min("l_suppkey").alias("lesson"))
-    return C.path_steps(groups)
+    return C.path_steps(_groups(spark, sf_dir))
 
 
 @query("path_order", f"WITH {_STEPS} SELECT * FROM st")
@@ -185,10 +189,8 @@ def path_order(spark, sf_dir):
 
 @query("path_neighbors", f"WITH {_STEPS}, b AS (SELECT o_orderkey AS path, -1::BIGINT AS lesson, arg_min(st.lesson, st.place) AS next FROM orders JOIN st ON st.path = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1) SELECT path, lesson, lag(lesson) OVER w AS previous, lead(lesson) OVER w AS next FROM st WINDOW w AS (PARTITION BY path ORDER BY place) UNION ALL SELECT path, lesson, NULL, next FROM b")
 def path_neighbors(spark, sf_dir):
-    steps = _steps(spark, sf_dir)
-    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("path"))
-    bridges = steps.join(urgent, "path").select("path", F.lit(-1).cast("long").alias("lesson"), F.col("lesson").alias("target"), "place")
-    return C.path_neighbours(steps, bridges)
+    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("path"), F.lit(-1).cast("long").alias("lesson"))
+    return C.path_neighbours(_groups(spark, sf_dir), urgent)
 
 
 @query("path_membership", f"WITH {_STEPS} SELECT DISTINCT lesson, min(path) OVER (PARTITION BY lesson) AS path FROM st")

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tallyspark.operators import catalog as C
 from tallyspark.operators import grain as G
 from tallyspark.operators import learner as L
 from tallyspark.operators import merge as M
@@ -137,3 +138,22 @@ def test_several_relations_are_compared_in_one_pass(spark):
     assert tuple(G.relation_equivalence(a, b).first()) == (True, 2, 2)
     assert tuple(G.relation_equivalence(a, b.select("k")).first()) == (False, None, None)
     assert [tuple(r) for r in G.relation_equivalences(a.limit(0), {"b": b}).collect()] == [(True, 0, 4, "b")]
+
+
+def test_path_neighbours_by_brute_force(spark):
+    r = random.Random(8)
+    rows = [(r.choice([None, 1, 2, 3, 4]), r.choice([None, 1, 2]), r.choice([None, 1, 2, 3]), r.choice([None, *range(9)])) for _ in range(90)]
+    bridges = [(1, -1), (1, -1), (3, -2), (9, -1), (None, -1)]
+    paths = {}
+    for path, group, place, lesson in rows:
+        paths.setdefault(path, {}).setdefault((group is not None, group or 0, place is not None, place or 0), []).append(lesson)
+    want = []
+    for path, groups in paths.items():
+        steps = [min((x for x in groups[k] if x is not None), default=None) for k in sorted(groups)]
+        want += [(path, x, steps[i - 1] if i else None, steps[i + 1] if i + 1 < len(steps) else None) for i, x in enumerate(steps)]
+        want += [(path, lesson, None, steps[0]) for p, lesson in set(bridges) if p == path and p is not None]
+    groups = C.least_lessons(spark.createDataFrame(rows, "path int, group_pos int, lesson_pos int, lesson int"))
+    found = C.path_neighbours(groups, spark.createDataFrame(bridges, "path int, lesson int")).select("path", "lesson", "previous", "next")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    text = G.plan_text(groups)
+    assert "Aggregate" not in text and text.count(") Sort") == text.count(") Exchange") == 1
