@@ -7,8 +7,6 @@ are kept. Equal vectors are one node that carries the few smallest ids an answer
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -55,26 +53,35 @@ def build_shards(nodes: DataFrame, n_shards: int) -> DataFrame:
     return nodes.select(shard, F.size("v").alias("dim"), "v", "ids").repartition(n_shards, "shard", "dim").groupBy("shard", "dim").applyInPandas(run, "shard int, dim int, vectors binary, ids binary, held binary, graph binary, entry int")
 
 
-@lru_cache(maxsize=1)
-def _shard(dim: int, vectors: bytes, ids: bytes, held: bytes, graph: bytes):
-    vectors = np.frombuffer(vectors).reshape(-1, dim)
+def _shard(row: dict):
+    vectors = np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
     n = vectors.shape[0]
-    return vectors, _unit(vectors).astype(np.float32), np.frombuffer(ids, np.int64).reshape(n, -1), np.frombuffer(held, bool).reshape(n, -1), np.frombuffer(graph, np.int32).reshape(n, -1)
+    return vectors, _unit(vectors).astype(np.float32), np.frombuffer(row["ids"], np.int64).reshape(n, -1), np.frombuffer(row["held"], bool).reshape(n, -1), np.frombuffer(row["graph"], np.int32).reshape(n, -1), row["entry"]
+
 
+def search(shards: DataFrame, blocks: DataFrame, n_shards: int, top: int, beam: int) -> DataFrame:
+    """(query_id, vec_id, score): each query's ``top`` nearest found in each shard, without its own id.
 
-def search(shards: DataFrame, blocks: DataFrame, top: int, beam: int) -> DataFrame:
-    """(query_id, vec_id, score): each query's ``top`` nearest found in each shard, without its own id."""
+    Every block goes to every shard by one shuffle, in which a shard's row comes before its blocks: a task loads a shard once
+    and takes the blocks as they come. It is no join, for equal blocks look small in files and would be broadcast in full.
+    """
 
     def run(batches):
+        at, shard = None, None
         for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # a row holds a whole shard
-                vectors, points, ids, held, graph = _shard(row["dim"], row["vectors"], row["ids"], row["held"], row["graph"])
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # a row holds a whole shard, or a block
+                if row["graph"] is not None:
+                    at, shard = (row["shard"], row["dim"]), _shard(row)
+                    continue
+                if at != (row["shard"], row["dim"]):  # no vectors of this dimension there
+                    continue
+                vectors, points, ids, held, graph, entry = shard
                 asked = np.frombuffer(row["asked"]).reshape(-1, row["dim"])
                 query_ids = np.frombuffer(row["query_ids"], np.int64)
                 out = []
-                for at in range(0, asked.shape[0], graph_index.BATCH):
-                    x, own = asked[at : at + graph_index.BATCH], query_ids[at : at + graph_index.BATCH]
-                    found, _ = graph_index.beam_search(points, graph, row["entry"], _unit(x).astype(np.float32), beam)
+                for first in range(0, asked.shape[0], graph_index.BATCH):
+                    x, own = asked[first : first + graph_index.BATCH], query_ids[first : first + graph_index.BATCH]
+                    found, _ = graph_index.beam_search(points, graph, entry, _unit(x).astype(np.float32), beam)
                     for q, f, key in zip(x, found, own.tolist(), strict=True):
                         f = f[f >= 0]
                         near = vectors[f]
@@ -86,19 +93,20 @@ def search(shards: DataFrame, blocks: DataFrame, top: int, beam: int) -> DataFra
                         out.append((np.full(best.size, key), cand[best], of[best]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
-    return blocks.join(shards, ["shard", "dim"]).mapInArrow(run, "query_id long, vec_id long, score double")
+    each = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    both = shards.unionByName(each, allowMissingColumns=True).repartition(n_shards, "shard", "dim")
+    return both.sortWithinPartitions("shard", "dim", F.col("graph").isNull()).mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def query_blocks(queries: DataFrame, n_shards: int, size: int = QUERY_BLOCK) -> DataFrame:
-    """Queries packed in blocks, a block for each shard: the stated query set meets all rows block by block."""
+def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> DataFrame:
+    """Queries packed in blocks: the stated query set meets all rows block by block."""
 
     def run(pdf):
         return pdf[["dim"]].head(1).assign(query_ids=pdf["vec_id"].to_numpy(np.int64).tobytes(), asked=_matrix(pdf["v"]).tobytes())
 
     n_blocks = max(1, -(-queries.count() // size))
     block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).alias("block")
-    packed = queries.select("vec_id", "v", F.size("v").alias("dim"), block).groupBy("dim", "block").applyInPandas(run, "dim int, query_ids binary, asked binary")
-    return packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    return queries.select("vec_id", "v", F.size("v").alias("dim"), block).groupBy("dim", "block").applyInPandas(run, "dim int, query_ids binary, asked binary")
 
 
 def nearest(rows: DataFrame, vector: str = "embedding", top: int = TOP, every: int = EVERY, beam: int = SEARCH_BEAM) -> DataFrame:
@@ -116,8 +124,8 @@ def nearest(rows: DataFrame, vector: str = "embedding", top: int = TOP, every: i
     nodes = common.stage(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "nodes")
     n_shards = max(1, -(-nodes.count() // SHARD_VECTORS))
     shards = common.stage(build_shards(nodes, n_shards), "shards")
-    blocks = common.stage(query_blocks(valid.filter(F.col("vec_id") % every == 0), n_shards), "blocks")
-    found = search(shards, blocks, top, beam).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    blocks = common.stage(query_blocks(valid.filter(F.col("vec_id") % every == 0)), "blocks")
+    found = search(shards, blocks, n_shards, top, beam).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

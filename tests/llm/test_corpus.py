@@ -14,6 +14,7 @@ import regex
 
 import corpus_pipeline
 from tallyspark.llm import byte_bpe, graph_index, license_texts, licenses, mixing, neighbours, quality, sharding
+from tallyspark.operators.grain import plan_text
 from test_dedup import brute_components
 
 DDL = "doc_id long, text string, lang string, source string, size int, rank int, key string"
@@ -243,6 +244,19 @@ def test_recall_over_many_shards(spark, monkeypatch):
     assert np.mean([len(got[q] & best[q]) / 5 for q in best]) >= 0.95
 
 
+def test_query_blocks_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_VECTORS", 50)
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))] + [(1000, [1.0, 2.0]), (1001, [2.0, 1.0])]  # a dimension that few shards have
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert "Join" not in plan_text(found) and "Broadcast" not in plan_text(found)
+    ranks = defaultdict(list)
+    for r in found.collect():
+        ranks[r["query_id"]].append((r["rank"], r["vec_id"]))
+    assert sorted(ranks.pop(1000)) == [(1, 1001)]
+    assert {q: len(x) for q, x in ranks.items()} == {q: 5 for q in range(0, 300, 50)}
+
+
 def test_graph_recall():
     rng = np.random.default_rng(4)
     points = rng.normal(size=(3000, 64))
