@@ -327,7 +327,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, groups: bool = True) -> Dat
         a_spec = file.read()
     with open(b_path, "rb") as file:
         b_model = file.read()
-    made = common.stage(slices(docs, a_spec, b_model, groups), "slices")
+    made = common.stage(slices(docs, a_spec, b_model, groups), "slices", large_rows=True)
     asked, scored = pair_counts(made, tokenizer_b(b_model).size)
     replies = asked.select(F.col("slice").alias("asking"), "pair").join(scored, "pair")
 

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 #: Bytes of texts that a task takes from an Arrow batch at a time, and rows at most.
 SLICE_BYTES, SLICE_ROWS = 8 << 20, 512
 
+#: Bytes in a row group of a staged table whose rows are large.
+ROW_GROUP = 16 << 20
+
 #: Stands for a missing doc_id inside the operators, so that such rows still join and sort.
 NO_ID = -(2**63)
 
@@ -41,14 +44,19 @@ def scratch_base(spark: SparkSession) -> str:
     return _own[app]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors cost nothing.
 
-    The folder goes when the session ends, or earlier by ``release``.
+    The folder goes when the session ends, or earlier by ``release``. Parquet's writer looks at sizes only after 100 rows, and
+    a reader's batch holds up to 4,096 rows of a row group; ``large_rows`` (megabytes each) are looked at one by one and
+    go in row groups of ROW_GROUP bytes, which bounds what either holds.
     """
     spark = df.sparkSession
     path = f"{scratch_base(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}-{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if large_rows:
+        writer = writer.options(**{"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1})
+    writer.parquet(path)
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -6,11 +6,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 import tokenizers
 
-from tallyspark.llm import alignment
+from tallyspark.llm import alignment, common
 
 DDL = "doc_id long, text string, slice long, pair long, n long, row int, held int, groups string"
 PATHS = [public_tokenizers.path(alignment.A_FILE), public_tokenizers.path(alignment.B_FILE)]
@@ -142,5 +143,18 @@ def test_packed_numbers():
         assert alignment.unpacked(alignment.packed(np.array(values, np.int64))).tolist() == values
 
 
+def test_large_rows_of_slices_have_row_groups_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(common, "ROW_GROUP", 1 << 16, raising=False)
+    staged, stage = {}, common.stage
+    monkeypatch.setattr(common, "stage", lambda df, name, **more: staged.setdefault(name, stage(df, name, **more)))
+    words = [f"{x}word{y}" for x in "abcdef" for y in "ghijklmn"]
+    r = random.Random(6)
+    texts = [" ".join(r.choices(words, k=1_500_000)) for _ in range(3)]  # 9 MB: each alone is a slice
+    found = alignment.align(frame(spark, list(enumerate(texts))).coalesce(1), *PATHS, groups=False)
+    (file,) = [x.removeprefix("file:") for x in staged["slices"].inputFiles()]
+    assert pq.ParquetFile("/" + file.lstrip("/")).metadata.num_row_groups == 3
+    assert sorted((x["doc_id"], x["n_groups"] >= 1_500_000, x["n_best"] > 0) for x in found.collect()) == [(i, True, True) for i in range(3)]
+
+
 def test_alignment_of_no_rows(spark):
     assert alignment.align(frame(spark, []), *PATHS).count() == 0
