@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tallyspark.functions import dealt as D
 from tallyspark.operators import catalog as C
 from tallyspark.operators import grain as G
 from tallyspark.operators import learner as L
@@ -157,3 +158,29 @@ def test_path_neighbours_by_brute_force(spark):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
     text = G.plan_text(groups)
     assert "Aggregate" not in text and text.count(") Sort") == text.count(") Exchange") == 1
+
+
+@pytest.mark.parametrize("rows_of_a_task", [1, 12, 1000])
+def test_arrivals_are_labelled_alike_by_windows_and_joins(spark, monkeypatch, rows_of_a_task):
+    r = random.Random(rows_of_a_task)
+    pick = lambda *x: r.choice(x)
+    rows = [(pick(None, " ", *"abcdefghijkl"), pick(None, "", "k", "k", "k", "l", "m", "n"), pick(None, 0, 1, 1, 2, 3), pick(None, 5, 5, 6), pick(0, 0, None), pick(None, i, i, i)) for i in range(120)]
+    raw = spark.createDataFrame(rows, DELIVERY + ", arrival_seq long")
+    contradicted = {e for e, *_ in rows if e and e.strip() and len({x[:5] for x in rows if x[0] == e}) > 1}
+    want = R._labels_by_joins(raw.withColumn("ec", raw.event_id.isin(*contradicted)), R.Policy(), "arrival_seq")
+    monkeypatch.setattr(D, "ROWS", rows_of_a_task)
+    monkeypatch.setattr(D, "BUCKETS", 16)
+    found = R.classify_arrivals(raw)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    if rows_of_a_task == 1000:
+        text = G.plan_text(R.classify_arrivals(raw))  # none is a large key: one shuffle by key, and the join with the contradicted events
+        assert text.count(") Sort") == text.count(") Exchange") == 1
+
+
+def test_dealt_rows_share_no_key(spark, monkeypatch):
+    monkeypatch.setattr(D, "ROWS", 50)
+    rows = spark.range(1000).selectExpr("CASE WHEN id < 300 THEN 'hot' WHEN id < 340 THEN NULL ELSE 'k' || id END AS k", "id")
+    near, far = D.dealt(rows, "k")
+    assert {x["k"] for x in far.collect()} == {"hot"} and far.count() == 300 and near.count() == 700
+    per_key = near.groupBy("k").count()
+    assert per_key.count() == 661 and G.plan_text(per_key).count(") Exchange") == 1 and near.rdd.getNumPartitions() == 20
