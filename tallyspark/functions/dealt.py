@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a task on average, and of one bucket at most; buckets of keys that are counted.
-ROWS, BUCKETS = 250_000, 4096
+ROWS, BUCKETS = 125_000, 4096
 
 
 def dealt(rows: DataFrame, key: str) -> list[DataFrame]:

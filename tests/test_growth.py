@@ -13,6 +13,7 @@ from tallyspark.operators import resolve as R
 from tallyspark.operators.resolve_state import ResolverState
 from tallyspark.plans import publish as P
 from tallyspark.plans.resolver_queries import QUERIES, RESOLVE_SQL
+from tallyspark.plans.text_queries import QUERIES as QUERIES_OF_TEXTS
 from tallyspark.streaming import jobs
 
 DELIVERY = "event_id string, inspection_id string, version int, inspected_units int, defective_units int"
@@ -184,3 +185,40 @@ def test_dealt_rows_share_no_key(spark, monkeypatch):
     assert {x["k"] for x in far.collect()} == {"hot"} and far.count() == 300 and near.count() == 700
     per_key = near.groupBy("k").count()
     assert per_key.count() == 661 and G.plan_text(per_key).count(") Exchange") == 1 and near.rdd.getNumPartitions() == 20
+
+
+@pytest.mark.parametrize("rows_of_a_task", [1, 20, 1000])
+def test_histories_resolved_together_are_those_resolved_alone(spark, monkeypatch, rows_of_a_task):
+    r = random.Random(rows_of_a_task)
+    pick = lambda *x: r.choice(x)
+    rows = [(pick(None, " ", *range(70)), pick(None, "", "k", "k", *range(30)), pick(None, 0, 1, 1, 2, 3), pick(None, -1, 5, 5, 6), pick(0, 0, None, 7), pick(1, 3, 3, 2, 6)) for _ in range(160)]
+    rows = [tuple(str(x) if i < 2 and x is not None else x for i, x in enumerate(row)) for row in rows]
+    raw = spark.createDataFrame(rows, DELIVERY + ", histories int")
+    monkeypatch.setattr(D, "ROWS", rows_of_a_task)
+    monkeypatch.setattr(D, "BUCKETS", 16)
+    together = R.resolve_each(raw, ["a", "b", "c", "none"])
+    ids = {}
+    for i, name in enumerate(together):
+        alone = R.resolve(raw.filter(f"histories & {1 << i} <> 0").drop("histories"))
+        for relation, want in P.snapshot_of(alone).items():
+            got = P.snapshot_of(together[name])[relation]
+            assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+        assert together[name].gate().first() == alone.gate().first()
+        ids[name] = P.snapshot_id(P.snapshot_of(together[name])).first()[0]
+        assert ids[name] == P.snapshot_id(P.snapshot_of(alone)).first()[0]
+    assert len(set(ids.values())) == 4
+
+
+def test_snapshots_of_histories_share_their_shuffles(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    each = lambda seq: (seq.apply(i) for i in range(seq.size()))
+    before = {x.executionId() for x in each(store.executionsList())}
+    found = QUERIES_OF_TEXTS["snapshot_identity"](spark, "/root/testdata/sf0.001")
+    assert {tuple(x) for x in found.collect()} == {("once", True), ("replayed", True), ("clean", False), ("later", False)}
+    sent = 0
+    for done in [x.executionId() for x in each(store.executionsList()) if x.executionId() not in before]:
+        values = store.executionMetrics(done)
+        of_node = {m.accumulatorId() for node in each(store.planGraph(done).allNodes().toSeq()) for m in each(node.metrics().toSeq()) if m.name() == "shuffle records written"}
+        sent += sum(int(values.get(i).get().replace(",", "")) for i in of_node if values.get(i).isDefined())
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert 6 * lines <= sent < 8 * lines  # each line numbered once, and what is sent of the 2.5 rows of a line once by event and once by key
